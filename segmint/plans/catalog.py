@@ -43,3 +43,156 @@ def rfm(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def revenue_by_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.revenue_by_segment(base.scored(spark, sf_dir))
+
+
+# --------------------------------------------------------------------------- shared filter
+# The registered KPI / filter queries use one fixed selection: clusters 0, 1, 2.
+FILTER_CLUSTERS = (0, 1, 2)
+
+
+def _pred():
+    return F.col("cluster_id").isin(list(FILTER_CLUSTERS))
+
+
+def _lab(spark, sf_dir):
+    return base.labelled(spark, sf_dir)
+
+
+# --------------------------------------------------------------------------- counts & summaries
+@query
+def segment_counts(spark, sf_dir):
+    return S.segment_counts(_lab(spark, sf_dir))
+
+
+@query
+def country_counts(spark, sf_dir):
+    return S.country_counts(_lab(spark, sf_dir))
+
+
+@query
+def segment_share(spark, sf_dir):
+    return S.segment_share(_lab(spark, sf_dir))
+
+
+@query
+def monthly_signups(spark, sf_dir):
+    m = S.monthly_signups(_lab(spark, sf_dir))
+    return m.select(F.date_format("month_end", "yyyy-MM-dd").alias("month_end"), "signups")
+
+
+@query
+def spend_satisfaction_pivot(spark, sf_dir):
+    return S.spend_satisfaction_pivot(_lab(spark, sf_dir))
+
+
+@query
+def score_histogram(spark, sf_dir):
+    return S.score_histogram(_lab(spark, sf_dir))
+
+
+@query
+def probability_histogram(spark, sf_dir):
+    return S.probability_histogram(_lab(spark, sf_dir))
+
+
+@query
+def cluster_profile(spark, sf_dir):
+    return S.cluster_profile(_lab(spark, sf_dir))
+
+
+@query
+def cluster_stats(spark, sf_dir):
+    from ..functions.constants import CLUSTER_NUMERIC_FEATURES, CLUSTER_OPTIONAL_NUMERIC
+
+    return S.cluster_stats(_lab(spark, sf_dir), CLUSTER_NUMERIC_FEATURES + CLUSTER_OPTIONAL_NUMERIC)
+
+
+@query
+def top_clusters_8(spark, sf_dir):
+    return S.top_clusters(_lab(spark, sf_dir), 8)
+
+
+@query
+def radar_profile(spark, sf_dir):
+    return S.radar_profile(_lab(spark, sf_dir))
+
+
+@query
+def cluster_churn_gauge(spark, sf_dir):
+    return S.cluster_churn_gauge(_lab(spark, sf_dir))
+
+
+@query
+def segment_churn_summary(spark, sf_dir):
+    return S.segment_churn_summary(_lab(spark, sf_dir))
+
+
+@query
+def persona_stats(spark, sf_dir):
+    return S.persona_stats(_lab(spark, sf_dir))
+
+
+@query
+def lookup_persona(spark, sf_dir):
+    return S.lookup_persona(_lab(spark, sf_dir))
+
+
+@query
+def segment_stats(spark, sf_dir):
+    return S.segment_stats(_lab(spark, sf_dir))
+
+
+@query
+def executive_summary(spark, sf_dir):
+    return S.executive_summary(_lab(spark, sf_dir))
+
+
+@query
+def clv_by_cluster_tier(spark, sf_dir):
+    return S.clv_by_cluster_tier(_lab(spark, sf_dir))
+
+
+@query
+def clv_treemap(spark, sf_dir):
+    return S.clv_treemap(_lab(spark, sf_dir))
+
+
+@query
+def clv_by_segment_cluster(spark, sf_dir):
+    return S.clv_by_segment_cluster(_lab(spark, sf_dir))
+
+
+# --------------------------------------------------------------------------- KPIs
+@query
+def kpi_home(spark, sf_dir):
+    return S.kpi_home(_lab(spark, sf_dir), _pred())
+
+
+@query
+def kpi_overview(spark, sf_dir):
+    return S.kpi_overview(_lab(spark, sf_dir), _pred())
+
+
+@query
+def kpi_rfm(spark, sf_dir):
+    return S.kpi_rfm(_lab(spark, sf_dir), _pred())
+
+
+@query
+def kpi_churn(spark, sf_dir):
+    return S.kpi_churn(_lab(spark, sf_dir), _pred())
+
+
+@query
+def kpi_clv(spark, sf_dir):
+    return S.kpi_clv(_lab(spark, sf_dir), _pred())
+
+
+@query
+def kpi_persona(spark, sf_dir):
+    return S.kpi_persona(_lab(spark, sf_dir), _pred())
+
+
+@query
+def kpi_analyst(spark, sf_dir):
+    return S.kpi_analyst(_lab(spark, sf_dir), _pred())

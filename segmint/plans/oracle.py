@@ -36,3 +36,183 @@ sql(
 )
 
 _ = LABELLED
+
+L = LABELLED
+PRED = "cluster_id IN (0, 1, 2)"
+
+sql("segment_counts", on(L, "SELECT rfm_segment, count(*) AS count FROM labelled WHERE rfm_segment IS NOT NULL GROUP BY 1"))
+sql("country_counts", on(L, "SELECT country, count(*) AS count FROM labelled WHERE country IS NOT NULL GROUP BY 1"))
+sql(
+    "segment_share",
+    on(L, """SELECT rfm_segment, count(*) AS count, count(*) * 100.0 / (SELECT count(*) FROM labelled WHERE rfm_segment IS NOT NULL) AS pct
+FROM labelled WHERE rfm_segment IS NOT NULL GROUP BY 1"""),
+)
+sql(
+    "monthly_signups",
+    on(L, """, m AS (SELECT last_day(signup_date) AS month_end FROM labelled WHERE signup_date IS NOT NULL),
+c AS (SELECT month_end, count(*) AS signups FROM m GROUP BY 1),
+months AS (SELECT last_day(CAST(unnest(generate_series(date_trunc('month', min(month_end)), date_trunc('month', max(month_end)), INTERVAL 1 MONTH)) AS DATE)) AS month_end FROM m)
+SELECT strftime(months.month_end, '%Y-%m-%d') AS month_end, CAST(coalesce(c.signups, 0) AS BIGINT) AS signups
+FROM months LEFT JOIN c ON months.month_end = c.month_end"""),
+)
+sql(
+    "spend_satisfaction_pivot",
+    on(L, "SELECT rfm_segment, "
+       + ", ".join(f"coalesce(avg(CASE WHEN CAST(round_even(satisfaction_score, 0) AS INTEGER) = {b} THEN total_spend END), 0.0) AS sat_{b}" for b in range(1, 11))
+       + " FROM labelled WHERE rfm_segment IS NOT NULL AND satisfaction_score IS NOT NULL GROUP BY 1"),
+)
+sql(
+    "score_histogram",
+    on(L, """SELECT score_name, score, count(*) AS count FROM (
+  SELECT 'r_score' AS score_name, r_score AS score FROM labelled UNION ALL
+  SELECT 'f_score', f_score FROM labelled UNION ALL
+  SELECT 'm_score', m_score FROM labelled) WHERE score IS NOT NULL GROUP BY 1, 2"""),
+)
+sql(
+    "probability_histogram",
+    on(L, """SELECT bin, count(*) AS count, (bin - 1) / 30.0 AS bin_lo, bin / 30.0 AS bin_hi FROM (
+  SELECT least(CAST(floor(churn_probability * 30) AS BIGINT) + 1, 30) AS bin FROM labelled WHERE churn_probability IS NOT NULL)
+GROUP BY bin"""),
+)
+CLUSTER_PROFILE = """SELECT cluster_id, avg(total_spend) AS total_spend, avg(frequency) AS frequency, avg(recency) AS recency,
+  avg(satisfaction_score) AS satisfaction_score, avg(clv_12m) AS clv_12m, count(*) AS cluster_size
+FROM labelled WHERE cluster_id IS NOT NULL GROUP BY cluster_id"""
+sql("cluster_profile", on(L, CLUSTER_PROFILE))
+_FEATS = ["age", "total_orders", "total_spend", "avg_order_value", "loyalty_points", "support_tickets_raised",
+          "satisfaction_score", "referral_count", "days_since_last_purchase", "recency", "frequency", "monetary", "rfm_score"]
+sql(
+    "cluster_stats",
+    on(L, "SELECT cluster_id, " + ", ".join(f"avg({c}) AS {c}" for c in _FEATS)
+       + ", count(*) AS cluster_size FROM labelled WHERE cluster_id IS NOT NULL GROUP BY cluster_id"),
+)
+sql("top_clusters_8", on(L, f", p AS ({CLUSTER_PROFILE}) SELECT * FROM p ORDER BY cluster_size DESC, cluster_id LIMIT 8"))
+sql(
+    "radar_profile",
+    on(L, f", p AS ({CLUSTER_PROFILE}) SELECT cluster_id, "
+       + ", ".join(f"{c} / (CASE WHEN max({c}) OVER () = 0 THEN 1.0 ELSE max({c}) OVER () END) AS {c}_ratio"
+                   for c in ["total_spend", "frequency", "recency", "satisfaction_score", "clv_12m"])
+       + " FROM p"),
+)
+sql(
+    "cluster_churn_gauge",
+    on(L, """SELECT cluster_id, g AS gauge_value, CASE WHEN g < 30 THEN 'low' WHEN g < 60 THEN 'medium' ELSE 'high' END AS gauge_band
+FROM (SELECT cluster_id, avg(churn_probability) * 100.0 AS g FROM labelled WHERE cluster_id IS NOT NULL GROUP BY 1)"""),
+)
+sql(
+    "segment_churn_summary",
+    on(L, """SELECT *, row_number() OVER (ORDER BY churn_rate DESC NULLS LAST, rfm_segment) = 1 AS is_top_risk FROM (
+  SELECT rfm_segment, count(*) AS size, avg(churn_probability) AS churn_rate, avg(recency) AS avg_recency,
+         avg(satisfaction_score) AS avg_satisfaction, avg(clv_12m) AS avg_clv
+  FROM labelled WHERE rfm_segment IS NOT NULL GROUP BY 1)"""),
+)
+PERSONA_STATS = """SELECT rfm_segment, count(*) AS count, avg(total_spend) AS avg_spend, avg(recency) AS avg_recency,
+  avg(frequency) AS avg_frequency FROM labelled WHERE rfm_segment IS NOT NULL GROUP BY 1"""
+sql("persona_stats", on(L, PERSONA_STATS))
+PERSONA_DIM = """(VALUES
+ (0, 'Champions', 'High spenders with recent, frequent purchases. They love exclusivity.', 'green'),
+ (1, 'Loyal Customers', 'Consistent and engaged. They respond well to loyalty perks.', 'green'),
+ (2, 'Potential Loyalists', 'Rising engagement with growing value. Nurture to unlock loyalty.', 'yellow'),
+ (3, 'New Customers', 'Recently acquired with limited history. Focus on onboarding journeys.', 'yellow'),
+ (4, 'At Risk', 'High value but cooling off. Prioritize win-back and care outreach.', 'red'),
+ (5, 'Can''t Lose Them', 'Valuable yet disengaging quickly. Immediate action needed.', 'red'),
+ (6, 'Hibernating', 'Low engagement and low spend. Re-activate with targeted offers.', 'yellow'),
+ (7, 'Lost Customers', 'Lapsed and inactive. Consider reactivation or list hygiene.', 'red')
+) AS p(segment_order, rfm_segment, description, health)"""
+sql(
+    "lookup_persona",
+    on(L, f""", st AS ({PERSONA_STATS}), tot AS (SELECT count(*) AS n FROM labelled WHERE rfm_segment IS NOT NULL)
+SELECT p.rfm_segment, p.segment_order, p.description, p.health, coalesce(st.count, 0) AS count,
+  coalesce(st.avg_spend, 0.0) AS avg_spend, coalesce(st.avg_recency, 0.0) AS avg_recency,
+  coalesce(st.avg_frequency, 0.0) AS avg_frequency,
+  CASE WHEN (SELECT n FROM tot) > 0 THEN coalesce(st.count, 0) * 100.0 / (SELECT n FROM tot) ELSE 0.0 END AS pct
+FROM {PERSONA_DIM} LEFT JOIN st ON p.rfm_segment = st.rfm_segment"""),
+)
+_SEG_AGGS = """count(*) AS size, avg(total_spend) AS avg_spend, avg(recency) AS avg_recency, avg(frequency) AS avg_frequency,
+  avg(churn_flag) AS churn_rate, avg(clv_12m) AS avg_clv"""
+sql(
+    "segment_stats",
+    on(L, f""", bs AS (SELECT rfm_segment AS segment, {_SEG_AGGS} FROM labelled WHERE rfm_segment IS NOT NULL GROUP BY 1)
+SELECT 'rfm_segment' AS scope, p.rfm_segment AS segment, coalesce(size, 0) AS size, coalesce(avg_spend, 0.0) AS avg_spend,
+  coalesce(avg_recency, 0.0) AS avg_recency, coalesce(avg_frequency, 0.0) AS avg_frequency,
+  coalesce(churn_rate, 0.0) AS churn_rate, coalesce(avg_clv, 0.0) AS avg_clv
+FROM {PERSONA_DIM} LEFT JOIN bs ON p.rfm_segment = bs.segment
+UNION ALL
+SELECT 'cluster_id', CAST(cluster_id AS VARCHAR), {_SEG_AGGS} FROM labelled WHERE cluster_id IS NOT NULL GROUP BY cluster_id"""),
+)
+sql(
+    "executive_summary",
+    on(L, """, seg AS (SELECT rfm_segment, count(*) AS n, avg(churn_flag) AS churn FROM labelled WHERE rfm_segment IS NOT NULL GROUP BY 1),
+clus AS (SELECT cluster_id, sum(total_spend) AS spend FROM labelled WHERE cluster_id IS NOT NULL GROUP BY 1)
+SELECT count(*) AS total_customers, avg(churn_flag) * 100.0 AS churn_rate_pct, avg(clv_12m) AS avg_clv,
+  (SELECT rfm_segment FROM seg ORDER BY n DESC NULLS LAST, rfm_segment LIMIT 1) AS top_segment,
+  (SELECT cluster_id FROM clus ORDER BY spend DESC NULLS LAST, cluster_id LIMIT 1) AS top_cluster,
+  (SELECT rfm_segment FROM seg ORDER BY churn DESC NULLS LAST, rfm_segment LIMIT 1) AS riskiest_segment
+FROM labelled"""),
+)
+sql("clv_by_cluster_tier", on(L, """SELECT cluster_id, clv_tier, avg(clv_12m) AS clv_12m FROM labelled
+WHERE cluster_id IS NOT NULL AND clv_tier IS NOT NULL GROUP BY 1, 2"""))
+sql("clv_treemap", on(L, """SELECT clv_tier, cluster_id, sum(clv_12m) AS clv_12m, grouping(clv_tier, cluster_id) AS level
+FROM labelled WHERE clv_tier IS NOT NULL AND cluster_id IS NOT NULL GROUP BY ROLLUP (clv_tier, cluster_id)"""))
+sql("clv_by_segment_cluster", on(L, """SELECT rfm_segment, cluster_id, avg(clv_12m) AS clv_12m FROM labelled
+WHERE rfm_segment IS NOT NULL AND cluster_id IS NOT NULL GROUP BY 1, 2"""))
+
+
+def _kpi(specs: list[tuple[str, str, str]], extra_ctes: str = "") -> str:
+    aggs = ", ".join(f"CAST({v} AS DOUBLE) AS {n}__v, CAST({b} AS DOUBLE) AS {n}__b" for n, v, b in specs)
+    rows = " UNION ALL ".join(f"SELECT '{n}' AS kpi, {n}__v AS value, {n}__b AS baseline FROM one" for n, _, _ in specs)
+    return on(L, f"""{extra_ctes}, one AS (SELECT {aggs} FROM labelled), k AS ({rows})
+SELECT kpi, value, baseline,
+  CASE WHEN baseline = 0 THEN '0%' ELSE printf('%+.1f%%', round_even((value - baseline) / abs(baseline) * 100.0, 1)) END AS delta,
+  CASE WHEN baseline = 0 THEN 'yellow' WHEN (value - baseline) / abs(baseline) * 100.0 >= 0 THEN 'green' ELSE 'red' END AS delta_color
+FROM k""")
+
+
+def _fa(expr: str) -> str:
+    return f"CASE WHEN {PRED} THEN {expr} END"
+
+
+sql("kpi_home", _kpi([
+    ("customers", f"count(*) FILTER (WHERE {PRED})", "count(*)"),
+    ("active_segments", f"count(DISTINCT {_fa('rfm_segment')})", "count(DISTINCT rfm_segment)"),
+    ("avg_clv", f"avg({_fa('clv_12m')})", "avg(clv_12m)"),
+    ("churn_rate", f"avg({_fa('churn_flag')})", "avg(churn_flag)"),
+]))
+sql("kpi_overview", _kpi([
+    ("total_customers", f"count(*) FILTER (WHERE {PRED})", "count(*)"),
+    ("avg_clv", f"avg({_fa('clv_12m')})", "avg(clv_12m)"),
+    ("churn_rate", f"avg({_fa('churn_flag')})", "avg(churn_flag)"),
+    ("avg_satisfaction", f"avg({_fa('satisfaction_score')})", "avg(satisfaction_score)"),
+]))
+sql("kpi_rfm", _kpi([
+    ("avg_recency", f"avg({_fa('recency')})", "avg(recency)"),
+    ("avg_frequency", f"avg({_fa('frequency')})", "avg(frequency)"),
+    ("avg_monetary", f"avg({_fa('monetary')})", "avg(monetary)"),
+    ("top_segment_share",
+     f"(SELECT max(n) / sum(n) FROM (SELECT count(*) AS n FROM labelled WHERE {PRED} AND rfm_segment IS NOT NULL GROUP BY rfm_segment))",
+     "(SELECT max(n) / sum(n) FROM (SELECT count(*) AS n FROM labelled WHERE rfm_segment IS NOT NULL GROUP BY rfm_segment))"),
+]))
+sql("kpi_churn", _kpi([
+    ("churn_rate", f"avg({_fa('churn_flag')})", "avg(churn_flag)"),
+    ("avg_churn_probability", f"avg({_fa('churn_probability')})", "avg(churn_probability)"),
+    ("high_risk_customers", f"count(*) FILTER (WHERE {PRED} AND churn_probability >= 0.7)", "count(*) FILTER (WHERE churn_probability >= 0.7)"),
+]))
+_PLAT = "CASE WHEN clv_tier = 'Platinum' THEN 1.0 ELSE 0.0 END"
+sql("kpi_clv", _kpi([
+    ("avg_clv", f"avg({_fa('clv_12m')})", "avg(clv_12m)"),
+    ("platinum_share", f"avg({_fa(_PLAT)})", f"avg({_PLAT})"),
+    ("clv_growth", f"avg({_fa('clv_12m')}) / avg({_fa('historical_clv')}) - 1", "avg(clv_12m) / avg(historical_clv) - 1"),
+    ("top_clv", f"max({_fa('clv_12m')})", "max(clv_12m)"),
+]))
+_HEALTHY = "CASE WHEN rfm_segment IN ('Champions', 'Loyal Customers') THEN 1.0 ELSE 0.0 END"
+sql("kpi_persona", _kpi([
+    ("segments_covered", f"count(DISTINCT {_fa('rfm_segment')})", "count(DISTINCT rfm_segment)"),
+    ("avg_spend", f"avg({_fa('total_spend')})", "avg(total_spend)"),
+    ("avg_recency", f"avg({_fa('recency')})", "avg(recency)"),
+    ("healthy_share", f"avg({_fa(_HEALTHY)})", f"avg({_HEALTHY})"),
+]))
+sql("kpi_analyst", _kpi([
+    ("customers", f"count(*) FILTER (WHERE {PRED})", "count(*)"),
+    ("avg_clv", f"avg({_fa('clv_12m')})", "avg(clv_12m)"),
+    ("churn_rate", f"avg({_fa('churn_flag')})", "avg(churn_flag)"),
+    ("avg_recency", f"avg({_fa('recency')})", "avg(recency)"),
+]))
