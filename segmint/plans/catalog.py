@@ -196,3 +196,235 @@ def kpi_persona(spark, sf_dir):
 @query
 def kpi_analyst(spark, sf_dir):
     return S.kpi_analyst(_lab(spark, sf_dir), _pred())
+
+
+# --------------------------------------------------------------------------- filters
+from ..operators import filters as FL  # noqa: E402
+from ..operators import strategy as ST  # noqa: E402
+from ..functions import formatting as FM  # noqa: E402
+
+SEARCH_PATTERN = "ion_1[0-4]"
+COUNTRY_PICK = ("NATION_1", "NATION_7", "NATION_13")
+SEGMENT_PICK = ("Champions", "At Risk")
+DATE_LO, DATE_HI = "1996-01-01", "1998-12-31"
+BUDGET = 50000.0
+
+
+@query
+def filter_facets(spark, sf_dir):
+    return FL.filter_facets(_lab(spark, sf_dir))
+
+
+@query
+def filter_date_range(spark, sf_dir):
+    lab = _lab(spark, sf_dir)
+    return lab.where(FL.date_range_predicate(lab, DATE_LO, DATE_HI)).select(
+        "customer_id", F.date_format("signup_date", "yyyy-MM-dd").alias("signup_date")
+    )
+
+
+@query
+def filter_isin(spark, sf_dir):
+    lab = _lab(spark, sf_dir)
+    spec = FL.FilterSpec(countries=COUNTRY_PICK, clusters=FILTER_CLUSTERS)
+    return FL.apply_filters(lab, spec).select("customer_id", "country", "cluster_id")
+
+
+@query
+def filter_segments(spark, sf_dir):
+    return FL.filter_segments(_lab(spark, sf_dir), SEGMENT_PICK).select("customer_id", "rfm_segment")
+
+
+@query
+def search_customers(spark, sf_dir):
+    return FL.search_customers(_lab(spark, sf_dir), SEARCH_PATTERN).select("customer_id", "city", "country")
+
+
+@query
+def scope_segment(spark, sf_dir):
+    lab = _lab(spark, sf_dir)
+    a = S.scope_segment(lab, "Champions").select("customer_id", F.lit("rfm_segment").alias("scope"))
+    b = S.scope_segment(lab, "2", by="cluster_id").select("customer_id", F.lit("cluster_id").alias("scope"))
+    return a.unionByName(b)
+
+
+# --------------------------------------------------------------------------- sorts / top-k
+@query
+def segment_explorer(spark, sf_dir):
+    return (
+        _lab(spark, sf_dir)
+        .orderBy(F.col("rfm_score").desc(), F.col("customer_id"))
+        .select("customer_id", "rfm_segment", "r_score", "f_score", "m_score", "rfm_score", "total_spend", "total_orders")
+    )
+
+
+def _top_risk(spark, sf_dir, n):
+    return (
+        _lab(spark, sf_dir)
+        .orderBy(F.col("churn_probability").desc_nulls_last(), F.col("customer_id"))
+        .limit(n)
+        .select("customer_id", "rfm_segment", "cluster_id", "churn_probability", "total_spend", "satisfaction_score")
+    )
+
+
+@query
+def top_risk_100(spark, sf_dir):
+    return _top_risk(spark, sf_dir, 100)
+
+
+@query
+def top_risk_50(spark, sf_dir):
+    return _top_risk(spark, sf_dir, 50)
+
+
+@query
+def top_clv_20(spark, sf_dir):
+    return (
+        _lab(spark, sf_dir)
+        .orderBy(F.col("clv_12m").desc_nulls_last(), F.col("customer_id"))
+        .limit(20)
+        .select("customer_id", "clv_12m", "clv_tier", "total_spend", "total_orders", "rfm_segment")
+    )
+
+
+# --------------------------------------------------------------------------- strategy
+def _strategies(spark, sf_dir):
+    return ST.strategy_table(_lab(spark, sf_dir))
+
+
+@query
+def strategy_base(spark, sf_dir):
+    return ST.strategy_base(_lab(spark, sf_dir))
+
+
+@query
+def strategy_table(spark, sf_dir):
+    return _strategies(spark, sf_dir)
+
+
+@query
+def lookup_profile(spark, sf_dir):
+    return ST.lookup_profile(ST.strategy_base(_lab(spark, sf_dir))).select(
+        "rfm_segment", "cluster_id", *ST.PROFILE_FIELDS
+    )
+
+
+@query
+def primary_strategy(spark, sf_dir):
+    return ST.primary_strategy(_strategies(spark, sf_dir))
+
+
+@query
+def budget_allocation(spark, sf_dir):
+    return ST.budget_allocation(_strategies(spark, sf_dir), BUDGET)
+
+
+@query
+def allocation_sorted(spark, sf_dir):
+    return ST.allocation_sorted(ST.budget_allocation(_strategies(spark, sf_dir), BUDGET))
+
+
+@query
+def revenue_lift(spark, sf_dir):
+    return ST.revenue_lift(_strategies(spark, sf_dir), _lab(spark, sf_dir), BUDGET)
+
+
+@query
+def kpi_strategy(spark, sf_dir):
+    return ST.kpi_strategy(_lab(spark, sf_dir), _strategies(spark, sf_dir))
+
+
+# --------------------------------------------------------------------------- ranks / flows
+@query
+def rank_first(spark, sf_dir):
+    from ..operators.ranking import global_row_number
+
+    sc = base.scored(spark, sf_dir).select("customer_id", "recency", "ingest_seq")
+    return global_row_number(sc, ["recency", "ingest_seq"], "rank").drop("ingest_seq")
+
+
+@query
+def rfm_base(spark, sf_dir):
+    return base.scored(spark, sf_dir).select("customer_id", "recency", "frequency", "monetary")
+
+
+def _flow(spark, sf_dir):
+    from ..operators.rfm import rfm as rfm_op
+    from ..sources.snapshot import default_as_of  # noqa: F401
+
+    lab = _lab(spark, sf_dir)
+    filt = lab.where(_pred())
+    shifted = filt.select(
+        "customer_id",
+        "ingest_seq",
+        (F.col("last_purchase_date") - F.expr("INTERVAL 30 DAYS")).alias("last_purchase_date"),
+        "total_orders",
+        "total_spend",
+        F.col("rfm_segment").alias("target"),
+    )
+    prev = rfm_op(shifted, base.as_of(spark, sf_dir))
+    # the re-scoring is a projection of the same rows, so the two scorings
+    # are aligned without a join
+    return prev.groupBy(F.col("rfm_segment").alias("source"), "target").agg(F.count(F.lit(1)).alias("value"))
+
+
+@query
+def rfm_flow(spark, sf_dir):
+    return _flow(spark, sf_dir)
+
+
+@query
+def node_labels(spark, sf_dir):
+    f = _flow(spark, sf_dir)
+    return f.select(F.col("source").alias("label")).union(f.select(F.col("target").alias("label"))).distinct().orderBy("label")
+
+
+@query
+def rfm_migration(spark, sf_dir):
+    import datetime as _dt
+
+    at = base.as_of(spark, sf_dir)
+    prior = base.scored(spark, sf_dir, at - _dt.timedelta(days=30)).select("customer_id", F.col("rfm_segment").alias("source"))
+    current = base.scored(spark, sf_dir).select("customer_id", F.col("rfm_segment").alias("target"))
+    return prior.join(current, "customer_id").groupBy("source", "target").agg(F.count(F.lit(1)).alias("value"))
+
+
+# --------------------------------------------------------------------------- scalar functions
+@query
+def fmt_number(spark, sf_dir):
+    r = S.revenue_by_segment(_lab(spark, sf_dir))
+    return r.select("rfm_segment", "total_spend", FM.fmt_number(F.col("total_spend")).alias("display"))
+
+
+@query
+def bin_risk_band(spark, sf_dir):
+    return _lab(spark, sf_dir).select("customer_id", "churn_probability", FM.risk_band(F.col("churn_probability")).alias("risk_band"))
+
+
+@query
+def clv_tier(spark, sf_dir):
+    return _lab(spark, sf_dir).select("customer_id", "historical_clv", "clv_12m", "clv_tier")
+
+
+@query
+def date_shift(spark, sf_dir):
+    return _lab(spark, sf_dir).select(
+        "customer_id", F.date_format(F.col("last_purchase_date") - F.expr("INTERVAL 30 DAYS"), "yyyy-MM-dd").alias("shifted")
+    )
+
+
+@query
+def round_bucket(spark, sf_dir):
+    return _lab(spark, sf_dir).select("customer_id", FM.round_bucket(F.col("satisfaction_score")).alias("satisfaction_bucket"))
+
+
+@query
+def chart_projection(spark, sf_dir):
+    return _lab(spark, sf_dir).select(
+        "customer_id", "recency", "frequency", "monetary", "rfm_segment", "clv_12m", "churn_probability", "total_orders", "cluster_id"
+    )
+
+
+@query
+def preview_head(spark, sf_dir):
+    return _lab(spark, sf_dir).orderBy("ingest_seq").limit(10).select("customer_id", "total_orders", "total_spend", "country")

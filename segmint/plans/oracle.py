@@ -216,3 +216,126 @@ sql("kpi_analyst", _kpi([
     ("churn_rate", f"avg({_fa('churn_flag')})", "avg(churn_flag)"),
     ("avg_recency", f"avg({_fa('recency')})", "avg(recency)"),
 ]))
+
+from .oracle_sql import AS_OF_PRIOR, chain, with_ctes  # noqa: E402
+
+sql("filter_facets", on(L, """SELECT 'date_min' AS facet, strftime(min(signup_date), '%Y-%m-%d') AS value FROM labelled
+UNION ALL SELECT 'date_max', strftime(max(signup_date), '%Y-%m-%d') FROM labelled
+UNION ALL SELECT DISTINCT 'country', country FROM labelled WHERE country IS NOT NULL
+UNION ALL SELECT DISTINCT 'cluster', CAST(cluster_id AS VARCHAR) FROM labelled WHERE cluster_id IS NOT NULL"""))
+sql("filter_date_range", on(L, """SELECT customer_id, strftime(signup_date, '%Y-%m-%d') AS signup_date FROM labelled
+WHERE signup_date BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1998-12-31'"""))
+sql("filter_isin", on(L, f"""SELECT customer_id, country, cluster_id FROM labelled
+WHERE country IN ('NATION_1', 'NATION_7', 'NATION_13') AND {PRED}"""))
+sql("filter_segments", on(L, "SELECT customer_id, rfm_segment FROM labelled WHERE rfm_segment IN ('Champions', 'At Risk')"))
+sql("search_customers", on(L, """SELECT customer_id, city, country FROM labelled
+WHERE coalesce(regexp_matches(lower(customer_id), 'ion_1[0-4]'), false)
+   OR coalesce(regexp_matches(lower(city), 'ion_1[0-4]'), false)
+   OR coalesce(regexp_matches(lower(country), 'ion_1[0-4]'), false)"""))
+sql("scope_segment", on(L, """SELECT customer_id, 'rfm_segment' AS scope FROM labelled WHERE rfm_segment = 'Champions'
+UNION ALL SELECT customer_id, 'cluster_id' FROM labelled WHERE CAST(cluster_id AS VARCHAR) = '2'"""))
+sql("segment_explorer", on(L, """SELECT customer_id, rfm_segment, r_score, f_score, m_score, rfm_score, total_spend, total_orders
+FROM labelled ORDER BY rfm_score DESC, customer_id"""))
+for _n in (100, 50):
+    sql(f"top_risk_{_n}", on(L, f"""SELECT customer_id, rfm_segment, cluster_id, churn_probability, total_spend, satisfaction_score
+FROM labelled ORDER BY churn_probability DESC NULLS LAST, customer_id LIMIT {_n}"""))
+sql("top_clv_20", on(L, """SELECT customer_id, clv_12m, clv_tier, total_spend, total_orders, rfm_segment
+FROM labelled ORDER BY clv_12m DESC NULLS LAST, customer_id LIMIT 20"""))
+
+PROFILE_DIM = """(VALUES
+ ('Champions', 'email', 'exclusive access', 'premium', 0.32, 16),
+ ('Loyal Customers', 'email', 'loyalty points', 'nurturing', 0.27, 14),
+ ('Potential Loyalists', 'push', 'loyalty points', 'nurturing', 0.22, 13),
+ ('New Customers', 'email', 'discount', 'nurturing', 0.18, 10),
+ ('At Risk', 'sms', 'discount', 'urgent', 0.15, 18),
+ ('Can''t Lose Them', 'email', 'exclusive access', 'urgent', 0.21, 17),
+ ('Hibernating', 'sms', 'win-back', 'reactivation', 0.1, 8),
+ ('Lost Customers', 'sms', 'win-back', 'reactivation', 0.06, 4)
+) AS pr(rfm_segment, channel, offer, tone, response_rate, budget_pct)"""
+STRAT_BASE = """SELECT rfm_segment, cluster_id, count(customer_id) AS customer_count, avg(total_spend) AS avg_spend,
+  avg(recency) AS avg_recency, avg(satisfaction_score) AS avg_satisfaction
+FROM labelled WHERE rfm_segment IS NOT NULL AND cluster_id IS NOT NULL GROUP BY 1, 2"""
+LOOKUP = f"""SELECT b.*, coalesce(pr.channel, 'email') AS channel, coalesce(pr.offer, 'discount') AS offer,
+  coalesce(pr.tone, 'nurturing') AS tone, CAST(coalesce(pr.response_rate, 0.18) AS DOUBLE) AS response_rate,
+  CAST(coalesce(pr.budget_pct, 10) AS INTEGER) AS budget_pct
+FROM ({STRAT_BASE}) b LEFT JOIN {PROFILE_DIM} ON b.rfm_segment = pr.rfm_segment"""
+STRATEGY = f""", med AS (SELECT median(total_spend) AS ms, median(recency) AS mr, median(satisfaction_score) AS mq FROM labelled),
+lk AS ({LOOKUP}),
+strategy AS (
+  SELECT rfm_segment, CAST(cluster_id AS INTEGER) AS cluster_id,
+    CASE WHEN avg_recency > (SELECT mr FROM med) THEN 'sms' ELSE channel END AS channel,
+    CASE WHEN avg_spend > (SELECT ms FROM med) THEN 'exclusive access' ELSE offer END AS offer,
+    CASE WHEN avg_satisfaction < (SELECT mq FROM med) THEN 'nurturing'
+         WHEN avg_recency > (SELECT mr FROM med) THEN 'urgent'
+         WHEN avg_spend > (SELECT ms FROM med) THEN 'premium' ELSE tone END AS tone,
+    CASE WHEN avg_spend > (SELECT ms FROM med) THEN budget_pct + 2 ELSE budget_pct END AS budget_pct,
+    response_rate, CAST(customer_count AS BIGINT) AS customer_count, response_rate * customer_count AS expected_response
+  FROM lk)"""
+sql("strategy_base", on(L, STRAT_BASE))
+sql("strategy_table", on(L, STRATEGY + " SELECT * FROM strategy"))
+sql("lookup_profile", on(L, f"SELECT rfm_segment, cluster_id, channel, offer, tone, response_rate, budget_pct FROM ({LOOKUP})"))
+PRIMARY = """SELECT * EXCLUDE (_r) FROM (SELECT *, row_number() OVER (PARTITION BY rfm_segment ORDER BY customer_count DESC, cluster_id) AS _r
+FROM strategy) WHERE _r = 1"""
+sql("primary_strategy", on(L, STRATEGY + " " + PRIMARY))
+ALLOC = """SELECT rfm_segment, cluster_id, customer_count, w / sum(w) OVER (PARTITION BY rfm_segment) * 100.0 AS allocation_pct,
+  w / sum(w) OVER (PARTITION BY rfm_segment) * 100.0 / 100.0 * 50000.0 AS allocation_amount
+FROM (SELECT *, CASE WHEN sum(customer_count * response_rate) OVER (PARTITION BY rfm_segment) = 0
+                     THEN CAST(customer_count AS DOUBLE) ELSE customer_count * response_rate END AS w FROM strategy)"""
+sql("budget_allocation", on(L, STRATEGY + " " + ALLOC))
+sql("allocation_sorted", on(L, STRATEGY + " " + ALLOC + " ORDER BY rfm_segment, allocation_pct DESC, cluster_id"))
+sql("revenue_lift", on(L, STRATEGY + f""", prim AS ({PRIMARY}),
+tot AS (SELECT rfm_segment, sum(customer_count) AS segment_customers FROM strategy GROUP BY 1),
+aov AS (SELECT rfm_segment, avg(avg_order_value) AS segment_aov FROM labelled WHERE rfm_segment IS NOT NULL GROUP BY 1)
+SELECT tot.rfm_segment, tot.segment_customers, prim.response_rate AS primary_rate, aov.segment_aov,
+  tot.segment_customers * prim.response_rate AS expected_orders,
+  tot.segment_customers * prim.response_rate * aov.segment_aov * 1.1 AS expected_lift
+FROM tot JOIN prim ON tot.rfm_segment = prim.rfm_segment LEFT JOIN aov ON tot.rfm_segment = aov.rfm_segment"""))
+sql("kpi_strategy", on(L, STRATEGY + """ SELECT CAST(count(DISTINCT rfm_segment) AS DOUBLE) AS active_segments,
+  avg(response_rate) AS avg_response_rate, avg(budget_pct) AS avg_budget_split,
+  (SELECT avg(avg_order_value) FROM labelled) AS avg_order_value FROM strategy"""))
+
+sql("rank_first", on(SCORED, "SELECT customer_id, recency, row_number() OVER (ORDER BY recency, ingest_seq) AS rank FROM scored"))
+sql("rfm_base", on(SCORED, "SELECT customer_id, recency, frequency, monetary FROM scored"))
+FLOW = f""", f AS (
+  SELECT *, CAST(floor(date_diff('second', coalesce(last_purchase_date - INTERVAL 30 DAY, (SELECT as_of FROM params)),
+                         (SELECT as_of FROM params)) / 86400) AS BIGINT) AS rec2
+  FROM labelled WHERE {PRED}),
+fr AS (SELECT *, row_number() OVER (ORDER BY rec2, ingest_seq) AS a, row_number() OVER (ORDER BY frequency, ingest_seq) AS b,
+  row_number() OVER (ORDER BY monetary, ingest_seq) AS c, count(*) OVER () AS n FROM f),
+fb AS (SELECT rfm_segment AS target,
+  6 - CASE WHEN n < 2 THEN 3 ELSE greatest(1, (5 * (a - 1) + n - 2) // (n - 1)) END AS r,
+  CASE WHEN n < 2 THEN 3 ELSE greatest(1, (5 * (b - 1) + n - 2) // (n - 1)) END AS fq,
+  CASE WHEN n < 2 THEN 3 ELSE greatest(1, (5 * (c - 1) + n - 2) // (n - 1)) END AS m FROM fr),
+flow AS (SELECT CASE
+   WHEN r >= 4 AND fq >= 4 AND m >= 4 THEN 'Champions'
+   WHEN r >= 3 AND fq >= 4 AND m >= 3 THEN 'Loyal Customers'
+   WHEN r >= 4 AND fq >= 2 AND m >= 2 THEN 'Potential Loyalists'
+   WHEN r >= 4 AND fq <= 2 AND m <= 2 THEN 'New Customers'
+   WHEN r <= 2 AND fq >= 4 AND m >= 4 THEN 'Can''t Lose Them'
+   WHEN r <= 2 AND fq >= 3 AND m >= 3 THEN 'At Risk'
+   WHEN r <= 2 AND fq <= 2 AND m <= 2 THEN 'Hibernating'
+   ELSE 'Lost Customers' END AS source, target, count(*) AS value FROM fb GROUP BY 1, 2)"""
+sql("rfm_flow", on(L, FLOW + " SELECT * FROM flow"))
+sql("node_labels", on(L, FLOW + " SELECT DISTINCT label FROM (SELECT source AS label FROM flow UNION SELECT target FROM flow) ORDER BY label"))
+sql("rfm_migration", with_ctes(chain("scored", "_p", AS_OF_PRIOR), chain("scored")) + """
+SELECT p.rfm_segment AS source, c.rfm_segment AS target, count(*) AS value
+FROM scored_p p JOIN scored c ON p.customer_id = c.customer_id GROUP BY 1, 2""")
+
+
+def _fmt(x: str) -> str:
+    return f"""CASE WHEN {x} IS NULL OR isnan({x}) THEN '0'
+  WHEN abs({x}) >= 1000000 THEN printf('%.2fM', round_even({x} / 1000000, 2))
+  WHEN abs({x}) >= 1000 THEN printf('%.2fK', round_even({x} / 1000, 2))
+  ELSE printf('%.2f', round_even({x}, 2)) END"""
+
+
+sql("fmt_number", on(L, f"""SELECT rfm_segment, total_spend, {_fmt('total_spend')} AS display FROM (
+  SELECT rfm_segment, sum(total_spend) AS total_spend FROM labelled WHERE rfm_segment IS NOT NULL GROUP BY 1)"""))
+sql("bin_risk_band", on(L, """SELECT customer_id, churn_probability,
+  CASE WHEN churn_probability < 0.3 THEN 'green' WHEN churn_probability < 0.6 THEN 'yellow' ELSE 'red' END AS risk_band FROM labelled"""))
+sql("clv_tier", on(L, "SELECT customer_id, historical_clv, clv_12m, clv_tier FROM labelled"))
+sql("date_shift", on(L, "SELECT customer_id, strftime(last_purchase_date - INTERVAL 30 DAY, '%Y-%m-%d') AS shifted FROM labelled"))
+sql("round_bucket", on(L, "SELECT customer_id, CAST(round_even(satisfaction_score, 0) AS INTEGER) AS satisfaction_bucket FROM labelled"))
+sql("chart_projection", on(L, """SELECT customer_id, recency, frequency, monetary, rfm_segment, clv_12m, churn_probability, total_orders, cluster_id
+FROM labelled"""))
+sql("preview_head", on(L, "SELECT customer_id, total_orders, total_spend, country FROM labelled ORDER BY ingest_seq LIMIT 10"))
