@@ -37,7 +37,9 @@ def dedup_keep_last(df: DataFrame, key: str = "customer_id", order: str = ROW_OR
     """Key as text; one row per key, the last by row order. NULL keys are
     dropped. ``max_by`` is a partial aggregate, so a key repeated across a
     third of the input is combined map-side before the shuffle."""
-    df = with_row_order(df).withColumn(key, F.col(key).cast("string")).where(F.col(key).isNotNull())
+    if order not in df.columns:
+        df = df.withColumn(order, F.monotonically_increasing_id())
+    df = df.withColumn(key, F.col(key).cast("string")).where(F.col(key).isNotNull())
     others = [c for c in df.columns if c != key]
     last = df.groupBy(key).agg(F.max_by(F.struct(*others), F.col(order)).alias("_last"))
     return last.select(*[F.col(key) if c == key else F.col(f"_last.{c}").alias(c) for c in df.columns])

@@ -428,3 +428,93 @@ def chart_projection(spark, sf_dir):
 @query
 def preview_head(spark, sf_dir):
     return _lab(spark, sf_dir).orderBy("ingest_seq").limit(10).select("customer_id", "total_orders", "total_spend", "country")
+
+
+# --------------------------------------------------------------------------- upload path
+from . import ingest as IN  # noqa: E402
+from ..operators import quality as Q  # noqa: E402
+from ..operators import enrich as EN  # noqa: E402
+from ..functions import columns as CF  # noqa: E402
+
+
+@query
+def enrich(spark, sf_dir):
+    e = IN.upload_enriched(spark, sf_dir)
+    return e.select(
+        "customer_id",
+        F.date_format("last_purchase_date", "yyyy-MM-dd").alias("last_purchase_date"),
+        F.date_format("signup_date", "yyyy-MM-dd").alias("signup_date"),
+        "total_orders", "total_spend", "satisfaction_score", "country", "channel", "support_tickets_raised",
+        "loyalty_points", "days_since_last_purchase", "avg_order_value", "churn_flag", "age", "gender", "city",
+        "referral_count",
+    )
+
+
+@query
+def validation_report(spark, sf_dir):
+    return Q.validation_report(IN.uploaded_file(spark, sf_dir))
+
+
+@query
+def null_summary(spark, sf_dir):
+    return Q.null_summary(IN.uploaded_file(spark, sf_dir))
+
+
+@query
+def type_issues(spark, sf_dir):
+    return Q.type_issues(IN.uploaded_file(spark, sf_dir))
+
+
+@query
+def scan_active(spark, sf_dir):
+    from ..sources.files import scan_active as choose
+
+    c = choose(None, base.customers(spark, sf_dir))
+    return c.select("customer_id", "total_orders", "total_spend", "days_since_last_purchase", "avg_order_value", "churn_flag")
+
+
+@query
+def dedup_keep_last(spark, sf_dir):
+    from ..sources.tables import table
+
+    ev = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value")
+    return EN.dedup_keep_last(ev, key="user_id", order="event_id")
+
+
+@query
+def clean_currency(spark, sf_dir):
+    from ..sources.tables import table
+
+    o = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.concat(F.lit("$"), F.format_number("o_totalprice", 2)).alias("amount")
+    )
+    return o.select("o_orderkey", CF.clean_currency(o, "amount").alias("amount"))
+
+
+@query
+def parse_dates(spark, sf_dir):
+    from ..sources.tables import table
+
+    o = table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        F.when(F.col("o_orderkey") % 4 == 0, F.date_format("o_orderdate", "yyyy-MM-dd"))
+        .otherwise(F.date_format("o_orderdate", "dd/MM/yyyy"))
+        .alias("text"),
+    )
+    return o.select("o_orderkey", F.date_format(CF.parse_dates(o, "text"), "yyyy-MM-dd").alias("parsed"))
+
+
+@query
+def coerce_numeric(spark, sf_dir):
+    from ..sources.tables import table
+
+    li = table(spark, sf_dir, "lineitem")
+    q = F.col("l_quantity").cast("string")
+    text = (
+        F.when(F.col("l_linenumber") % 4 == 0, q)
+        .when(F.col("l_linenumber") % 4 == 1, F.concat(F.lit("  "), q, F.lit(" ")))
+        .when(F.col("l_linenumber") % 4 == 2, F.concat(q, F.lit("d")))
+        .otherwise(F.lit("n/a"))
+    )
+    t = li.select("l_orderkey", "l_linenumber", text.alias("text"))
+    return t.select("l_orderkey", "l_linenumber", CF.to_numeric(t, "text").alias("quantity"))

@@ -339,3 +339,86 @@ sql("round_bucket", on(L, "SELECT customer_id, CAST(round_even(satisfaction_scor
 sql("chart_projection", on(L, """SELECT customer_id, recency, frequency, monetary, rfm_segment, clv_12m, churn_probability, total_orders, cluster_id
 FROM labelled"""))
 sql("preview_head", on(L, "SELECT customer_id, total_orders, total_spend, country FROM labelled ORDER BY ingest_seq LIMIT 10"))
+
+from .oracle_sql import SNAPSHOT, CUSTOMERS  # noqa: E402
+
+RAW = """, raw AS (
+  SELECT customer_id, ingest_seq, signup_date,
+    CASE WHEN ingest_seq % 13 = 0 THEN NULL ELSE last_purchase_date END AS last_purchase_date,
+    CAST(total_orders AS DOUBLE) AS total_orders,
+    CASE WHEN ingest_seq % 10 = 0 THEN NULL ELSE total_spend END AS total_spend,
+    CASE WHEN ingest_seq % 7 = 0 THEN NULL ELSE satisfaction_score END AS satisfaction_score,
+    country, channel, CAST(support_tickets_raised AS DOUBLE) AS support_tickets_raised,
+    CAST(loyalty_points AS DOUBLE) AS loyalty_points
+  FROM snapshot),
+e0 AS (SELECT *, CAST(floor(date_diff('second', last_purchase_date, (SELECT as_of FROM params)) / 86400) AS BIGINT) AS days,
+  total_spend / nullif(total_orders, 0) AS aov FROM raw)"""
+sql("enrich", on(SNAPSHOT, RAW + """
+SELECT customer_id, strftime(last_purchase_date, '%Y-%m-%d') AS last_purchase_date,
+  strftime(last_purchase_date, '%Y-%m-%d') AS signup_date, total_orders,
+  coalesce(total_spend, (SELECT median(total_spend) FROM e0)) AS total_spend,
+  coalesce(satisfaction_score, (SELECT median(satisfaction_score) FROM e0)) AS satisfaction_score,
+  country, channel, support_tickets_raised, loyalty_points,
+  coalesce(CAST(days AS DOUBLE), (SELECT median(days) FROM e0)) AS days_since_last_purchase,
+  coalesce(aov, (SELECT median(aov) FROM e0)) AS avg_order_value,
+  CASE WHEN days > 180 THEN 1 ELSE 0 END AS churn_flag,
+  35 AS age, 'Unknown' AS gender, 'Unknown' AS city, 0 AS referral_count
+FROM e0"""))
+
+VALIDATION = RAW + """, agg AS (SELECT count(*) AS n,
+  count(last_purchase_date) AS nn_date, count(satisfaction_score) AS nn_sat,
+  avg(CASE WHEN last_purchase_date IS NULL THEN 1.0 ELSE 0.0 END) AS bad_date,
+  avg(CASE WHEN total_spend IS NULL THEN 1.0 ELSE 0.0 END) AS bad_spend,
+  avg(CASE WHEN satisfaction_score IS NULL THEN 1.0 ELSE 0.0 END) AS bad_sat FROM raw),
+report AS (
+  SELECT 'derived_column' AS "check", 'days_since_last_purchase' AS "column", CAST(NULL AS DOUBLE) AS value, 'warning' AS status
+  UNION ALL SELECT 'all_null_required', 'customer_id', n, 'ok' FROM agg
+  UNION ALL SELECT 'all_null_required', 'last_purchase_date', nn_date, CASE WHEN nn_date = 0 THEN 'error' ELSE 'ok' END FROM agg
+  UNION ALL SELECT 'all_null_required', 'total_orders', n, 'ok' FROM agg
+  UNION ALL SELECT 'all_null_required', 'total_spend', n, 'ok' FROM agg
+  UNION ALL SELECT 'missing_optional', c, NULL, 'warning' FROM (VALUES ('age'), ('gender'), ('city'), ('churn_flag'), ('avg_order_value'), ('referral_count')) t(c)
+  UNION ALL SELECT 'all_null_optional', 'country', n, 'ok' FROM agg
+  UNION ALL SELECT 'all_null_optional', 'satisfaction_score', nn_sat, CASE WHEN nn_sat = 0 THEN 'warning' ELSE 'ok' END FROM agg
+  UNION ALL SELECT 'all_null_optional', 'channel', n, 'ok' FROM agg
+  UNION ALL SELECT 'all_null_optional', 'loyalty_points', n, 'ok' FROM agg
+  UNION ALL SELECT 'all_null_optional', 'support_tickets_raised', n, 'ok' FROM agg
+  UNION ALL SELECT 'row_count', NULL, n, CASE WHEN n < 3 THEN 'warning' ELSE 'ok' END FROM agg
+  UNION ALL SELECT 'null_count', 'customer_id', 0, 'info'
+  UNION ALL SELECT 'null_count', 'last_purchase_date', n - nn_date, 'info' FROM agg
+  UNION ALL SELECT 'null_count', 'total_orders', 0, 'info'
+  UNION ALL SELECT 'null_count', 'total_spend', 0, 'info'
+  UNION ALL SELECT 'null_count', 'country', 0, 'info'
+  UNION ALL SELECT 'null_count', 'satisfaction_score', n - nn_sat, 'info' FROM agg
+  UNION ALL SELECT 'null_count', 'channel', 0, 'info'
+  UNION ALL SELECT 'null_count', 'loyalty_points', 0, 'info'
+  UNION ALL SELECT 'null_count', 'support_tickets_raised', 0, 'info'
+  UNION ALL SELECT 'type_issue', 'last_purchase_date', bad_date, CASE WHEN bad_date > 0.4 THEN 'issue' ELSE 'ok' END FROM agg
+  UNION ALL SELECT 'type_issue', 'total_orders', 0.0, 'ok'
+  UNION ALL SELECT 'type_issue', 'loyalty_points', 0.0, 'ok'
+  UNION ALL SELECT 'type_issue', 'support_tickets_raised', 0.0, 'ok'
+  UNION ALL SELECT 'type_issue', 'total_spend', bad_spend, CASE WHEN bad_spend > 0.4 THEN 'issue' ELSE 'ok' END FROM agg
+  UNION ALL SELECT 'type_issue', 'satisfaction_score', bad_sat, CASE WHEN bad_sat > 0.6 THEN 'issue' ELSE 'ok' END FROM agg
+  UNION ALL SELECT 'is_valid', NULL, CASE WHEN nn_date > 0 AND n > 0 THEN 1 ELSE 0 END, 'info' FROM agg)"""
+sql("validation_report", on(SNAPSHOT, VALIDATION + ' SELECT "check", "column", CAST(value AS DOUBLE) AS value, status FROM report'))
+sql("null_summary", on(SNAPSHOT, VALIDATION + """ SELECT "column", CAST(value AS BIGINT) AS null_count FROM report WHERE "check" = 'null_count'"""))
+sql("type_issues", on(SNAPSHOT, VALIDATION + """ SELECT "column", CAST(value AS DOUBLE) AS bad_share, status = 'issue' AS flagged
+FROM report WHERE "check" = 'type_issue'"""))
+sql("scan_active", on(CUSTOMERS, """SELECT customer_id, total_orders, total_spend, days_since_last_purchase, avg_order_value, churn_flag
+FROM customers"""))
+sql("dedup_keep_last", """SELECT CAST(user_id AS VARCHAR) AS user_id, event_id, event_type, value FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events WHERE user_id IS NOT NULL) WHERE r = 1""")
+sql("clean_currency", "SELECT o_orderkey, o_totalprice AS amount FROM orders")
+sql("parse_dates", """WITH t AS (SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN strftime(o_orderdate, '%Y-%m-%d')
+                                            ELSE strftime(o_orderdate, '%d/%m/%Y') END AS text FROM orders),
+mf AS (SELECT *, coalesce(try_strptime(text, '%Y-%m-%d'), try_strptime(text, '%m/%d/%Y')) AS m FROM t),
+share AS (SELECT avg(CASE WHEN m IS NULL THEN 1.0 ELSE 0.0 END) AS s FROM mf)
+SELECT o_orderkey, strftime(CASE WHEN (SELECT s FROM share) > 0.3 THEN coalesce(m, try_strptime(text, '%d/%m/%Y')) ELSE m END, '%Y-%m-%d') AS parsed
+FROM mf""")
+sql("coerce_numeric", """WITH t AS (SELECT l_orderkey, l_linenumber,
+  CASE WHEN l_linenumber % 4 = 0 THEN CAST(l_quantity AS VARCHAR)
+       WHEN l_linenumber % 4 = 1 THEN '  ' || CAST(l_quantity AS VARCHAR) || ' '
+       WHEN l_linenumber % 4 = 2 THEN CAST(l_quantity AS VARCHAR) || 'd'
+       ELSE 'n/a' END AS text FROM lineitem)
+SELECT l_orderkey, l_linenumber,
+  CASE WHEN regexp_full_match(text, '\\s*[+-]?((\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?)\\s*') THEN TRY_CAST(trim(text) AS DOUBLE) END AS quantity
+FROM t""")
