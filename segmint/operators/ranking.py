@@ -26,7 +26,7 @@ from __future__ import annotations
 from collections import defaultdict
 from typing import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, num_partitions
@@ -128,6 +128,28 @@ class OrderIndex:
         )
 
 
+    def running_sum(self, cols: list[str], prefix: str = "cum_") -> DataFrame:
+        """Inclusive running totals of ``cols`` in the index order (ungrouped
+        index). Within a range partition: a window over that partition only
+        (balanced by the range partitioner); across partitions: offsets from
+        per-partition totals (≤ partitions rows, broadcast)."""
+        spark = self.rows.sparkSession
+        within = Window.partitionBy("_pid").orderBy("_loc").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        local = self.rows.withColumns({f"_l_{c}": F.sum(c).over(within) for c in cols})
+        totals = sorted(self.rows.groupBy("_pid").agg(*[F.sum(c).alias(c) for c in cols]).collect())  # ≤ partitions
+        acc = {c: 0 for c in cols}
+        offsets = []
+        for r in totals:
+            offsets.append(tuple([int(r["_pid"])] + [float(acc[c]) for c in cols]))
+            for c in cols:
+                acc[c] += r[c] or 0
+        off = spark.createDataFrame(offsets, ", ".join(["_pid long"] + [f"_o_{c} double" for c in cols]))
+        joined = local.join(F.broadcast(off), "_pid")
+        return joined.withColumns({f"{prefix}{c}": F.col(f"_l_{c}") + F.col(f"_o_{c}") for c in cols}).drop(
+            "_pid", "_loc", *[f"_l_{c}" for c in cols], *[f"_o_{c}" for c in cols]
+        )
+
+
 def global_row_number(df: DataFrame, order_cols: list[str], out: str = "rn") -> DataFrame:
     """``row_number() OVER (ORDER BY order_cols)`` without a single-task window.
     ``order_cols`` must make the order total (end with a unique column)."""

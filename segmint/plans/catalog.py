@@ -518,3 +518,199 @@ def coerce_numeric(spark, sf_dir):
     )
     t = li.select("l_orderkey", "l_linenumber", text.alias("text"))
     return t.select("l_orderkey", "l_linenumber", CF.to_numeric(t, "text").alias("quantity"))
+
+
+# --------------------------------------------------------------------------- ML: features, clustering, metrics
+from . import models as MD  # noqa: E402
+from ..operators import clustering as CL  # noqa: E402
+from ..operators import churn as CHN  # noqa: E402
+from ..operators import evaluate as EV  # noqa: E402
+from ..operators.cluster_metrics import cluster_metrics as _metrics  # noqa: E402
+
+
+@query
+def feature_zscores(spark, sf_dir):
+    from ..operators.features import select_features, zscore_columns
+
+    sc = base.scored(spark, sf_dir)
+    z = zscore_columns(sc, select_features(sc).numeric)
+    return sc.select("customer_id", *[e.alias(f"z_{c}") for c, e in z.items()])
+
+
+@query
+def cluster_metrics(spark, sf_dir):
+    from ..sources.tables import table
+
+    emb = table(spark, sf_dir, "embeddings")
+    m = _metrics(emb, "embedding", "label")
+    return spark.createDataFrame(
+        [(m.silhouette, m.davies_bouldin, m.calinski_harabasz, m.n_clusters)],
+        "silhouette double, davies_bouldin double, calinski_harabasz double, n_clusters int",
+    )
+
+
+@query
+def count_clusters(spark, sf_dir):
+    from ..operators.cluster_metrics import count_clusters as cc
+    from ..sources.tables import table
+
+    return table(spark, sf_dir, "embeddings").agg(cc(None, "label").alias("n_clusters"))
+
+
+@query
+def minmax_normalize(spark, sf_dir):
+    prof = S.cluster_profile(_lab(spark, sf_dir))
+    out = CL.minmax_normalize(prof, "total_spend", "spend_norm", higher_better=True)
+    out = CL.minmax_normalize(out, "recency", "recency_norm", higher_better=False)
+    return out.select("cluster_id", "spend_norm", "recency_norm")
+
+
+@query
+def kmeans_sweep(spark, sf_dir):
+    return CL.sweep_frame(spark, MD.kmeans(spark, sf_dir))
+
+
+@query
+def kmeans_select(spark, sf_dir):
+    sw = MD.kmeans(spark, sf_dir)
+    return CL.sweep_frame(spark, sw).where(F.col("k") == sw.best.k)
+
+
+@query
+def kmeans_labels(spark, sf_dir):
+    return MD.kmeans(spark, sf_dir).labels.select("customer_id", "kmeans_label")
+
+
+@query
+def ward_hierarchical(spark, sf_dir):
+    runs, best, labels = MD.ward(spark, sf_dir)
+    return labels.select("customer_id", "hierarchical_label")
+
+
+@query
+def algorithm_comparison(spark, sf_dir):
+    return MD.comparison(spark, sf_dir)
+
+
+@query
+def kpi_clustering(spark, sf_dir):
+    comp = MD.comparison(spark, sf_dir)
+    sel = comp.where(F.col("algorithm") == "K-Means")
+    agg = comp.agg(
+        F.max("score").alias("best_score"), F.max("n_clusters").alias("max_clusters"),
+        F.max("silhouette").alias("best_silhouette"), F.min("davies_bouldin").alias("best_davies_bouldin"),
+    )
+    return sel.select("algorithm", "score", "n_clusters", "silhouette", "davies_bouldin").crossJoin(agg) if False else sel.select(
+        "algorithm", "score", "n_clusters", "silhouette", "davies_bouldin",
+        agg.select("best_score").scalar().alias("best_score"),
+        agg.select("max_clusters").scalar().alias("max_clusters"),
+        agg.select("best_silhouette").scalar().alias("best_silhouette"),
+        agg.select("best_davies_bouldin").scalar().alias("best_davies_bouldin"),
+    )
+
+
+@query
+def choose_algorithm_labels(spark, sf_dir):
+    runs, best, labels = MD.ward(spark, sf_dir)
+    sc = base.scored(spark, sf_dir)
+    return sc.join(labels.select("customer_id", F.col("hierarchical_label").alias("cluster_id")), "customer_id").select(
+        "customer_id", "cluster_id", "rfm_segment"
+    )
+
+
+@query
+def pca_2d_3d(spark, sf_dir):
+    fm, _ = MD.features(spark, sf_dir)
+    out, ratios = CL.pca_projection(fm.select("customer_id", "features"))
+    return out.select("customer_id", "pca_x", "pca_y", "pca_z")
+
+
+# --------------------------------------------------------------------------- ML: churn and CLV
+@query
+def stratified_split(spark, sf_dir):
+    lab = _lab(spark, sf_dir)
+    s = CHN.stratified_split(lab, "churn_flag")
+    return s.groupBy("churn_flag", "is_test").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def random_split(spark, sf_dir):
+    from ..operators.clv import random_split_flag
+
+    return random_split_flag(_lab(spark, sf_dir)).groupBy("is_test").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def balanced_class_weight(spark, sf_dir):
+    w = CHN.balanced_weights(_lab(spark, sf_dir), "churn_flag")
+    return w.groupBy("churn_flag").agg(F.count(F.lit(1)).alias("n"), F.first("class_weight").alias("class_weight"))
+
+
+@query
+def classification_report(spark, sf_dir):
+    lab = _lab(spark, sf_dir).select(
+        F.col("churn_flag").alias("label"), (F.col("churn_probability") >= 0.5).cast("int").alias("prediction")
+    )
+    return EV.classification_report(lab)
+
+
+@query
+def roc_curve(spark, sf_dir):
+    lab = _lab(spark, sf_dir).select(F.col("churn_flag").alias("label"), F.col("churn_probability").alias("score"))
+    return EV.roc_curve(lab)
+
+
+@query
+def roc_auc(spark, sf_dir):
+    lab = _lab(spark, sf_dir).select(F.col("churn_flag").alias("label"), F.col("churn_probability").alias("score"))
+    return EV.roc_auc(lab)
+
+
+@query
+def clv_target(spark, sf_dir):
+    from ..operators.clv import clv_target as target, historical_clv
+
+    return target(historical_clv(base.scored(spark, sf_dir))).select("customer_id", "historical_clv", "clv_target")
+
+
+@query
+def clv_model(spark, sf_dir):
+    scored, model, rmse = MD.clv(spark, sf_dir)
+    return scored.select("customer_id", "cluster_id", "historical_clv", "clv_12m", "clv_tier")
+
+
+@query
+def churn_model(spark, sf_dir):
+    return MD.churn(spark, sf_dir).scored.select("customer_id", "churn_flag", "churn_probability")
+
+
+@query
+def churn_holdout_auc(spark, sf_dir):
+    return EV.roc_auc(MD.churn(spark, sf_dir).test)
+
+
+@query
+def feature_importance(spark, sf_dir):
+    return CHN.importance_frame(spark, MD.churn(spark, sf_dir).feature_importance)
+
+
+@query
+def importance_sorted(spark, sf_dir):
+    return feature_importance(spark, sf_dir).orderBy(F.col("importance").desc(), F.col("feature"))
+
+
+@query
+def scenario_scoring(spark, sf_dir):
+    """What-if per segment: the segment's mean recency, satisfaction and
+    tickets over the population medians, scored by the churn model."""
+    res = MD.churn(spark, sf_dir)
+    cust = res.scored
+    scen = cust.groupBy("rfm_segment").agg(
+        F.avg("recency").alias("recency"),
+        F.avg("satisfaction_score").alias("satisfaction_score"),
+        F.avg("support_tickets_raised").alias("support_tickets_raised"),
+    )
+    inputs = CHN.scenario_inputs(cust, scen)
+    return CHN.score_scenarios(res, inputs).select(
+        "rfm_segment", "recency", "satisfaction_score", "support_tickets_raised", "churn_probability"
+    )

@@ -422,3 +422,68 @@ sql("coerce_numeric", """WITH t AS (SELECT l_orderkey, l_linenumber,
 SELECT l_orderkey, l_linenumber,
   CASE WHEN regexp_full_match(text, '\\s*[+-]?((\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?)\\s*') THEN TRY_CAST(trim(text) AS DOUBLE) END AS quantity
 FROM t""")
+
+_Z = ["age", "total_orders", "total_spend", "avg_order_value", "loyalty_points", "support_tickets_raised",
+      "satisfaction_score", "referral_count", "days_since_last_purchase", "recency", "frequency", "monetary", "rfm_score"]
+sql("feature_zscores", on(SCORED, "SELECT customer_id, " + ", ".join(
+    f"(CAST({c} AS DOUBLE) - avg({c}) OVER ()) / (CASE WHEN coalesce(stddev_pop({c}) OVER (), 0) = 0 THEN 1.0 ELSE stddev_pop({c}) OVER () END) AS z_{c}"
+    for c in _Z) + " FROM scored"))
+
+EMB = """WITH e AS (SELECT vec_id, CAST(label AS BIGINT) AS label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+               WHERE label IS NOT NULL AND label <> -1),
+dims AS (SELECT label, i, avg(v) AS c FROM (SELECT label, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM e) GROUP BY 1, 2),
+cent AS (SELECT label, list(c ORDER BY i) AS mu FROM dims GROUP BY 1),
+sizes AS (SELECT label, count(*) AS n FROM e GROUP BY 1),
+pairs AS (SELECT a.vec_id, a.label AS la, b.label AS lb, pow(list_distance(a.x, b.x), 2) AS d2
+          FROM e a JOIN e b ON a.vec_id <> b.vec_id),
+per AS (SELECT vec_id, la, lb, avg(d2) AS md FROM pairs GROUP BY 1, 2, 3),
+ab AS (SELECT e.vec_id, max(CASE WHEN la = lb THEN md END) AS a, min(CASE WHEN la <> lb THEN md END) AS b
+       FROM e LEFT JOIN per ON e.vec_id = per.vec_id GROUP BY e.vec_id),
+sil AS (SELECT avg(CASE WHEN a IS NULL THEN 0.0 WHEN greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0.0 END) AS silhouette FROM ab),
+spread AS (SELECT e.label, avg(list_distance(e.x, cent.mu)) AS s, sum(pow(list_distance(e.x, cent.mu), 2)) AS w
+           FROM e JOIN cent ON e.label = cent.label GROUP BY 1),
+db AS (SELECT avg(worst) AS davies_bouldin FROM (
+         SELECT a.label, max(CASE WHEN list_distance(a.mu, b.mu) = 0 THEN 0.0 ELSE (sa.s + sb.s) / list_distance(a.mu, b.mu) END) AS worst
+         FROM cent a JOIN cent b ON a.label <> b.label JOIN spread sa ON sa.label = a.label JOIN spread sb ON sb.label = b.label
+         GROUP BY a.label)),
+odims AS (SELECT i, avg(v) AS c FROM (SELECT unnest(x) AS v, generate_subscripts(x, 1) AS i FROM e) GROUP BY 1),
+overall AS (SELECT list(c ORDER BY i) AS mu FROM odims),
+ch AS (SELECT (sum(sizes.n * pow(list_distance(cent.mu, (SELECT mu FROM overall)), 2)) / (count(*) - 1))
+            / ((SELECT sum(w) FROM spread) / ((SELECT count(*) FROM e) - count(*))) AS calinski_harabasz
+       FROM cent JOIN sizes ON cent.label = sizes.label)"""
+sql("cluster_metrics", EMB + """
+SELECT (SELECT silhouette FROM sil) AS silhouette, (SELECT davies_bouldin FROM db) AS davies_bouldin,
+  (SELECT calinski_harabasz FROM ch) AS calinski_harabasz, CAST((SELECT count(*) FROM cent) AS INTEGER) AS n_clusters""")
+sql("count_clusters", "SELECT count(DISTINCT CASE WHEN label >= 0 THEN label END) AS n_clusters FROM embeddings")
+sql("minmax_normalize", on(L, f""", p AS ({CLUSTER_PROFILE})
+SELECT cluster_id,
+  coalesce(CASE WHEN max(total_spend) OVER () IS NULL THEN 0.0 WHEN min(total_spend) OVER () = max(total_spend) OVER () THEN 0.5
+       ELSE (total_spend - min(total_spend) OVER ()) / (max(total_spend) OVER () - min(total_spend) OVER ()) END, 0.0) AS spend_norm,
+  coalesce(CASE WHEN max(recency) OVER () IS NULL THEN 0.0 WHEN min(recency) OVER () = max(recency) OVER () THEN 0.5
+       ELSE 1.0 - (recency - min(recency) OVER ()) / (max(recency) OVER () - min(recency) OVER ()) END, 0.0) AS recency_norm
+FROM p"""))
+sql("balanced_class_weight", on(L, """SELECT churn_flag, count(*) AS n,
+  (SELECT count(*) FROM labelled) / (CAST((SELECT count(DISTINCT churn_flag) FROM labelled) AS DOUBLE) * count(*)) AS class_weight
+FROM labelled GROUP BY churn_flag"""))
+CONF = """, cm AS (SELECT CAST(churn_flag AS VARCHAR) AS y, CAST(CAST(churn_probability >= 0.5 AS INTEGER) AS VARCHAR) AS p FROM labelled),
+cls AS (SELECT y AS cls FROM cm UNION SELECT p FROM cm),
+per AS (SELECT cls.cls,
+   (SELECT count(*) FROM cm WHERE y = cls.cls AND p = cls.cls) AS tp,
+   (SELECT count(*) FROM cm WHERE y = cls.cls) AS support,
+   (SELECT count(*) FROM cm WHERE p = cls.cls) AS predicted FROM cls),
+pr AS (SELECT cls, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0.0 END AS precision,
+   CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS recall, CAST(support AS DOUBLE) AS support, tp FROM per),
+f AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1_score FROM pr)"""
+sql("classification_report", on(L, CONF + """
+SELECT cls, precision, recall, f1_score, support FROM f
+UNION ALL SELECT 'accuracy', sum(tp) / sum(support), sum(tp) / sum(support), sum(tp) / sum(support), sum(support) FROM f
+UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1_score), sum(support) FROM f
+UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
+  sum(f1_score * support) / sum(support), sum(support) FROM f"""))
+HIST = """, h AS (SELECT CAST(churn_probability AS DOUBLE) AS score, sum(churn_flag) AS pos, sum(1 - churn_flag) AS neg
+  FROM labelled GROUP BY 1)"""
+sql("roc_curve", on(L, HIST + """
+SELECT score AS threshold, sum(neg) OVER (ORDER BY score DESC) / (SELECT sum(neg) FROM h) AS fpr,
+  sum(pos) OVER (ORDER BY score DESC) / (SELECT sum(pos) FROM h) AS tpr FROM h"""))
+sql("roc_auc", on(L, HIST + """, c AS (SELECT *, sum(pos + neg) OVER (ORDER BY score) AS cum FROM h)
+SELECT (sum(pos * (cum - pos - neg + (pos + neg + 1) / 2.0)) - sum(pos) * (sum(pos) + 1) / 2.0) / (sum(pos) * sum(neg)) AS auc FROM c"""))
