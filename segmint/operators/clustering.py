@@ -66,17 +66,12 @@ class SweepResult:
     labels: DataFrame = field(repr=False)
 
 
-def _fit_best_of(points: DataFrame, features: str, k: int, restarts: int, seed: int):
+def _fit(points: DataFrame, features: str, k: int, seed: int):
     from pyspark.ml.clustering import KMeans
 
-    best = None
-    for r in range(restarts):
-        km = KMeans(k=k, seed=seed + r, featuresCol=features, predictionCol="_km", maxIter=300, tol=1e-4)
-        model = km.fit(points)
-        cost = model.summary.trainingCost
-        if best is None or cost < best[1]:
-            best = (model, cost)
-    return best
+    km = KMeans(k=k, seed=seed, featuresCol=features, predictionCol="_km", maxIter=300, tol=1e-4)
+    model = km.fit(points)
+    return model, float(model.summary.trainingCost)
 
 
 def kmeans_sweep(
@@ -85,7 +80,7 @@ def kmeans_sweep(
     k_range=KMEANS_K_RANGE,
     restarts: int = KMEANS_RESTARTS,
     seed: int = SEED,
-    parallelism: int = 3,
+    parallelism: int = 8,
 ) -> SweepResult:
     """Fit K-means for each k (best of ``restarts`` by inertia), score each by
     0.45 silhouette + 0.2 CH + 0.2 DB + 0.15 inertia (min-max normalised,
@@ -94,12 +89,18 @@ def kmeans_sweep(
     n = points.count()
     ks = [k for k in k_range if k < n] or [max(1, n - 1)]
 
-    def run(k):
-        model, cost = _fit_best_of(points, features, k, restarts, seed)
-        labelled = model.transform(points)
-        return KMeansRun(k, model, float(cost), cluster_metrics(labelled, features, "_km"))
-
+    jobs = [(k, r) for k in ks for r in range(restarts)]
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        fits = list(pool.map(lambda kr: (kr[0], _fit(points, features, kr[0], seed + kr[1])), jobs))
+        best_of: dict = {}
+        for k, (model, cost) in fits:  # restarts in seed order: first minimum wins
+            if k not in best_of or cost < best_of[k][1]:
+                best_of[k] = (model, cost)
+
+        def run(k):
+            model, cost = best_of[k]
+            return KMeansRun(k, model, cost, cluster_metrics(model.transform(points), features, "_km"))
+
         runs = list(pool.map(run, ks))
     inertia = normalize_values([r.inertia for r in runs], higher_better=False)
     sil = normalize_values([r.metrics.silhouette for r in runs], True)
@@ -228,7 +229,7 @@ def pca_projection(df: DataFrame, features: str = "features", k: int = 3):
     centred = df.withColumn("_c", array_to_vector(F.zip_with(arr, lit, lambda a, b: a - b)))
     kk = min(k, len(mean))
     model = PCA(k=kk, inputCol="_c", outputCol="_p").fit(centred)
-    out = centred.withColumn("_pa", vector_to_array(F.col("_p")))
+    out = model.transform(centred).withColumn("_pa", vector_to_array(F.col("_p")))
     names = ["pca_x", "pca_y", "pca_z"][:kk]
     out = out.withColumns({n: F.col("_pa")[i] for i, n in enumerate(names)}).drop("_c", "_p", "_pa")
     return out, list(model.explainedVariance.toArray())
