@@ -714,3 +714,38 @@ def scenario_scoring(spark, sf_dir):
     return CHN.score_scenarios(res, inputs).select(
         "rfm_segment", "recency", "satisfaction_score", "support_tickets_raised", "churn_probability"
     )
+
+
+# --------------------------------------------------------------------------- density
+from . import density as DN  # noqa: E402
+
+
+@query
+def kdistance_eps(spark, sf_dir):
+    """ε candidates on ``embeddings``: exact 5th-neighbour distances (self
+    counted), percentiles 70..95, rounded to 4 places, distinct."""
+    eps = DN.eps_for(DN.embedding_points(spark, sf_dir))
+    return spark.createDataFrame([(float(e),) for e in eps], "eps double")
+
+
+@query
+def kdistance(spark, sf_dir):
+    from ..operators.density import kth_neighbor_distance
+
+    return kth_neighbor_distance(DN.embedding_points(spark, sf_dir), k=5).select(F.col("pid").alias("vec_id"), "kd")
+
+
+@query
+def dbscan(spark, sf_dir):
+    ch = DN.dbscan_best(spark, sf_dir)
+    pts = DN.customer_points(spark, sf_dir)
+    return pts.join(ch.labels, "pid").select("customer_id", "dbscan_label")
+
+
+@query
+def dbscan_sweep(spark, sf_dir):
+    ch = DN.dbscan_best(spark, sf_dir)
+    return spark.createDataFrame(
+        [(float(e), int(k), int(nz), s) for e, k, nz, s in ch.history],
+        "eps double, n_clusters int, n_noise int, silhouette double",
+    )

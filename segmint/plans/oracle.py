@@ -487,3 +487,13 @@ SELECT score AS threshold, sum(neg) OVER (ORDER BY score DESC) / (SELECT sum(neg
   sum(pos) OVER (ORDER BY score DESC) / (SELECT sum(pos) FROM h) AS tpr FROM h"""))
 sql("roc_auc", on(L, HIST + """, c AS (SELECT *, sum(pos + neg) OVER (ORDER BY score) AS cum FROM h)
 SELECT (sum(pos * (cum - pos - neg + (pos + neg + 1) / 2.0)) - sum(pos) * (sum(pos) + 1) / 2.0) / (sum(pos) * sum(neg)) AS auc FROM c"""))
+
+KNN = """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+d AS (SELECT a.vec_id, list_distance(a.x, b.x) AS dist FROM e a JOIN e b ON TRUE),
+r AS (SELECT vec_id, dist, row_number() OVER (PARTITION BY vec_id ORDER BY dist) AS rk FROM d),
+kd AS (SELECT vec_id, dist AS kd FROM r WHERE rk = 5)"""
+sql("kdistance", KNN + " SELECT vec_id, kd FROM kd")
+sql("kdistance_eps", KNN + """, q AS (SELECT unnest([
+  quantile_cont(kd, 0.70), quantile_cont(kd, 0.75), quantile_cont(kd, 0.80), quantile_cont(kd, 0.85),
+  quantile_cont(kd, 0.90), quantile_cont(kd, 0.92), quantile_cont(kd, 0.95)]) AS v FROM kd)
+SELECT DISTINCT round(v, 4) AS eps FROM q""")
