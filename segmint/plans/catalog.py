@@ -749,3 +749,50 @@ def dbscan_sweep(spark, sf_dir):
         [(float(e), int(k), int(nz), s) for e, k, nz, s in ch.history],
         "eps double, n_clusters int, n_noise int, silhouette double",
     )
+
+
+# --------------------------------------------------------------------------- streaming, CSV source and sink
+@query
+def snapshot_stream(spark, sf_dir):
+    """Per-customer order aggregates maintained by a streaming query."""
+    from ..streaming.snapshot_stream import run_order_aggregates
+
+    agg = run_order_aggregates(spark, sf_dir, "orders.parquet")
+    return agg.select(
+        "o_custkey", "total_orders", "total_spend",
+        F.date_format("last_purchase_date", "yyyy-MM-dd").alias("last_purchase_date"),
+        F.date_format("signup_date", "yyyy-MM-dd").alias("signup_date"),
+    )
+
+
+@query
+def scan_csv(spark, sf_dir):
+    """The CRM-style export written as CSV and scanned back as text."""
+    up = IN.uploaded_file(spark, sf_dir)
+    return up.select("customer_id", "total_orders", "total_spend", "ingest_seq")
+
+
+@query
+def sink_segment_csv(spark, sf_dir):
+    """One segment written as CSV (the segment download) and read back."""
+    from ..session import scratch_path
+    from ..sources.files import scan_csv as scan, sink_segment_csv as sink
+
+    seg = FL.filter_segments(_lab(spark, sf_dir), ["Champions"]).select(
+        "customer_id", "rfm_segment", "rfm_score", "total_spend", "total_orders"
+    )
+    path = scratch_path(spark, "segment_csv")
+    sink(seg, path)
+    back = scan(spark, path)
+    return back.select(
+        "customer_id", "rfm_segment", F.col("rfm_score").cast("int").alias("rfm_score"),
+        F.col("total_spend").cast("double").alias("total_spend"), F.col("total_orders").cast("bigint").alias("total_orders"),
+    )
+
+
+@query
+def overview_models(spark, sf_dir):
+    """Overview KPIs with model outputs: K-means clusters, boosted-tree CLV
+    and the churn forest's labels (rows-only check: model numbers)."""
+    scored, _, _ = MD.clv(spark, sf_dir)
+    return S.kpi_home(scored, F.col("cluster_id").isin(list(FILTER_CLUSTERS)))

@@ -497,3 +497,13 @@ sql("kdistance_eps", KNN + """, q AS (SELECT unnest([
   quantile_cont(kd, 0.70), quantile_cont(kd, 0.75), quantile_cont(kd, 0.80), quantile_cont(kd, 0.85),
   quantile_cont(kd, 0.90), quantile_cont(kd, 0.92), quantile_cont(kd, 0.95)]) AS v FROM kd)
 SELECT DISTINCT round(v, 4) AS eps FROM q""")
+
+sql("snapshot_stream", """SELECT o_custkey, count(*) AS total_orders,
+  CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total_spend,
+  strftime(max(o_orderdate), '%Y-%m-%d') AS last_purchase_date, strftime(min(o_orderdate), '%Y-%m-%d') AS signup_date
+FROM orders GROUP BY o_custkey""")
+sql("scan_csv", on(SNAPSHOT, """SELECT customer_id, CAST(total_orders AS VARCHAR) AS total_orders,
+  CASE WHEN ingest_seq % 10 = 0 THEN 'n/a' ELSE '$' || format('{:,.2f}', total_spend) END AS total_spend, ingest_seq
+FROM snapshot"""))
+sql("sink_segment_csv", on(L, """SELECT customer_id, rfm_segment, rfm_score, total_spend, total_orders
+FROM labelled WHERE rfm_segment = 'Champions'"""))
