@@ -600,7 +600,7 @@ def kpi_clustering(spark, sf_dir):
         F.max("score").alias("best_score"), F.max("n_clusters").alias("max_clusters"),
         F.max("silhouette").alias("best_silhouette"), F.min("davies_bouldin").alias("best_davies_bouldin"),
     )
-    return sel.select("algorithm", "score", "n_clusters", "silhouette", "davies_bouldin").crossJoin(agg) if False else sel.select(
+    return sel.select(
         "algorithm", "score", "n_clusters", "silhouette", "davies_bouldin",
         agg.select("best_score").scalar().alias("best_score"),
         agg.select("max_clusters").scalar().alias("max_clusters"),

@@ -507,3 +507,7 @@ sql("scan_csv", on(SNAPSHOT, """SELECT customer_id, CAST(total_orders AS VARCHAR
 FROM snapshot"""))
 sql("sink_segment_csv", on(L, """SELECT customer_id, rfm_segment, rfm_score, total_spend, total_orders
 FROM labelled WHERE rfm_segment = 'Champions'"""))
+
+sql("stratified_split", on(L, """, c AS (SELECT churn_flag, count(*) AS n FROM labelled GROUP BY 1)
+SELECT churn_flag, true AS is_test, CAST(ceil(n * 0.2) AS BIGINT) AS n FROM c WHERE ceil(n * 0.2) > 0
+UNION ALL SELECT churn_flag, false, CAST(n - ceil(n * 0.2) AS BIGINT) FROM c WHERE n - ceil(n * 0.2) > 0"""))
