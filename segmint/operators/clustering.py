@@ -126,42 +126,47 @@ def sweep_frame(spark, sweep: SweepResult) -> DataFrame:
 
 # --------------------------------------------------------------------------- Ward on micro-clusters
 def ward_merge(centroids: np.ndarray, weights: np.ndarray) -> list[np.ndarray]:
-    """Agglomerative Ward merging of weighted points (≤ a few hundred).
-    Returns, for every number of clusters m (index m), the cluster index of
-    each input point."""
+    """Agglomerative Ward merging of weighted points (≤ a few hundred, on the
+    driver). Ward cost of merging A and B: w_A·w_B/(w_A+w_B)·‖μ_A−μ_B‖²,
+    updated with the Lance–Williams recurrence (vectorised per merge).
+    Returns, for every number of clusters m (index m), each input point's
+    cluster index (clusters numbered by their smallest member)."""
     m = len(centroids)
-    members = {i: [i] for i in range(m)}
-    mu = {i: centroids[i].astype(float) for i in range(m)}
-    w = {i: float(weights[i]) for i in range(m)}
+    x = centroids.astype(float)
+    w = weights.astype(float).copy()
+    sq = ((x[:, None, :] - x[None, :, :]) ** 2).sum(-1)
+    cost = (w[:, None] * w[None, :] / (w[:, None] + w[None, :])) * sq
+    np.fill_diagonal(cost, np.inf)
+    alive = np.ones(m, dtype=bool)
+    owner = np.arange(m)  # cluster slot of each input point
     cuts: dict[int, np.ndarray] = {}
 
     def snapshot():
-        lab = np.empty(m, dtype=int)
-        for j, key in enumerate(sorted(members)):
-            lab[members[key]] = j
-        return lab
+        slots = sorted(set(owner.tolist()), key=lambda sl: int(np.min(np.where(owner == sl)[0])))
+        ren = {sl: j for j, sl in enumerate(slots)}
+        return np.array([ren[o] for o in owner])
 
     cuts[m] = snapshot()
-    next_id = m
-    while len(members) > 1:
-        keys = sorted(members)
-        best = None
-        for ai in range(len(keys)):
-            a = keys[ai]
-            for b in keys[ai + 1:]:
-                cost = w[a] * w[b] / (w[a] + w[b]) * float(np.sum((mu[a] - mu[b]) ** 2))
-                if best is None or cost < best[0]:
-                    best = (cost, a, b)
-        _, a, b = best
-        wn = w[a] + w[b]
-        mu[next_id] = (w[a] * mu[a] + w[b] * mu[b]) / wn
-        w[next_id] = wn
-        members[next_id] = members.pop(a) + members.pop(b)
-        for key in (a, b):
-            mu.pop(key)
-            w.pop(key)
-        next_id += 1
-        cuts[len(members)] = snapshot()
+    for n_left in range(m - 1, 0, -1):
+        flat = int(np.argmin(cost))
+        a, b = divmod(flat, m)
+        if a > b:
+            a, b = b, a
+        wa, wb = w[a], w[b]
+        wk = w.copy()
+        # Lance–Williams update for Ward on the "w·w/(w+w)·d²" scale
+        new = ((wa + wk) * cost[a] + (wb + wk) * cost[b] - wk * cost[a, b]) / (wa + wb + wk)
+        new[~alive] = np.inf
+        new[a] = np.inf
+        new[b] = np.inf
+        cost[a, :] = new
+        cost[:, a] = new
+        cost[b, :] = np.inf
+        cost[:, b] = np.inf
+        alive[b] = False
+        w[a] = wa + wb
+        owner[owner == b] = a
+        cuts[n_left] = snapshot()
     return [cuts.get(i) for i in range(m + 1)]
 
 
@@ -183,13 +188,16 @@ def ward_hierarchical(
     used = sorted(sizes)
     cuts = ward_merge(centers[used], np.array([sizes[i] for i in used], dtype=float))
     spark = points.sparkSession
-    runs = []
-    for k in k_range:
-        if k > len(used) or cuts[k] is None:
-            continue
+    assigned = assigned.checkpoint(eager=True)
+
+    def run(k):
         mapping = spark.createDataFrame([(int(u), int(cuts[k][j])) for j, u in enumerate(used)], "_micro int, _ward int")
-        lab = assigned.join(F.broadcast(mapping), "_micro")
-        runs.append((k, cluster_metrics(lab, features, "_ward"), mapping))
+        lab = assigned.join(F.broadcast(mapping), "_micro")  # ≤ micro rows
+        return (k, cluster_metrics(lab, features, "_ward"), mapping)
+
+    ks = [k for k in k_range if k <= len(used) and cuts[k] is not None]
+    with ThreadPoolExecutor(max_workers=8) as pool:
+        runs = list(pool.map(run, ks))
     best = max(runs, key=lambda r: (r[1].silhouette if r[1].silhouette is not None else -1))
     labels = assigned.join(F.broadcast(best[2]), "_micro").drop("_micro").withColumnRenamed("_ward", "hierarchical_label")
     return runs, best, labels

@@ -89,3 +89,26 @@ def test_stratified_split_counts(spark):
     df = spark.createDataFrame([(str(i), int(i % 3 == 0)) for i in range(101)], "customer_id string, y int")
     out = dict(((r["y"], r["is_test"]), r["count"]) for r in stratified_split(df, "y").groupBy("y", "is_test").count().collect())
     assert out[(1, True)] == 7 and out[(0, True)] == 14  # ceil(0.2 × 34), ceil(0.2 × 67)
+
+
+def test_ward_merge_matches_naive_greedy():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(30, 3))
+    clusters = {i: [i] for i in range(len(x))}
+    naive = {}
+    nid = len(x)
+    while len(clusters) > 1:
+        keys = sorted(clusters)
+
+        def cost(a, b):
+            A, B = x[clusters[a]], x[clusters[b]]
+            return len(A) * len(B) / (len(A) + len(B)) * ((A.mean(0) - B.mean(0)) ** 2).sum()
+
+        _, a, b = min((cost(a, b), a, b) for i, a in enumerate(keys) for b in keys[i + 1:])
+        clusters[nid] = clusters.pop(a) + clusters.pop(b)
+        nid += 1
+        naive[len(clusters)] = sorted(sorted(v) for v in clusters.values())
+    cuts = ward_merge(x, np.ones(len(x)))
+    for k in range(1, 11):
+        got = sorted(sorted(np.where(cuts[k] == c)[0].tolist()) for c in set(cuts[k].tolist()))
+        assert got == naive[k]
