@@ -13,8 +13,9 @@ computed with NumPy on Arrow batches and reduced before leaving the task:
 
 * ``count``  – neighbours within r per home point (partials summed);
 * ``knn``    – the k smallest distances per home point (partials merged);
-* ``link``   – (kind 0) a spanning forest of the core–core pairs within ε (≤ block
-               size edges) and (kind 1) each border point's nearest core.
+* ``link``   – (kind 0) the block's core–core components within ε as
+               stars (each member → smallest member; < block size edges)
+               and (kind 1) each border point's nearest core.
 
 The work inside a dense region is still quadratic — exact ε-neighbourhoods
 in high dimension have no index that avoids it — but it is spread over
@@ -161,51 +162,68 @@ def _knn_fn(k: int):
     return fn
 
 
+def _components_np(n: int, ea: np.ndarray, eb: np.ndarray) -> np.ndarray:
+    """Min-index label of each of n nodes over undirected edges (NumPy label
+    propagation with pointer jumping; a block holds ≤ ~2·block_rows nodes)."""
+    lab = np.arange(n)
+    if len(ea) == 0:
+        return lab
+    while True:
+        old = lab.copy()
+        m = np.minimum(lab[ea], lab[eb])
+        np.minimum.at(lab, ea, m)
+        np.minimum.at(lab, eb, m)
+        lab = lab[lab]  # pointer jumping
+        if np.array_equal(lab, old):
+            return lab
+
+
 def _link_fn(eps: float):
+    empty = {"a": pd.Series([], dtype="int64"), "b": pd.Series([], dtype="int64"),
+             "kind": pd.Series([], dtype="int32"), "dist": pd.Series([], dtype="float64")}
+
     def fn(home: pd.DataFrame, probe: pd.DataFrame) -> pd.DataFrame:
-        cols = {"a": [], "b": [], "kind": [], "dist": []}
         if home.empty or probe.empty:
-            return pd.DataFrame({"a": pd.Series([], dtype="int64"), "b": pd.Series([], dtype="int64"),
-                                 "kind": pd.Series([], dtype="int32"), "dist": pd.Series([], dtype="float64")})
+            return pd.DataFrame(empty)
         h, p = _mat(home["x"]), _mat(probe["x"])
         hid, pid = home["pid"].astype("int64").values, probe["pid"].astype("int64").values
         hcore, pcore = home["core"].astype(bool).values, probe["core"].astype(bool).values
-        # union-find over core ids seen in this block
-        parent: dict = {}
-
-        def find(a):
-            while parent.get(a, a) != a:
-                parent[a] = parent.get(parent[a], parent[a])
-                a = parent[a]
-            return a
-
+        ids = np.unique(np.concatenate([hid[hcore], pid[pcore]]))
+        hix, pix = np.searchsorted(ids, hid), np.searchsorted(ids, pid)
+        ea, eb = [], []
+        b_a, b_b, b_d = [], [], []
+        big = np.iinfo(np.int64).max
         for i, d in _dist_chunks(h, p):
-            for j in range(len(d)):
-                near = d[j] <= eps
-                x = int(hid[i + j])
-                if hcore[i + j]:
-                    for y in pid[near & pcore]:
-                        y = int(y)
-                        if y == x:
-                            continue
-                        ra, rb = find(x), find(y)
-                        if ra != rb:
-                            parent[max(ra, rb)] = min(ra, rb)
-                            cols["a"].append(x)
-                            cols["b"].append(y)
-                            cols["kind"].append(0)
-                            cols["dist"].append(0.0)
-                else:
-                    cand = np.where(near & pcore)[0]
-                    if len(cand):
-                        dd = d[j][cand]
-                        best = np.lexsort((pid[cand], dd))[0]
-                        cols["a"].append(x)
-                        cols["b"].append(int(pid[cand][best]))
-                        cols["kind"].append(1)
-                        cols["dist"].append(float(dd[best]))
-        return pd.DataFrame({"a": np.array(cols["a"], dtype="int64"), "b": np.array(cols["b"], dtype="int64"),
-                             "kind": np.array(cols["kind"], dtype="int32"), "dist": np.array(cols["dist"], dtype="float64")})
+            near = d <= eps
+            rows = slice(i, i + len(d))
+            cc = near & hcore[rows, None] & pcore[None, :]
+            r, c = np.nonzero(cc)
+            ea.append(hix[rows][r])
+            eb.append(pix[c])
+            nc = ~hcore[rows]
+            if nc.any():
+                masked = np.where(near & pcore[None, :] & nc[:, None], d, np.inf)
+                best = masked.min(axis=1)
+                has = np.isfinite(best)
+                pick = np.where(masked == best[:, None], pid[None, :], big).min(axis=1)
+                b_a.append(hid[rows][has])
+                b_b.append(pick[has])
+                b_d.append(best[has])
+        a_all = np.concatenate(ea) if ea else np.zeros(0, dtype=np.int64)
+        b_all = np.concatenate(eb) if eb else np.zeros(0, dtype=np.int64)
+        lab = _components_np(len(ids), a_all, b_all)
+        # a star per block component: every member linked to the smallest member
+        members = np.nonzero(lab != np.arange(len(ids)))[0]
+        edges_a, edges_b = ids[members], ids[lab[members]]
+        ba = np.concatenate(b_a) if b_a else np.zeros(0, dtype=np.int64)
+        bb = np.concatenate(b_b) if b_b else np.zeros(0, dtype=np.int64)
+        bd = np.concatenate(b_d) if b_d else np.zeros(0, dtype=np.float64)
+        return pd.DataFrame({
+            "a": np.concatenate([edges_a, ba]).astype("int64"),
+            "b": np.concatenate([edges_b, bb]).astype("int64"),
+            "kind": np.concatenate([np.zeros(len(edges_a), dtype="int32"), np.ones(len(ba), dtype="int32")]),
+            "dist": np.concatenate([np.zeros(len(edges_a)), bd]).astype("float64"),
+        })
 
     return fn
 
