@@ -284,7 +284,7 @@ FROM (SELECT *, CASE WHEN sum(customer_count * response_rate) OVER (PARTITION BY
 sql("budget_allocation", on(L, STRATEGY + " " + ALLOC))
 sql("allocation_sorted", on(L, STRATEGY + " " + ALLOC + " ORDER BY rfm_segment, allocation_pct DESC, cluster_id"))
 sql("revenue_lift", on(L, STRATEGY + f""", prim AS ({PRIMARY}),
-tot AS (SELECT rfm_segment, sum(customer_count) AS segment_customers FROM strategy GROUP BY 1),
+tot AS (SELECT rfm_segment, CAST(sum(customer_count) AS BIGINT) AS segment_customers FROM strategy GROUP BY 1),
 aov AS (SELECT rfm_segment, avg(avg_order_value) AS segment_aov FROM labelled WHERE rfm_segment IS NOT NULL GROUP BY 1)
 SELECT tot.rfm_segment, tot.segment_customers, prim.response_rate AS primary_rate, aov.segment_aov,
   tot.segment_customers * prim.response_rate AS expected_orders,
