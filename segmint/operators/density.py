@@ -80,7 +80,9 @@ def _offsets(m: int) -> list[list[int]]:
 def _blocks(homes: DataFrame, probes: DataFrame, m: int, block_rows: int):
     """Key homes and probes by (cell, home salt, probe salt). Salt counts
     come from per-cell counts; only cells that need splitting are listed
-    (≤ 3^m · n / block_rows rows), so the list is broadcast."""
+    (≤ 3^m · n / block_rows rows). That list grows with the data, so its
+    join is left to Spark's size-checked strategy (broadcast only when the
+    list is small)."""
     hc = homes.groupBy("cell").agg(F.count(F.lit(1)).alias("nh"))
     pc = (
         probes.select(F.explode(F.transform(F.array(*[F.array(*[F.lit(v) for v in o]) for o in _offsets(m)]),
@@ -97,7 +99,6 @@ def _blocks(homes: DataFrame, probes: DataFrame, m: int, block_rows: int):
         )
         .where((F.col("sh") > 1) | (F.col("sp") > 1))
     )
-    salts = F.broadcast(salts)
     h = (
         homes.join(salts, "cell", "left")
         .na.fill(1, ["sh", "sp"])

@@ -611,11 +611,17 @@ def kpi_clustering(spark, sf_dir):
 
 @query
 def choose_algorithm_labels(spark, sf_dir):
+    """Replace ``cluster_id`` by another algorithm's labels (Ward here) and
+    refit the CLV model on them, as choosing an algorithm does."""
+    from ..operators.clv import clv_model as fit_clv
+
     runs, best, labels = MD.ward(spark, sf_dir)
     sc = base.scored(spark, sf_dir)
-    return sc.join(labels.select("customer_id", F.col("hierarchical_label").alias("cluster_id")), "customer_id").select(
-        "customer_id", "cluster_id", "rfm_segment"
+    chosen = base.materialize(
+        sc.join(labels.select("customer_id", F.col("hierarchical_label").cast("int").alias("cluster_id")), "customer_id")
     )
+    scored, _, _ = fit_clv(chosen)
+    return scored.select("customer_id", "cluster_id", "rfm_segment", "clv_12m", "clv_tier")
 
 
 @query
