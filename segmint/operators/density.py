@@ -30,7 +30,6 @@ label changes. Border points join the cluster of their nearest core point
 from __future__ import annotations
 
 import itertools
-import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -251,10 +250,7 @@ def kth_neighbor_distance(points: DataFrame, k: int = 5, m: int = 3, block_rows:
     if n < k:
         raise ValueError(f"need at least {k} points, got {n}")
     if r0 is None:
-        spread = points.select(F.aggregate(F.zip_with(F.col("x"), F.array(*[F.lit(float(v)) for v in mean]),
-                                                      lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v).alias("q"))
-        rms = math.sqrt(max(spread.agg(F.avg("q")).first()[0] or 0.0, 1e-24))
-        r0 = rms / 8.0
+        r0 = _start_radius(points, k)
     r = r0
     pending = points
     done = []
@@ -277,6 +273,44 @@ def kth_neighbor_distance(points: DataFrame, k: int = 5, m: int = 3, block_rows:
     return out
 
 
+def _sample_upper_bounds(points: DataFrame, k: int, sample_size: int) -> DataFrame:
+    """u(x) = k-th smallest of {0} ∪ dist(x, S∖{x}) for a hash sample S of
+    fixed size (broadcast, ≤ sample_size × d values). Since {x} ∪ S is a
+    subset of all points, u(x) ≥ the true k-th neighbour distance."""
+    n = points.count()
+    frac = min(1.0, sample_size / max(1, n))
+    sample = points.where(F.pmod(F.xxhash64("pid", F.lit(7)), F.lit(1_000_000)) < F.lit(int(frac * 1_000_000)))
+    rows = sample.limit(sample_size).collect()  # bounded by sample_size
+    sid = np.array([r["pid"] for r in rows], dtype=np.int64)
+    sx = np.array([r["x"] for r in rows], dtype=float) if rows else np.zeros((0, 0))
+    bsx = points.sparkSession.sparkContext.broadcast((sid, sx))
+
+    def fn(batches):
+        ids, xs = bsx.value
+        for b in batches:
+            if b.empty:
+                continue
+            h = _mat(b["x"])
+            out = np.full(len(h), np.inf)
+            if len(xs):
+                for i, d in _dist_chunks(h, xs):
+                    d = np.where(ids[None, :] == b["pid"].values[i:i + len(d), None], np.inf, d)
+                    kk = min(k - 1, d.shape[1])
+                    if kk > 0:
+                        out[i:i + len(d)] = np.partition(d, kk - 1, axis=1)[:, kk - 1]
+            yield pd.DataFrame({"pid": b["pid"].astype("int64").values, "u": out})
+
+    return points.select("pid", "x").mapInPandas(fn, "pid long, u double")
+
+
+def _start_radius(points: DataFrame, k: int, sample_size: int = 2048) -> float:
+    """Starting radius: median of the sample upper bounds (a heuristic only;
+    exactness never depends on it)."""
+    u = _sample_upper_bounds(points, k, sample_size).where(F.col("u") < F.lit(float("inf")))
+    med = u.agg(F.percentile_approx("u", 0.5, 1000)).first()[0]
+    return float(med) if med and med > 0 else 1.0
+
+
 def eps_candidates(kdist: DataFrame, percentiles=(70, 75, 80, 85, 90, 92, 95)) -> list[float]:
     from .ranking import exact_quantiles
 
