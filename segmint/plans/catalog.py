@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from ..operators import summaries as S
 from . import base
 
-Query = "Callable[[SparkSession, str], DataFrame]"
 QUERIES: dict = {}
 
 
