@@ -133,15 +133,24 @@ def _dist_chunks(h: np.ndarray, p: np.ndarray):
         yield i, np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
 
 
-def _count_fn(r: float):
+def _count_fn(radii: list[float]):
+    """Neighbours within each radius (self included) per home point."""
+    rr = np.asarray(radii, dtype=float)
+
     def fn(home: pd.DataFrame, probe: pd.DataFrame) -> pd.DataFrame:
         if home.empty:
-            return pd.DataFrame({"pid": pd.Series([], dtype="int64"), "cnt": pd.Series([], dtype="int64")})
+            return pd.DataFrame({"pid": pd.Series([], dtype="int64"), "e": pd.Series([], dtype="int32"),
+                                 "cnt": pd.Series([], dtype="int64")})
         h, p = _mat(home["x"]), _mat(probe["x"])
-        cnt = np.zeros(len(h), dtype=np.int64)
+        cnt = np.zeros((len(h), len(rr)), dtype=np.int64)
         for i, d in _dist_chunks(h, p):
-            cnt[i:i + len(d)] = (d <= r).sum(axis=1)
-        return pd.DataFrame({"pid": home["pid"].astype("int64").values, "cnt": cnt})
+            cnt[i:i + len(d)] = (d[:, :, None] <= rr[None, None, :]).sum(axis=1)
+        ids = home["pid"].astype("int64").values
+        return pd.DataFrame({
+            "pid": np.repeat(ids, len(rr)),
+            "e": np.tile(np.arange(len(rr), dtype=np.int32), len(ids)),
+            "cnt": cnt.reshape(-1),
+        })
 
     return fn
 
@@ -178,8 +187,11 @@ def _components_np(n: int, ea: np.ndarray, eb: np.ndarray) -> np.ndarray:
             return lab
 
 
-def _link_fn(eps: float):
-    empty = {"a": pd.Series([], dtype="int64"), "b": pd.Series([], dtype="int64"),
+def _link_fn(radii: list[float]):
+    """Per radius index e: the block's core–core components as stars and
+    each non-core home point's nearest core within the radius."""
+    rr = list(map(float, radii))
+    empty = {"e": pd.Series([], dtype="int32"), "a": pd.Series([], dtype="int64"), "b": pd.Series([], dtype="int64"),
              "kind": pd.Series([], dtype="int32"), "dist": pd.Series([], dtype="float64")}
 
     def fn(home: pd.DataFrame, probe: pd.DataFrame) -> pd.DataFrame:
@@ -187,43 +199,46 @@ def _link_fn(eps: float):
             return pd.DataFrame(empty)
         h, p = _mat(home["x"]), _mat(probe["x"])
         hid, pid = home["pid"].astype("int64").values, probe["pid"].astype("int64").values
-        hcore, pcore = home["core"].astype(bool).values, probe["core"].astype(bool).values
-        ids = np.unique(np.concatenate([hid[hcore], pid[pcore]]))
-        hix, pix = np.searchsorted(ids, hid), np.searchsorted(ids, pid)
-        ea, eb = [], []
-        b_a, b_b, b_d = [], [], []
+        hcore_all = np.vstack([np.asarray(v, dtype=bool) for v in home["core"]])
+        pcore_all = np.vstack([np.asarray(v, dtype=bool) for v in probe["core"]])
+        chunks = list(_dist_chunks(h, p))
+        out = []
         big = np.iinfo(np.int64).max
-        for i, d in _dist_chunks(h, p):
-            near = d <= eps
-            rows = slice(i, i + len(d))
-            cc = near & hcore[rows, None] & pcore[None, :]
-            r, c = np.nonzero(cc)
-            ea.append(hix[rows][r])
-            eb.append(pix[c])
-            nc = ~hcore[rows]
-            if nc.any():
-                masked = np.where(near & pcore[None, :] & nc[:, None], d, np.inf)
-                best = masked.min(axis=1)
-                has = np.isfinite(best)
-                pick = np.where(masked == best[:, None], pid[None, :], big).min(axis=1)
-                b_a.append(hid[rows][has])
-                b_b.append(pick[has])
-                b_d.append(best[has])
-        a_all = np.concatenate(ea) if ea else np.zeros(0, dtype=np.int64)
-        b_all = np.concatenate(eb) if eb else np.zeros(0, dtype=np.int64)
-        lab = _components_np(len(ids), a_all, b_all)
-        # a star per block component: every member linked to the smallest member
-        members = np.nonzero(lab != np.arange(len(ids)))[0]
-        edges_a, edges_b = ids[members], ids[lab[members]]
-        ba = np.concatenate(b_a) if b_a else np.zeros(0, dtype=np.int64)
-        bb = np.concatenate(b_b) if b_b else np.zeros(0, dtype=np.int64)
-        bd = np.concatenate(b_d) if b_d else np.zeros(0, dtype=np.float64)
-        return pd.DataFrame({
-            "a": np.concatenate([edges_a, ba]).astype("int64"),
-            "b": np.concatenate([edges_b, bb]).astype("int64"),
-            "kind": np.concatenate([np.zeros(len(edges_a), dtype="int32"), np.ones(len(ba), dtype="int32")]),
-            "dist": np.concatenate([np.zeros(len(edges_a)), bd]).astype("float64"),
-        })
+        for e, eps in enumerate(rr):
+            hcore, pcore = hcore_all[:, e], pcore_all[:, e]
+            ids = np.unique(np.concatenate([hid[hcore], pid[pcore]]))
+            hix, pix = np.searchsorted(ids, hid), np.searchsorted(ids, pid)
+            ea, eb, b_a, b_b, b_d = [], [], [], [], []
+            for i, d in chunks:
+                near = d <= eps
+                rows = slice(i, i + len(d))
+                r, c = np.nonzero(near & hcore[rows, None] & pcore[None, :])
+                ea.append(hix[rows][r])
+                eb.append(pix[c])
+                nc = ~hcore[rows]
+                if nc.any():
+                    masked = np.where(near & pcore[None, :] & nc[:, None], d, np.inf)
+                    best = masked.min(axis=1)
+                    has = np.isfinite(best)
+                    pick = np.where(masked == best[:, None], pid[None, :], big).min(axis=1)
+                    b_a.append(hid[rows][has])
+                    b_b.append(pick[has])
+                    b_d.append(best[has])
+            a_all = np.concatenate(ea) if ea else np.zeros(0, dtype=np.int64)
+            b_all = np.concatenate(eb) if eb else np.zeros(0, dtype=np.int64)
+            lab = _components_np(len(ids), a_all, b_all)
+            members = np.nonzero(lab != np.arange(len(ids)))[0]
+            ba = np.concatenate(b_a) if b_a else np.zeros(0, dtype=np.int64)
+            bb = np.concatenate(b_b) if b_b else np.zeros(0, dtype=np.int64)
+            bd = np.concatenate(b_d) if b_d else np.zeros(0, dtype=np.float64)
+            out.append(pd.DataFrame({
+                "e": np.full(len(members) + len(ba), e, dtype="int32"),
+                "a": np.concatenate([ids[members], ba]).astype("int64"),
+                "b": np.concatenate([ids[lab[members]], bb]).astype("int64"),
+                "kind": np.concatenate([np.zeros(len(members), dtype="int32"), np.ones(len(ba), dtype="int32")]),
+                "dist": np.concatenate([np.zeros(len(members)), bd]).astype("float64"),
+            }))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame(empty)
 
     return fn
 
@@ -348,38 +363,84 @@ def _components(edges: DataFrame, vertices: DataFrame, max_rounds: int = 100) ->
     return labels.select(F.col("v").alias("pid"), F.col("l").alias("comp"))
 
 
-def dbscan(points: DataFrame, eps: float, min_samples: int = 5, m: int = 3, block_rows: int = BLOCK_ROWS,
-           axes=None) -> DbscanResult:
-    """Exact DBSCAN on (pid, x). Noise −1."""
-    from .ranking import global_row_number
+_E_BITS = 4  # up to 16 radii per sweep share one component computation
 
-    ensure_checkpoint_dir(points.sparkSession)
+
+def dbscan_sweep(points: DataFrame, eps_list: list[float], min_samples: int = 5, m: int = 3,
+                 block_rows: int = BLOCK_ROWS, axes=None) -> list[DbscanResult]:
+    """Exact DBSCAN for several ε at once: the grid uses the largest ε, so one
+    count pass and one link pass serve every ε, and one label propagation
+    runs over (ε, point) keys. Noise −1; clusters numbered 0.. per ε by
+    their smallest core id."""
+    from .ranking import OrderIndex
+
+    eps_list = [float(e) for e in eps_list]
+    if not eps_list:
+        return []
+    if len(eps_list) > (1 << _E_BITS):
+        raise ValueError("at most 16 radii per sweep")
+    spark = points.sparkSession
+    ensure_checkpoint_dir(spark)
     if axes is None:
         axes = projection_axes(points, m)
     ax, mean = axes
     m = ax.shape[1]
-    cells = _with_cells(points, ax, mean, eps).select("cell", "pid", "x")
-    counts = _run_blocks(cells, cells, m, block_rows, _count_fn(eps), "pid long, cnt long")
-    core = counts.groupBy("pid").agg(F.sum("cnt").alias("cnt")).select("pid", (F.col("cnt") >= min_samples).alias("core"))
+    ne = len(eps_list)
+    cells = _with_cells(points, ax, mean, max(eps_list)).select("cell", "pid", "x")
+    counts = _run_blocks(cells, cells, m, block_rows, _count_fn(eps_list), "pid long, e int, cnt long")
+    core = (
+        counts.groupBy("pid", "e").agg(F.sum("cnt").alias("cnt"))
+        .groupBy("pid")
+        .agg(F.sort_array(F.collect_list(F.struct("e", (F.col("cnt") >= min_samples).alias("c")))).alias("cs"))
+        .select("pid", F.transform("cs", lambda s_: s_["c"]).alias("core"))
+    )  # ne flags per point
     flagged = cells.join(core, "pid").checkpoint(eager=True)
-    links = _run_blocks(flagged, flagged, m, block_rows, _link_fn(eps), "a long, b long, kind int, dist double").checkpoint(eager=True)
-    edges = links.where(F.col("kind") == 0).select("a", "b")
-    cores = flagged.where("core").select("pid")
-    comp = _components(edges, cores)
-    # number clusters 0.. by smallest core id
-    reps = comp.select("comp").distinct()
-    numbered = global_row_number(reps, ["comp"], "cluster").withColumn("cluster", F.col("cluster") - 1)
-    core_lab = comp.join(numbered, "comp").select("pid", "cluster")
+    links = _run_blocks(flagged, flagged, m, block_rows, _link_fn(eps_list), "e int, a long, b long, kind int, dist double")
+    links = links.checkpoint(eager=True)
+
+    def key(pid_col, e_col):
+        return F.shiftleft(pid_col, _E_BITS) + e_col.cast("long")
+
+    edges = links.where(F.col("kind") == 0).select(key(F.col("a"), F.col("e")).alias("a"), key(F.col("b"), F.col("e")).alias("b"))
+    cores = flagged.select("pid", F.posexplode("core").alias("e", "c")).where("c").select(key(F.col("pid"), F.col("e")).alias("pid"))
+    comp = _components(edges, cores).select(
+        F.shiftright("pid", _E_BITS).alias("pid"),
+        F.col("pid").bitwiseAND(F.lit((1 << _E_BITS) - 1)).cast("int").alias("e"),
+        F.shiftright("comp", _E_BITS).alias("comp"),
+    )
+    reps = comp.select("e", "comp").distinct().withColumn("g", F.col("e").cast("string"))
+    numbered = OrderIndex(reps, ["comp"], group_col="g").with_position("cluster").select(
+        "e", "comp", (F.col("cluster") - 1).alias("cluster")
+    )
+    core_lab = comp.join(numbered, ["e", "comp"]).select("e", "pid", "cluster")
     border = (
         links.where(F.col("kind") == 1)
-        .groupBy("a")
+        .groupBy("e", "a")
         .agg(F.min_by("b", F.struct("dist", "b")).alias("core_pid"))
-        .join(core_lab.select(F.col("pid").alias("core_pid"), "cluster"), "core_pid")
-        .select(F.col("a").alias("pid"), "cluster")
+        .join(core_lab.select("e", F.col("pid").alias("core_pid"), "cluster"), ["e", "core_pid"])
+        .select("e", F.col("a").alias("pid"), "cluster")
     )
     lab = core_lab.unionByName(border)
-    labels = points.select("pid").join(lab, "pid", "left").select("pid", F.coalesce("cluster", F.lit(-1)).cast("long").alias("dbscan_label"))
-    labels = labels.checkpoint(eager=True)
-    stats = labels.agg(F.count_distinct(F.when(F.col("dbscan_label") >= 0, F.col("dbscan_label"))).alias("k"),
-                       F.count_if(F.col("dbscan_label") < 0).alias("noise")).first()
-    return DbscanResult(eps, labels, int(stats["k"]), int(stats["noise"]))
+    grid = points.select("pid", F.explode(F.sequence(F.lit(0), F.lit(ne - 1))).alias("e"))
+    labels = (
+        grid.join(lab, ["e", "pid"], "left")
+        .select("e", "pid", F.coalesce("cluster", F.lit(-1)).cast("long").alias("dbscan_label"))
+        .checkpoint(eager=True)
+    )
+    stats = {
+        r["e"]: r
+        for r in labels.groupBy("e").agg(
+            F.count_distinct(F.when(F.col("dbscan_label") >= 0, F.col("dbscan_label"))).alias("k"),
+            F.count_if(F.col("dbscan_label") < 0).alias("noise"),
+        ).collect()
+    }  # ne rows
+    return [
+        DbscanResult(eps_list[e], labels.where(F.col("e") == e).drop("e"), int(stats[e]["k"]), int(stats[e]["noise"]))
+        for e in range(ne)
+    ]
+
+
+def dbscan(points: DataFrame, eps: float, min_samples: int = 5, m: int = 3, block_rows: int = BLOCK_ROWS,
+           axes=None) -> DbscanResult:
+    """Exact DBSCAN on (pid, x) for one ε. Noise −1."""
+    return dbscan_sweep(points, [eps], min_samples, m, block_rows, axes)[0]

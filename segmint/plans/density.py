@@ -46,19 +46,19 @@ def eps_for(points: DataFrame) -> list[float]:
 
 
 def choose(points: DataFrame) -> DbscanChoice:
+    """All ε candidates in one DBSCAN sweep; metrics per ε run as concurrent
+    jobs; the first best silhouette wins."""
+    from concurrent.futures import ThreadPoolExecutor
+
     pts = base.materialize(points.select("pid", "x"))
-    axes = D.projection_axes(pts)
+    results = D.dbscan_sweep(pts, eps_for(pts), DBSCAN_MIN_SAMPLES)
+    with ThreadPoolExecutor(max_workers=8) as pool:
+        mets = list(pool.map(lambda r: cluster_metrics(pts.join(r.labels, "pid"), "x", "dbscan_label"), results))
+    history = [(r.eps, r.n_clusters, r.n_noise, m.silhouette) for r, m in zip(results, mets)]
     best = None
-    history = []
-    for eps in eps_for(pts):
-        res = D.dbscan(pts, eps, DBSCAN_MIN_SAMPLES, axes=axes)
-        joined = pts.join(res.labels, "pid")
-        met = cluster_metrics(joined, "x", "dbscan_label")
-        history.append((eps, res.n_clusters, res.n_noise, met.silhouette))
-        cur = DbscanChoice(eps, res.labels, met, history)
-        if best is None or (met.silhouette or -1) > (best.metrics.silhouette or -1):
-            best = cur
-    best.history = history
+    for r, m in zip(results, mets):
+        if best is None or (m.silhouette or -1) > (best.metrics.silhouette or -1):
+            best = DbscanChoice(r.eps, r.labels, m, history)
     return best
 
 

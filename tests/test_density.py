@@ -58,3 +58,15 @@ def test_dbscan_matches_brute(spark, eps):
     got = dict(res.labels.collect())
     want = _brute_dbscan(x, eps, 5)
     assert [got[i] for i in range(len(x))] == want.tolist()
+
+
+def test_dbscan_sweep_matches_brute_for_each_eps(spark):
+    from segmint.operators.density import dbscan_sweep
+
+    rng = np.random.default_rng(4)
+    x = np.vstack([rng.normal(c, 0.5, size=(60, 3)) for c in (0, 3)] + [rng.uniform(-2, 5, size=(25, 3))])
+    eps_list = [0.5, 0.8, 1.2]
+    results = dbscan_sweep(_points(spark, x), eps_list, 5, block_rows=40)
+    for eps, res in zip(eps_list, results):
+        got = dict(res.labels.collect())
+        assert [got[i] for i in range(len(x))] == _brute_dbscan(x, eps, 5).tolist(), eps
