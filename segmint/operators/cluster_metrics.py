@@ -8,7 +8,8 @@ For labels L over vectors x (noise label −1 excluded):
 * **silhouette** (squared Euclidean, the ``ClusteringEvaluator`` definition):
   the mean squared distance from x to all points of C is
   ‖x‖² − 2 x·μ_C + Σ_C‖y‖²/n_C, so a(x), b(x) need one pass over the points
-  with the k centroids as literals — exact, O(n·k·d);
+  with the k centroids broadcast — exact, O(n·k·d), computed with NumPy on
+  Arrow batches (``mapInPandas``);
 * **Davies–Bouldin**: s_C = mean Euclidean distance to own centroid (same
   pass), then the k×k centroid combination;
 * **Calinski–Harabasz**: between/within dispersion from the statistics alone.
@@ -22,6 +23,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,11 +45,6 @@ def _as_array(c: Column, is_vector: bool) -> Column:
     return c.cast("array<double>")
 
 
-def _dot(x: Column, vec: list[float]) -> Column:
-    lit = F.array(*[F.lit(float(v)) for v in vec])
-    return F.aggregate(F.zip_with(x, lit, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
-
-
 def _sqnorm(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v * v)
 
@@ -83,28 +80,37 @@ def cluster_metrics(df: DataFrame, features: str, label: str) -> ClusterMetrics:
     if k < 2:
         return ClusterMetrics(None, None, None, k, n_total)
 
-    # one pass over the points: squared distances to every centroid
-    norm = _sqnorm(F.col("x"))
-    dist_cols = []
-    for lab, n, mu, ss in stats:
-        d = norm - F.lit(2.0) * _dot(F.col("x"), mu) + F.lit(ss / n)
-        dist_cols.append(F.struct(F.lit(lab).cast("long").alias("c"), F.lit(n).cast("long").alias("n"), d.alias("d")))
-    p = points.withColumn("cd", F.array(*dist_cols))
-    own = F.filter("cd", lambda s: s["c"] == F.col("label"))[0]
-    others = F.filter("cd", lambda s: s["c"] != F.col("label"))
-    a = F.when(own["n"] > 1, own["d"] * own["n"] / (own["n"] - 1)).otherwise(F.lit(0.0))
-    b = F.array_min(F.transform(others, lambda s: s["d"]))
-    sil = F.when(own["n"] <= 1, F.lit(0.0)).otherwise(
-        F.when(F.greatest(a, b) > 0, (b - a) / F.greatest(a, b)).otherwise(F.lit(0.0))
-    )
-    # Euclidean distance to own centroid, computed directly for accuracy
-    cent = F.array(*[F.array(*[F.lit(float(v)) for v in mu]) for _, _, mu, _ in stats])
-    idx = F.array_position(F.array(*[F.lit(s[0]) for s in stats]), F.col("label")).cast("int")
-    own_mu = F.element_at(cent, idx)
-    edist = F.sqrt(F.aggregate(F.zip_with(F.col("x"), own_mu, lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda acc, v: acc + v))
-    per = p.select("label", sil.alias("s"), edist.alias("e"))
+    # one pass over the points (Arrow batches, NumPy): squared distance to
+    # every centroid gives a(x), b(x); the k centroids are broadcast (k × d)
+    labels_arr = np.array([s_[0] for s_ in stats], dtype=np.int64)
+    sizes_arr = np.array([s_[1] for s_ in stats], dtype=float)
+    cent_arr = np.array([s_[2] for s_ in stats], dtype=float)
+    mean_sq = np.array([s_[3] / s_[1] for s_ in stats], dtype=float)
+    bc = points.sparkSession.sparkContext.broadcast((labels_arr, sizes_arr, cent_arr, mean_sq))
+
+    def per_point(batches):
+        labs, sizes, cent, msq = bc.value
+        for b in batches:
+            if b.empty:
+                continue
+            x = np.vstack([np.asarray(v, dtype=float) for v in b["x"]])
+            lab = b["label"].to_numpy(dtype=np.int64)
+            xn = (x ** 2).sum(axis=1)
+            d = xn[:, None] - 2.0 * (x @ cent.T) + msq[None, :]  # mean squared distance to each cluster
+            own = np.searchsorted(labs, lab)
+            n_own = sizes[own]
+            a = np.where(n_own > 1, d[np.arange(len(x)), own] * n_own / np.maximum(n_own - 1, 1), 0.0)
+            d_other = d.copy()
+            d_other[np.arange(len(x)), own] = np.inf
+            bmin = d_other.min(axis=1)
+            mx = np.maximum(a, bmin)
+            sil = np.where((n_own > 1) & (mx > 0), (bmin - a) / np.where(mx > 0, mx, 1.0), 0.0)
+            e2 = ((x - cent[own]) ** 2).sum(axis=1)  # direct form, no cancellation
+            yield pd.DataFrame({"label": lab, "s": sil, "e": np.sqrt(e2), "w": e2})
+
+    per = points.select("label", "x").mapInPandas(per_point, "label long, s double, e double, w double")
     agg = (
-        per.groupBy("label").agg(F.sum("s").alias("s"), F.avg("e").alias("e"), F.sum(F.col("e") * F.col("e")).alias("w")).collect()
+        per.groupBy("label").agg(F.sum("s").alias("s"), F.avg("e").alias("e"), F.sum("w").alias("w")).collect()
     )  # k rows
     silhouette = sum(r["s"] for r in agg) / n_total
     spread = {r["label"]: r["e"] for r in agg}
