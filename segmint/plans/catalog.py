@@ -801,3 +801,14 @@ def overview_models(spark, sf_dir):
     and the churn forest's labels (rows-only check: model numbers)."""
     scored, _, _ = MD.clv(spark, sf_dir)
     return S.kpi_home(scored, F.col("cluster_id").isin(list(FILTER_CLUSTERS)))
+
+
+@query
+def dbscan_embeddings(spark, sf_dir):
+    """Exact DBSCAN on ``embeddings`` at ε = the largest k-distance candidate
+    (95th percentile of the 5th-neighbour distance, 4 places)."""
+    from ..operators.density import dbscan as run
+
+    pts = base.materialize(DN.embedding_points(spark, sf_dir))
+    eps = max(DN.eps_for(pts))
+    return run(pts, eps, 5).labels.select(F.col("pid").alias("vec_id"), "dbscan_label")

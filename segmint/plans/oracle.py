@@ -511,3 +511,22 @@ FROM labelled WHERE rfm_segment = 'Champions'"""))
 sql("stratified_split", on(L, """, c AS (SELECT churn_flag, count(*) AS n FROM labelled GROUP BY 1)
 SELECT churn_flag, true AS is_test, CAST(ceil(n * 0.2) AS BIGINT) AS n FROM c WHERE ceil(n * 0.2) > 0
 UNION ALL SELECT churn_flag, false, CAST(n - ceil(n * 0.2) AS BIGINT) FROM c WHERE n - ceil(n * 0.2) > 0"""))
+
+sql("dbscan_embeddings", KNN.replace("WITH ", "WITH RECURSIVE ", 1) + """,
+eps AS (SELECT round(quantile_cont(kd, 0.95), 4) AS eps FROM kd),
+nb AS (SELECT a.vec_id AS u, b.vec_id AS v, list_distance(a.x, b.x) AS dist FROM e a JOIN e b ON list_distance(a.x, b.x) <= (SELECT eps FROM eps)),
+core AS (SELECT u AS vec_id FROM nb GROUP BY u HAVING count(*) >= 5),
+cedge AS (SELECT u, v FROM nb WHERE u IN (SELECT vec_id FROM core) AND v IN (SELECT vec_id FROM core)),
+reach(src, dst) AS (
+  SELECT u, v FROM cedge
+  UNION
+  SELECT r.src, c.v FROM reach r JOIN cedge c ON r.dst = c.u),
+comp AS (SELECT core.vec_id, least(core.vec_id, coalesce(min(r.dst), core.vec_id)) AS comp
+         FROM core LEFT JOIN reach r ON r.src = core.vec_id GROUP BY core.vec_id),
+num AS (SELECT comp, dense_rank() OVER (ORDER BY comp) - 1 AS cluster FROM (SELECT DISTINCT comp FROM comp)),
+core_lab AS (SELECT comp.vec_id, num.cluster FROM comp JOIN num ON comp.comp = num.comp),
+border AS (SELECT nb.u AS vec_id, arg_min(nb.v, (nb.dist, nb.v)) AS core_id FROM nb
+           WHERE nb.u NOT IN (SELECT vec_id FROM core) AND nb.v IN (SELECT vec_id FROM core) GROUP BY nb.u)
+SELECT e.vec_id, CAST(coalesce(cl.cluster, bl.cluster, -1) AS BIGINT) AS dbscan_label
+FROM e LEFT JOIN core_lab cl ON e.vec_id = cl.vec_id
+LEFT JOIN border b ON e.vec_id = b.vec_id LEFT JOIN core_lab bl ON b.core_id = bl.vec_id""")
