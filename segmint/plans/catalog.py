@@ -805,10 +805,11 @@ def overview_models(spark, sf_dir):
 
 @query
 def dbscan_embeddings(spark, sf_dir):
-    """Exact DBSCAN on ``embeddings`` at ε = the largest k-distance candidate
-    (95th percentile of the 5th-neighbour distance, 4 places)."""
-    from ..operators.density import dbscan as run
+    """Exact DBSCAN on ``embeddings`` at ε = the 30th percentile of the
+    5th-neighbour distance (4 places): several clusters, border points and
+    noise, so the check exercises every rule."""
+    from ..operators.density import dbscan as run, eps_candidates, kth_neighbor_distance
 
     pts = base.materialize(DN.embedding_points(spark, sf_dir))
-    eps = max(DN.eps_for(pts))
+    eps = eps_candidates(kth_neighbor_distance(pts, 5), [30])[0]
     return run(pts, eps, 5).labels.select(F.col("pid").alias("vec_id"), "dbscan_label")

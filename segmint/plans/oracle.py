@@ -513,7 +513,7 @@ SELECT churn_flag, true AS is_test, CAST(ceil(n * 0.2) AS BIGINT) AS n FROM c WH
 UNION ALL SELECT churn_flag, false, CAST(n - ceil(n * 0.2) AS BIGINT) FROM c WHERE n - ceil(n * 0.2) > 0"""))
 
 sql("dbscan_embeddings", KNN.replace("WITH ", "WITH RECURSIVE ", 1) + """,
-eps AS (SELECT round(quantile_cont(kd, 0.95), 4) AS eps FROM kd),
+eps AS (SELECT round(quantile_cont(kd, 0.30), 4) AS eps FROM kd),
 nb AS (SELECT a.vec_id AS u, b.vec_id AS v, list_distance(a.x, b.x) AS dist FROM e a JOIN e b ON list_distance(a.x, b.x) <= (SELECT eps FROM eps)),
 core AS (SELECT u AS vec_id FROM nb GROUP BY u HAVING count(*) >= 5),
 cedge AS (SELECT u, v FROM nb WHERE u IN (SELECT vec_id FROM core) AND v IN (SELECT vec_id FROM core)),
