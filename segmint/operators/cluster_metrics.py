@@ -35,6 +35,7 @@ class ClusterMetrics:
     calinski_harabasz: float | None
     n_clusters: int
     n_points: int
+    inertia: float | None = None  # within-cluster sum of squared distances
 
 
 def _as_array(c: Column, is_vector: bool) -> Column:
@@ -134,7 +135,7 @@ def cluster_metrics(df: DataFrame, features: str, label: str) -> ClusterMetrics:
     between = float((sizes * ((mus - overall) ** 2).sum(axis=1)).sum())
     within = float(sum(r["w"] for r in agg))
     ch = (between / (k - 1)) / (within / (n_total - k)) if within > 0 and n_total > k else 1.0
-    return ClusterMetrics(float(silhouette), db, float(ch), k, n_total)
+    return ClusterMetrics(float(silhouette), db, float(ch), k, n_total, within)
 
 
 def metrics_frame(spark, rows: list[dict]) -> DataFrame:

@@ -102,18 +102,28 @@ def kmeans_sweep(
             return KMeansRun(k, model, cost, cluster_metrics(model.transform(points), features, "_km"))
 
         runs = list(pool.map(run, ks))
-    inertia = normalize_values([r.inertia for r in runs], higher_better=False)
-    sil = normalize_values([r.metrics.silhouette for r in runs], True)
-    ch = normalize_values([r.metrics.calinski_harabasz for r in runs], True)
-    db = normalize_values([r.metrics.davies_bouldin for r in runs], False)
-    w = KMEANS_WEIGHTS
-    for i, r in enumerate(runs):
-        r.score = w["silhouette"] * sil[i] + w["calinski_harabasz"] * ch[i] + w["davies_bouldin"] * db[i] + w["inertia"] * inertia[i]
+    for r, sc in zip(runs, selection_scores([(r.k, r.metrics, r.inertia) for r in runs])):
+        r.score = sc
     best = max(runs, key=lambda r: r.score)  # first maximum
     labels = best.model.transform(points).withColumnRenamed("_km", "kmeans_label")
     return SweepResult(runs, best, labels)
 
 
+def selection_scores(candidates: list[tuple[object, ClusterMetrics, float]]) -> list[float]:
+    """K-means selection score of each candidate (key, metrics, inertia):
+    0.45 silhouette + 0.2 CH + 0.2 DB + 0.15 inertia after min-max
+    normalisation (DB and inertia inverted)."""
+    inertia = normalize_values([c[2] for c in candidates], higher_better=False)
+    sil = normalize_values([c[1].silhouette for c in candidates], True)
+    ch = normalize_values([c[1].calinski_harabasz for c in candidates], True)
+    db = normalize_values([c[1].davies_bouldin for c in candidates], False)
+    w = KMEANS_WEIGHTS
+    return [
+        w["silhouette"] * sil[i] + w["calinski_harabasz"] * ch[i] + w["davies_bouldin"] * db[i] + w["inertia"] * inertia[i]
+        for i in range(len(candidates))
+    ]
+
+
 def sweep_frame(spark, sweep: SweepResult) -> DataFrame:
     rows = [
         (r.k, r.inertia, r.metrics.silhouette, r.metrics.davies_bouldin, r.metrics.calinski_harabasz, r.score)

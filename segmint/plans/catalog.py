@@ -813,3 +813,32 @@ def dbscan_embeddings(spark, sf_dir):
     pts = base.materialize(DN.embedding_points(spark, sf_dir))
     eps = eps_candidates(kth_neighbor_distance(pts, 5), [30])[0]
     return run(pts, eps, 5).labels.select(F.col("pid").alias("vec_id"), "dbscan_label")
+
+
+# --------------------------------------------------------------------------- model selection on fixed labelings
+FIXED_LABELINGS = [("label", "label"), ("label_mod3", "label % 3"), ("vec_mod4", "vec_id % 4")]
+
+
+def _fixed_metrics(spark, sf_dir):
+    from ..sources.tables import table
+
+    emb = table(spark, sf_dir, "embeddings")
+    return [(name, _metrics(emb.withColumn("_lab", F.expr(expr)), "embedding", "_lab")) for name, expr in FIXED_LABELINGS]
+
+
+@query
+def algorithm_comparison_fixed(spark, sf_dir):
+    """The comparison rule (0.5 silhouette + 0.25 DB + 0.25 CH, min-max
+    normalised, first maximum) over three fixed labelings of ``embeddings``."""
+    return CL.algorithm_comparison(spark, _fixed_metrics(spark, sf_dir)).drop("position")
+
+
+@query
+def kmeans_select_fixed(spark, sf_dir):
+    """The K-means selection rule (0.45 silhouette + 0.2 CH + 0.2 DB + 0.15
+    inertia) over three fixed labelings of ``embeddings``."""
+    cands = [(n, m, m.inertia) for n, m in _fixed_metrics(spark, sf_dir)]
+    scores = CL.selection_scores(cands)
+    best = max(range(len(scores)), key=lambda i: scores[i])
+    rows = [(n, m.n_clusters, m.inertia, scores[i], i == best) for i, (n, m, _) in enumerate(cands)]
+    return spark.createDataFrame(rows, "labeling string, n_clusters int, inertia double, score double, is_best boolean")

@@ -530,3 +530,57 @@ border AS (SELECT nb.u AS vec_id, arg_min(nb.v, (nb.dist, nb.v)) AS core_id FROM
 SELECT e.vec_id, CAST(coalesce(cl.cluster, bl.cluster, -1) AS BIGINT) AS dbscan_label
 FROM e LEFT JOIN core_lab cl ON e.vec_id = cl.vec_id
 LEFT JOIN border b ON e.vec_id = b.vec_id LEFT JOIN core_lab bl ON b.core_id = bl.vec_id""")
+
+
+def _emb_metrics(label_expr: str, sfx: str) -> str:
+    """CTEs computing silhouette (squared Euclidean, brute force over all
+    pairs), Davies–Bouldin, Calinski–Harabasz and inertia for one labeling."""
+    return f"""
+e{sfx} AS (SELECT vec_id, CAST({label_expr} AS BIGINT) AS label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+dims{sfx} AS (SELECT label, i, avg(v) AS c FROM (SELECT label, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM e{sfx}) GROUP BY 1, 2),
+cent{sfx} AS (SELECT label, list(c ORDER BY i) AS mu FROM dims{sfx} GROUP BY 1),
+sizes{sfx} AS (SELECT label, count(*) AS n FROM e{sfx} GROUP BY 1),
+per{sfx} AS (SELECT a.vec_id, a.label AS la, b.label AS lb, avg(pow(list_distance(a.x, b.x), 2)) AS md
+             FROM e{sfx} a JOIN e{sfx} b ON a.vec_id <> b.vec_id GROUP BY 1, 2, 3),
+ab{sfx} AS (SELECT e.vec_id, max(CASE WHEN la = lb THEN md END) AS a, min(CASE WHEN la <> lb THEN md END) AS b
+            FROM e{sfx} e LEFT JOIN per{sfx} p ON e.vec_id = p.vec_id GROUP BY e.vec_id),
+spread{sfx} AS (SELECT e.label, avg(list_distance(e.x, c.mu)) AS s, sum(pow(list_distance(e.x, c.mu), 2)) AS w
+                FROM e{sfx} e JOIN cent{sfx} c ON e.label = c.label GROUP BY 1),
+odims{sfx} AS (SELECT i, avg(v) AS c FROM (SELECT unnest(x) AS v, generate_subscripts(x, 1) AS i FROM e{sfx}) GROUP BY 1),
+m{sfx} AS (SELECT
+  (SELECT avg(CASE WHEN a IS NULL THEN 0.0 WHEN greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0.0 END) FROM ab{sfx}) AS silhouette,
+  (SELECT avg(worst) FROM (SELECT a.label, max(CASE WHEN list_distance(a.mu, b.mu) = 0 THEN 0.0
+       ELSE (sa.s + sb.s) / list_distance(a.mu, b.mu) END) AS worst
+     FROM cent{sfx} a JOIN cent{sfx} b ON a.label <> b.label JOIN spread{sfx} sa ON sa.label = a.label
+     JOIN spread{sfx} sb ON sb.label = b.label GROUP BY a.label)) AS davies_bouldin,
+  (SELECT (sum(z.n * pow(list_distance(c.mu, (SELECT list(c ORDER BY i) FROM odims{sfx})), 2)) / (count(*) - 1))
+          / ((SELECT sum(w) FROM spread{sfx}) / ((SELECT count(*) FROM e{sfx}) - count(*)))
+     FROM cent{sfx} c JOIN sizes{sfx} z ON c.label = z.label) AS calinski_harabasz,
+  CAST((SELECT count(*) FROM cent{sfx}) AS INTEGER) AS n_clusters,
+  (SELECT sum(w) FROM spread{sfx}) AS inertia)"""
+
+
+_FIXED = [("label", "label"), ("label_mod3", "label % 3"), ("vec_mod4", "vec_id % 4")]
+_CANDS = "WITH " + ",".join(_emb_metrics(expr, f"_{i}") for i, (_, expr) in enumerate(_FIXED)) + """,
+cands AS (""" + " UNION ALL ".join(
+    f"SELECT {i} AS pos, '{n}' AS name, * FROM m_{i}" for i, (n, _) in enumerate(_FIXED)) + ")"
+
+
+def _norm(col: str, higher_better: bool) -> str:
+    base = (f"CASE WHEN max({col}) OVER () IS NULL THEN 0.0 WHEN min({col}) OVER () = max({col}) OVER () THEN 0.5 "
+            f"ELSE ({col} - min({col}) OVER ()) / (max({col}) OVER () - min({col}) OVER ()) END")
+    if not higher_better:
+        base = (f"CASE WHEN max({col}) OVER () IS NULL THEN 0.0 WHEN min({col}) OVER () = max({col}) OVER () THEN 0.5 "
+                f"ELSE 1.0 - ({col} - min({col}) OVER ()) / (max({col}) OVER () - min({col}) OVER ()) END")
+    return f"coalesce(CASE WHEN {col} IS NULL THEN 0.0 ELSE {base} END, 0.0)"
+
+
+sql("algorithm_comparison_fixed", _CANDS + f""",
+scored AS (SELECT *, 0.5 * {_norm('silhouette', True)} + 0.25 * {_norm('davies_bouldin', False)}
+                     + 0.25 * {_norm('calinski_harabasz', True)} AS score FROM cands)
+SELECT name AS algorithm, n_clusters, silhouette, davies_bouldin, calinski_harabasz, score,
+  row_number() OVER (ORDER BY score DESC, pos) = 1 AS is_best FROM scored""")
+sql("kmeans_select_fixed", _CANDS + f""",
+scored AS (SELECT *, 0.45 * {_norm('silhouette', True)} + 0.2 * {_norm('calinski_harabasz', True)}
+                     + 0.2 * {_norm('davies_bouldin', False)} + 0.15 * {_norm('inertia', False)} AS score FROM cands)
+SELECT name AS labeling, n_clusters, inertia, score, row_number() OVER (ORDER BY score DESC, pos) = 1 AS is_best FROM scored""")
