@@ -74,3 +74,25 @@ def test_plan_has_no_python_or_cartesian(spark):
     assert "BatchEvalPython" not in plan
     assert "CartesianProduct" not in plan
     assert "Window" not in plan  # scores are a projection, not a global window
+
+
+def test_rfm_scores_invariant_to_partitioning(spark):
+    """RFM scores of the sf0.001 snapshot do not depend on the number of
+    range partitions or the input partitioning."""
+    from conftest import SF_SMALL
+    from segmint.operators.enrich import enrich
+    from segmint.operators.rfm import rfm
+    from segmint.plans import base
+
+    at = base.as_of(spark, SF_SMALL)
+    cust = enrich(base.snapshot(spark, SF_SMALL), at, dedup=False)
+    results = []
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in (1, 8, 64):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            scored = rfm(cust.repartition(parts), at)
+            results.append(sorted(scored.select("customer_id", "r_score", "f_score", "m_score", "rfm_segment").collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert results[0] == results[1] == results[2]
