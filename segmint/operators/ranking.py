@@ -29,7 +29,7 @@ from typing import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir, num_partitions
+from ..session import ensure_checkpoint_dir
 
 _LOCAL_BITS = 33
 _LOCAL_MASK = (1 << _LOCAL_BITS) - 1
@@ -51,10 +51,14 @@ class OrderIndex:
         ensure_checkpoint_dir(spark)
         self.group_col = group_col
         keys = ([group_col] if group_col else []) + list(order_cols)
-        p = partitions or num_partitions(spark)
+        ordering = [F.col(k).asc_nulls_last() for k in keys]
+        # Without an explicit count the range exchange uses
+        # spark.sql.shuffle.partitions and AQE may coalesce adjacent ranges
+        # (order is kept), so the partition count follows the data volume.
+        ranged = df.repartitionByRange(partitions, *ordering) if partitions else df.repartitionByRange(*ordering)
         sorted_df = (
-            df.repartitionByRange(p, *[F.col(k).asc_nulls_last() for k in keys])
-            .sortWithinPartitions(*[F.col(k).asc_nulls_last() for k in keys])
+            ranged
+            .sortWithinPartitions(*ordering)
             .withColumn("_mid", F.monotonically_increasing_id())
         )
         self.rows = (
