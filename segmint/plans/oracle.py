@@ -162,7 +162,7 @@ def _kpi(specs: list[tuple[str, str, str]], extra_ctes: str = "") -> str:
     rows = " UNION ALL ".join(f"SELECT '{n}' AS kpi, {n}__v AS value, {n}__b AS baseline FROM one" for n, _, _ in specs)
     return on(L, f"""{extra_ctes}, one AS (SELECT {aggs} FROM labelled), k AS ({rows})
 SELECT kpi, value, baseline,
-  CASE WHEN baseline = 0 THEN '0%' ELSE printf('%+.1f%%', round_even((value - baseline) / abs(baseline) * 100.0, 1)) END AS delta,
+  CASE WHEN baseline = 0 THEN '0%' ELSE printf('%+.1f%%', (value - baseline) / abs(baseline) * 100.0) END AS delta,
   CASE WHEN baseline = 0 THEN 'yellow' WHEN (value - baseline) / abs(baseline) * 100.0 >= 0 THEN 'green' ELSE 'red' END AS delta_color
 FROM k""")
 
@@ -324,9 +324,9 @@ FROM scored_p p JOIN scored c ON p.customer_id = c.customer_id GROUP BY 1, 2""")
 
 def _fmt(x: str) -> str:
     return f"""CASE WHEN {x} IS NULL OR isnan({x}) THEN '0'
-  WHEN abs({x}) >= 1000000 THEN printf('%.2fM', round_even({x} / 1000000, 2))
-  WHEN abs({x}) >= 1000 THEN printf('%.2fK', round_even({x} / 1000, 2))
-  ELSE printf('%.2f', round_even({x}, 2)) END"""
+  WHEN abs({x}) >= 1000000 THEN printf('%.2fM', {x} / 1000000)
+  WHEN abs({x}) >= 1000 THEN printf('%.2fK', {x} / 1000)
+  ELSE printf('%.2f', {x}) END"""
 
 
 sql("fmt_number", on(L, f"""SELECT rfm_segment, total_spend, {_fmt('total_spend')} AS display FROM (
