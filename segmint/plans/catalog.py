@@ -10,8 +10,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import columns as CF
+from ..functions import formatting as FM
+from ..operators import churn as CHN
+from ..operators import clustering as CL
+from ..operators import enrich as EN
+from ..operators import evaluate as EV
+from ..operators import filters as FL
+from ..operators import quality as Q
+from ..operators import strategy as ST
 from ..operators import summaries as S
+from ..operators.cluster_metrics import cluster_metrics as _metrics
 from . import base
+from . import density as DN
+from . import ingest as IN
+from . import models as MD
 
 QUERIES: dict = {}
 
@@ -198,9 +211,6 @@ def kpi_analyst(spark, sf_dir):
 
 
 # --------------------------------------------------------------------------- filters
-from ..operators import filters as FL  # noqa: E402
-from ..operators import strategy as ST  # noqa: E402
-from ..functions import formatting as FM  # noqa: E402
 
 SEARCH_PATTERN = "ion_1[0-4]"
 COUNTRY_PICK = ("NATION_1", "NATION_7", "NATION_13")
@@ -430,10 +440,6 @@ def preview_head(spark, sf_dir):
 
 
 # --------------------------------------------------------------------------- upload path
-from . import ingest as IN  # noqa: E402
-from ..operators import quality as Q  # noqa: E402
-from ..operators import enrich as EN  # noqa: E402
-from ..functions import columns as CF  # noqa: E402
 
 
 @query
@@ -520,11 +526,6 @@ def coerce_numeric(spark, sf_dir):
 
 
 # --------------------------------------------------------------------------- ML: features, clustering, metrics
-from . import models as MD  # noqa: E402
-from ..operators import clustering as CL  # noqa: E402
-from ..operators import churn as CHN  # noqa: E402
-from ..operators import evaluate as EV  # noqa: E402
-from ..operators.cluster_metrics import cluster_metrics as _metrics  # noqa: E402
 
 
 @query
@@ -722,7 +723,6 @@ def scenario_scoring(spark, sf_dir):
 
 
 # --------------------------------------------------------------------------- density
-from . import density as DN  # noqa: E402
 
 
 @query
