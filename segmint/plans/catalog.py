@@ -842,3 +842,26 @@ def kmeans_select_fixed(spark, sf_dir):
     best = max(range(len(scores)), key=lambda i: scores[i])
     rows = [(n, m.n_clusters, m.inertia, scores[i], i == best) for i, (n, m, _) in enumerate(cands)]
     return spark.createDataFrame(rows, "labeling string, n_clusters int, inertia double, score double, is_best boolean")
+
+
+@query
+def pca_explained_variance(spark, sf_dir):
+    """Explained-variance ratio of the 3 principal components (the 2-D
+    view's ratios are the first two)."""
+    fm, _ = MD.features(spark, sf_dir)
+    _, ratios = CL.pca_projection(fm.select("customer_id", "features"))
+    return spark.createDataFrame([(i + 1, float(r)) for i, r in enumerate(ratios)], "component int, ratio double")
+
+
+@query
+def clv_holdout_rmse(spark, sf_dir):
+    """Hold-out RMSE of the CLV model (the reference makes the split but
+    never evaluates it)."""
+    _, _, rmse = MD.clv(spark, sf_dir)
+    return spark.createDataFrame([(float(rmse),)], "rmse double")
+
+
+@query
+def churn_holdout_report(spark, sf_dir):
+    """Classification report of the churn forest on its stratified hold-out."""
+    return EV.classification_report(MD.churn(spark, sf_dir).test)

@@ -96,3 +96,23 @@ def test_mapping_fixture_c3(spark):
     assert "referral_count" not in m
     with pytest.raises(ValueError):
         apply_mapping(df, m)  # duplicate targets
+
+
+def test_mapping_status_and_normalize(spark):
+    from segmint.operators.schema_map import mapping_status, normalize_name
+
+    df = spark.createDataFrame(
+        [("Skip", None, "Cust-ID #1"), ("customer_id", "customer_id", "Ünit Price"), ("age", "customer_id", "a_b")],
+        "selected string, detected string, name string",
+    )
+    rows = df.select(mapping_status(F.col("selected"), F.col("detected")), normalize_name(F.col("name"))).collect()
+    assert [r[0] for r in rows] == ["skipped", "matched", "needs review"]
+    assert [r[1] for r in rows] == ["custid1", "ünitprice", "ab"]
+
+
+def test_filter_facets_fallback(spark):
+    from segmint.operators.filters import filter_facets
+
+    df = spark.createDataFrame([("a", None, "X")], "customer_id string, signup_date timestamp_ntz, country string")
+    got = dict(filter_facets(df, fallback_today=dt.date(2024, 3, 31)).select("facet", "value").collect())
+    assert got["date_min"] == "2023-04-01" and got["date_max"] == "2024-03-31" and got["country"] == "X"
