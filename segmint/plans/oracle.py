@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..functions.constants import PERSONAS, SEGMENT_PROFILES, SEGMENTS
 from .oracle_sql import LABELLED, SCORED, SNAPSHOT, on
 
 ORACLE: dict[str, str] = {}
@@ -108,16 +109,15 @@ sql(
 PERSONA_STATS = """SELECT rfm_segment, count(*) AS count, avg(total_spend) AS avg_spend, avg(recency) AS avg_recency,
   avg(frequency) AS avg_frequency FROM labelled WHERE rfm_segment IS NOT NULL GROUP BY 1"""
 sql("persona_stats", on(L, PERSONA_STATS))
-PERSONA_DIM = """(VALUES
- (0, 'Champions', 'High spenders with recent, frequent purchases. They love exclusivity.', 'green'),
- (1, 'Loyal Customers', 'Consistent and engaged. They respond well to loyalty perks.', 'green'),
- (2, 'Potential Loyalists', 'Rising engagement with growing value. Nurture to unlock loyalty.', 'yellow'),
- (3, 'New Customers', 'Recently acquired with limited history. Focus on onboarding journeys.', 'yellow'),
- (4, 'At Risk', 'High value but cooling off. Prioritize win-back and care outreach.', 'red'),
- (5, 'Can''t Lose Them', 'Valuable yet disengaging quickly. Immediate action needed.', 'red'),
- (6, 'Hibernating', 'Low engagement and low spend. Re-activate with targeted offers.', 'yellow'),
- (7, 'Lost Customers', 'Lapsed and inactive. Consider reactivation or list hygiene.', 'red')
-) AS p(segment_order, rfm_segment, description, health)"""
+def _q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+# The fixed dimension tables come from functions/constants.py (one copy of
+# the values); the rules that use them are written out in SQL below.
+PERSONA_DIM = "(VALUES\n" + ",\n".join(
+    f" ({i}, {_q(seg)}, {_q(PERSONAS[seg]['description'])}, {_q(PERSONAS[seg]['health'])})" for i, seg in enumerate(SEGMENTS)
+) + "\n) AS p(segment_order, rfm_segment, description, health)"
 sql(
     "lookup_persona",
     on(L, f""", st AS ({PERSONA_STATS}), tot AS (SELECT count(*) AS n FROM labelled WHERE rfm_segment IS NOT NULL)
@@ -242,22 +242,17 @@ FROM labelled ORDER BY churn_probability DESC NULLS LAST, customer_id LIMIT {_n}
 sql("top_clv_20", on(L, """SELECT customer_id, clv_12m, clv_tier, total_spend, total_orders, rfm_segment
 FROM labelled ORDER BY clv_12m DESC NULLS LAST, customer_id LIMIT 20"""))
 
-PROFILE_DIM = """(VALUES
- ('Champions', 'email', 'exclusive access', 'premium', 0.32, 16),
- ('Loyal Customers', 'email', 'loyalty points', 'nurturing', 0.27, 14),
- ('Potential Loyalists', 'push', 'loyalty points', 'nurturing', 0.22, 13),
- ('New Customers', 'email', 'discount', 'nurturing', 0.18, 10),
- ('At Risk', 'sms', 'discount', 'urgent', 0.15, 18),
- ('Can''t Lose Them', 'email', 'exclusive access', 'urgent', 0.21, 17),
- ('Hibernating', 'sms', 'win-back', 'reactivation', 0.1, 8),
- ('Lost Customers', 'sms', 'win-back', 'reactivation', 0.06, 4)
-) AS pr(rfm_segment, channel, offer, tone, response_rate, budget_pct)"""
+PROFILE_DIM = "(VALUES\n" + ",\n".join(
+    f" ({_q(seg)}, {_q(p['channel'])}, {_q(p['offer'])}, {_q(p['tone'])}, {p['response_rate']}, {p['budget_pct']})"
+    for seg, p in SEGMENT_PROFILES.items()
+) + "\n) AS pr(rfm_segment, channel, offer, tone, response_rate, budget_pct)"
 STRAT_BASE = """SELECT rfm_segment, cluster_id, count(customer_id) AS customer_count, avg(total_spend) AS avg_spend,
   avg(recency) AS avg_recency, avg(satisfaction_score) AS avg_satisfaction
 FROM labelled WHERE rfm_segment IS NOT NULL AND cluster_id IS NOT NULL GROUP BY 1, 2"""
-LOOKUP = f"""SELECT b.*, coalesce(pr.channel, 'email') AS channel, coalesce(pr.offer, 'discount') AS offer,
-  coalesce(pr.tone, 'nurturing') AS tone, CAST(coalesce(pr.response_rate, 0.18) AS DOUBLE) AS response_rate,
-  CAST(coalesce(pr.budget_pct, 10) AS INTEGER) AS budget_pct
+_FB = SEGMENT_PROFILES["New Customers"]
+LOOKUP = f"""SELECT b.*, coalesce(pr.channel, {_q(_FB['channel'])}) AS channel, coalesce(pr.offer, {_q(_FB['offer'])}) AS offer,
+  coalesce(pr.tone, {_q(_FB['tone'])}) AS tone, CAST(coalesce(pr.response_rate, {_FB['response_rate']}) AS DOUBLE) AS response_rate,
+  CAST(coalesce(pr.budget_pct, {_FB['budget_pct']}) AS INTEGER) AS budget_pct
 FROM ({STRAT_BASE}) b LEFT JOIN {PROFILE_DIM} ON b.rfm_segment = pr.rfm_segment"""
 STRATEGY = f""", med AS (SELECT median(total_spend) AS ms, median(recency) AS mr, median(satisfaction_score) AS mq FROM labelled),
 lk AS ({LOOKUP}),
@@ -288,7 +283,7 @@ tot AS (SELECT rfm_segment, CAST(sum(customer_count) AS BIGINT) AS segment_custo
 aov AS (SELECT rfm_segment, avg(avg_order_value) AS segment_aov FROM labelled WHERE rfm_segment IS NOT NULL GROUP BY 1)
 SELECT tot.rfm_segment, tot.segment_customers, prim.response_rate AS primary_rate, aov.segment_aov,
   tot.segment_customers * prim.response_rate AS expected_orders,
-  tot.segment_customers * prim.response_rate * aov.segment_aov * 1.1 AS expected_lift
+  tot.segment_customers * prim.response_rate * aov.segment_aov * {min(2.0, 0.6 + 50000.0 / 100000.0)} AS expected_lift
 FROM tot JOIN prim ON tot.rfm_segment = prim.rfm_segment LEFT JOIN aov ON tot.rfm_segment = aov.rfm_segment"""))
 sql("kpi_strategy", on(L, STRATEGY + """ SELECT CAST(count(DISTINCT rfm_segment) AS DOUBLE) AS active_segments,
   avg(response_rate) AS avg_response_rate, avg(budget_pct) AS avg_budget_split,
