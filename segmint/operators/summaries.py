@@ -189,9 +189,10 @@ def lookup_persona(df: DataFrame) -> DataFrame:
     """All 8 personas with their stats; empty segments get zeros."""
     stats = persona_stats(df)
     total = _keyed(df, "rfm_segment").select(F.count(F.lit(1))).scalar()
-    personas = F.broadcast(persona_table(df.sparkSession))
+    # stats has one row per segment name of the closed 8-name set: broadcast
+    personas = persona_table(df.sparkSession)
     return (
-        personas.join(stats, "rfm_segment", "left")
+        personas.join(F.broadcast(stats), "rfm_segment", "left")
         .na.fill({"count": 0, "avg_spend": 0.0, "avg_recency": 0.0, "avg_frequency": 0.0})
         .withColumn("pct", F.when(total > 0, F.col("count") * 100.0 / total).otherwise(F.lit(0.0)))
     )
@@ -209,8 +210,9 @@ def segment_stats(df: DataFrame) -> DataFrame:
         F.avg("clv_12m").alias("avg_clv"),
     ]
     by_seg = _keyed(df, "rfm_segment").groupBy(F.col("rfm_segment").alias("segment")).agg(*aggs)
-    all_segs = F.broadcast(persona_table(df.sparkSession).select(F.col("rfm_segment").alias("segment")))
-    by_seg = all_segs.join(by_seg, "segment", "left").withColumn("scope", F.lit("rfm_segment"))
+    all_segs = persona_table(df.sparkSession).select(F.col("rfm_segment").alias("segment"))
+    # by_seg: one row per name of the closed 8-name segment set
+    by_seg = all_segs.join(F.broadcast(by_seg), "segment", "left").withColumn("scope", F.lit("rfm_segment"))
     by_cluster = (
         _keyed(df, "cluster_id")
         .groupBy(F.col("cluster_id").cast("string").alias("segment"))
