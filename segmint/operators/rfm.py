@@ -74,7 +74,9 @@ def apply_scores(base: DataFrame, scores: dict) -> DataFrame:
     )
 
 
-def rfm(df: DataFrame, as_of, tiebreak: str = "ingest_seq") -> DataFrame:
-    """Full RFM scoring of a customer table."""
+def rfm(df: DataFrame, as_of, tiebreak: str | None = None) -> DataFrame:
+    """Full RFM scoring of a customer table. Ties rank by ``tiebreak``
+    (default: ``ingest_seq`` when present, else ``customer_id``)."""
+    tiebreak = tiebreak or ("ingest_seq" if "ingest_seq" in df.columns else "customer_id")
     base = rfm_base(df, as_of)
     return apply_scores(base, score_columns(base, tiebreak))
