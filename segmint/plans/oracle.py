@@ -162,9 +162,10 @@ def _kpi(specs: list[tuple[str, str, str]], extra_ctes: str = "") -> str:
     rows = " UNION ALL ".join(f"SELECT '{n}' AS kpi, {n}__v AS value, {n}__b AS baseline FROM one" for n, _, _ in specs)
     return on(L, f"""{extra_ctes}, one AS (SELECT {aggs} FROM labelled), k AS ({rows})
 SELECT kpi, value, baseline,
-  CASE WHEN baseline = 0 THEN '0%' ELSE printf('%+.1f%%', (value - baseline) / abs(baseline) * 100.0) END AS delta,
-  CASE WHEN baseline = 0 THEN 'yellow' WHEN (value - baseline) / abs(baseline) * 100.0 >= 0 THEN 'green' ELSE 'red' END AS delta_color
-FROM k""")
+  CASE WHEN baseline = 0 THEN '0%' ELSE printf('%+.1f%%', pct) END AS delta,
+  CASE WHEN baseline = 0 THEN 'yellow' WHEN pct >= 0 THEN 'green' ELSE 'red' END AS delta_color
+FROM (SELECT *, CASE WHEN abs(value - baseline) <= abs(baseline) * 1e-12 THEN 0.0
+                     ELSE (value - baseline) / abs(baseline) * 100.0 END AS pct FROM k)""")
 
 
 def _fa(expr: str) -> str:
