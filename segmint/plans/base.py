@@ -21,7 +21,7 @@ from ..operators.clv import assign_clv_tier, historical_clv
 from ..operators.enrich import enrich
 from ..operators.rfm import rfm
 from ..session import ensure_checkpoint_dir
-from ..sources.snapshot import customer_snapshot
+from ..sources.snapshot import customer_snapshot, customer_snapshots
 from ..sources.tables import Tables
 
 _CACHE: dict = {}
@@ -56,6 +56,19 @@ def snapshot(spark: SparkSession, sf_dir: str, at: _dt.datetime | None = None) -
     return _CACHE[k]
 
 
+def snapshot_pair(spark: SparkSession, sf_dir: str, days: int = 30) -> tuple[DataFrame, DataFrame, _dt.datetime]:
+    """Snapshots at ``as_of − days`` and ``as_of`` from one pass over the
+    fact tables (conditional aggregates), materialised once."""
+    at = as_of(spark, sf_dir)
+    prior = at - _dt.timedelta(days=days)
+    k = _key(spark, sf_dir, "snapshot_pair", days)
+    if k not in _CACHE:
+        _CACHE[k] = materialize(customer_snapshots(Tables(spark, sf_dir), [prior, at]))
+    both = _CACHE[k]
+    pick = lambda a: both.where(F.col("as_of") == F.lit(a).cast("timestamp_ntz")).drop("as_of")
+    return pick(prior), pick(at), prior
+
+
 def customers(spark: SparkSession, sf_dir: str, at: _dt.datetime | None = None) -> DataFrame:
     """The enriched customer table (snapshot is unique per customer, so the
     dedup shuffle is skipped)."""

@@ -390,12 +390,20 @@ def node_labels(spark, sf_dir):
 
 @query
 def rfm_migration(spark, sf_dir):
-    import datetime as _dt
+    from ..operators.enrich import enrich as enrich_op
+    from ..operators.rfm import rfm as rfm_op
 
+    # both snapshots come from one pass over the fact tables
+    snap_prior, snap_now, prior_at = base.snapshot_pair(spark, sf_dir, 30)
     at = base.as_of(spark, sf_dir)
-    prior = base.scored(spark, sf_dir, at - _dt.timedelta(days=30)).select("customer_id", F.col("rfm_segment").alias("source"))
-    current = base.scored(spark, sf_dir).select("customer_id", F.col("rfm_segment").alias("target"))
-    return prior.join(current, "customer_id").groupBy("source", "target").agg(F.count(F.lit(1)).alias("value"))
+    prior = rfm_op(enrich_op(snap_prior, prior_at, dedup=False), prior_at)
+    current = rfm_op(enrich_op(snap_now, at, dedup=False), at)
+    return (
+        prior.select("customer_id", F.col("rfm_segment").alias("source"))
+        .join(current.select("customer_id", F.col("rfm_segment").alias("target")), "customer_id")
+        .groupBy("source", "target")
+        .agg(F.count(F.lit(1)).alias("value"))
+    )
 
 
 # --------------------------------------------------------------------------- scalar functions

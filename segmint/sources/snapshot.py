@@ -91,3 +91,67 @@ def customer_snapshot(t: Tables, as_of=None) -> DataFrame:
         .cast("bigint")
         .alias("loyalty_points"),
     )
+
+
+def customer_snapshots(t: Tables, as_of_list: list) -> DataFrame:
+    """Snapshots at several as-of instants from **one** scan and shuffle of
+    the fact tables: every per-customer measure is a conditional aggregate
+    per instant; the result is long, keyed by (``as_of``, customer). A
+    customer appears at an instant once it has an order by then."""
+    cols = [as_column(a) for a in as_of_list]
+    latest = cols[0] if len(cols) == 1 else F.greatest(*cols)
+    orders = t.orders.where(F.col("o_orderdate") <= latest).select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    lines = t.lineitem.groupBy("l_orderkey").agg(
+        F.count(F.lit(1)).alias("n_lines"),
+        F.sum(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("n_returned"),
+    )
+    per_order = orders.join(lines, orders["o_orderkey"] == lines["l_orderkey"], "left")
+    aggs = []
+    for i, a in enumerate(cols):
+        on = F.col("o_orderdate") <= a
+        aggs += [
+            F.count_if(on).alias(f"total_orders_{i}"),
+            F.sum(F.when(on, F.col("o_totalprice").cast("decimal(18,2)"))).cast("double").alias(f"total_spend_{i}"),
+            F.max(F.when(on, F.col("o_orderdate"))).alias(f"last_purchase_date_{i}"),
+            F.min(F.when(on, F.col("o_orderdate"))).alias(f"signup_date_{i}"),
+            F.sum(F.when(on, F.coalesce(F.col("n_lines"), F.lit(0))).otherwise(0)).alias(f"n_lines_{i}"),
+            F.sum(F.when(on, F.coalesce(F.col("n_returned"), F.lit(0))).otherwise(0)).alias(f"n_returned_{i}"),
+        ]
+    per_customer = per_order.groupBy("o_custkey").agg(*aggs)
+    fields = ["total_orders", "total_spend", "last_purchase_date", "signup_date", "n_lines", "n_returned"]
+    long = per_customer.select(
+        "o_custkey",
+        F.explode(
+            F.array(*[
+                F.struct(a.alias("as_of"), *[F.col(f"{f}_{i}").alias(f) for f in fields]) for i, a in enumerate(cols)
+            ])
+        ).alias("s"),
+    ).select("o_custkey", "s.*").where(F.col("total_orders") > 0)
+    errors = t.events.where(F.col("event_type") == "error").groupBy("user_id").agg(F.count(F.lit(1)).alias("n_errors"))
+    customers = t.customer.select("c_custkey", "c_nationkey", "c_mktsegment")
+    nation = t.nation.select("n_nationkey", "n_name")
+    joined = (
+        customers.join(long, customers["c_custkey"] == long["o_custkey"], "inner")
+        .join(nation, customers["c_nationkey"] == nation["n_nationkey"], "left")
+        .join(errors, customers["c_custkey"] == errors["user_id"], "left")
+    )
+    satisfaction = F.when(
+        F.col("n_lines") > 0,
+        F.lit(10.0) - F.lit(9.0) * F.col("n_returned").cast("double") / F.col("n_lines").cast("double"),
+    )
+    return joined.select(
+        "as_of",
+        F.col("c_custkey").cast("string").alias("customer_id"),
+        F.col("c_custkey").alias("ingest_seq"),
+        "last_purchase_date",
+        "signup_date",
+        "total_orders",
+        "total_spend",
+        F.col("n_name").alias("country"),
+        F.col("c_mktsegment").alias("channel"),
+        satisfaction.alias("satisfaction_score"),
+        F.coalesce(F.col("n_errors"), F.lit(0)).cast("bigint").alias("support_tickets_raised"),
+        (F.col("total_spend") * F.lit(LOYALTY_SPEND_RATE) + F.col("total_orders") * F.lit(LOYALTY_PER_ORDER))
+        .cast("bigint")
+        .alias("loyalty_points"),
+    )
