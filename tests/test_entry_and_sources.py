@@ -70,3 +70,20 @@ def test_validation_flags_missing_required(spark):
 def test_checkpoint_dir_is_set(spark):
     assert spark.sparkContext.getCheckpointDir()
     assert os.environ.get("HOME") is not None
+
+
+def test_multi_date_snapshot_equals_single_snapshots(spark):
+    import datetime as dt
+
+    from segmint.plans import base
+    from segmint.sources.snapshot import customer_snapshot, customer_snapshots
+    from segmint.sources.tables import Tables
+
+    t = Tables(spark, SF_SMALL)
+    at = base.as_of(spark, SF_SMALL)
+    dates = [at - dt.timedelta(days=400), at]
+    both = customer_snapshots(t, dates)
+    for d in dates:
+        one = sorted(map(tuple, customer_snapshot(t, d).collect()))
+        got = sorted(map(tuple, both.where(F.col("as_of") == F.lit(d).cast("timestamp_ntz")).drop("as_of").collect()))
+        assert got == one
