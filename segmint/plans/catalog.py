@@ -873,3 +873,35 @@ def clv_holdout_rmse(spark, sf_dir):
 def churn_holdout_report(spark, sf_dir):
     """Classification report of the churn forest on its stratified hold-out."""
     return EV.classification_report(MD.churn(spark, sf_dir).test)
+
+
+@query
+def kpi_clustering_fixed(spark, sf_dir):
+    """The clustering KPI row (selected labeling vs the best of all) over the
+    fixed labelings of ``embeddings``; the selected one is ``label``."""
+    comp = CL.algorithm_comparison(spark, _fixed_metrics(spark, sf_dir))
+    agg = comp.agg(
+        F.max("score").alias("best_score"), F.max("n_clusters").alias("max_clusters"),
+        F.max("silhouette").alias("best_silhouette"), F.min("davies_bouldin").alias("best_davies_bouldin"),
+    )
+    return comp.where(F.col("algorithm") == "label").select(
+        "algorithm", "score", "n_clusters", "silhouette", "davies_bouldin",
+        agg.select("best_score").scalar().alias("best_score"),
+        agg.select("max_clusters").scalar().alias("max_clusters"),
+        agg.select("best_silhouette").scalar().alias("best_silhouette"),
+        agg.select("best_davies_bouldin").scalar().alias("best_davies_bouldin"),
+    )
+
+
+@query
+def scenario_inputs(spark, sf_dir):
+    """What-if inputs before scoring: each segment's mean recency,
+    satisfaction and tickets over the exact population medians of the
+    other churn features (rule-labelled customers)."""
+    lab = _lab(spark, sf_dir)
+    scen = lab.groupBy("rfm_segment").agg(
+        F.avg("recency").alias("recency"),
+        F.avg("satisfaction_score").alias("satisfaction_score"),
+        F.avg("support_tickets_raised").alias("support_tickets_raised"),
+    )
+    return CHN.scenario_inputs(lab, scen)

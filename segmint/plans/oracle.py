@@ -580,3 +580,21 @@ sql("kmeans_select_fixed", _CANDS + f""",
 scored AS (SELECT *, 0.45 * {_norm('silhouette', True)} + 0.2 * {_norm('calinski_harabasz', True)}
                      + 0.2 * {_norm('davies_bouldin', False)} + 0.15 * {_norm('inertia', False)} AS score FROM cands)
 SELECT name AS labeling, n_clusters, inertia, score, row_number() OVER (ORDER BY score DESC, pos) = 1 AS is_best FROM scored""")
+
+sql("kpi_clustering_fixed", _CANDS + f""",
+scored AS (SELECT *, 0.5 * {_norm('silhouette', True)} + 0.25 * {_norm('davies_bouldin', False)}
+                     + 0.25 * {_norm('calinski_harabasz', True)} AS score FROM cands)
+SELECT name AS algorithm, score, n_clusters, silhouette, davies_bouldin,
+  (SELECT max(score) FROM scored) AS best_score, (SELECT max(n_clusters) FROM scored) AS max_clusters,
+  (SELECT max(silhouette) FROM scored) AS best_silhouette, (SELECT min(davies_bouldin) FROM scored) AS best_davies_bouldin
+FROM scored WHERE name = 'label'""")
+sql("scenario_inputs", on(L, """, med AS (SELECT median(recency) AS recency, median(frequency) AS frequency, median(monetary) AS monetary,
+  median(satisfaction_score) AS satisfaction_score, median(support_tickets_raised) AS support_tickets_raised,
+  median(days_since_last_purchase) AS days_since_last_purchase, median(cluster_id) AS cluster_id FROM labelled),
+scen AS (SELECT rfm_segment, avg(recency) AS recency, avg(satisfaction_score) AS satisfaction_score,
+  avg(support_tickets_raised) AS support_tickets_raised FROM labelled GROUP BY rfm_segment)
+SELECT s.rfm_segment, coalesce(s.recency, m.recency) AS recency, CAST(m.frequency AS DOUBLE) AS frequency,
+  CAST(m.monetary AS DOUBLE) AS monetary, coalesce(s.satisfaction_score, m.satisfaction_score) AS satisfaction_score,
+  coalesce(s.support_tickets_raised, m.support_tickets_raised) AS support_tickets_raised,
+  CAST(m.days_since_last_purchase AS DOUBLE) AS days_since_last_purchase, CAST(m.cluster_id AS DOUBLE) AS cluster_id
+FROM scen s, med m"""))
