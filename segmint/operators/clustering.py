@@ -251,3 +251,38 @@ def pca_projection(df: DataFrame, features: str = "features", k: int = 3):
     names = ["pca_x", "pca_y", "pca_z"][:kk]
     out = out.withColumns({n: F.col("_pa")[i] for i, n in enumerate(names)}).drop("_c", "_p", "_pa")
     return out, list(model.explainedVariance.toArray())
+
+
+def kmeans_sweep_shared(
+    points: DataFrame,
+    k_range=KMEANS_K_RANGE,
+    restarts: int = KMEANS_RESTARTS,
+    seed: int = SEED,
+) -> SweepResult:
+    """The same sweep and selection as ``kmeans_sweep``, with all k × restart
+    fits sharing each data pass (``multikmeans``). ``points``: (pid, x, …),
+    materialised. ``model`` of each run holds its centres (k × d)."""
+    from .multikmeans import assign, multi_kmeans
+
+    n = points.count()
+    ks = [k for k in k_range if k < n] or [max(1, n - 1)]
+    fits = [(k, r) for k in ks for r in range(restarts)]
+    res = multi_kmeans(points.select("pid", "x"), fits, seed)
+    best_of: dict = {}
+    for f, (k, _) in enumerate(fits):  # restarts in order: first minimum wins
+        c, inertia = res[f]
+        if k not in best_of or inertia < best_of[k][1]:
+            best_of[k] = (c, inertia)
+
+    def run(k):
+        c, inertia = best_of[k]
+        lab = assign(points.select("pid", "x"), c, "_km")
+        return KMeansRun(k, c, float(inertia), cluster_metrics(lab, "x", "_km"))
+
+    with ThreadPoolExecutor(max_workers=8) as pool:
+        runs = list(pool.map(run, ks))
+    for r, sc in zip(runs, selection_scores([(r.k, r.metrics, r.inertia) for r in runs])):
+        r.score = sc
+    best = max(runs, key=lambda r: r.score)
+    labels = assign(points, best.model, "kmeans_label")
+    return SweepResult(runs, best, labels)

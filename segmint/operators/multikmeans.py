@@ -1,0 +1,191 @@
+"""Many K-means fits sharing every data pass.
+
+The sweep fits k = 2..10 with 10 restarts each: 90 independent fits. Run one
+by one, each Lloyd iteration of each fit is its own Spark job and its own
+pass over the data. Here one pass serves all fits still moving:
+
+* **k-means++ initialisation**, all fits at once: step j picks fit f's next
+  centre with probability ∝ D²(x) by an exponential race — key
+  −log(u_f,j(x)) / D²(x), smallest key wins. u is a 64-bit hash of (point id,
+  fit, step), so the choice does not depend on partitioning or retries.
+  Each batch emits its best candidate per fit (≤ fits rows); a grouped
+  ``min_by`` keeps the global best. One pass per step (k_max − 1 passes).
+* **Lloyd iterations**: each batch assigns its points to the nearest centre
+  of every active fit (NumPy on Arrow batches) and emits partial per-cluster
+  sums; ``Summarizer.sum`` grouped by (fit, cluster) combines them (partial
+  aggregation). The new centres (fits × k × d numbers, independent of the
+  data size) come back to the driver. A fit stops when its centres move
+  less than tol × the mean feature variance (squared); empty clusters keep
+  their centre.
+
+Centres are broadcast per pass (bounded by fits × k_max × d).
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+_MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+def _splitmix(z: np.ndarray) -> np.ndarray:
+    z = (z + np.uint64(0x9E3779B97F4A7C15)) & _MASK
+    z = ((z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)) & _MASK
+    z = ((z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)) & _MASK
+    return z ^ (z >> np.uint64(31))
+
+
+def _uniform(pid: np.ndarray, fit: int, step: int, seed: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        salt = np.uint64((seed * 1_000_003 + fit * 9_176 + step * 131) & 0xFFFFFFFFFFFFFFFF)
+        h = _splitmix(pid.astype(np.uint64) ^ _splitmix(np.array([salt], dtype=np.uint64))[0])
+    return ((h >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
+
+
+def _xs(b: pd.DataFrame) -> np.ndarray:
+    return np.vstack([np.asarray(v, dtype=float) for v in b["x"]])
+
+
+def _sqdist(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return np.maximum((x * x).sum(1)[:, None] - 2.0 * x @ c.T + (c * c).sum(1)[None, :], 0.0)
+
+
+def multi_kmeans(points: DataFrame, fits: list[tuple[int, int]], seed: int = 42, max_iter: int = 300, tol: float = 1e-4):
+    """``points``: (pid long, x array<double>), ideally materialised.
+    ``fits``: [(k, restart)]. Returns {fit index: (centres k×d, inertia)}."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
+
+    spark = points.sparkSession
+    sc = spark.sparkContext
+    nf = len(fits)
+    ks = [k for k, _ in fits]
+    var = points.select(Summarizer.variance(array_to_vector("x")).alias("v")).first()["v"].toArray()
+    thresh = tol * float(np.mean(var)) if len(var) else 0.0
+
+    # ---- k-means++ (exponential race), one pass per step ----------------
+    centres: list[list[np.ndarray]] = [[] for _ in range(nf)]
+    for step in range(max(ks)):
+        active = [f for f in range(nf) if len(centres[f]) < ks[f]]
+        if not active:
+            break
+        bc = sc.broadcast((active, [np.array(centres[f]) for f in active], [fits[f][1] for f in active]))
+
+        def pick(batches, bc=bc, step=step):
+            act, cur, restarts = bc.value
+            for b in batches:
+                if b.empty:
+                    continue
+                x, pid = _xs(b), b["pid"].to_numpy(dtype=np.int64)
+                rows = []
+                for j, f in enumerate(act):
+                    u = _uniform(pid, f, step, seed + restarts[j])
+                    if len(cur[j]) == 0:
+                        key = -np.log(u)
+                    else:
+                        d2 = _sqdist(x, cur[j]).min(axis=1)
+                        with np.errstate(divide="ignore"):
+                            key = np.where(d2 > 0, -np.log(u) / d2, np.inf)
+                    i = int(np.argmin(key))
+                    if np.isfinite(key[i]):
+                        rows.append((f, float(key[i]), int(pid[i]), x[i].tolist()))
+                if rows:
+                    yield pd.DataFrame(rows, columns=["fit", "key", "pid", "x"])
+
+        best = (
+            points.select("pid", "x")
+            .mapInPandas(pick, "fit int, key double, pid long, x array<double>")
+            .groupBy("fit")
+            .agg(F.min_by(F.struct("x"), F.struct("key", "pid")).alias("c"))
+            .collect()
+        )  # ≤ fits rows
+        chosen = {r["fit"]: np.asarray(r["c"]["x"], dtype=float) for r in best}
+        for f in active:
+            if f in chosen:
+                centres[f].append(chosen[f])
+            else:  # fewer distinct points than k: repeat the last centre
+                centres[f].append(centres[f][-1])
+        bc.unpersist()
+    cent = [np.array(c) for c in centres]
+
+    # ---- Lloyd iterations, one pass per iteration ------------------------
+    def partials(act, cur):
+        bc = sc.broadcast((act, cur))
+
+        def fn(batches):
+            a, c = bc.value
+            for b in batches:
+                if b.empty:
+                    continue
+                x = _xs(b)
+                out_fit, out_cl, out_n, out_s, out_e = [], [], [], [], []
+                for j, f in enumerate(a):
+                    d2 = _sqdist(x, c[j])
+                    lab = d2.argmin(axis=1)
+                    err = d2[np.arange(len(x)), lab]
+                    for cl in np.unique(lab):
+                        m = lab == cl
+                        out_fit.append(f)
+                        out_cl.append(int(cl))
+                        out_n.append(int(m.sum()))
+                        out_s.append(x[m].sum(axis=0).tolist())
+                        out_e.append(float(err[m].sum()))
+                yield pd.DataFrame({"fit": out_fit, "cl": out_cl, "n": out_n, "s": out_s, "e": out_e})
+
+        agg = (
+            points.select("x")
+            .mapInPandas(fn, "fit int, cl int, n long, s array<double>, e double")
+            .groupBy("fit", "cl")
+            .agg(F.sum("n").alias("n"), Summarizer.sum(array_to_vector("s")).alias("s"), F.sum("e").alias("e"))
+            .collect()
+        )  # ≤ fits × k rows
+        bc.unpersist()
+        return agg
+
+    active = list(range(nf))
+    for _ in range(max_iter):
+        if not active:
+            break
+        agg = partials(active, [cent[f] for f in active])
+        moved = {f: False for f in active}
+        new = {f: cent[f].copy() for f in active}
+        for r in agg:
+            if r["n"] > 0:
+                new[r["fit"]][r["cl"]] = r["s"].toArray() / r["n"]
+        still = []
+        for f in active:
+            shift = float(((new[f] - cent[f]) ** 2).sum())
+            cent[f] = new[f]
+            moved[f] = shift > thresh
+            if moved[f]:
+                still.append(f)
+        active = still
+    # final inertia with the final centres
+    agg = partials(list(range(nf)), cent)
+    inertia = {f: 0.0 for f in range(nf)}
+    for r in agg:
+        inertia[r["fit"]] += r["e"]
+    return {f: (cent[f], inertia[f]) for f in range(nf)}
+
+
+def assign(points: DataFrame, centres: np.ndarray, out: str = "label") -> DataFrame:
+    """Nearest-centre label for every row (a projection on Arrow batches)."""
+    bc = points.sparkSession.sparkContext.broadcast(np.asarray(centres, dtype=float))
+    cols = points.columns
+
+    def fn(batches):
+        c = bc.value
+        for b in batches:
+            if b.empty:
+                continue
+            b = b.copy()
+            b[out] = _sqdist(_xs(b), c).argmin(axis=1).astype("int32")
+            yield b
+
+    from pyspark.sql.types import IntegerType, StructType
+
+    schema = StructType(list(points.select(*cols).schema.fields)).add(out, IntegerType())
+    return points.select(*cols).mapInPandas(fn, schema)

@@ -1,0 +1,49 @@
+"""Shared-pass K-means: fixed points of Lloyd's, exact inertia, partition
+invariance and the selection on well-separated blobs."""
+
+import numpy as np
+import pytest
+
+from segmint.operators.multikmeans import multi_kmeans
+
+
+def _pts(spark, x, parts=4):
+    return spark.createDataFrame([(int(i), x[i].tolist()) for i in range(len(x))], "pid long, x array<double>").repartition(parts)
+
+
+def test_lloyd_fixed_points_and_inertia(spark):
+    rng = np.random.default_rng(2)
+    x = np.vstack([rng.normal(c, 0.3, size=(40, 3)) for c in (0, 3, 6)])
+    fits = [(2, 0), (3, 0), (3, 1), (4, 0)]
+    res = multi_kmeans(_pts(spark, x), fits, seed=7)
+    for f, (k, _) in enumerate(fits):
+        c, inertia = res[f]
+        assert c.shape == (k, 3)
+        d2 = ((x[:, None, :] - c[None, :, :]) ** 2).sum(-1)
+        lab = d2.argmin(1)
+        assert inertia == pytest.approx(d2.min(1).sum(), rel=1e-9)
+        for j in range(k):  # converged: each centre is the mean of its points
+            if (lab == j).any():
+                assert np.allclose(c[j], x[lab == j].mean(0), atol=1e-3)
+    # three separated blobs: k = 3 reaches the small inertia
+    assert res[1][1] < 0.2 * res[0][1]
+
+
+def test_partition_invariance(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(120, 4))
+    a = multi_kmeans(_pts(spark, x, 1), [(3, 0), (5, 1)], seed=1)
+    b = multi_kmeans(_pts(spark, x, 7), [(3, 0), (5, 1)], seed=1)
+    for f in a:
+        assert np.allclose(a[f][0], b[f][0]) and a[f][1] == pytest.approx(b[f][1])
+
+
+def test_sweep_picks_three_blobs(spark):
+    from segmint.operators.clustering import kmeans_sweep_shared
+
+    rng = np.random.default_rng(4)
+    x = np.vstack([rng.normal(c, 0.2, size=(50, 2)) for c in ((0, 0), (5, 0), (0, 5))])
+    pts = spark.createDataFrame([(int(i), x[i].tolist()) for i in range(len(x))], "pid long, x array<double>")
+    sw = kmeans_sweep_shared(pts, k_range=range(2, 6), restarts=3)
+    assert sw.best.k == 3
+    assert sw.labels.select("kmeans_label").distinct().count() == 3
