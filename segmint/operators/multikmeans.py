@@ -121,18 +121,25 @@ def multi_kmeans(points: DataFrame, fits: list[tuple[int, int]], seed: int = 42,
                 if b.empty:
                     continue
                 x = _xs(b)
+                xn = (x * x).sum(1)
                 out_fit, out_cl, out_n, out_s, out_e = [], [], [], [], []
                 for j, f in enumerate(a):
-                    d2 = _sqdist(x, c[j])
+                    cj = c[j]
+                    k = len(cj)
+                    d2 = np.maximum(xn[:, None] - 2.0 * x @ cj.T + (cj * cj).sum(1)[None, :], 0.0)
                     lab = d2.argmin(axis=1)
                     err = d2[np.arange(len(x)), lab]
-                    for cl in np.unique(lab):
-                        m = lab == cl
-                        out_fit.append(f)
-                        out_cl.append(int(cl))
-                        out_n.append(int(m.sum()))
-                        out_s.append(x[m].sum(axis=0).tolist())
-                        out_e.append(float(err[m].sum()))
+                    onehot = np.zeros((len(x), k))
+                    onehot[np.arange(len(x)), lab] = 1.0
+                    sums = onehot.T @ x  # k × d via BLAS
+                    cnt = np.bincount(lab, minlength=k)
+                    sse = np.bincount(lab, weights=err, minlength=k)
+                    nz = np.nonzero(cnt)[0]
+                    out_fit.extend([f] * len(nz))
+                    out_cl.extend(nz.tolist())
+                    out_n.extend(cnt[nz].tolist())
+                    out_s.extend(sums[nz].tolist())
+                    out_e.extend(sse[nz].tolist())
                 yield pd.DataFrame({"fit": out_fit, "cl": out_cl, "n": out_n, "s": out_s, "e": out_e})
 
         agg = (
