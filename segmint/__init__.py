@@ -15,3 +15,11 @@ package is organised as:
 
 __all__ = ["__version__"]
 __version__ = "0.1.0"
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run inside tasks are shipped by value, so executors need no
+# installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
