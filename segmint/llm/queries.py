@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality, sql
+from ..session import scratch_path
+from . import license_scan, quality, sql, warc
 from .common import table
 
 
@@ -14,10 +16,34 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes every page, reads the archives back; the digest of a response
+    is that of the bytes read."""
+    path = scratch_path(spark, "warc")
+    warc.write_archive(warc.page_records(table(spark, sf_dir, "pages")), path)
+    back = warc.read_archive(spark, path)
+    ident = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
+    return back.select(
+        ident(F.col("record_id")).alias("page_id"),
+        F.coalesce(F.octet_length("payload").cast("long"), F.col("payload_length")).alias("payload_bytes"),
+        F.coalesce(F.sha2("payload", 256), F.substring_index("payload_digest", ":", -1)).alias("payload_digest"),
+        "record_type",
+        ident(F.col("refers_to")).alias("refers_to"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_license_scan": op4_license_scan,
     "op8_quality_rules": op8_quality_rules,
+    "op10_warc": op10_warc,
 }
 
 ORACLE: dict[str, str] = {
+    "op4_license_scan": sql.op4(license_scan.SENTENCES, license_scan.RULES),
     "op8_quality_rules": sql.OP8,
+    "op10_warc": sql.OP10,
 }

@@ -58,3 +58,50 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND reasons = '' AS kept, reasons
 FROM judged
 """
+
+
+def op4(sentences: dict[str, str], rules: list[tuple[str, list[str]]]) -> str:
+    """The licence scan over every sentence and pattern."""
+    known = ", ".join(f"('{k}', '{p}')" for k, p in sentences.items())
+    rows = ", ".join(f"('{name}', ',{','.join(ids)},')" for name, ids in rules)
+    return rf"""
+WITH known(sentence_id, pattern) AS (VALUES {known}), rules(license, ids) AS (VALUES {rows}),
+broken AS (
+  SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '\n[ \t\r]*\n', chr(1), 'g'), '([.!?;:])[ \t\r\n]+', '\1' || chr(1), 'g') AS t
+  FROM documents
+), raw AS (
+  SELECT doc_id, unnest(string_split(t, chr(1))) AS raw, generate_subscripts(string_split(t, chr(1)), 1) AS pos FROM broken
+), cut AS (
+  SELECT doc_id, pos, CASE WHEN contains(raw, chr(10)) THEN list_prepend(raw, string_split(raw, chr(10))) ELSE [raw] END AS p FROM raw
+), pieces AS (
+  SELECT doc_id, pos, unnest(p) AS raw, generate_subscripts(p, 1) AS piece FROM cut
+), s AS (
+  SELECT doc_id, pos, piece, trim(regexp_replace(lower(raw), '[^a-z0-9]+', ' ', 'g')) AS sentence FROM pieces
+), hits AS (
+  SELECT doc_id, pos, piece, sentence_id FROM s JOIN known
+  ON split_part(sentence, ' ', 1) = split_part(pattern, ' ', 1) AND regexp_full_match(sentence, pattern)
+), seq AS (
+  SELECT doc_id, count(*)::BIGINT AS n_sentences, string_agg(sentence_id, ',' ORDER BY pos, piece, sentence_id) AS sentence_ids
+  FROM hits GROUP BY doc_id
+), held AS (
+  SELECT DISTINCT doc_id, license, ids FROM seq, rules WHERE contains(',' || sentence_ids || ',', ids)
+), longest AS (
+  SELECT doc_id, license FROM held a
+  WHERE NOT EXISTS (SELECT 1 FROM held b WHERE b.doc_id IS NOT DISTINCT FROM a.doc_id AND b.ids <> a.ids AND contains(b.ids, a.ids))
+)
+SELECT doc_id, n_sentences, sentence_ids, coalesce(l.licenses, '') AS licenses
+FROM seq LEFT JOIN (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses FROM longest GROUP BY doc_id) l USING (doc_id)
+"""
+
+
+OP10 = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, ''))::BIGINT AS n, sha256(coalesce(html, '')) AS d FROM pages
+), q AS (
+  SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY d) END AS first_id FROM p
+)
+SELECT page_id, n AS payload_bytes, d AS payload_digest,
+       CASE WHEN first_id < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first_id < page_id THEN first_id END AS refers_to
+FROM q
+"""
