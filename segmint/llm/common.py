@@ -102,3 +102,32 @@ def text_rows(batches, names: tuple[str, ...], rows: int = 512) -> Iterator[list
         cols = [b.column(b.schema.get_field_index(n)) for n in names]
         for lo in range(0, b.num_rows, rows):
             yield [c.slice(lo, rows).to_pylist() for c in cols]
+
+
+class Generations:
+    """A bounded cache in two generations. When ``now`` is full it becomes
+    ``old``; what is asked for again moves back, the rest goes."""
+
+    def __init__(self, limit: int = 300_000):
+        self.limit = limit
+        self.now: dict = {}
+        self.old: dict = {}
+
+    def values(self, units: list[list], learn) -> list[list]:
+        """The value of every unit. ``learn(list)`` gives the values of the
+        units that neither generation has."""
+        get = self.now.get
+        found = [list(map(get, u)) for u in units]
+        miss = {c for u, v in zip(units, found) if None in v for c, x in zip(u, v) if x is None}
+        if miss:
+            again = miss & self.old.keys()
+            new = {c: self.old[c] for c in again}
+            todo = list(miss - again)
+            new.update(zip(todo, learn(todo)))
+            if len(self.now) + len(new) > self.limit:
+                self.old, self.now = self.now, {}
+            self.now.update(new)
+            for u, v in zip(units, found):
+                if None in v:
+                    v[:] = [new[c] if x is None else x for c, x in zip(u, v)]
+        return found
