@@ -53,14 +53,18 @@ class Merges:
         return np.where(hit, self.ranks[at], NONE), self.made[at]
 
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all words one after another, number of ids of each word)."""
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        sym = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
+        """``encode_flat`` of a list."""
+        return self.encode_flat(np.frombuffer(b"".join(words), np.uint8), np.fromiter(map(len, words), np.int64, len(words)))
+
+    def encode_flat(self, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words one after another, number of ids of each word);
+        ``data`` holds the words' bytes one after another."""
+        sym = self.byte_ids[data]
         filled = sizes > 0
         last = np.cumsum(sizes)[filled] - 1
         if len(last):
-            sym[last] = self.end_ids[np.frombuffer(b"".join(w[-1:] for w in words), np.uint8)]
-        word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+            sym[last] = self.end_ids[data[last]]
+        word = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         done_sym, done_word = [], []
         rank = np.full(len(sym), NONE, np.int32)
         made = np.full(len(sym), -1, np.int32)
@@ -103,7 +107,7 @@ class Merges:
         if done_sym:
             sym, word = np.concatenate(done_sym), np.concatenate(done_word)
             sym = sym[np.argsort(word, kind="stable")]
-        return sym.astype(np.uint32), np.bincount(word, minlength=len(words))
+        return sym.astype(np.uint32), np.bincount(word, minlength=len(sizes))
 
 
 class ByteBpe:

@@ -1,11 +1,14 @@
-"""Token ids of whole texts under ``word_bpe_49k.json``, chunk by chunk.
+"""Token ids of whole texts under ``word_bpe_49k.json``, pre-token by
+pre-token.
 
 The vocabulary drops white space and nothing in it reaches across ASCII white
-space (NFC, lower case and the split pattern act inside a chunk; special
-strings hold no white space). So the ids of a text are the ids of its chunks
-one after another, and a worker tokenises a chunk once. Plain chunks (visible
-ASCII and the letters of Latin-1, where NFC and lower case are simple) go
-through the batched merge rounds, all others through the library.
+space (NFC, lower case and the split pattern act inside a chunk between white
+space; special strings hold none). Plain texts (printable ASCII and the
+letters of Latin-1, where NFC and lower case are simple; no "<|", with which
+special strings begin) are handled as byte arrays: lower case by table,
+pre-tokens by class changes, a 64-bit hash per pre-token, a sorted table of
+known pre-tokens, merge rounds for the unknown ones. Other texts go chunk by
+chunk through a cache; chunks that are not plain go to the library.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ import re
 import numpy as np
 
 from .byte_bpe import Merges
-from .common import Generations, worker_state
+from .common import Generations, mix, worker_state
 
 WORD_BPE = "word_bpe_49k.json"
 #: Chunks whose ids the batched rounds give; "<|" could begin a special string.
@@ -89,8 +92,198 @@ class ChunkIds:
         return [b"".join(v) for v in found]
 
 
-def load_chunks(path: str) -> ChunkIds:
+#: Bytes of plain texts: ASCII white space, printable ASCII, U+00C0-U+00FF.
+PLAIN_BYTES = bytes([*range(0x09, 0x0E), *range(0x20, 0x7F), *range(0x80, 0xC0), 0xC3])
+
+
+def is_plain(t: bytes) -> bool:
+    """× and ÷ (C3 97, C3 B7) are no letters, so texts with them are not."""
+    return not t.translate(None, PLAIN_BYTES) and b"<|" not in t and (t.isascii() or (b"\xc3\x97" not in t and b"\xc3\xb7" not in t))
+
+
+def _classes() -> np.ndarray:
+    c = np.full(256, 3, np.uint8)
+    c[[0x20, *range(0x09, 0x0E)]] = 0
+    c[range(ord("a"), ord("z") + 1)] = 1
+    c[0x80:] = 1
+    c[range(ord("0"), ord("9") + 1)] = 2
+    return c
+
+
+CLASSES = _classes()
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[ord("A") : ord("Z") + 1] += 0x20
+BASE = 0x9E3779B97F4A7C15
+#: The contractions that are pre-tokens of their own, after the apostrophe.
+CONTRACTIONS = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
+
+
+class PreTokens:
+    """The pre-tokens of plain texts as arrays: ``data`` (lower-cased bytes),
+    ``starts``, ``sizes``, ``hashes`` and ``first`` (index of the first
+    pre-token of each text, and the number of all)."""
+
+    def __init__(self, texts: list[bytes]):
+        raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+        data = LOWER[raw]
+        after = np.flatnonzero(raw[:-1] == 0xC3) + 1
+        after = after[(raw[after] >= 0x80) & (raw[after] <= 0x9E)]
+        data[after] += 0x20
+        cls = CLASSES[data]
+        cut = np.ones(len(data) + 1, bool)
+        cut[1:-1] = (cls[1:] != cls[:-1]) | (cls[1:] == 2)
+        quote = np.flatnonzero(data == 0x27)
+        if len(quote):
+            quote = quote[(quote == 0) | (cls[quote - 1] != 3)]
+            open_ = np.ones(len(quote), bool)
+            for c in CONTRACTIONS:
+                n = len(c)
+                fits = quote + n < len(data)
+                hit = open_ & fits
+                for j in range(n):
+                    hit &= data[np.minimum(quote + 1 + j, len(data) - 1)] == c[j]
+                open_ &= ~hit
+                at = quote[hit]
+                for j in range(n):
+                    cut[at + 1 + j] = False
+                cut[at + 1 + n] = True
+        pts = np.flatnonzero(cut)
+        keep = cls[pts[:-1]] != 0
+        starts = pts[:-1][keep]
+        ends = pts[1:][keep]
+        n = len(data)
+        up, down = powers(n)
+        run = np.r_[np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up)]
+        self.data, self.starts, self.sizes = data, starts, ends - starts
+        self.hashes = mix((run[ends] - run[starts]) * down[starts] + self.sizes.astype(np.uint64))
+        begin = np.cumsum([0] + [len(t) + 1 for t in texts])
+        self.first = np.searchsorted(starts, begin)
+
+    def bytes_of(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sizes = self.sizes[which]
+        return self.data[ragged(self.starts[which], sizes)], sizes
+
+
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Indices of the runs [start, start + size), one after another."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse modulo 2^64."""
+    state = worker_state()
+    have = state.get("powers")
+    if have is None or len(have[0]) < n:
+        up = np.full(n, BASE, np.uint64)
+        down = np.full(n, pow(BASE, -1, 1 << 64), np.uint64)
+        up[0] = down[0] = 1
+        have = state["powers"] = (np.cumprod(up), np.cumprod(down))
+    return have[0][:n], have[1][:n]
+
+
+class Table:
+    """Known pre-tokens: sorted hashes with number and place of their ids.
+    Bounded: beyond ``limit`` pre-tokens it starts anew."""
+
+    def __init__(self, merges: Merges, limit: int = 1_500_000):
+        self.merges, self.limit = merges, limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.hashes = np.empty(0, np.uint64)
+        self.counts = np.empty(0, np.int32)
+        self.places = np.empty(0, np.int64)
+        self.pool = np.empty(0, np.uint32)
+
+    def rows(self, p: PreTokens, u: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Rows of the distinct hashes ``u`` (ascending; ``at``: where in
+        ``p``), which are entered if they are unknown."""
+        new = self.unknown(u)
+        if new.any():
+            if len(self.hashes) + new.sum() > self.limit:
+                self.clear()
+                new[:] = True
+            ids, counts = self.merges.encode_flat(*p.bytes_of(at[new]))
+            where = np.searchsorted(self.hashes, u[new])
+            places = len(self.pool) + np.cumsum(counts) - counts
+            self.pool = np.concatenate([self.pool, ids])
+            self.hashes = np.insert(self.hashes, where, u[new])
+            self.counts = np.insert(self.counts, where, counts.astype(np.int32))
+            self.places = np.insert(self.places, where, places)
+        return np.searchsorted(self.hashes, u)
+
+    def unknown(self, u: np.ndarray) -> np.ndarray:
+        return ~within(self.hashes, u)[0]
+
+
+def within(table: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which of ``u`` are in the ascending ``table``, where)."""
+    if not len(table):
+        return np.zeros(len(u), bool), np.zeros(len(u), np.int64)
+    at = np.minimum(np.searchsorted(table, u), len(table) - 1)
+    return table[at] == u, at
+
+
+class TextIds:
+    """Ids of texts, plain ones by arrays, others chunk by chunk."""
+
+    def __init__(self, path: str, batch_bytes: int = 2 << 20):
+        self.chunks = ChunkIds(path, 150_000)
+        self.table = Table(self.chunks.merges)
+        self.batch_bytes = batch_bytes
+
+    def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        """uint32 ids of each text; none for null."""
+        out: list = [np.empty(0, np.uint32)] * len(texts)
+        for which in self.plain_batches(texts):
+            p = PreTokens([texts[k] for k in which])
+            u, at, inverse = np.unique(p.hashes, return_index=True, return_inverse=True)
+            rows = self.table.rows(p, u, at)[inverse]
+            counts = self.table.counts[rows]
+            ids = self.table.pool[ragged(self.table.places[rows], counts)]
+            ends = np.r_[0, np.cumsum(counts)][p.first]
+            for j, k in enumerate(which):
+                out[k] = ids[ends[j] : ends[j + 1]]
+        other = [k for k, t in enumerate(texts) if t and not is_plain(t)]
+        for k, ids in zip(other, self.chunks.texts([texts[k] for k in other])):
+            out[k] = np.frombuffer(ids, np.uint32)
+        return out
+
+    def count(self, texts: list[bytes | None], frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Number of ids of each text: ``frequent`` (ascending hashes, numbers
+        of ids) is asked first, then the worker's own table."""
+        out = np.zeros(len(texts), np.int64)
+        for which in self.plain_batches(texts):
+            p = PreTokens([texts[k] for k in which])
+            u, at, inverse = np.unique(p.hashes, return_index=True, return_inverse=True)
+            hit, place = within(frequent[0], u)
+            n = np.zeros(len(u), np.int64)
+            n[hit] = frequent[1][place[hit]]
+            rows = self.table.rows(p, u[~hit], at[~hit])
+            n[~hit] = self.table.counts[rows]
+            run = np.r_[0, np.cumsum(n[inverse])]
+            out[which] = np.diff(run[p.first])
+        other = [k for k, t in enumerate(texts) if t and not is_plain(t)]
+        out[other] = [len(x) // 4 for x in self.chunks.texts([texts[k] for k in other])]
+        return out
+
+    def plain_batches(self, texts: list[bytes | None]):
+        """Indices of the plain texts, some megabytes at a time."""
+        part, size = [], 0
+        for k, t in enumerate(texts):
+            if t and is_plain(t):
+                part.append(k)
+                size += len(t)
+                if size > self.batch_bytes:
+                    yield part
+                    part, size = [], 0
+        if part:
+            yield part
+
+
+def load_texts(path: str) -> TextIds:
     state = worker_state()
-    if ("chunks", path) not in state:
-        state[("chunks", path)] = ChunkIds(path)
-    return state[("chunks", path)]
+    if ("texts", path) not in state:
+        state[("texts", path)] = TextIds(path)
+    return state[("texts", path)]
