@@ -84,7 +84,7 @@ def shingle_hashes(h: np.ndarray, k: int = SHINGLE) -> np.ndarray:
     if n == 0:
         return np.empty(0, np.uint64)
     m = min(n, k)
-    out = np.full(n - m + 1, np.uint64(m) * MULTIPLIERS[0], np.uint64)
+    out = np.full(n - m + 1, m, np.uint64) * MULTIPLIERS[0]
     for j in range(m):
         out += h[j : n - m + 1 + j] * MULTIPLIERS[j]
     return mix(out)
