@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import byte_bpe, fingerprints, jaccard_join, license_scan, packing, quality, sql, token_count, toxicity, warc
+from . import byte_bpe, fingerprints, jaccard_join, license_scan, packing, quality, sql, substring_dedup, token_count, toxicity, warc
 from .common import table
 
 
@@ -52,6 +52,11 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.removed_passages(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "start_byte", "end_byte", "n_words", "kept_doc_id")
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes every page, reads the archives back; the digest of a response
     is that of the bytes read."""
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_quality_rules": op8_quality_rules,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_warc": op10_warc,
 }
 
