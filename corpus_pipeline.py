@@ -1,32 +1,66 @@
-"""The corpus pipeline; its stages follow with their operators."""
+"""The corpus pipeline: toxicity, quality rules, near duplicates, repeated
+passages, packing.
+
+Each stage is a function (spark, docs, sf_dir) -> DataFrame that applies one
+operator of ``segmint.llm`` to all rows its predecessor kept. All but the last
+return the columns of ``documents``; ``run`` writes each result to the shared
+folder as Parquet and reads it again as the next stage's input.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from segmint.llm import quality
+from segmint.llm import jaccard_join, packing, quality, substring_dedup, toxicity
+from segmint.llm.common import materialize, table
 
+#: No SQL expresses the classifier, the joins on sets or the packing.
 ORACLE_SQL = None
 
 
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier calls toxic go. It learns from the
+    labelled documents among ``docs``."""
+    return toxicity.filter_documents(docs, table(spark, sf_dir, "labels"))
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the adaptive quality rules reject go."""
     return quality.filter_documents(docs)
 
 
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest id stays."""
+    return jaccard_join.one_of_each(docs)
+
+
+def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document has go out of the texts; n_chars is
+    counted anew."""
+    return substring_dedup.without_repeats(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token ids with their places in sequences of 4096."""
+    out = packing.pack_documents(docs, keep={"ids_crc32": F.crc32("ids")})
+    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxicity_stage),
     ("quality_rules", quality_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("repeated_passages", passage_stage),
+    ("packing", packing_stage),
 ]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to ``documents``; each stage's rows are written to
-    the shared folder as Parquet and read again as the next one's."""
-    from segmint.llm.common import materialize
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Applies the stages to ``documents``."""
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
