@@ -44,16 +44,16 @@ def revenue_by_segment(df: DataFrame) -> DataFrame:
     return (
         _keyed(df, "rfm_segment")
         .groupBy("rfm_segment")
-        .agg(F.sum("total_spend").alias("total_spend"))
+        .agg(F.sum(F.col("total_spend").cast("decimal(18,2)")).cast("double").alias("total_spend"))
         .orderBy(F.col("total_spend").desc_nulls_last(), F.col("rfm_segment"))
     )
 
 
 def segment_share(df: DataFrame) -> DataFrame:
-    """Count and percentage of all keyed rows per segment."""
-    counts = segment_counts(df)
-    total = _keyed(df, "rfm_segment").select(F.count(F.lit(1))).scalar()
-    return counts.withColumn("pct", F.col("count") * 100.0 / total)
+    """Count and percentage of all keyed rows per segment; the total is the
+    sum of the segment counts."""
+    whole = Window.partitionBy()  # over one row a segment
+    return segment_counts(df).withColumn("pct", F.col("count") * 100.0 / F.sum("count").over(whole))
 
 
 def monthly_signups(df: DataFrame, date_col: str = "signup_date") -> DataFrame:
@@ -71,19 +71,17 @@ def monthly_signups(df: DataFrame, date_col: str = "signup_date") -> DataFrame:
     )
 
 
-SAT_BUCKETS = list(range(1, 11))
-
-
 def spend_satisfaction_pivot(df: DataFrame) -> DataFrame:
-    """Mean spend by segment × half-even-rounded satisfaction (1..10 listed
-    explicitly, so the pivot needs no extra pass to find its columns); gaps 0."""
-    data = _keyed(df, "rfm_segment", "satisfaction_score").withColumn(
-        "bucket", round_bucket(F.col("satisfaction_score"))
-    )
-    wide = data.groupBy("rfm_segment").pivot("bucket", SAT_BUCKETS).agg(F.avg("total_spend"))
-    return wide.select(
-        "rfm_segment", *[F.coalesce(F.col(str(b)), F.lit(0.0)).alias(f"sat_{b}") for b in SAT_BUCKETS]
-    )
+    """Mean spend by segment × half-even-rounded satisfaction, in long form
+    (rfm_segment, bucket, avg_spend): every segment with every bucket that
+    occurs, 0 where a pair has no rows. The grid of pairs is built from the
+    aggregate itself (segments × buckets rows)."""
+    data = _keyed(df, "rfm_segment", "satisfaction_score").withColumn("bucket", round_bucket(F.col("satisfaction_score")))
+    means = data.groupBy("rfm_segment", "bucket").agg(F.avg("total_spend").alias("avg_spend"))
+    cells = means.groupBy().agg(F.collect_set("rfm_segment").alias("segments"), F.collect_set("bucket").alias("buckets"), F.collect_list(F.struct("rfm_segment", "bucket", "avg_spend")).alias("cells"))
+    grid = cells.select(F.explode("segments").alias("rfm_segment"), "buckets", "cells").select("rfm_segment", F.explode("buckets").alias("bucket"), "cells")
+    own = F.filter("cells", lambda c: (c["rfm_segment"] == F.col("rfm_segment")) & (c["bucket"] == F.col("bucket")))
+    return grid.select("rfm_segment", "bucket", F.coalesce(F.get(own, F.lit(0))["avg_spend"], F.lit(0.0)).alias("avg_spend"))
 
 
 def score_histogram(df: DataFrame) -> DataFrame:
@@ -92,13 +90,16 @@ def score_histogram(df: DataFrame) -> DataFrame:
 
 
 def probability_histogram(df: DataFrame, col: str = "churn_probability", bins: int = PROBABILITY_BINS) -> DataFrame:
-    """Equal-width bins on [0, 1]; p = 1 joins the last bin."""
+    """Equal-width bins on [0, 1], empty ones included; p = 1 joins the last
+    bin."""
     p = F.col(col)
     b = F.least(F.floor(p * bins).cast("bigint") + 1, F.lit(bins))
+    # one zero row a bin keeps empty bins in the result
+    none = df.sparkSession.range(1, bins + 1).select(F.col("id").alias("bin"), F.lit(0).alias("one"))
     return (
-        _keyed(df, col)
-        .groupBy(b.alias("bin"))
-        .agg(F.count(F.lit(1)).alias("count"))
+        _keyed(df, col).select(b.alias("bin"), F.lit(1).alias("one")).unionByName(none)
+        .groupBy("bin")
+        .agg(F.sum("one").alias("count"))
         .withColumn("bin_lo", (F.col("bin") - 1) / F.lit(float(bins)))
         .withColumn("bin_hi", F.col("bin") / F.lit(float(bins)))
     )
@@ -187,15 +188,14 @@ def persona_table(spark) -> DataFrame:
 
 def lookup_persona(df: DataFrame) -> DataFrame:
     """All 8 personas with their stats; empty segments get zeros."""
-    stats = persona_stats(df)
-    total = _keyed(df, "rfm_segment").select(F.count(F.lit(1))).scalar()
     # stats has one row per segment name of the closed 8-name set: broadcast
     personas = persona_table(df.sparkSession)
-    return (
-        personas.join(F.broadcast(stats), "rfm_segment", "left")
+    filled = (
+        personas.join(F.broadcast(persona_stats(df)), "rfm_segment", "left")
         .na.fill({"count": 0, "avg_spend": 0.0, "avg_recency": 0.0, "avg_frequency": 0.0})
-        .withColumn("pct", F.when(total > 0, F.col("count") * 100.0 / total).otherwise(F.lit(0.0)))
     )
+    total = F.sum("count").over(Window.partitionBy())
+    return filled.withColumn("pct", F.when(total > 0, F.col("count") * 100.0 / total).otherwise(F.lit(0.0)))
 
 
 def segment_stats(df: DataFrame) -> DataFrame:
@@ -231,26 +231,27 @@ def scope_segment(df: DataFrame, segment: str, by: str = "rfm_segment") -> DataF
     return df.where(F.col(by).cast("string") == segment)
 
 
-def _top_key(agg: DataFrame, key: str, metric: str) -> Column:
-    """Key with the largest metric (ties → smallest key) as a scalar subquery
-    over an aggregate bounded by the number of keys."""
-    return agg.orderBy(F.col(metric).desc_nulls_last(), F.col(key)).limit(1).select(key).scalar()
-
-
 def executive_summary(df: DataFrame) -> DataFrame:
-    seg = _keyed(df, "rfm_segment").groupBy("rfm_segment").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("churn_flag").alias("churn")
+    """All figures from one aggregate by (segment, cluster): counts and exact
+    sums of at most segments × clusters rows. Ties take the smallest key."""
+    dec = lambda c: F.sum(F.col(c).cast("decimal(28,10)"))
+    cells = df.groupBy("rfm_segment", "cluster_id").agg(
+        F.count(F.lit(1)).alias("n"), dec("churn_flag").alias("churn"), F.count("churn_flag").alias("n_churn"),
+        dec("clv_12m").alias("clv"), F.count("clv_12m").alias("n_clv"), dec("total_spend").alias("spend"),
     )
-    clus = _keyed(df, "cluster_id").groupBy("cluster_id").agg(F.sum("total_spend").alias("spend"))
-    return df.agg(
-        F.count(F.lit(1)).alias("total_customers"),
-        (F.avg("churn_flag") * 100.0).alias("churn_rate_pct"),
-        F.avg("clv_12m").alias("avg_clv"),
-    ).select(
-        "*",
-        _top_key(seg, "rfm_segment", "n").alias("top_segment"),
-        _top_key(clus, "cluster_id", "spend").alias("top_cluster"),
-        _top_key(seg, "rfm_segment", "churn").alias("riskiest_segment"),
+    sums = [F.sum(c).alias(c) for c in ("n", "churn", "n_churn", "clv", "n_clv", "spend")]
+    # the aggregate has three groupings: all rows, by segment, by cluster
+    level = cells.groupingSets([[], [F.col("rfm_segment")], [F.col("cluster_id")]], "rfm_segment", "cluster_id").agg(*sums, F.grouping_id().alias("level"))
+    is_all, is_seg, is_clu = F.col("level") == 3, (F.col("level") == 1) & F.col("rfm_segment").isNotNull(), (F.col("level") == 2) & F.col("cluster_id").isNotNull()
+    rate = F.col("churn").cast("double") / F.col("n_churn")
+    top = lambda key, by, where: F.min_by(F.when(where, F.col(key)), F.when(where, F.struct(-by, F.col(key))))
+    return level.agg(
+        F.max(F.when(is_all, F.col("n"))).alias("total_customers"),
+        F.max(F.when(is_all, rate * 100.0)).alias("churn_rate_pct"),
+        F.max(F.when(is_all, F.col("clv").cast("double") / F.col("n_clv"))).alias("avg_clv"),
+        top("rfm_segment", F.col("n"), is_seg).alias("top_segment"),
+        top("cluster_id", F.col("spend"), is_clu).alias("top_cluster"),
+        top("rfm_segment", rate, is_seg).alias("riskiest_segment"),
     )
 
 
@@ -288,13 +289,14 @@ def _kpi_frame(df: DataFrame, pred: Column, specs: list[tuple[str, Column, Colum
     aggs = []
     for name, filtered, baseline in specs:
         aggs += [filtered.alias(f"{name}__v"), baseline.alias(f"{name}__b")]
-    one = df.agg(*aggs)
-    stacked = F.expr(
-        "stack({n}, {items}) AS (kpi, value, baseline)".format(
-            n=len(specs),
-            items=", ".join(f"'{n}', CAST(`{n}__v` AS DOUBLE), CAST(`{n}__b` AS DOUBLE)" for n, _, _ in specs),
-        )
-    )
+    return _kpi_rows(df.agg(*aggs), [n for n, _, _ in specs])
+
+
+def _kpi_rows(one: DataFrame, names: list[str]) -> DataFrame:
+    """(kpi, value, baseline, delta, delta_color) from the row of
+    ``<name>__v`` and ``<name>__b``."""
+    items = ", ".join(f"'{n}', CAST(`{n}__v` AS DOUBLE), CAST(`{n}__b` AS DOUBLE)" for n in names)
+    stacked = F.expr(f"stack({len(names)}, {items}) AS (kpi, value, baseline)")
     return one.select(stacked).withColumns(
         {
             "delta": delta_text(F.col("value"), F.col("baseline")),
@@ -303,6 +305,13 @@ def _kpi_frame(df: DataFrame, pred: Column, specs: list[tuple[str, Column, Colum
     )
 
 
+def mean(c: Column | str) -> Column:
+    """Mean from an exact decimal sum, so that it does not depend on the order
+    of the rows and equal sets of rows have equal means."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.sum(c.cast("decimal(28,10)")).cast("double") / F.count(c)
+
+
 def _f(pred: Column, c: Column) -> Column:
     return F.when(pred, c)
 
@@ -314,8 +323,8 @@ def kpi_home(df: DataFrame, pred: Column) -> DataFrame:
         [
             ("customers", F.count_if(pred), F.count(F.lit(1))),
             ("active_segments", F.count_distinct(_f(pred, F.col("rfm_segment"))), F.count_distinct("rfm_segment")),
-            ("avg_clv", F.avg(_f(pred, F.col("clv_12m"))), F.avg("clv_12m")),
-            ("churn_rate", F.avg(_f(pred, F.col("churn_flag"))), F.avg("churn_flag")),
+            ("avg_clv", mean(_f(pred, F.col("clv_12m"))), mean("clv_12m")),
+            ("churn_rate", mean(_f(pred, F.col("churn_flag"))), mean("churn_flag")),
         ],
     )
 
@@ -326,43 +335,27 @@ def kpi_overview(df: DataFrame, pred: Column) -> DataFrame:
         pred,
         [
             ("total_customers", F.count_if(pred), F.count(F.lit(1))),
-            ("avg_clv", F.avg(_f(pred, F.col("clv_12m"))), F.avg("clv_12m")),
-            ("churn_rate", F.avg(_f(pred, F.col("churn_flag"))), F.avg("churn_flag")),
-            ("avg_satisfaction", F.avg(_f(pred, F.col("satisfaction_score"))), F.avg("satisfaction_score")),
+            ("avg_clv", mean(_f(pred, F.col("clv_12m"))), mean("clv_12m")),
+            ("churn_rate", mean(_f(pred, F.col("churn_flag"))), mean("churn_flag")),
+            ("avg_satisfaction", mean(_f(pred, F.col("satisfaction_score"))), mean("satisfaction_score")),
         ],
     )
 
 
-def _top_share(df: DataFrame, pred: Column | None) -> Column:
-    base = df if pred is None else df.where(pred)
-    keyed = _keyed(base, "rfm_segment")
-    counts = keyed.groupBy("rfm_segment").agg(F.count(F.lit(1)).alias("n"))
-    total = keyed.select(F.count(F.lit(1))).scalar()
-    return counts.select(F.max("n") / total).scalar()
-
-
 def kpi_rfm(df: DataFrame, pred: Column) -> DataFrame:
-    out = _kpi_frame(
-        df,
-        pred,
-        [
-            ("avg_recency", F.avg(_f(pred, F.col("recency"))), F.avg("recency")),
-            ("avg_frequency", F.avg(_f(pred, F.col("frequency"))), F.avg("frequency")),
-            ("avg_monetary", F.avg(_f(pred, F.col("monetary"))), F.avg("monetary")),
-            ("top_segment_share", F.lit(0.0), F.lit(0.0)),
-        ],
-    )
-    v, b = _top_share(df, pred), _top_share(df, None)
-    is_top = F.col("kpi") == "top_segment_share"
-    out = out.withColumns(
-        {
-            "value": F.when(is_top, v.cast("double")).otherwise(F.col("value")),
-            "baseline": F.when(is_top, b.cast("double")).otherwise(F.col("baseline")),
-        }
-    )
-    return out.withColumns(
-        {"delta": delta_text(F.col("value"), F.col("baseline")), "delta_color": delta_color(F.col("value"), F.col("baseline"))}
-    )
+    """One scan: sums and counts per segment, all figures from those rows."""
+    cols = {"avg_recency": "recency", "avg_frequency": "frequency", "avg_monetary": "monetary"}
+    aggs = [F.count_if(pred).alias("n_v"), F.count(F.lit(1)).alias("n_b")]
+    for name, c in cols.items():
+        for tag, x in (("v", _f(pred, F.col(c))), ("b", F.col(c))):
+            aggs += [F.sum(x.cast("decimal(28,10)")).alias(f"{name}__s{tag}"), F.count(x).alias(f"{name}__n{tag}")]
+    by_segment = df.groupBy("rfm_segment").agg(*aggs)
+    keyed = F.col("rfm_segment").isNotNull()
+    whole = []
+    for name in cols:
+        whole += [(F.sum(f"{name}__s{t}").cast("double") / F.sum(f"{name}__n{t}")).alias(f"{name}__{t}") for t in "vb"]
+    whole += [(F.max(F.when(keyed, F.col(f"n_{t}"))) / F.sum(F.when(keyed, F.col(f"n_{t}")))).alias(f"top_segment_share__{t}") for t in "vb"]
+    return _kpi_rows(by_segment.agg(*whole), [*cols, "top_segment_share"])
 
 
 def kpi_churn(df: DataFrame, pred: Column) -> DataFrame:
@@ -371,8 +364,8 @@ def kpi_churn(df: DataFrame, pred: Column) -> DataFrame:
         df,
         pred,
         [
-            ("churn_rate", F.avg(_f(pred, F.col("churn_flag"))), F.avg("churn_flag")),
-            ("avg_churn_probability", F.avg(_f(pred, F.col("churn_probability"))), F.avg("churn_probability")),
+            ("churn_rate", mean(_f(pred, F.col("churn_flag"))), mean("churn_flag")),
+            ("avg_churn_probability", mean(_f(pred, F.col("churn_probability"))), mean("churn_probability")),
             ("high_risk_customers", F.count_if(pred & high), F.count_if(high)),
         ],
     )
@@ -384,12 +377,12 @@ def kpi_clv(df: DataFrame, pred: Column) -> DataFrame:
         df,
         pred,
         [
-            ("avg_clv", F.avg(_f(pred, F.col("clv_12m"))), F.avg("clv_12m")),
-            ("platinum_share", F.avg(_f(pred, plat)), F.avg(plat)),
+            ("avg_clv", mean(_f(pred, F.col("clv_12m"))), mean("clv_12m")),
+            ("platinum_share", mean(_f(pred, plat)), mean(plat)),
             (
                 "clv_growth",
-                F.avg(_f(pred, F.col("clv_12m"))) / F.avg(_f(pred, F.col("historical_clv"))) - 1,
-                F.avg("clv_12m") / F.avg("historical_clv") - 1,
+                mean(_f(pred, F.col("clv_12m"))) / mean(_f(pred, F.col("historical_clv"))) - 1,
+                mean("clv_12m") / mean("historical_clv") - 1,
             ),
             ("top_clv", F.max(_f(pred, F.col("clv_12m"))), F.max("clv_12m")),
         ],
@@ -403,9 +396,9 @@ def kpi_persona(df: DataFrame, pred: Column) -> DataFrame:
         pred,
         [
             ("segments_covered", F.count_distinct(_f(pred, F.col("rfm_segment"))), F.count_distinct("rfm_segment")),
-            ("avg_spend", F.avg(_f(pred, F.col("total_spend"))), F.avg("total_spend")),
-            ("avg_recency", F.avg(_f(pred, F.col("recency"))), F.avg("recency")),
-            ("healthy_share", F.avg(_f(pred, healthy)), F.avg(healthy)),
+            ("avg_spend", mean(_f(pred, F.col("total_spend"))), mean("total_spend")),
+            ("avg_recency", mean(_f(pred, F.col("recency"))), mean("recency")),
+            ("healthy_share", mean(_f(pred, healthy)), mean(healthy)),
         ],
     )
 
@@ -416,8 +409,8 @@ def kpi_analyst(df: DataFrame, pred: Column) -> DataFrame:
         pred,
         [
             ("customers", F.count_if(pred), F.count(F.lit(1))),
-            ("avg_clv", F.avg(_f(pred, F.col("clv_12m"))), F.avg("clv_12m")),
-            ("churn_rate", F.avg(_f(pred, F.col("churn_flag"))), F.avg("churn_flag")),
-            ("avg_recency", F.avg(_f(pred, F.col("recency"))), F.avg("recency")),
+            ("avg_clv", mean(_f(pred, F.col("clv_12m"))), mean("clv_12m")),
+            ("churn_rate", mean(_f(pred, F.col("churn_flag"))), mean("churn_flag")),
+            ("avg_recency", mean(_f(pred, F.col("recency"))), mean("recency")),
         ],
     )

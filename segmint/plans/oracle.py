@@ -33,7 +33,7 @@ FROM scored""",
 
 sql(
     "revenue_by_segment",
-    on(SCORED, "SELECT rfm_segment, sum(total_spend) AS total_spend FROM scored GROUP BY rfm_segment"),
+    on(SCORED, "SELECT rfm_segment, CAST(sum(CAST(total_spend AS DECIMAL(18,2))) AS DOUBLE) AS total_spend FROM scored GROUP BY rfm_segment"),
 )
 
 _ = LABELLED
@@ -58,9 +58,12 @@ FROM months LEFT JOIN c ON months.month_end = c.month_end"""),
 )
 sql(
     "spend_satisfaction_pivot",
-    on(L, "SELECT rfm_segment, "
-       + ", ".join(f"coalesce(avg(CASE WHEN CAST(round_even(satisfaction_score, 0) AS INTEGER) = {b} THEN total_spend END), 0.0) AS sat_{b}" for b in range(1, 11))
-       + " FROM labelled WHERE rfm_segment IS NOT NULL AND satisfaction_score IS NOT NULL GROUP BY 1"),
+    on(L, """, d AS (SELECT rfm_segment, CAST(round_even(satisfaction_score, 0) AS INTEGER) AS bucket, total_spend FROM labelled
+  WHERE rfm_segment IS NOT NULL AND satisfaction_score IS NOT NULL),
+m AS (SELECT rfm_segment, bucket, avg(total_spend) AS avg_spend FROM d GROUP BY 1, 2)
+SELECT s.rfm_segment, b.bucket, coalesce(m.avg_spend, 0.0) AS avg_spend
+FROM (SELECT DISTINCT rfm_segment FROM d) s CROSS JOIN (SELECT DISTINCT bucket FROM d) b
+LEFT JOIN m ON m.rfm_segment = s.rfm_segment AND m.bucket = b.bucket"""),
 )
 sql(
     "score_histogram",
@@ -71,9 +74,10 @@ sql(
 )
 sql(
     "probability_histogram",
-    on(L, """SELECT bin, count(*) AS count, (bin - 1) / 30.0 AS bin_lo, bin / 30.0 AS bin_hi FROM (
-  SELECT least(CAST(floor(churn_probability * 30) AS BIGINT) + 1, 30) AS bin FROM labelled WHERE churn_probability IS NOT NULL)
-GROUP BY bin"""),
+    on(L, """SELECT b.bin, CAST(coalesce(c.n, 0) AS BIGINT) AS count, (b.bin - 1) / 30.0 AS bin_lo, b.bin / 30.0 AS bin_hi
+FROM (SELECT unnest(generate_series(1, 30)) AS bin) b LEFT JOIN (
+  SELECT least(CAST(floor(churn_probability * 30) AS BIGINT) + 1, 30) AS bin, count(*) AS n FROM labelled
+  WHERE churn_probability IS NOT NULL GROUP BY 1) c ON c.bin = b.bin"""),
 )
 CLUSTER_PROFILE = """SELECT cluster_id, avg(total_spend) AS total_spend, avg(frequency) AS frequency, avg(recency) AS recency,
   avg(satisfaction_score) AS satisfaction_score, avg(clv_12m) AS clv_12m, count(*) AS cluster_size
@@ -164,8 +168,11 @@ def _kpi(specs: list[tuple[str, str, str]], extra_ctes: str = "") -> str:
 SELECT kpi, value, baseline,
   CASE WHEN baseline = 0 THEN '0%' ELSE printf('%+.1f%%', pct) END AS delta,
   CASE WHEN baseline = 0 THEN 'yellow' WHEN pct >= 0 THEN 'green' ELSE 'red' END AS delta_color
-FROM (SELECT *, CASE WHEN abs(value - baseline) <= abs(baseline) * 1e-12 THEN 0.0
-                     ELSE (value - baseline) / abs(baseline) * 100.0 END AS pct FROM k)""")
+FROM (SELECT *, (value - baseline) / nullif(abs(baseline), 0) * 100.0 AS pct FROM k)""")
+
+
+def _mean(x: str) -> str:
+    return f"(CAST(sum(CAST({x} AS DECIMAL(28,10))) AS DOUBLE) / count({x}))"
 
 
 def _fa(expr: str) -> str:
@@ -175,47 +182,47 @@ def _fa(expr: str) -> str:
 sql("kpi_home", _kpi([
     ("customers", f"count(*) FILTER (WHERE {PRED})", "count(*)"),
     ("active_segments", f"count(DISTINCT {_fa('rfm_segment')})", "count(DISTINCT rfm_segment)"),
-    ("avg_clv", f"avg({_fa('clv_12m')})", "avg(clv_12m)"),
-    ("churn_rate", f"avg({_fa('churn_flag')})", "avg(churn_flag)"),
+    ("avg_clv", _mean(_fa('clv_12m')), _mean("clv_12m")),
+    ("churn_rate", _mean(_fa('churn_flag')), _mean("churn_flag")),
 ]))
 sql("kpi_overview", _kpi([
     ("total_customers", f"count(*) FILTER (WHERE {PRED})", "count(*)"),
-    ("avg_clv", f"avg({_fa('clv_12m')})", "avg(clv_12m)"),
-    ("churn_rate", f"avg({_fa('churn_flag')})", "avg(churn_flag)"),
-    ("avg_satisfaction", f"avg({_fa('satisfaction_score')})", "avg(satisfaction_score)"),
+    ("avg_clv", _mean(_fa('clv_12m')), _mean("clv_12m")),
+    ("churn_rate", _mean(_fa('churn_flag')), _mean("churn_flag")),
+    ("avg_satisfaction", _mean(_fa('satisfaction_score')), _mean("satisfaction_score")),
 ]))
 sql("kpi_rfm", _kpi([
-    ("avg_recency", f"avg({_fa('recency')})", "avg(recency)"),
-    ("avg_frequency", f"avg({_fa('frequency')})", "avg(frequency)"),
-    ("avg_monetary", f"avg({_fa('monetary')})", "avg(monetary)"),
+    ("avg_recency", _mean(_fa('recency')), _mean("recency")),
+    ("avg_frequency", _mean(_fa('frequency')), _mean("frequency")),
+    ("avg_monetary", _mean(_fa('monetary')), _mean("monetary")),
     ("top_segment_share",
      f"(SELECT max(n) / sum(n) FROM (SELECT count(*) AS n FROM labelled WHERE {PRED} AND rfm_segment IS NOT NULL GROUP BY rfm_segment))",
      "(SELECT max(n) / sum(n) FROM (SELECT count(*) AS n FROM labelled WHERE rfm_segment IS NOT NULL GROUP BY rfm_segment))"),
 ]))
 sql("kpi_churn", _kpi([
-    ("churn_rate", f"avg({_fa('churn_flag')})", "avg(churn_flag)"),
-    ("avg_churn_probability", f"avg({_fa('churn_probability')})", "avg(churn_probability)"),
+    ("churn_rate", _mean(_fa('churn_flag')), _mean("churn_flag")),
+    ("avg_churn_probability", _mean(_fa('churn_probability')), _mean("churn_probability")),
     ("high_risk_customers", f"count(*) FILTER (WHERE {PRED} AND churn_probability >= 0.7)", "count(*) FILTER (WHERE churn_probability >= 0.7)"),
 ]))
 _PLAT = "CASE WHEN clv_tier = 'Platinum' THEN 1.0 ELSE 0.0 END"
 sql("kpi_clv", _kpi([
-    ("avg_clv", f"avg({_fa('clv_12m')})", "avg(clv_12m)"),
-    ("platinum_share", f"avg({_fa(_PLAT)})", f"avg({_PLAT})"),
-    ("clv_growth", f"avg({_fa('clv_12m')}) / avg({_fa('historical_clv')}) - 1", "avg(clv_12m) / avg(historical_clv) - 1"),
+    ("avg_clv", _mean(_fa('clv_12m')), _mean("clv_12m")),
+    ("platinum_share", _mean(_fa(_PLAT)), _mean(_PLAT)),
+    ("clv_growth", f"{_mean(_fa('clv_12m'))} / {_mean(_fa('historical_clv'))} - 1", f"{_mean('clv_12m')} / {_mean('historical_clv')} - 1"),
     ("top_clv", f"max({_fa('clv_12m')})", "max(clv_12m)"),
 ]))
 _HEALTHY = "CASE WHEN rfm_segment IN ('Champions', 'Loyal Customers') THEN 1.0 ELSE 0.0 END"
 sql("kpi_persona", _kpi([
     ("segments_covered", f"count(DISTINCT {_fa('rfm_segment')})", "count(DISTINCT rfm_segment)"),
-    ("avg_spend", f"avg({_fa('total_spend')})", "avg(total_spend)"),
-    ("avg_recency", f"avg({_fa('recency')})", "avg(recency)"),
-    ("healthy_share", f"avg({_fa(_HEALTHY)})", f"avg({_HEALTHY})"),
+    ("avg_spend", _mean(_fa('total_spend')), _mean("total_spend")),
+    ("avg_recency", _mean(_fa('recency')), _mean("recency")),
+    ("healthy_share", _mean(_fa(_HEALTHY)), _mean(_HEALTHY)),
 ]))
 sql("kpi_analyst", _kpi([
     ("customers", f"count(*) FILTER (WHERE {PRED})", "count(*)"),
-    ("avg_clv", f"avg({_fa('clv_12m')})", "avg(clv_12m)"),
-    ("churn_rate", f"avg({_fa('churn_flag')})", "avg(churn_flag)"),
-    ("avg_recency", f"avg({_fa('recency')})", "avg(recency)"),
+    ("avg_clv", _mean(_fa('clv_12m')), _mean("clv_12m")),
+    ("churn_rate", _mean(_fa('churn_flag')), _mean("churn_flag")),
+    ("avg_recency", _mean(_fa('recency')), _mean("recency")),
 ]))
 
 from .oracle_sql import AS_OF_PRIOR, chain, with_ctes  # noqa: E402
