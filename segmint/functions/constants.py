@@ -203,3 +203,9 @@ SEGMENT_RULES = [
 ]
 SEGMENT_ELSE = "Lost Customers"
 SCORE_BINS = 5
+
+# FIXED VALUES: texts that count as missing in a CSV column
+NA_TEXTS = [
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+]

@@ -63,7 +63,9 @@ def snapshot_pair(spark: SparkSession, sf_dir: str, days: int = 30) -> tuple[Dat
     prior = at - _dt.timedelta(days=days)
     k = _key(spark, sf_dir, "snapshot_pair", days)
     if k not in _CACHE:
-        _CACHE[k] = materialize(customer_snapshots(Tables(spark, sf_dir), [prior, at]))
+        t = Tables(spark, sf_dir)
+        end = t.events.agg(F.max("ts")).first()[0]  # the event log's own clock
+        _CACHE[k] = materialize(customer_snapshots(t, [prior, at], None if end is None else [end - _dt.timedelta(days=days), end]))
     both = _CACHE[k]
     pick = lambda a: both.where(F.col("as_of") == F.lit(a).cast("timestamp_ntz")).drop("as_of")
     return pick(prior), pick(at), prior

@@ -359,7 +359,6 @@ def rfm_base(spark, sf_dir):
 
 def _flow(spark, sf_dir):
     from ..operators.rfm import rfm as rfm_op
-    from ..sources.snapshot import default_as_of  # noqa: F401
 
     lab = _lab(spark, sf_dir)
     filt = lab.where(_pred())
@@ -396,12 +395,15 @@ def rfm_migration(spark, sf_dir):
     # both snapshots come from one pass over the fact tables
     snap_prior, snap_now, prior_at = base.snapshot_pair(spark, sf_dir, 30)
     at = base.as_of(spark, sf_dir)
-    prior = rfm_op(enrich_op(snap_prior, prior_at, dedup=False), prior_at)
-    current = rfm_op(enrich_op(snap_now, at, dedup=False), at)
+    # each side is scored over the customers that had an order by then; who
+    # had none at the first instant comes from "No orders yet"
+    ordered = F.col("total_orders") > 0
+    prior = rfm_op(enrich_op(snap_prior.where(ordered), prior_at, dedup=False), prior_at)
+    current = rfm_op(enrich_op(snap_now.where(ordered), at, dedup=False), at)
     return (
-        prior.select("customer_id", F.col("rfm_segment").alias("source"))
-        .join(current.select("customer_id", F.col("rfm_segment").alias("target")), "customer_id")
-        .groupBy("source", "target")
+        current.select("customer_id", F.col("rfm_segment").alias("target"))
+        .join(prior.select("customer_id", F.col("rfm_segment").alias("source")), "customer_id", "left")
+        .groupBy(F.coalesce("source", F.lit("No orders yet")).alias("source"), "target")
         .agg(F.count(F.lit(1)).alias("value"))
     )
 
@@ -453,6 +455,8 @@ def preview_head(spark, sf_dir):
 @query
 def enrich(spark, sf_dir):
     e = IN.upload_enriched(spark, sf_dir)
+    whole = ["total_orders", "support_tickets_raised", "loyalty_points", "days_since_last_purchase"]
+    e = e.withColumns({c: F.col(c).cast("double") for c in whole}).withColumn("customer_id", F.col("customer_id").cast("string"))
     return e.select(
         "customer_id",
         F.date_format("last_purchase_date", "yyyy-MM-dd").alias("last_purchase_date"),
@@ -483,7 +487,8 @@ def scan_active(spark, sf_dir):
     from ..sources.files import scan_active as choose
 
     c = choose(None, base.customers(spark, sf_dir))
-    return c.select("customer_id", "total_orders", "total_spend", "days_since_last_purchase", "avg_order_value", "churn_flag")
+    days = F.col("days_since_last_purchase").cast("double").alias("days_since_last_purchase")
+    return c.select("customer_id", "total_orders", "total_spend", days, "avg_order_value", "churn_flag")
 
 
 @query
@@ -780,9 +785,10 @@ def snapshot_stream(spark, sf_dir):
 
 @query
 def scan_csv(spark, sf_dir):
-    """The CRM-style export written as CSV and scanned back as text."""
+    """The CRM-style export written as CSV, scanned back and typed (ids shown
+    as text)."""
     up = IN.uploaded_file(spark, sf_dir)
-    return up.select("customer_id", "total_orders", "total_spend", "ingest_seq")
+    return up.select(F.col("customer_id").cast("string").alias("customer_id"), F.col("total_orders").cast("bigint").alias("total_orders"), "total_spend", "ingest_seq")
 
 
 @query

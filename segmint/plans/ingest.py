@@ -18,7 +18,7 @@ from ..operators.enrich import enrich
 from ..operators.quality import require_valid
 from ..operators.schema_map import apply_mapping, auto_map_columns
 from ..session import scratch_path
-from ..sources.files import reject_empty, scan_csv, write_csv
+from ..sources.files import infer_numeric, reject_empty, scan_csv, write_csv
 from . import base
 
 _CACHE: dict = {}
@@ -45,20 +45,19 @@ def raw_customer_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def uploaded_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the export as CSV (rows sorted by the export's own order) and
-    scan it back as text, then map the columns."""
+    scan it back as text, map the columns and type them."""
     k = (spark.sparkContext.applicationId, sf_dir)
     if k not in _CACHE:
         path = scratch_path(spark, "upload")
         raw = raw_customer_export(spark, sf_dir)
         write_csv(raw.sortWithinPartitions("_order"), path)
         scanned = reject_empty(scan_csv(spark, path))
-        # row order inside the export: carried as a column because a multi-file
-        # CSV is scanned in file-size order
+        # the export's own order (its files are not written in that order)
         scanned = scanned.withColumn("ingest_seq", F.col("_order").cast("bigint")).drop("_order")
         mapping = auto_map_columns(scanned.drop("ingest_seq"))
         # materialised once: later steps scan it several times (validation,
         # exact medians) and must all see the same rows
-        _CACHE[k] = base.materialize(apply_mapping(scanned, mapping))
+        _CACHE[k] = base.materialize(infer_numeric(apply_mapping(scanned, mapping)))
     return _CACHE[k]
 
 

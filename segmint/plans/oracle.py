@@ -320,9 +320,12 @@ flow AS (SELECT CASE
    ELSE 'Lost Customers' END AS source, target, count(*) AS value FROM fb GROUP BY 1, 2)"""
 sql("rfm_flow", on(L, FLOW + " SELECT * FROM flow"))
 sql("node_labels", on(L, FLOW + " SELECT DISTINCT label FROM (SELECT source AS label FROM flow UNION SELECT target FROM flow) ORDER BY label"))
-sql("rfm_migration", with_ctes(chain("scored", "_p", AS_OF_PRIOR), chain("scored")) + """
-SELECT p.rfm_segment AS source, c.rfm_segment AS target, count(*) AS value
-FROM scored_p p JOIN scored c ON p.customer_id = c.customer_id GROUP BY 1, 2""")
+# each side is scored over the customers that had an order by then
+sql("rfm_migration", with_ctes(
+    chain("scored", "_p", AS_OF_PRIOR, "INTERVAL 30 DAY").replace("FROM customer c\n  LEFT JOIN cust_agg_p", "FROM customer c\n  JOIN cust_agg_p"),
+    chain("scored").replace("FROM customer c\n  LEFT JOIN cust_agg a", "FROM customer c\n  JOIN cust_agg a")) + """
+SELECT coalesce(p.rfm_segment, 'No orders yet') AS source, c.rfm_segment AS target, count(*) AS value
+FROM scored c LEFT JOIN scored_p p ON p.customer_id = c.customer_id GROUP BY 1, 2""")
 
 
 def _fmt(x: str) -> str:
@@ -369,7 +372,7 @@ SELECT customer_id, strftime(last_purchase_date, '%Y-%m-%d') AS last_purchase_da
 FROM e0"""))
 
 VALIDATION = RAW + """, agg AS (SELECT count(*) AS n,
-  count(last_purchase_date) AS nn_date, count(satisfaction_score) AS nn_sat,
+  count(last_purchase_date) AS nn_date, count(satisfaction_score) AS nn_sat, count(total_spend) AS nn_spend,
   avg(CASE WHEN last_purchase_date IS NULL THEN 1.0 ELSE 0.0 END) AS bad_date,
   avg(CASE WHEN total_spend IS NULL THEN 1.0 ELSE 0.0 END) AS bad_spend,
   avg(CASE WHEN satisfaction_score IS NULL THEN 1.0 ELSE 0.0 END) AS bad_sat FROM raw),
@@ -378,7 +381,7 @@ report AS (
   UNION ALL SELECT 'all_null_required', 'customer_id', n, 'ok' FROM agg
   UNION ALL SELECT 'all_null_required', 'last_purchase_date', nn_date, CASE WHEN nn_date = 0 THEN 'error' ELSE 'ok' END FROM agg
   UNION ALL SELECT 'all_null_required', 'total_orders', n, 'ok' FROM agg
-  UNION ALL SELECT 'all_null_required', 'total_spend', n, 'ok' FROM agg
+  UNION ALL SELECT 'all_null_required', 'total_spend', nn_spend, 'ok' FROM agg
   UNION ALL SELECT 'missing_optional', c, NULL, 'warning' FROM (VALUES ('age'), ('gender'), ('city'), ('churn_flag'), ('avg_order_value'), ('referral_count')) t(c)
   UNION ALL SELECT 'all_null_optional', 'country', n, 'ok' FROM agg
   UNION ALL SELECT 'all_null_optional', 'satisfaction_score', nn_sat, CASE WHEN nn_sat = 0 THEN 'warning' ELSE 'ok' END FROM agg
@@ -389,7 +392,7 @@ report AS (
   UNION ALL SELECT 'null_count', 'customer_id', 0, 'info'
   UNION ALL SELECT 'null_count', 'last_purchase_date', n - nn_date, 'info' FROM agg
   UNION ALL SELECT 'null_count', 'total_orders', 0, 'info'
-  UNION ALL SELECT 'null_count', 'total_spend', 0, 'info'
+  UNION ALL SELECT 'null_count', 'total_spend', n - nn_spend, 'info' FROM agg
   UNION ALL SELECT 'null_count', 'country', 0, 'info'
   UNION ALL SELECT 'null_count', 'satisfaction_score', n - nn_sat, 'info' FROM agg
   UNION ALL SELECT 'null_count', 'channel', 0, 'info'
@@ -406,7 +409,7 @@ sql("validation_report", on(SNAPSHOT, VALIDATION + ' SELECT "check", "column", C
 sql("null_summary", on(SNAPSHOT, VALIDATION + """ SELECT "column", CAST(value AS BIGINT) AS null_count FROM report WHERE "check" = 'null_count'"""))
 sql("type_issues", on(SNAPSHOT, VALIDATION + """ SELECT "column", CAST(value AS DOUBLE) AS bad_share, status = 'issue' AS flagged
 FROM report WHERE "check" = 'type_issue'"""))
-sql("scan_active", on(CUSTOMERS, """SELECT customer_id, total_orders, total_spend, days_since_last_purchase, avg_order_value, churn_flag
+sql("scan_active", on(CUSTOMERS, """SELECT customer_id, total_orders, total_spend, CAST(days_since_last_purchase AS DOUBLE) AS days_since_last_purchase, avg_order_value, churn_flag
 FROM customers"""))
 sql("dedup_keep_last", """SELECT CAST(user_id AS VARCHAR) AS user_id, event_id, event_type, value FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events WHERE user_id IS NOT NULL) WHERE r = 1""")
@@ -505,8 +508,8 @@ sql("snapshot_stream", """SELECT o_custkey, count(*) AS total_orders,
   CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total_spend,
   strftime(max(o_orderdate), '%Y-%m-%d') AS last_purchase_date, strftime(min(o_orderdate), '%Y-%m-%d') AS signup_date
 FROM orders GROUP BY o_custkey""")
-sql("scan_csv", on(SNAPSHOT, """SELECT customer_id, CAST(total_orders AS VARCHAR) AS total_orders,
-  CASE WHEN ingest_seq % 10 = 0 THEN 'n/a' ELSE '$' || format('{:,.2f}', total_spend) END AS total_spend, ingest_seq
+sql("scan_csv", on(SNAPSHOT, """SELECT customer_id, total_orders,
+  CASE WHEN ingest_seq % 10 = 0 THEN NULL ELSE '$' || format('{:,.2f}', total_spend) END AS total_spend, ingest_seq
 FROM snapshot"""))
 sql("sink_segment_csv", on(L, """SELECT customer_id, rfm_segment, rfm_score, total_spend, total_orders
 FROM labelled WHERE rfm_segment = 'Champions'"""))

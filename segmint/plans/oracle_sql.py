@@ -24,18 +24,19 @@ cust_agg{s} AS (
   FROM orders LEFT JOIN line_agg{s} ON o_orderkey = l_orderkey
   WHERE o_orderdate <= (SELECT as_of FROM params{s})
   GROUP BY o_custkey),
-err{s} AS (SELECT user_id, count(*) AS n_errors FROM events WHERE event_type = 'error' GROUP BY user_id),
+err{s} AS (SELECT user_id, count(*) AS n_errors FROM events
+  WHERE event_type = 'error' AND ts <= (SELECT max(ts) FROM events) - {events_back} GROUP BY user_id),
 snapshot{s} AS (
   SELECT CAST(c.c_custkey AS VARCHAR) AS customer_id, c.c_custkey AS ingest_seq,
-         a.last_purchase_date, a.signup_date, a.total_orders, a.total_spend,
+         a.last_purchase_date, a.signup_date, coalesce(a.total_orders, 0) AS total_orders, coalesce(a.total_spend, 0.0) AS total_spend,
          n.n_name AS country, c.c_mktsegment AS channel,
          CASE WHEN a.n_lines > 0
               THEN CAST(10.0 AS DOUBLE) - CAST(9.0 AS DOUBLE) * CAST(a.n_returned AS DOUBLE) / CAST(a.n_lines AS DOUBLE)
          END AS satisfaction_score,
          CAST(coalesce(e.n_errors, 0) AS BIGINT) AS support_tickets_raised,
-         CAST(trunc(a.total_spend * CAST(0.05 AS DOUBLE) + a.total_orders * 8) AS BIGINT) AS loyalty_points
+         CAST(trunc(coalesce(a.total_spend, 0.0) * CAST(0.05 AS DOUBLE) + coalesce(a.total_orders, 0) * 8) AS BIGINT) AS loyalty_points
   FROM customer c
-  JOIN cust_agg{s} a ON c.c_custkey = a.o_custkey
+  LEFT JOIN cust_agg{s} a ON c.c_custkey = a.o_custkey
   LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey
   LEFT JOIN err{s} e ON c.c_custkey = e.user_id)
 """
@@ -51,7 +52,9 @@ customers{s} AS (
   SELECT customer_id, ingest_seq, last_purchase_date, signup_date, total_orders, total_spend,
          coalesce(country, 'Unknown') AS country, coalesce(channel, 'Unknown') AS channel,
          coalesce(satisfaction_score, (SELECT coalesce(median(satisfaction_score), 0) FROM enriched0{s})) AS satisfaction_score,
-         support_tickets_raised, loyalty_points, days_since_last_purchase,
+         support_tickets_raised, loyalty_points,
+         CASE WHEN days_since_last_purchase IS NULL THEN (SELECT median(days_since_last_purchase) FROM enriched0{s})
+              ELSE days_since_last_purchase END AS days_since_last_purchase,
          coalesce(avg_order_value, (SELECT coalesce(median(avg_order_value), 0) FROM enriched0{s})) AS avg_order_value,
          CASE WHEN days_since_last_purchase > 180 THEN 1 ELSE 0 END AS churn_flag,
          35 AS age, 'Unknown' AS gender, 'Unknown' AS city, 0 AS referral_count
@@ -124,10 +127,10 @@ _LEVELS = {"snapshot": [_SNAPSHOT], "customers": [_SNAPSHOT, _CUSTOMERS], "score
            "labelled": [_SNAPSHOT, _CUSTOMERS, _SCORED, _LABELLED]}
 
 
-def chain(level: str, suffix: str = "", as_of: str = AS_OF) -> str:
+def chain(level: str, suffix: str = "", as_of: str = AS_OF, events_back: str = "INTERVAL 0 DAY") -> str:
     """CTE text up to ``level``; every CTE name carries ``suffix`` so two
     chains (e.g. two as-of dates) can live in one WITH clause."""
-    return ",\n".join(p.format(s=suffix, as_of=as_of).strip() for p in _LEVELS[level])
+    return ",\n".join(p.format(s=suffix, as_of=as_of, events_back=events_back).strip() for p in _LEVELS[level])
 
 
 def with_ctes(*parts: str) -> str:

@@ -1,29 +1,97 @@
 """File sources and sinks: customer CSV scan, literal rows, CSV sinks and
-the active-table choice."""
+the active-table choice.
+
+CSV follows RFC 4180: fields may be quoted, a quoted field may hold commas,
+line breaks and doubled quotes. Because a quoted field can hold a line break,
+a file is read by one task; large inputs should come as many files.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.columns import _NUMERIC_TEXT
+from ..functions.constants import MIN_ROWS, NA_TEXTS
+
+MALFORMED = "_malformed"
+_RFC4180 = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true"}
+
+
+class TableError(ValueError):
+    """A table that cannot be used; ``code`` says why: no_columns, no_rows,
+    too_few_rows, malformed_lines."""
+
+    def __init__(self, code: str, detail: str = ""):
+        super().__init__(f"{code}: {detail}" if detail else code)
+        self.code = code
+
+
+def _read(spark: SparkSession, path: str) -> DataFrame:
+    names = spark.read.options(**_RFC4180).csv(path).columns
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in names] + [T.StructField(MALFORMED, T.StringType())])
+    return spark.read.options(**_RFC4180, mode="PERMISSIVE", columnNameOfCorruptRecord=MALFORMED, enforceSchema="false").schema(schema).csv(path)
+
+
+def malformed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line): the lines that have more or fewer fields than the header."""
+    df = _read(spark, path)
+    # a look at every field: a scan pruned to fewer would not notice
+    fields = F.length(F.concat_ws("", *[F.col(f"`{c}`") for c in df.columns if c != MALFORMED]))
+    return df.where(F.col(MALFORMED).isNotNull() & (fields >= 0)).select(F.col("_metadata.file_path").alias("file"), F.col(MALFORMED).alias("line"))
+
+
+def scan_csv(spark: SparkSession, path: str, malformed: str = "keep") -> DataFrame:
+    """Header row, every column as text (``infer_numeric`` types it).
 
-from ..functions.constants import MIN_ROWS
+    ``ingest_seq`` is the input order: files by path, rows as in their file.
+    Lines with missing or surplus fields are kept (missing ones NULL), or are
+    an error with ``malformed="error"``; ``malformed_lines`` lists them."""
+    df = _read(spark, path)
+    if malformed == "error":
+        n = malformed_lines(spark, path).count()
+        if n:
+            raise TableError("malformed_lines", str(n))
+    files = df.select(F.col("_metadata.file_path").alias("_file")).distinct()
+    # one row a file: numbered by path without a global window over the rows
+    listed = files.groupBy().agg(F.array_sort(F.collect_list("_file")).alias("l")).select(F.posexplode("l").alias("_file_no", "_file"))
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # grows within a file: one task reads it
+    numbered = df.withColumn("_file", F.col("_metadata.file_path")).withColumn("_row", row)
+    seq = F.shiftleft(F.col("_file_no").cast("long"), 33) + F.col("_row")
+    return numbered.join(listed, "_file").withColumn("ingest_seq", seq).drop("_file", "_file_no", "_row", MALFORMED)
 
 
-def scan_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Header row, every column read as text (coercion happens explicitly
-    and leniently later); ``ingest_seq`` records input order straight after
-    the scan (file order inside a file)."""
-    df = spark.read.option("header", True).option("inferSchema", False).option("mode", "PERMISSIVE").csv(path)
-    return df.withColumn("ingest_seq", F.monotonically_increasing_id())
+def infer_numeric(df: DataFrame, keep: tuple[str, ...] = ("ingest_seq",)) -> DataFrame:
+    """Text columns whose every value is a number become numeric: bigint if
+    all are whole and none is missing, else double; columns without any value
+    become double. ``NA_TEXTS`` count as missing. One aggregate pass finds
+    out; later steps clean what stays text."""
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name not in keep]
+    if not texts:
+        return df
+    value = {c: F.when(~F.trim(F.col(f"`{c}`")).isin(*NA_TEXTS), F.col(f"`{c}`")) for c in texts}
+    aggs = [F.count(F.lit(1)).alias("rows")]
+    for i, c in enumerate(texts):
+        aggs += [F.count(value[c]).alias(f"n{i}"), F.count_if(value[c].rlike(_NUMERIC_TEXT)).alias(f"num{i}"), F.count_if(value[c].rlike(r"^\s*[+-]?\d{1,18}\s*$")).alias(f"int{i}")]
+    seen = df.agg(*aggs).first()
+    typed = {}
+    for i, c in enumerate(texts):
+        if seen[f"num{i}"] < seen[f"n{i}"]:
+            typed[c] = value[c]
+        elif seen[f"int{i}"] == seen["rows"] > 0:
+            typed[c] = F.trim(value[c]).cast("bigint")
+        else:
+            typed[c] = F.trim(value[c]).try_cast("double")
+    return df.withColumns(typed)
 
 
 def reject_empty(df: DataFrame) -> DataFrame:
-    """Error for a file with no columns or no rows (``isEmpty`` reads one row)."""
-    user_cols = [c for c in df.columns if c != "ingest_seq"]
-    if not user_cols:
-        raise ValueError("The uploaded file has no columns. Please upload a valid dataset.")
+    """Error for a table with no columns or no rows (``isEmpty`` reads one row)."""
+    if not [c for c in df.columns if c != "ingest_seq"]:
+        raise TableError("no_columns")
     if df.isEmpty():
-        raise ValueError("The uploaded file has no rows. Please upload a file with data.")
+        raise TableError("no_rows")
     return df
 
 
@@ -34,14 +102,15 @@ def inline_rows(spark: SparkSession, rows: list[dict], min_rows: int = MIN_ROWS)
     df = spark.createDataFrame(data, ", ".join(f"{c} string" for c in cols))
     df = df.where(F.length(F.coalesce(F.col("customer_id"), F.lit(""))) > 0)
     df = df.withColumn("ingest_seq", F.monotonically_increasing_id())
-    if df.count() < min_rows:  # literal input: at most a handful of rows
-        raise ValueError(f"Please enter at least {min_rows} complete customer rows before loading.")
+    found = df.count()  # literal input: at most a handful of rows
+    if found < min_rows:
+        raise TableError("too_few_rows", f"{found} of {min_rows}")
     return df
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     """CSV sink with a header row (one part file per partition)."""
-    df.write.mode(mode).option("header", True).csv(path)
+    df.write.mode(mode).options(header="true", quote='"', escape='"').csv(path)
     return path
 
 

@@ -7,11 +7,15 @@ upstream step. Column rules (ours, documented in FIXTURES.md §B):
 
 * ``customer_id``            – ``c_custkey`` as text; ``ingest_seq`` keeps the key
                                as the row order used for tie-breaks.
-* ``last_purchase_date`` / ``signup_date`` – max / min order date up to ``as_of``.
-* ``total_orders``           – number of orders; ``total_spend`` – exact decimal sum.
+* ``last_purchase_date`` / ``signup_date`` – max / min order date up to ``as_of``;
+                               NULL for a customer without orders.
+* ``total_orders``           – number of orders; ``total_spend`` – exact decimal sum;
+                               both 0 without orders.
 * ``country`` / ``channel``  – nation name / market segment.
 * ``satisfaction_score``     – 10 − 9 × share of returned lines.
-* ``support_tickets_raised`` – error events of the customer.
+* ``support_tickets_raised`` – error events of the customer up to ``events_until``
+                               (the event log runs on its own clock, so it has a
+                               bound of its own; default: its last event).
 * ``loyalty_points``         – truncated ``spend × 0.05 + orders × 8``.
 
 Plan shape: lines are pre-aggregated per order (map-side partial aggregate,
@@ -40,8 +44,14 @@ def default_as_of(orders: DataFrame) -> Column:
     return orders.select(F.max("o_orderdate") + F.expr("INTERVAL 1 DAY")).scalar()
 
 
-def customer_snapshot(t: Tables, as_of=None) -> DataFrame:
+def last_event(events: DataFrame) -> Column:
+    """The event log's last instant: a lazy scalar subquery."""
+    return events.select(F.max("ts")).scalar()
+
+
+def customer_snapshot(t: Tables, as_of=None, events_until=None) -> DataFrame:
     as_of_col = default_as_of(t.orders) if as_of is None else as_column(as_of)
+    until = last_event(t.events) if events_until is None else as_column(events_until)
 
     orders = t.orders.where(F.col("o_orderdate") <= as_of_col).select(
         "o_orderkey", "o_custkey", "o_orderdate", "o_totalprice"
@@ -60,7 +70,7 @@ def customer_snapshot(t: Tables, as_of=None) -> DataFrame:
         F.sum(F.coalesce(F.col("n_returned"), F.lit(0))).alias("n_returned"),
     )
     errors = (
-        t.events.where(F.col("event_type") == "error")
+        t.events.where((F.col("event_type") == "error") & (F.col("ts") <= until))
         .groupBy("user_id")
         .agg(F.count(F.lit(1)).alias("n_errors"))
     )
@@ -68,7 +78,8 @@ def customer_snapshot(t: Tables, as_of=None) -> DataFrame:
     nation = t.nation.select("n_nationkey", "n_name")
 
     joined = (
-        customers.join(per_customer, customers["c_custkey"] == per_customer["o_custkey"], "inner")
+        customers.join(per_customer, customers["c_custkey"] == per_customer["o_custkey"], "left")
+        .na.fill({"total_orders": 0, "total_spend": 0.0})
         .join(nation, customers["c_nationkey"] == nation["n_nationkey"], "left")
         .join(errors, customers["c_custkey"] == errors["user_id"], "left")
     )
@@ -93,12 +104,15 @@ def customer_snapshot(t: Tables, as_of=None) -> DataFrame:
     )
 
 
-def customer_snapshots(t: Tables, as_of_list: list) -> DataFrame:
+def customer_snapshots(t: Tables, as_of_list: list, events_until: list | None = None) -> DataFrame:
     """Snapshots at several as-of instants from **one** scan and shuffle of
     the fact tables: every per-customer measure is a conditional aggregate
-    per instant; the result is long, keyed by (``as_of``, customer). A
-    customer appears at an instant once it has an order by then."""
+    per instant; the result is long, keyed by (``as_of``, customer), with
+    every customer at every instant (0 orders where it has none yet).
+    ``events_until`` bounds the tickets of each instant; by default all end
+    with the event log."""
     cols = [as_column(a) for a in as_of_list]
+    untils = [last_event(t.events) if events_until is None else as_column(e) for e in (events_until or as_of_list)]
     latest = cols[0] if len(cols) == 1 else F.greatest(*cols)
     orders = t.orders.where(F.col("o_orderdate") <= latest).select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
     lines = t.lineitem.groupBy("l_orderkey").agg(
@@ -119,22 +133,24 @@ def customer_snapshots(t: Tables, as_of_list: list) -> DataFrame:
         ]
     per_customer = per_order.groupBy("o_custkey").agg(*aggs)
     fields = ["total_orders", "total_spend", "last_purchase_date", "signup_date", "n_lines", "n_returned"]
-    long = per_customer.select(
-        "o_custkey",
-        F.explode(
-            F.array(*[
-                F.struct(a.alias("as_of"), *[F.col(f"{f}_{i}").alias(f) for f in fields]) for i, a in enumerate(cols)
-            ])
-        ).alias("s"),
-    ).select("o_custkey", "s.*").where(F.col("total_orders") > 0)
-    errors = t.events.where(F.col("event_type") == "error").groupBy("user_id").agg(F.count(F.lit(1)).alias("n_errors"))
+    errors = (
+        t.events.where(F.col("event_type") == "error")
+        .groupBy("user_id")
+        .agg(*[F.count_if(F.col("ts") <= u).alias(f"n_errors_{i}") for i, u in enumerate(untils)])
+    )
     customers = t.customer.select("c_custkey", "c_nationkey", "c_mktsegment")
     nation = t.nation.select("n_nationkey", "n_name")
-    joined = (
-        customers.join(long, customers["c_custkey"] == long["o_custkey"], "inner")
+    wide = (
+        customers.join(per_customer, customers["c_custkey"] == per_customer["o_custkey"], "left")
         .join(nation, customers["c_nationkey"] == nation["n_nationkey"], "left")
         .join(errors, customers["c_custkey"] == errors["user_id"], "left")
     )
+    each = [F.struct(a.alias("as_of"), *[F.col(f"{f}_{i}").alias(f) for f in [*fields, "n_errors"]]) for i, a in enumerate(cols)]
+    joined = (
+        wide.select("c_custkey", "n_name", "c_mktsegment", F.explode(F.array(*each)).alias("s"))
+        .select("c_custkey", "n_name", "c_mktsegment", "s.*")
+        .na.fill({"total_orders": 0, "total_spend": 0.0})
+    )
     satisfaction = F.when(
         F.col("n_lines") > 0,
         F.lit(10.0) - F.lit(9.0) * F.col("n_returned").cast("double") / F.col("n_lines").cast("double"),
