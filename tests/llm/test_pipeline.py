@@ -8,8 +8,8 @@ import corpus_pipeline as cp
 from segmint.llm import quality, toxicity
 from segmint.llm.common import table
 from segmint.llm.tokens import load_tokenizer, tokenizer_path
-from tests.llm.test_jaccard_join import brute
-from tests.llm.test_tokens_packing import check_packing
+from test_jaccard_join import brute
+from test_tokens_packing import check_packing
 
 SF = "/root/testdata/sf0.001"
 
