@@ -26,21 +26,9 @@ from .cluster_metrics import ClusterMetrics, cluster_metrics
 
 
 # --------------------------------------------------------------------------- normalisation
-def normalize_values(values: list, higher_better: bool = True) -> list[float]:
-    """Min-max to [0, 1] over a small list of candidate scores: all missing →
-    0; all equal → 0.5; inverted when lower is better; missing → 0."""
-    arr = np.array([np.nan if v is None else float(v) for v in values], dtype=float)
-    if np.all(np.isnan(arr)):
-        return [0.0 for _ in values]
-    lo, hi = np.nanmin(arr), np.nanmax(arr)
-    norm = np.full_like(arr, 0.5) if lo == hi else (arr - lo) / (hi - lo)
-    if not higher_better:
-        norm = 1 - norm
-    return [0.0 if np.isnan(v) else float(v) for v in norm]
-
-
 def minmax_normalize(df: DataFrame, col: str, out: str, higher_better: bool = True) -> DataFrame:
-    """The same rule as a window over a (small, already aggregated) frame."""
+    """Min-max to [0, 1] over a (small, already aggregated) frame: all missing
+    → 0; all equal → 0.5; turned round when lower is better; missing → 0."""
     whole = Window.partitionBy()
     lo, hi = F.min(col).over(whole), F.max(col).over(whole)
     norm = F.when(hi.isNull(), F.lit(0.0)).when(lo == hi, F.lit(0.5)).otherwise((F.col(col) - lo) / (hi - lo))
@@ -49,6 +37,16 @@ def minmax_normalize(df: DataFrame, col: str, out: str, higher_better: bool = Tr
     return df.withColumn(out, F.coalesce(norm, F.lit(0.0)))
 
 
+def score_candidates(frame: DataFrame, weights: dict[str, float], lower_better: tuple[str, ...] = ("davies_bouldin", "inertia")) -> DataFrame:
+    """Adds ``score``: the weighted sum of the min-max normalised columns, for
+    a frame with one row a candidate."""
+    total = F.lit(0.0)
+    for c, w in weights.items():
+        frame = minmax_normalize(frame, c, f"_{c}", c not in lower_better)
+        total = total + F.lit(float(w)) * F.col(f"_{c}")
+    return frame.withColumn("score", total).drop(*[f"_{c}" for c in weights])
+
+
 # --------------------------------------------------------------------------- K-means
 @dataclass
 class KMeansRun:
@@ -64,6 +62,7 @@ class SweepResult:
     runs: list
     best: KMeansRun
     labels: DataFrame = field(repr=False)
+    skipped: list = field(default_factory=list)  # k values with too few rows
 
 
 def _fit(points: DataFrame, features: str, k: int, seed: int):
@@ -86,8 +85,10 @@ def kmeans_sweep(
     0.45 silhouette + 0.2 CH + 0.2 DB + 0.15 inertia (min-max normalised,
     DB and inertia inverted) and keep the first maximum. ``points`` should
     be materialised; fits for different k run as concurrent Spark jobs."""
+    points = points.persist()  # all fits read one copy; MLlib keeps none of its own then
     n = points.count()
     ks = [k for k in k_range if k < n] or [max(1, n - 1)]
+    skipped = [k for k in k_range if k not in ks]
 
     jobs = [(k, r) for k in ks for r in range(restarts)]
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
@@ -102,35 +103,31 @@ def kmeans_sweep(
             return KMeansRun(k, model, cost, cluster_metrics(model.transform(points), features, "_km"))
 
         runs = list(pool.map(run, ks))
-    for r, sc in zip(runs, selection_scores([(r.k, r.metrics, r.inertia) for r in runs])):
+    for r, sc in zip(runs, selection_scores(points.sparkSession, [(r.k, r.metrics, r.inertia) for r in runs])):
         r.score = sc
     best = max(runs, key=lambda r: r.score)  # first maximum
-    labels = best.model.transform(points).withColumnRenamed("_km", "kmeans_label")
-    return SweepResult(runs, best, labels)
-
-
-def selection_scores(candidates: list[tuple[object, ClusterMetrics, float]]) -> list[float]:
-    """K-means selection score of each candidate (key, metrics, inertia):
-    0.45 silhouette + 0.2 CH + 0.2 DB + 0.15 inertia after min-max
-    normalisation (DB and inertia inverted)."""
-    inertia = normalize_values([c[2] for c in candidates], higher_better=False)
-    sil = normalize_values([c[1].silhouette for c in candidates], True)
-    ch = normalize_values([c[1].calinski_harabasz for c in candidates], True)
-    db = normalize_values([c[1].davies_bouldin for c in candidates], False)
-    w = KMEANS_WEIGHTS
-    return [
-        w["silhouette"] * sil[i] + w["calinski_harabasz"] * ch[i] + w["davies_bouldin"] * db[i] + w["inertia"] * inertia[i]
-        for i in range(len(candidates))
-    ]
+    labels = best.model.transform(points).withColumnRenamed("_km", "kmeans_label").checkpoint(eager=True)
+    points.unpersist()
+    return SweepResult(runs, best, labels, skipped)
+
+
+def selection_scores(spark, candidates: list[tuple[object, ClusterMetrics, float]]) -> list[float]:
+    """K-means selection score of each candidate (key, metrics, inertia), by
+    the weights of ``KMEANS_WEIGHTS``."""
+    rows = [(i, m.silhouette, m.davies_bouldin, m.calinski_harabasz, cost) for i, (_, m, cost) in enumerate(candidates)]
+    frame = spark.createDataFrame(rows, "i int, silhouette double, davies_bouldin double, calinski_harabasz double, inertia double")
+    return [r["score"] for r in score_candidates(frame, KMEANS_WEIGHTS).orderBy("i").collect()]  # one row a candidate
 
 
 def sweep_frame(spark, sweep: SweepResult) -> DataFrame:
     rows = [
-        (r.k, r.inertia, r.metrics.silhouette, r.metrics.davies_bouldin, r.metrics.calinski_harabasz, r.score)
+        (r.k, r.inertia, r.metrics.silhouette, r.metrics.davies_bouldin, r.metrics.calinski_harabasz, r.score, None)
         for r in sweep.runs
     ]
+    rows += [(k, None, None, None, None, None, "k is not below the number of rows") for k in sweep.skipped]
     return spark.createDataFrame(
-        rows, "k int, inertia double, silhouette double, davies_bouldin double, calinski_harabasz double, score double"
+        rows,
+        "k int, inertia double, silhouette double, davies_bouldin double, calinski_harabasz double, score double, skipped string",
     )
 
 
@@ -217,21 +214,11 @@ def ward_hierarchical(
 def algorithm_comparison(spark, candidates: list[tuple[str, ClusterMetrics]]) -> DataFrame:
     """0.5 silhouette + 0.25 DB (inverted) + 0.25 CH, min-max normalised over
     the candidates; ``is_best`` marks the first maximum."""
-    sil = normalize_values([m.silhouette for _, m in candidates], True)
-    db = normalize_values([m.davies_bouldin for _, m in candidates], False)
-    ch = normalize_values([m.calinski_harabasz for _, m in candidates], True)
-    w = COMPARISON_WEIGHTS
-    scores = [w["silhouette"] * sil[i] + w["davies_bouldin"] * db[i] + w["calinski_harabasz"] * ch[i] for i in range(len(candidates))]
-    best = int(np.argmax(scores))
-    rows = [
-        (i, name, m.n_clusters, m.silhouette, m.davies_bouldin, m.calinski_harabasz, scores[i], i == best)
-        for i, (name, m) in enumerate(candidates)
-    ]
-    return spark.createDataFrame(
-        rows,
-        "position int, algorithm string, n_clusters int, silhouette double, davies_bouldin double, "
-        "calinski_harabasz double, score double, is_best boolean",
-    )
+    rows = [(i, name, m.n_clusters, m.silhouette, m.davies_bouldin, m.calinski_harabasz) for i, (name, m) in enumerate(candidates)]
+    schema = "position int, algorithm string, n_clusters int, silhouette double, davies_bouldin double, calinski_harabasz double"
+    scored = score_candidates(spark.createDataFrame(rows, schema), COMPARISON_WEIGHTS)
+    order = Window.orderBy(F.col("score").desc(), F.col("position"))  # one row an algorithm
+    return scored.withColumn("is_best", F.row_number().over(order) == 1)
 
 
 def pca_projection(df: DataFrame, features: str = "features", k: int = 3):
@@ -251,38 +238,3 @@ def pca_projection(df: DataFrame, features: str = "features", k: int = 3):
     names = ["pca_x", "pca_y", "pca_z"][:kk]
     out = out.withColumns({n: F.col("_pa")[i] for i, n in enumerate(names)}).drop("_c", "_p", "_pa")
     return out, list(model.explainedVariance.toArray())
-
-
-def kmeans_sweep_shared(
-    points: DataFrame,
-    k_range=KMEANS_K_RANGE,
-    restarts: int = KMEANS_RESTARTS,
-    seed: int = SEED,
-) -> SweepResult:
-    """The same sweep and selection as ``kmeans_sweep``, with all k × restart
-    fits sharing each data pass (``multikmeans``). ``points``: (pid, x, …),
-    materialised. ``model`` of each run holds its centres (k × d)."""
-    from .multikmeans import assign, multi_kmeans
-
-    n = points.count()
-    ks = [k for k in k_range if k < n] or [max(1, n - 1)]
-    fits = [(k, r) for k in ks for r in range(restarts)]
-    res = multi_kmeans(points.select("pid", "x"), fits, seed)
-    best_of: dict = {}
-    for f, (k, _) in enumerate(fits):  # restarts in order: first minimum wins
-        c, inertia = res[f]
-        if k not in best_of or inertia < best_of[k][1]:
-            best_of[k] = (c, inertia)
-
-    def run(k):
-        c, inertia = best_of[k]
-        lab = assign(points.select("pid", "x"), c, "_km")
-        return KMeansRun(k, c, float(inertia), cluster_metrics(lab, "x", "_km"))
-
-    with ThreadPoolExecutor(max_workers=8) as pool:
-        runs = list(pool.map(run, ks))
-    for r, sc in zip(runs, selection_scores([(r.k, r.metrics, r.inertia) for r in runs])):
-        r.score = sc
-    best = max(runs, key=lambda r: r.score)
-    labels = assign(points, best.model, "kmeans_label")
-    return SweepResult(runs, best, labels)

@@ -269,12 +269,17 @@ def kth_neighbor_distance(points: DataFrame, k: int = 5, m: int = 3, block_rows:
     r = r0
     pending = points
     done = []
-    for _ in range(64):
+    while True:  # every doubling settles more points; a radius beyond the data's extent settles all
+        if not np.isfinite(r):
+            raise ArithmeticError("k-distance: points with non-finite coordinates cannot be settled")
         cells = _with_cells(points, axes, mean, r)
         homes = _with_cells(pending, axes, mean, r)
         part = _run_blocks(homes.select("cell", "pid", "x"), cells.select("cell", "pid", "x"), m, block_rows,
                            _knn_fn(k), "pid long, d array<double>")
-        merged = part.groupBy("pid").agg(F.slice(F.array_sort(F.flatten(F.collect_list("d"))), 1, k).alias("d"))
+        # two steps of at most k values a row each: a point that meets many blocks is merged by parts
+        part = part.withColumn("s", F.pmod(F.monotonically_increasing_id(), F.lit(16)))
+        smallest = F.slice(F.array_sort(F.flatten(F.collect_list("d"))), 1, k).alias("d")
+        merged = part.groupBy("pid", "s").agg(smallest).groupBy("pid").agg(smallest)
         merged = merged.withColumn("kd", F.try_element_at("d", F.lit(k))).checkpoint(eager=True)
         settled = merged.where(F.col("kd") <= F.lit(r)).select("pid", "kd")
         done.append(settled)
@@ -295,7 +300,7 @@ def _sample_upper_bounds(points: DataFrame, k: int, sample_size: int) -> DataFra
     n = points.count()
     frac = min(1.0, sample_size / max(1, n))
     sample = points.where(F.pmod(F.xxhash64("pid", F.lit(7)), F.lit(1_000_000)) < F.lit(int(frac * 1_000_000)))
-    rows = sample.limit(sample_size).collect()  # bounded by sample_size
+    rows = sample.collect()  # about sample_size rows, by hash
     sid = np.array([r["pid"] for r in rows], dtype=np.int64)
     sx = np.array([r["x"] for r in rows], dtype=float) if rows else np.zeros((0, 0))
     bsx = points.sparkSession.sparkContext.broadcast((sid, sx))
@@ -343,27 +348,27 @@ class DbscanResult:
     n_noise: int
 
 
-def _components(edges: DataFrame, vertices: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """(v, comp) with comp = smallest vertex id of the component."""
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
-        edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
-    )
-    labels = vertices.select(F.col("pid").alias("v"), F.col("pid").alias("l")).checkpoint(eager=True)
-    for _ in range(max_rounds):
-        nb = both.join(labels, "v").groupBy(F.col("u").alias("v")).agg(F.min("l").alias("m"))
-        step = labels.join(nb, "v", "left").select("v", F.least("l", F.coalesce("m", "l")).alias("l"))
-        jump = step.alias("s").join(step.alias("t"), F.col("s.l") == F.col("t.v"), "left").select(
-            F.col("s.v").alias("v"), F.least(F.col("s.l"), F.coalesce(F.col("t.l"), F.col("s.l"))).alias("l")
-        )
-        new = jump.checkpoint(eager=True)
-        changed = new.alias("n").join(labels.alias("o"), "v").where(F.col("n.l") != F.col("o.l")).limit(1).count()
+def _components(edges: DataFrame, vertices: DataFrame, key: list[str], salts: int = 16) -> DataFrame:
+    """``key`` columns + comp: the smallest vertex of the component, by label
+    propagation with pointer jumping until nothing changes. ``vertices`` has
+    the columns ``key`` (its last one is the vertex), ``edges`` the leading
+    ones and a, b. Pointers are followed by (label, salt), so the one label
+    of a giant component spreads over ``salts`` tasks."""
+    *lead, v = key
+    both = edges.select(*lead, F.col("a").alias("u"), F.col("b").alias("w")).unionByName(edges.select(*lead, F.col("b").alias("u"), F.col("a").alias("w")))
+    labels = vertices.select(*lead, F.col(v).alias("v"), F.col(v).alias("l")).checkpoint(eager=True)
+    salt = F.array(*[F.lit(i) for i in range(salts)])
+    while True:
+        nb = both.join(labels.select(*lead, F.col("v").alias("w"), "l"), [*lead, "w"]).groupBy(*lead, F.col("u").alias("v")).agg(F.min("l").alias("m"))
+        step = labels.join(nb, [*lead, "v"], "left").select(*lead, "v", F.least("l", F.coalesce("m", "l")).alias("l")).checkpoint(eager=True)
+        used = step.select(*lead, "l").distinct()
+        target = used.join(step.select(*lead, F.col("v").alias("l"), F.col("l").alias("t")), [*lead, "l"]).withColumn("s", F.explode(salt))
+        jump = step.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int")).join(target, [*lead, "l", "s"], "left")
+        new = jump.select(*lead, "v", F.least("l", F.coalesce("t", "l")).alias("l")).checkpoint(eager=True)
+        old = labels.select(*lead, "v", F.col("l").alias("o"))
+        if new.join(old, [*lead, "v"]).where("l <> o").isEmpty():
+            return new.select(*lead, F.col("v").alias(v), F.col("l").alias("comp"))
         labels = new
-        if changed == 0:
-            break
-    return labels.select(F.col("v").alias("pid"), F.col("l").alias("comp"))
-
-
-_E_BITS = 4  # up to 16 radii per sweep share one component computation
 
 
 def dbscan_sweep(points: DataFrame, eps_list: list[float], min_samples: int = 5, m: int = 3,
@@ -377,8 +382,6 @@ def dbscan_sweep(points: DataFrame, eps_list: list[float], min_samples: int = 5,
     eps_list = [float(e) for e in eps_list]
     if not eps_list:
         return []
-    if len(eps_list) > (1 << _E_BITS):
-        raise ValueError("at most 16 radii per sweep")
     spark = points.sparkSession
     ensure_checkpoint_dir(spark)
     if axes is None:
@@ -398,16 +401,9 @@ def dbscan_sweep(points: DataFrame, eps_list: list[float], min_samples: int = 5,
     links = _run_blocks(flagged, flagged, m, block_rows, _link_fn(eps_list), "e int, a long, b long, kind int, dist double")
     links = links.checkpoint(eager=True)
 
-    def key(pid_col, e_col):
-        return F.shiftleft(pid_col, _E_BITS) + e_col.cast("long")
-
-    edges = links.where(F.col("kind") == 0).select(key(F.col("a"), F.col("e")).alias("a"), key(F.col("b"), F.col("e")).alias("b"))
-    cores = flagged.select("pid", F.posexplode("core").alias("e", "c")).where("c").select(key(F.col("pid"), F.col("e")).alias("pid"))
-    comp = _components(edges, cores).select(
-        F.shiftright("pid", _E_BITS).alias("pid"),
-        F.col("pid").bitwiseAND(F.lit((1 << _E_BITS) - 1)).cast("int").alias("e"),
-        F.shiftright("comp", _E_BITS).alias("comp"),
-    )
+    edges = links.where(F.col("kind") == 0).select("e", "a", "b")
+    cores = flagged.select("pid", F.posexplode("core").alias("e", "c")).where("c").select("e", "pid")
+    comp = _components(edges, cores, ["e", "pid"])
     reps = comp.select("e", "comp").distinct().withColumn("g", F.col("e").cast("string"))
     numbered = OrderIndex(reps, ["comp"], group_col="g").with_position("cluster").select(
         "e", "comp", (F.col("cluster") - 1).alias("cluster")

@@ -7,7 +7,7 @@ customers with rule-fixed labels — so model noise cannot enter a check.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as CF
@@ -605,35 +605,39 @@ def algorithm_comparison(spark, sf_dir):
     return MD.comparison(spark, sf_dir)
 
 
-@query
-def kpi_clustering(spark, sf_dir):
-    comp = MD.comparison(spark, sf_dir)
-    sel = comp.where(F.col("algorithm") == "K-Means")
-    agg = comp.agg(
-        F.max("score").alias("best_score"), F.max("n_clusters").alias("max_clusters"),
-        F.max("silhouette").alias("best_silhouette"), F.min("davies_bouldin").alias("best_davies_bouldin"),
-    )
-    return sel.select(
+def _kpi_clustering(comp, algorithm: str | None):
+    """The KPIs of one algorithm (default: the winner) against the best of all,
+    from the three rows of the comparison."""
+    whole = Window.partitionBy()
+    out = comp.withColumns({
+        "best_score": F.max("score").over(whole), "max_clusters": F.max("n_clusters").over(whole),
+        "best_silhouette": F.max("silhouette").over(whole), "best_davies_bouldin": F.min("davies_bouldin").over(whole),
+    })
+    chosen = F.col("is_best") if algorithm is None else F.col("algorithm") == algorithm
+    return out.where(chosen).select(
         "algorithm", "score", "n_clusters", "silhouette", "davies_bouldin",
-        agg.select("best_score").scalar().alias("best_score"),
-        agg.select("max_clusters").scalar().alias("max_clusters"),
-        agg.select("best_silhouette").scalar().alias("best_silhouette"),
-        agg.select("best_davies_bouldin").scalar().alias("best_davies_bouldin"),
+        "best_score", "max_clusters", "best_silhouette", "best_davies_bouldin",
     )
 
 
 @query
-def choose_algorithm_labels(spark, sf_dir):
-    """Replace ``cluster_id`` by another algorithm's labels (Ward here) and
-    refit the CLV model on them, as choosing an algorithm does."""
+def kpi_clustering(spark, sf_dir, algorithm=None):
+    return _kpi_clustering(MD.comparison(spark, sf_dir), algorithm)
+
+
+@query
+def clustering_labels(spark, sf_dir):
+    """The labels of all three algorithms and ``cluster_id`` of the winner."""
+    return MD.clustered(spark, sf_dir).select("customer_id", "kmeans_label", "dbscan_label", "hierarchical_label", "cluster_id")
+
+
+@query
+def choose_algorithm_labels(spark, sf_dir, algorithm="Hierarchical"):
+    """Replace ``cluster_id`` by another algorithm's labels and refit the CLV
+    model on them, as choosing an algorithm does."""
     from ..operators.clv import clv_model as fit_clv
 
-    runs, best, labels = MD.ward(spark, sf_dir)
-    sc = base.scored(spark, sf_dir)
-    chosen = base.materialize(
-        sc.join(labels.select("customer_id", F.col("hierarchical_label").cast("int").alias("cluster_id")), "customer_id")
-    )
-    scored, _, _ = fit_clv(chosen)
+    scored, _, _ = fit_clv(MD.clustered(spark, sf_dir, algorithm))
     return scored.select("customer_id", "cluster_id", "rfm_segment", "clv_12m", "clv_tier")
 
 
@@ -852,7 +856,7 @@ def kmeans_select_fixed(spark, sf_dir):
     """The K-means selection rule (0.45 silhouette + 0.2 CH + 0.2 DB + 0.15
     inertia) over three fixed labelings of ``embeddings``."""
     cands = [(n, m, m.inertia) for n, m in _fixed_metrics(spark, sf_dir)]
-    scores = CL.selection_scores(cands)
+    scores = CL.selection_scores(spark, cands)
     best = max(range(len(scores)), key=lambda i: scores[i])
     rows = [(n, m.n_clusters, m.inertia, scores[i], i == best) for i, (n, m, _) in enumerate(cands)]
     return spark.createDataFrame(rows, "labeling string, n_clusters int, inertia double, score double, is_best boolean")
@@ -885,18 +889,7 @@ def churn_holdout_report(spark, sf_dir):
 def kpi_clustering_fixed(spark, sf_dir):
     """The clustering KPI row (selected labeling vs the best of all) over the
     fixed labelings of ``embeddings``; the selected one is ``label``."""
-    comp = CL.algorithm_comparison(spark, _fixed_metrics(spark, sf_dir))
-    agg = comp.agg(
-        F.max("score").alias("best_score"), F.max("n_clusters").alias("max_clusters"),
-        F.max("silhouette").alias("best_silhouette"), F.min("davies_bouldin").alias("best_davies_bouldin"),
-    )
-    return comp.where(F.col("algorithm") == "label").select(
-        "algorithm", "score", "n_clusters", "silhouette", "davies_bouldin",
-        agg.select("best_score").scalar().alias("best_score"),
-        agg.select("max_clusters").scalar().alias("max_clusters"),
-        agg.select("best_silhouette").scalar().alias("best_silhouette"),
-        agg.select("best_davies_bouldin").scalar().alias("best_davies_bouldin"),
-    )
+    return _kpi_clustering(CL.algorithm_comparison(spark, _fixed_metrics(spark, sf_dir)), "label")
 
 
 @query

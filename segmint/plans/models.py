@@ -12,7 +12,6 @@ from ..functions.constants import KMEANS_RESTARTS
 from ..operators import churn as CH
 from ..operators import clustering as CL
 from ..operators import clv as CLV
-from ..operators.cluster_metrics import cluster_metrics
 from ..operators.features import feature_matrix
 from . import base
 
@@ -32,22 +31,13 @@ def features(spark: SparkSession, sf_dir: str):
     return _CACHE[k]
 
 
-def kmeans(spark: SparkSession, sf_dir: str, restarts: int = KMEANS_RESTARTS, strategy: str = "mllib"):
-    """K-means sweep. ``mllib``: one MLlib fit per (k, restart), run as
-    concurrent jobs; fastest while the feature table is cached in memory.
-    ``shared``: all fits share each data pass (``operators.multikmeans``),
-    90× fewer scans when the table must be re-read from storage per pass.
-    Both select the same k on the driver data (inertias within 0.01 %)."""
-    k = _k(spark, sf_dir, f"kmeans{restarts}{strategy}")
+def kmeans(spark: SparkSession, sf_dir: str, restarts: int = KMEANS_RESTARTS):
+    """K-means sweep: one MLlib fit per (k, restart), run as concurrent jobs
+    over one persisted copy of the features."""
+    k = _k(spark, sf_dir, f"kmeans{restarts}")
     if k not in _CACHE:
         fm, _ = features(spark, sf_dir)
-        if strategy == "shared":
-            from pyspark.ml.functions import vector_to_array
-
-            pts = base.materialize(fm.select(F.col("ingest_seq").alias("pid"), vector_to_array("features").alias("x"), "customer_id"))
-            _CACHE[k] = CL.kmeans_sweep_shared(pts, restarts=restarts)
-        else:
-            _CACHE[k] = CL.kmeans_sweep(fm.select("customer_id", "features"), restarts=restarts)
+        _CACHE[k] = CL.kmeans_sweep(fm.select("customer_id", "features"), restarts=restarts)
     return _CACHE[k]
 
 
@@ -60,26 +50,50 @@ def ward(spark: SparkSession, sf_dir: str):
 
 
 def comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import density
+
     sweep = kmeans(spark, sf_dir)
     runs, best, _ = ward(spark, sf_dir)
-    cands = [("K-Means", sweep.best.metrics), ("Hierarchical", best[1])]
-    try:
-        from . import density
-
-        cands.insert(1, ("DBSCAN", density.dbscan_best(spark, sf_dir).metrics))
-    except ImportError:
-        pass
+    cands = [("K-Means", sweep.best.metrics), ("DBSCAN", density.dbscan_best(spark, sf_dir).metrics), ("Hierarchical", best[1])]
     return CL.algorithm_comparison(spark, cands)
 
 
-def clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scored customers with K-means labels as ``cluster_id`` (the best
-    algorithm of the comparison decides in ``best_labels``)."""
-    k = _k(spark, sf_dir, "clustered")
+#: algorithm -> the column of ``labels`` that holds its clusters
+LABEL_OF = {"K-Means": "kmeans_label", "DBSCAN": "dbscan_label", "Hierarchical": "hierarchical_label"}
+
+
+def with_cluster_id(labels: DataFrame, algorithm: str) -> DataFrame:
+    """The labels of one algorithm as ``cluster_id``."""
+    return labels.withColumn("cluster_id", F.col(LABEL_OF[algorithm]).cast("int"))
+
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(customer_id, kmeans_label, dbscan_label, hierarchical_label)."""
+    from . import density
+
+    k = _k(spark, sf_dir, "labels")
     if k not in _CACHE:
-        sweep = kmeans(spark, sf_dir)
-        labels = sweep.labels.select("customer_id", F.col("kmeans_label").cast("int").alias("cluster_id"))
-        _CACHE[k] = base.materialize(base.scored(spark, sf_dir).join(labels, "customer_id"))
+        ids = base.scored(spark, sf_dir).select("customer_id", F.col("ingest_seq").alias("pid"))
+        out = (
+            ids.join(kmeans(spark, sf_dir).labels.select("customer_id", F.col("kmeans_label").cast("int").alias("kmeans_label")), "customer_id")
+            .join(density.dbscan_best(spark, sf_dir).labels.select("pid", F.col("dbscan_label").cast("int").alias("dbscan_label")), "pid")
+            .join(ward(spark, sf_dir)[2].select("customer_id", F.col("hierarchical_label").cast("int").alias("hierarchical_label")), "customer_id")
+        )
+        _CACHE[k] = base.materialize(out.drop("pid"))
+    return _CACHE[k]
+
+
+def winner(spark: SparkSession, sf_dir: str) -> str:
+    return comparison(spark, sf_dir).where("is_best").first()["algorithm"]
+
+
+def clustered(spark: SparkSession, sf_dir: str, algorithm: str | None = None) -> DataFrame:
+    """Scored customers with the three labels and ``cluster_id`` from
+    ``algorithm``, by default the winner of the comparison."""
+    algorithm = algorithm or winner(spark, sf_dir)
+    k = _k(spark, sf_dir, f"clustered-{algorithm}")
+    if k not in _CACHE:
+        _CACHE[k] = base.materialize(base.scored(spark, sf_dir).join(with_cluster_id(labels(spark, sf_dir), algorithm), "customer_id"))
     return _CACHE[k]
 
 
@@ -94,11 +108,7 @@ def clv(spark: SparkSession, sf_dir: str):
 def churn(spark: SparkSession, sf_dir: str) -> CH.ChurnResult:
     k = _k(spark, sf_dir, "churn")
     if k not in _CACHE:
-        res = CH.churn_model(clv(spark, sf_dir)[0])
+        res = CH.churn_model(clustered(spark, sf_dir))
         res.scored = base.materialize(res.scored)
         _CACHE[k] = res
     return _CACHE[k]
-
-
-def metrics_of(df: DataFrame, features_col: str, label: str):
-    return cluster_metrics(df, features_col, label)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from segmint.operators.cluster_metrics import cluster_metrics
-from segmint.operators.clustering import normalize_values, ward_merge
+from segmint.operators.clustering import minmax_normalize, ward_merge
 from segmint.operators.evaluate import classification_report, roc_auc, roc_curve
 
 
@@ -51,10 +51,22 @@ def test_single_cluster_has_no_metrics(spark):
     assert m.silhouette is None and m.n_clusters == 1
 
 
-def test_normalize_rules():
-    assert normalize_values([None, None]) == [0.0, 0.0]
-    assert normalize_values([2.0, 2.0]) == [0.5, 0.5]
-    assert normalize_values([1.0, None, 3.0], higher_better=False) == [1.0, 0.0, 0.0]
+def test_normalize_rules(spark):
+    def norm(values, higher=True):
+        df = spark.createDataFrame(list(enumerate(values)), "i int, v double")
+        return [r["o"] for r in minmax_normalize(df, "v", "o", higher).orderBy("i").collect()]
+
+    assert norm([None, None]) == [0.0, 0.0]
+    assert norm([2.0, 2.0]) == [0.5, 0.5] and norm([2.0, 2.0], False) == [0.5, 0.5]
+    assert norm([1.0, None, 3.0], False) == [1.0, 0.0, 0.0]
+
+
+def test_chosen_algorithm_gives_cluster_id(spark):
+    from segmint.plans.models import with_cluster_id
+
+    df = spark.createDataFrame([(1, 2, 3)], "kmeans_label int, dbscan_label int, hierarchical_label int")
+    got = [with_cluster_id(df, a).first()["cluster_id"] for a in ("K-Means", "DBSCAN", "Hierarchical")]
+    assert got == [1, 2, 3]
 
 
 def test_ward_merge_two_groups():
