@@ -117,17 +117,13 @@ def cluster_metrics(df: DataFrame, features: str, label: str) -> ClusterMetrics:
     spread = {r["label"]: r["e"] for r in agg}
 
     mus = np.array([s[2] for s in stats])
-    labels = [s[0] for s in stats]
+    spreads = np.array([spread[st[0]] for st in stats])
     worst = []
     for i in range(k):
-        ratios = []
-        for j in range(k):
-            if i == j:
-                continue
-            dij = float(np.linalg.norm(mus[i] - mus[j]))
-            # coincident centroids count as infinitely far apart (ratio 0)
-            ratios.append((spread[labels[i]] + spread[labels[j]]) / dij if dij > 0 else 0.0)
-        worst.append(max(ratios))
+        dij = np.linalg.norm(mus - mus[i], axis=1)
+        # coincident centroids count as infinitely far apart (ratio 0)
+        ratios = np.where(dij > 0, (spreads + spreads[i]) / np.where(dij > 0, dij, 1.0), 0.0)
+        worst.append(np.delete(ratios, i).max())
     db = float(np.mean(worst))
 
     sizes = np.array([s[1] for s in stats], dtype=float)
@@ -138,10 +134,6 @@ def cluster_metrics(df: DataFrame, features: str, label: str) -> ClusterMetrics:
     return ClusterMetrics(float(silhouette), db, float(ch), k, n_total, within)
 
 
-def metrics_frame(spark, rows: list[dict]) -> DataFrame:
-    return spark.createDataFrame(rows)
-
-
 def count_clusters(df: DataFrame, label: str) -> Column:
     """Distinct labels without noise (−1), as an aggregate expression."""
     return F.count_distinct(F.when(F.col(label) >= 0, F.col(label)))

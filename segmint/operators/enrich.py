@@ -45,6 +45,11 @@ def dedup_keep_last(df: DataFrame, key: str = "customer_id", order: str = ROW_OR
     return last.select(*[F.col(key) if c == key else F.col(f"_last.{c}").alias(c) for c in df.columns])
 
 
+def rejected_keys(df: DataFrame, key: str = "customer_id") -> DataFrame:
+    """The rows that ``dedup_keep_last`` leaves out because they have no key."""
+    return df.where(F.col(key).isNull())
+
+
 def clean_currency_columns(df: DataFrame) -> DataFrame:
     present = [c for c in CURRENCY_COLUMNS if c in df.columns]
     return df.withColumns({c: C.clean_currency(df, c) for c in present}) if present else df
@@ -110,11 +115,14 @@ def impute_median(df: DataFrame, tiebreak: str | None = ROW_ORDER) -> DataFrame:
     if not cols:
         return df
     tb = tiebreak if tiebreak in df.columns else None
+    # one count pass first: only columns with gaps are ranked
+    gaps = df.agg(*[F.count_if(F.col(c).isNull() | F.isnan(F.col(c).cast("double"))).alias(c) for c in cols]).first()
+    cols = [c for c in cols if gaps[c]]
+    if not cols:
+        return df
     q = exact_quantiles(df, cols, [0.5], tb)
     fills = {}
     for c in cols:
-        if q.non_null.get(c, 0) == q.rows:
-            continue
         med = q[(c, 0.5)]
         fills[c] = F.coalesce(F.col(c).cast("double"), F.lit(0.0 if med is None else float(med)))
     return df.withColumns(fills) if fills else df

@@ -30,33 +30,22 @@ def filter_facets(df: DataFrame, fallback_today: _dt.date | None = None) -> Data
     """Long frame (facet, value): date_min / date_max of the filter date
     (signup, else purchase), then sorted distinct countries and clusters."""
     d = date_column(df)
-    dates = df.agg(F.min(d).alias("lo"), F.max(d).alias("hi"))
+    sets = [[]] + [[F.col(c)] for c in ("country", "cluster_id") if c in df.columns]
+    keys = [c for c in ("country", "cluster_id") if c in df.columns]
+    # one scan: the whole table and each facet's values are groupings of it
+    one = df.select(d, *keys).groupingSets(sets, *keys).agg(F.min(d).alias("lo"), F.max(d).alias("hi"), F.grouping_id().alias("g"))
+    lo, hi = F.col("lo"), F.col("hi")
     if fallback_today is not None:
-        today = as_column(fallback_today)
-        dates = dates.select(
-            F.when(F.col("lo").isNull() | F.col("hi").isNull(), today - F.expr("INTERVAL 365 DAYS"))
-            .otherwise(F.col("lo"))
-            .alias("lo"),
-            F.when(F.col("lo").isNull() | F.col("hi").isNull(), today).otherwise(F.col("hi")).alias("hi"),
-        )
-    parts = [
-        dates.select(F.lit("date_min").alias("facet"), F.date_format("lo", "yyyy-MM-dd").alias("value")),
-        dates.select(F.lit("date_max").alias("facet"), F.date_format("hi", "yyyy-MM-dd").alias("value")),
-    ]
-    if "country" in df.columns:
-        parts.append(
-            df.where(F.col("country").isNotNull()).select(F.lit("country").alias("facet"), F.col("country").alias("value")).distinct()
-        )
-    if "cluster_id" in df.columns:
-        parts.append(
-            df.where(F.col("cluster_id").isNotNull())
-            .select(F.lit("cluster").alias("facet"), F.col("cluster_id").cast("string").alias("value"))
-            .distinct()
-        )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        today, gone = as_column(fallback_today), lo.isNull() | hi.isNull()
+        lo, hi = F.when(gone, today - F.expr("INTERVAL 365 DAYS")).otherwise(lo), F.when(gone, today).otherwise(hi)
+    whole = (1 << len(keys)) - 1
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    rows = F.when(F.col("g") == whole, F.array(F.struct(F.lit("date_min").alias("facet"), day(lo).alias("value")), F.struct(F.lit("date_max").alias("facet"), day(hi).alias("value"))))
+    for i, c in enumerate(keys):
+        own = whole - (1 << (len(keys) - 1 - i))
+        facet = F.array(F.struct(F.lit("country" if c == "country" else "cluster").alias("facet"), F.col(c).cast("string").alias("value")))
+        rows = rows.when((F.col("g") == own) & F.col(c).isNotNull(), facet)
+    return one.select(F.explode(rows).alias("r")).select("r.facet", "r.value")
 
 
 def date_range_predicate(df: DataFrame, start, end) -> Column:

@@ -311,6 +311,13 @@ def strategy_table(spark, sf_dir):
     return _strategies(spark, sf_dir)
 
 
+@query
+def strategy_table_filtered(spark, sf_dir):
+    """The strategy table of the filtered customers: counts, means and medians
+    all come from the filtered rows."""
+    return ST.strategy_table(_lab(spark, sf_dir).where(F.col("country").isin("NATION_1", "NATION_7", "NATION_13") & _pred()))
+
+
 @query
 def lookup_profile(spark, sf_dir):
     return ST.lookup_profile(ST.strategy_base(_lab(spark, sf_dir))).select(
@@ -795,6 +802,37 @@ def scan_csv(spark, sf_dir):
     return up.select(F.col("customer_id").cast("string").alias("customer_id"), F.col("total_orders").cast("bigint").alias("total_orders"), "total_spend", "ingest_seq")
 
 
+@query
+def sink_rows_csv(spark, sf_dir):
+    """The nation rows written as CSV, scanned back and typed."""
+    from ..session import scratch_path
+    from ..sources.files import infer_numeric, scan_csv as scan, write_csv
+    from ..sources.tables import table
+
+    path = write_csv(table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"), scratch_path(spark, "nation_csv"))
+    return infer_numeric(scan(spark, path)).drop("ingest_seq")
+
+
+@query
+def auto_map_columns(spark, sf_dir):
+    """The columns of all given tables mapped onto the standard names."""
+    from ..operators.schema_map import auto_map_catalog, columns_catalog
+    from ..sources.tables import TABLES, table
+
+    catalog = columns_catalog(spark, {t: table(spark, sf_dir, t) for t in TABLES})
+    return auto_map_catalog(catalog).select("source", "column", "standard")
+
+
+@query
+def mapping_status(spark, sf_dir):
+    """Status of each column when every unmapped one is skipped."""
+    from ..functions.constants import SKIP_OPTION
+    from ..operators.schema_map import mapping_status as status
+
+    mapped = auto_map_columns(spark, sf_dir)
+    return mapped.withColumn("status", status(F.coalesce("standard", F.lit(SKIP_OPTION)), F.col("standard")))
+
+
 @query
 def sink_segment_csv(spark, sf_dir):
     """One segment written as CSV (the segment download) and read back."""

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from ..functions.constants import PERSONAS, SEGMENT_PROFILES, SEGMENTS
+from ..functions.constants import PERSONAS, SEGMENT_PROFILES, SEGMENTS, SYNONYMS
+from ..sources.tables import TABLES
 from .oracle_sql import LABELLED, SCORED, SNAPSHOT, on
 
 ORACLE: dict[str, str] = {}
@@ -276,6 +277,8 @@ strategy AS (
   FROM lk)"""
 sql("strategy_base", on(L, STRAT_BASE))
 sql("strategy_table", on(L, STRATEGY + " SELECT * FROM strategy"))
+sql("strategy_table_filtered", on(L, f""", kept AS (SELECT * FROM labelled WHERE country IN ('NATION_1', 'NATION_7', 'NATION_13') AND {PRED})"""
+    + STRATEGY.replace("FROM labelled", "FROM kept") + " SELECT * FROM strategy"))
 sql("lookup_profile", on(L, f"SELECT rfm_segment, cluster_id, channel, offer, tone, response_rate, budget_pct FROM ({LOOKUP})"))
 PRIMARY = """SELECT * EXCLUDE (_r) FROM (SELECT *, row_number() OVER (PARTITION BY rfm_segment ORDER BY customer_count DESC, cluster_id) AS _r
 FROM strategy) WHERE _r = 1"""
@@ -511,6 +514,17 @@ FROM orders GROUP BY o_custkey""")
 sql("scan_csv", on(SNAPSHOT, """SELECT customer_id, total_orders,
   CASE WHEN ingest_seq % 10 = 0 THEN NULL ELSE '$' || format('{:,.2f}', total_spend) END AS total_spend, ingest_seq
 FROM snapshot"""))
+sql("sink_rows_csv", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+_SYN = ", ".join(f"({i}, '{k}', '{std}')" for i, (k, std) in enumerate((k, std) for std, ks in SYNONYMS.items() for k in ks))
+_TABS = ", ".join(f"'{t}'" for t in TABLES)
+_MAPPED = f"""WITH syn(pos, key, standard) AS (VALUES {_SYN}),
+cols AS (SELECT DISTINCT table_name AS source, column_name AS "column" FROM information_schema.columns WHERE table_name IN ({_TABS})),
+hit AS (SELECT source, "column", standard, row_number() OVER (PARTITION BY source, "column" ORDER BY length(key) DESC, pos) AS r
+  FROM cols JOIN syn ON key <> '' AND contains(regexp_replace(lower("column"), '[^\\p{{L}}\\p{{N}}]', '', 'g'), key)),
+mapped AS (SELECT c.source, c."column", h.standard FROM cols c LEFT JOIN hit h ON h.source = c.source AND h."column" = c."column" AND h.r = 1)
+"""
+sql("auto_map_columns", _MAPPED + """SELECT source, "column", standard FROM mapped""")
+sql("mapping_status", _MAPPED + """SELECT source, "column", standard, CASE WHEN standard IS NULL THEN 'skipped' ELSE 'matched' END AS status FROM mapped""")
 sql("sink_segment_csv", on(L, """SELECT customer_id, rfm_segment, rfm_score, total_spend, total_orders
 FROM labelled WHERE rfm_segment = 'Champions'"""))
 
