@@ -9,14 +9,16 @@ sets form one class. Two classes link when 100 * |x & y| >= percent * |x | y|.
 2. *Index.* Each class enters the lists of the first |x| - ceil(t|x|) + 1
    shingles of its order: linked classes share one of them. Tasks send blocks
    of entries by hash range, each class once.
-3. *Groups.* The smallest class of a list is its leader; a class goes to the
-   group of the leader it meets most often. A group's sets meet in one task
-   (large groups: in blocks), where overlaps come from an inverted index, and
-   the overlaps of a set from those of a similar set worked out before, by the
+3. *Lists.* Sorted by set size, the entries that a length or position bound
+   rules out are skipped block by block.
+4. *Open pairs.* The smallest class of a list is its leader; a class meets
+   those that have the same most frequent leader, and the classes of mixed
+   lists that the bounds leave. Bitmaps rule most of these pairs out; what
+   stays open is a graph of candidates.
+5. *Answers.* The sets of a component of that graph meet in one task (large
+   ones: in blocks), each set once. Overlaps come from an inverted index, and
+   those of a set from the overlaps of a similar set worked out before, by the
    shingles in which the two differ.
-4. *Across groups.* Lists that hold several groups are read block by block:
-   sorted by set size, the entries that a length or position bound rules out
-   are skipped; the pairs left are verified on their sets.
 
 Nothing is sampled or capped; the table of frequent shingles is bounded
 because any table gives the same links.
@@ -40,6 +42,9 @@ BLOCK = 2048
 BUCKET_ENTRIES = 1_000_000
 #: Bits of the broadcast filter that picks the documents whose sets are read again.
 FILTER_BITS = 1 << 26
+#: Bits of the bitmap that goes with a class: about one for each shingle,
+#: between these bounds.
+LEAST_BITS, MOST_BITS = 1024, 65_536
 
 
 # ------------------------------------------------------------------ set side
@@ -74,6 +79,39 @@ def linked(overlap, na, nb, percent: int = PERCENT):
     return 100 * overlap >= percent * (na + nb - overlap)
 
 
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """Parities: how many elements of the set fall on each bit, odd or even.
+    The width is a power of two that follows the size of the set; halves laid
+    on each other (``fold``) give the bitmap of half the width."""
+    bits = LEAST_BITS
+    while bits < min(len(s), MOST_BITS):
+        bits *= 2
+    odd = np.bincount((s >> np.uint64(20)).astype(np.int64) % bits, minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.uint64)
+
+
+def fold(bits: np.ndarray, words: int) -> np.ndarray:
+    while bits.shape[-1] > words:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
+    return bits
+
+
+def may_link(a: np.ndarray, na, b: np.ndarray, nb, percent: int = PERCENT) -> np.ndarray:
+    """Whether bitmaps (of equal width) and sizes leave it open that sets
+    link: sets differ in at least as many elements as their bitmaps in bits,
+    so the overlap is at most (na + nb - differing bits) / 2."""
+    differ = np.bitwise_count(a ^ b).sum(axis=-1).astype(np.int64)
+    return linked((na + nb - differ) // 2, na, nb, percent)
+
+
+def by_width(maps: list[bytes]) -> list[tuple[int, int, np.ndarray]]:
+    """(from, to, bitmaps) for each stretch of equal width."""
+    widths = np.array([len(m) for m in maps])
+    cuts = np.flatnonzero(np.r_[True, widths[1:] != widths[:-1], True])
+    return [(lo, hi, np.frombuffer(b"".join(maps[lo:hi]), np.uint64).reshape(hi - lo, -1)) for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+
+
 class Forest:
     def __init__(self, n: int):
         self.up = list(range(n))
@@ -131,18 +169,43 @@ def group_links(rows: list[np.ndarray], against: list[np.ndarray], same: bool, p
     return out
 
 
+def open_entries(tok: np.ndarray, n: np.ndarray, p: np.ndarray, percent: int, near: int = 8) -> np.ndarray:
+    """The entries (lists one after another, each by size) that may link with
+    another of their list by length and position. The ``near`` next entries
+    by size are tried; in lists longer than that, entries whose neighbour by
+    size is near enough stay."""
+    keep = np.zeros(len(tok), bool)
+    for d in range(1, near + 1):
+        if len(tok) <= d:
+            break
+        same = tok[d:] == tok[:-d]
+        ok = same & linked(np.minimum(n[d:] - p[d:], n[:-d] - p[:-d]), n[d:], n[:-d], percent)
+        keep[d:] |= ok
+        keep[:-d] |= ok
+    if len(tok) > near:
+        starts = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]])
+        counts = np.diff(np.r_[starts, len(tok)])
+        close = (tok[1:] == tok[:-1]) & (100 * n[:-1] >= percent * n[1:])
+        keep |= np.repeat(counts > near + 1, counts) & (np.r_[close, False] | np.r_[False, close])
+    return keep
+
+
 # ----------------------------------------------------------------- Spark side
 def _blob(a: np.ndarray) -> bytes:
     return np.ascontiguousarray(a).tobytes()
 
 
+def _joined(table, name: str, t) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column(name).to_pylist()), t)
+
+
 def documents_with_class(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """A written table of (doc_id, n, k) rows, and rows with ``tokens`` and
-    ``counts``: shingles that occur in at least four classes of a task's
+    """A written table of (doc_id, n, k, bits) rows, and rows with ``tokens``
+    and ``counts``: shingles that occur in at least four classes of a task's
     share."""
     import pyarrow as pa
 
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("k", pa.int64()), ("tokens", pa.binary()), ("counts", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("k", pa.int64()), ("bits", pa.binary()), ("tokens", pa.binary()), ("counts", pa.binary())])
 
     def run(batches):
         seen: set[int] = set()
@@ -155,20 +218,21 @@ def documents_with_class(docs: DataFrame, id_col: str, text: str) -> DataFrame:
             if len(u) > FREQUENT:
                 keep = np.sort(np.lexsort((u, -c))[:FREQUENT])
                 u, c = u[keep], c[keep]
-            return {"doc_id": None, "n": None, "k": None, "tokens": _blob(u), "counts": _blob(c.astype(np.int64))}
+            return {"doc_id": None, "n": None, "k": None, "bits": None, "tokens": _blob(u), "counts": _blob(c.astype(np.int64))}
 
         for ids, texts in text_rows(batches, ("doc_id", "t")):
-            ns, ks = [], []
+            ns, ks, maps = [], [], []
             for t in texts:
                 s = shingle_set(t)
                 ns.append(len(s))
                 ks.append(class_key(s))
+                maps.append(_blob(bitmap(s)))
                 if len(s) and ks[-1] not in seen:
                     seen.add(ks[-1])
                     held.append(s)
                     size += len(s)
             none = pa.nulls(len(ids), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int32()), pa.array(ks, pa.int64()), none, none], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int32()), pa.array(ks, pa.int64()), pa.array(maps), none, none], schema=schema)
             if size > 3_000_000:
                 yield pa.RecordBatch.from_pylist([frequent()], schema=schema)
                 held, size = [], 0
@@ -177,7 +241,7 @@ def documents_with_class(docs: DataFrame, id_col: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_pylist([frequent()], schema=schema)
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("t"))
-    return materialize(narrow.mapInArrow(run, "doc_id long, n int, k long, tokens binary, counts binary"), "classes")
+    return materialize(narrow.mapInArrow(run, "doc_id long, n int, k long, bits binary, tokens binary, counts binary"), "classes")
 
 
 def frequent_shingles(table: DataFrame, size: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
@@ -242,14 +306,12 @@ def index_entries(docs: DataFrame, text: str, frequent: tuple[np.ndarray, np.nda
             yield flush()
 
     def gather(table):
-        col = lambda n, t: np.frombuffer(b"".join(table.column(n).to_pylist()), t)
-        tok, k, n, p = col("tokens", np.int64), col("ks", np.int64), col("ns", np.int32), col("ps", np.int32)
+        tok, k, n, p = _joined(table, "tokens", np.int64), _joined(table, "ks", np.int64), _joined(table, "ns", np.int32), _joined(table, "ps", np.int32)
         order = np.lexsort((k, n, tok))
         tok, k, n, p = tok[order], k[order], n[order], p[order]
         keep = np.r_[True, (tok[1:] != tok[:-1]) | (k[1:] != k[:-1]) | (n[1:] != n[:-1])]  # a class from several tasks
         tok, k, n, p = tok[keep], k[keep], n[keep], p[keep]
-        near = (tok[1:] == tok[:-1]) & (100 * n[:-1].astype(np.int64) >= percent * n[1:].astype(np.int64))
-        keep = np.r_[near, False] | np.r_[False, near]
+        keep = open_entries(tok, n.astype(np.int64), p.astype(np.int64), percent)
         tok, k, n, p = tok[keep], k[keep], n[keep], p[keep]
         if len(tok):
             starts = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]])
@@ -307,7 +369,8 @@ def cross_pairs(entries: DataFrame, buckets: int, percent: int) -> DataFrame:
 def read_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text: str) -> DataFrame:
     """(k, n, tokens): the sets of the classes in ``wanted`` (k, n, doc_id),
     read from one document each. A bounded bit table of the document ids is
-    broadcast; what it lets through by chance goes in the join."""
+    broadcast; what it lets through by chance, or twice, does no harm in the
+    joins that follow."""
     import pyarrow as pa
 
     spark = docs.sparkSession
@@ -321,19 +384,90 @@ def read_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text: str) -> Dat
 
     def run(batches):
         t = shared.value
+        seen: set[int] = set()
         for b in batches:
             p = b.column(b.schema.get_field_index("p")).to_numpy()
             hit = (t[p // 8] >> (p % 8).astype(np.uint8)) & 1
             part = b.filter(pa.array(hit.astype(bool)))
             for (texts,) in text_rows([part], ("t",), 256):
-                sets = [s for s in map(shingle_set, texts) if len(s)]
-                if sets:
-                    yield pa.RecordBatch.from_arrays([pa.array([class_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([_blob(s) for s in sets])], names=["k", "n", "tokens"])
+                sets = {class_key(s): s for s in map(shingle_set, texts) if len(s)}
+                new = [(k, len(s), _blob(s)) for k, s in sets.items() if k not in seen]
+                seen.update(sets)
+                if new:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*new), (pa.int64(), pa.int32(), pa.binary()))], names=["k", "n", "tokens"])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("t")).select(at.alias("p"), "t")
     sets = source.mapInArrow(run, "k long, n int, tokens binary")
-    sets = sets.join(wanted.select("k", "n"), ["k", "n"], "left_semi")
-    return materialize(sets.groupBy("k", "n").agg(F.first("tokens").alias("tokens")), "sets")
+    return materialize(sets, "sets")
+
+
+def open_in_groups(homes: DataFrame, buckets: int, percent: int) -> DataFrame:
+    """(ka, na, ia, kb, nb, ib): pairs of members of a group that connect what
+    the bitmaps leave open (a spanning forest). Members of groups of more than
+    ``BLOCK`` are connected without a look."""
+    import pyarrow as pa
+
+    def run(table):
+        cols = [table.column(c).to_numpy() for c in ("k", "n", "home")]
+        order = np.lexsort((cols[1], cols[2]))
+        k, n, home = (c[order] for c in cols)
+        n = n.astype(np.int64)
+        maps = table.column("bits").take(pa.array(order)).to_pylist()
+        left, right = [], []
+        starts = np.flatnonzero(np.r_[True, home[1:] != home[:-1]])
+        for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(k)]):
+            if hi - lo > BLOCK:
+                left += range(lo, hi - 1)
+                right += range(lo + 1, hi)
+                continue
+            forest = Forest(hi - lo)
+            stretches = by_width(maps[lo:hi])  # sorted by size, so by width
+            for x, (a, b, own) in enumerate(stretches):
+                for i in range(a, b):
+                    # by size: what is too large for i ends the block of entries to look at
+                    stop = int(np.searchsorted(n[lo:hi], 100 * n[lo + i] // percent, side="right"))
+                    for c, d, other in stretches[x:]:
+                        c, e = max(c, i + 1), min(d, stop)
+                        if c < e:
+                            part = fold(other[c - d + len(other) : e - d + len(other)], own.shape[1])
+                            for y in (c + np.flatnonzero(may_link(own[i - a], n[lo + i], part, n[lo + c : lo + e], percent))).tolist():
+                                if forest.join(i, y):
+                                    left.append(lo + i)
+                                    right.append(lo + y)
+        ids = table.column("doc_id").take(pa.array(order))
+        a, b = np.array(left, np.int64), np.array(right, np.int64)
+        size = n.astype(np.int32)
+        ends = [x for e in (a, b) for x in (pa.array(k[e]), pa.array(size[e]), ids.take(pa.array(e)))]
+        return pa.Table.from_arrays(ends, names=["ka", "na", "ia", "kb", "nb", "ib"])
+
+    bucket = F.pmod(F.xxhash64("home"), F.lit(buckets)).alias("bucket")
+    several = homes.groupBy("home").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("home")
+    joined = homes.join(several, "home").select("k", "n", "home", "doc_id", "bits")
+    return joined.groupBy(bucket).applyInArrow(run, "ka long, na int, ia long, kb long, nb int, ib long")
+
+
+def open_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs that may link by their bitmaps."""
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            get = lambda c: b.column(b.schema.get_field_index(c))
+            na, nb = (get(c).to_numpy().astype(np.int64) for c in ("na", "nb"))
+            ok = np.zeros(b.num_rows, bool)
+            pairs = [[np.frombuffer(x, np.uint64) for x in get(c).to_pylist()] for c in ("ba", "bb")]
+            width = np.array([min(len(x), len(y)) for x, y in zip(*pairs)], np.int64)
+            for w in np.unique(width).tolist():
+                at = np.flatnonzero(width == w)
+                left, right = (np.stack([fold(side[k], w) for k in at.tolist()]) for side in pairs)
+                ok[at] = may_link(left, na[at], right, nb[at], percent)
+            keep = pa.array(ok)
+            yield pa.RecordBatch.from_arrays([get(c) for c in names], names=names).filter(keep)
+
+    names = ["ka", "na", "ia", "kb", "nb", "ib"]
+    a = classes.select(F.col("k").alias("ka"), F.col("n").alias("na"), F.col("doc_id").alias("ia"), F.col("bits").alias("ba"))
+    b = classes.select(F.col("k").alias("kb"), F.col("n").alias("nb"), F.col("doc_id").alias("ib"), F.col("bits").alias("bb"))
+    return pairs.join(a, ["ka", "na"]).join(b, ["kb", "nb"]).mapInArrow(run, "ka long, na int, ia long, kb long, nb int, ib long")
 
 
 def links_in_groups(sets: DataFrame, homes: DataFrame, buckets: int, percent: int) -> DataFrame:
@@ -364,24 +498,6 @@ def links_in_groups(sets: DataFrame, homes: DataFrame, buckets: int, percent: in
     return placed.groupBy(bucket).applyInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): the pairs whose sets link."""
-    import pyarrow as pa
-
-    def run(batches):
-        for ka, ta, kb, tb in text_rows(batches, ("ka", "ta", "kb", "tb"), 1024):
-            ok = []
-            for x, y in zip(ta, tb):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                ok.append(bool(linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent)))
-            keep = [i for i, o in enumerate(ok) if o]
-            yield pa.RecordBatch.from_arrays([pa.array([ka[i] for i in keep], pa.int64()), pa.array([kb[i] for i in keep], pa.int64())], names=["a", "b"])
-
-    a = sets.select(F.col("k").alias("ka"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
-    b = sets.select(F.col("k").alias("kb"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    return pairs.join(a, ["ka", "na"]).join(b, ["kb", "nb"]).select("ka", "ta", "kb", "tb").mapInArrow(run, "a long, b long")
-
-
 def join_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: the size of its set
     and the smallest id that links lead to, its own included.
@@ -393,18 +509,23 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     table = documents_with_class(docs, id_col, text)
     own = table.where(F.col("tokens").isNull()).select("doc_id", "n", "k")
-    classes = materialize(own.where("n > 0").groupBy("k", "n").agg(F.min("doc_id").alias("doc_id")), "class-ids")
+    every = table.where("n > 0").groupBy("k", "n").agg(F.min("doc_id").alias("doc_id"), F.first("bits").alias("bits"))
+    classes = materialize(every, "class-ids")
     total = classes.agg(F.sum(F.col("n") * (100 - percent) / 100 + 1)).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // BUCKET_ENTRIES) + 1)
     entries = materialize(index_entries(docs, text, frequent_shingles(table), buckets, percent), "entries")
     met = entries.groupBy("k", "n", "leader").agg(F.count(F.lit(1)).alias("c"))
     homes = met.groupBy("k", "n").agg(F.max_by("leader", F.struct("c", F.bitwise_not("leader"))).alias("home"))
     homes = materialize(homes, "homes")
-    sets = read_sets(docs, homes.join(classes, ["k", "n"]), id_col, text)
-    inside = links_in_groups(sets, homes, buckets, percent)
-    across = verified(cross_pairs(entries.join(homes, ["k", "n"]), buckets, percent), sets, percent)
-    comp = connected_components(inside.unionByName(across))
-    members = classes.join(comp, F.col("k") == F.col("vertex"), "left").withColumn("c", F.coalesce("component", "k"))
+    inside = open_in_groups(homes.join(classes, ["k", "n"]), buckets, percent)
+    across = open_pairs(cross_pairs(entries.join(homes, ["k", "n"]), buckets, percent), classes, percent)
+    still_open = materialize(inside.unionByName(across), "open-pairs")
+    together = connected_components(still_open, "ka", "kb").select(F.col("vertex").alias("k"), F.col("component").alias("home"))
+    ends = [still_open.select(F.col(f"k{x}").alias("k"), F.col(f"n{x}").alias("n"), F.col(f"i{x}").alias("doc_id")) for x in "ab"]
+    members = ends[0].unionByName(ends[1]).distinct()
+    sets = read_sets(docs, members, id_col, text)
+    comp = connected_components(links_in_groups(sets, members.join(together, "k").select("k", "n", "home"), buckets, percent))
+    members = classes.select("k", "n", "doc_id").join(comp, F.col("k") == F.col("vertex"), "left").withColumn("c", F.coalesce("component", "k"))
     least = members.groupBy(F.col("c").alias("c_")).agg(F.min("doc_id").alias("component_id"))
     found = members.join(least, F.col("c") == F.col("c_")).select(F.col("k").alias("k_"), F.col("n").alias("n_"), "component_id")
     out = own.join(found, (F.col("k") == F.col("k_")) & (F.col("n") == F.col("n_")), "left")

@@ -132,3 +132,19 @@ def test_components_of_chains_and_stars(spark):
     got = {r["vertex"]: r["component"] for r in connected_components(df).collect()}
     assert all(got[i] == 0 for i in range(301)) and {got[b] for _, b in edges if b > 1000 and b < 5000} == {1000} and 5000 not in got
     assert connected_components(df.limit(0)).count() == 0
+
+
+def test_bitmaps_never_rule_out_a_link():
+    rng = np.random.default_rng(8)
+    for n in (3, 900, 1025, 2500, 5000):
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.int64).astype(np.uint64))
+        for changed in (0, n // 20, n // 12, n // 9):
+            b = np.unique(np.concatenate([a[changed:], rng.integers(0, 2**63, rng.integers(0, changed + 1), dtype=np.int64).astype(np.uint64)]))
+            o = len(np.intersect1d(a, b))
+            x, y = jj.bitmap(a), jj.bitmap(b)
+            w = min(len(x), len(y))
+            if jj.linked(o, len(a), len(b)):
+                assert jj.may_link(jj.fold(x, w), len(a), jj.fold(y, w), len(b))
+        far = np.unique(rng.integers(0, 2**63, n, dtype=np.int64).astype(np.uint64))
+        if n > 100:
+            assert not jj.may_link(jj.bitmap(a), len(a), jj.bitmap(far), len(far))
