@@ -27,8 +27,26 @@ from ..sources.tables import Tables
 _CACHE: dict = {}
 
 
+SOURCES = ("customer", "orders", "lineitem", "events", "nation")
+
+
+def data_version(spark: SparkSession, sf_dir: str) -> tuple:
+    """(modification time, length) of each source table's path, by Spark's own
+    file systems: rewritten data gets new cache entries."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    conf = spark._jsc.hadoopConfiguration()
+    out = []
+    for name in SOURCES:
+        path = hadoop.Path(f"{sf_dir}/{name}.parquet")
+        fs = path.getFileSystem(conf)
+        if fs.exists(path):
+            status = fs.getFileStatus(path)
+            out.append((name, status.getModificationTime(), status.getLen()))
+    return tuple(out)
+
+
 def _key(spark: SparkSession, sf_dir: str, *extra) -> tuple:
-    return (spark.sparkContext.applicationId, sf_dir) + extra
+    return (spark.sparkContext.applicationId, sf_dir, data_version(spark, sf_dir)) + extra
 
 
 def materialize(df: DataFrame) -> DataFrame:

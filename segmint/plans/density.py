@@ -63,7 +63,7 @@ def choose(points: DataFrame) -> DbscanChoice:
 
 
 def dbscan_best(spark: SparkSession, sf_dir: str) -> DbscanChoice:
-    k = (spark.sparkContext.applicationId, sf_dir, "dbscan")
+    k = base._key(spark, sf_dir, "dbscan")
     if k not in _CACHE:
         _CACHE[k] = choose(customer_points(spark, sf_dir))
     return _CACHE[k]

@@ -46,7 +46,7 @@ def raw_customer_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 def uploaded_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the export as CSV (rows sorted by the export's own order) and
     scan it back as text, map the columns and type them."""
-    k = (spark.sparkContext.applicationId, sf_dir)
+    k = base._key(spark, sf_dir)
     if k not in _CACHE:
         path = scratch_path(spark, "upload")
         raw = raw_customer_export(spark, sf_dir)

@@ -19,7 +19,7 @@ _CACHE: dict = {}
 
 
 def _k(spark, sf_dir, name):
-    return (spark.sparkContext.applicationId, sf_dir, name)
+    return base._key(spark, sf_dir, name)
 
 
 def features(spark: SparkSession, sf_dir: str):
