@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Generations, fresh, worker_state
+from .pretokens import Runs, Table, ragged
 
 BYTE_BPE = "byte_bpe_50k.json"
 NONE = np.int32(np.iinfo(np.int32).max)
@@ -110,6 +111,63 @@ class Merges:
         return sym.astype(np.uint32), np.bincount(word, minlength=len(sizes))
 
 
+#: Bytes of plain texts: ASCII but NUL and the separators 1C-1F, U+00C0-U+00FF.
+PLAIN_BYTES = bytes([*range(0x01, 0x1C), *range(0x20, 0x80), *range(0x80, 0xC0), 0xC3])
+CONTRACTIONS = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
+
+
+def is_plain(t: bytes) -> bool:
+    """Texts that ``PlainRuns`` can cut: "<|" could begin a special string; ×
+    and ÷ (C3 97, C3 B7) are no letters."""
+    return not t.translate(None, PLAIN_BYTES) and b"<|" not in t and (t.isascii() or (b"\xc3\x97" not in t and b"\xc3\xb7" not in t))
+
+
+def _classes() -> np.ndarray:
+    c = np.full(256, 3, np.uint8)  # others
+    c[[0x20, *range(0x09, 0x0E)]] = 0  # white space
+    c[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = 1
+    c[0x80:] = 1  # letters
+    c[range(ord("0"), ord("9") + 1)] = 2
+    c[0] = 4  # between texts
+    return c
+
+
+CLASSES = _classes()
+
+
+class PlainRuns(Runs):
+    """The pre-tokens of plain texts: runs of one class, each with a single
+    space before it; contractions; of longer white space all but the last."""
+
+    def __init__(self, texts: list[bytes]):
+        data = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
+        cls = CLASSES[data]
+        cut = np.ones(len(data) + 1, bool)
+        cut[1:-1] = cls[1:] != cls[:-1]
+        # the last white space of a run goes on its own, a space to what follows
+        last = np.flatnonzero((cls[:-1] == 0) & (cls[1:] != 0) & (cls[1:] != 4))
+        cut[last] = True
+        cut[last[data[last] == 0x20] + 1] = False
+        quote = np.flatnonzero(data == 0x27)
+        if len(quote):
+            before = np.where(quote > 0, quote - 1, len(data) - 1)
+            quote = quote[(cls[before] != 3) & (data[before] != 0x20)]
+            open_ = np.ones(len(quote), bool)
+            for c in CONTRACTIONS:
+                n = len(c)
+                hit = open_ & (quote + n < len(data))
+                for j in range(n):
+                    hit &= data[np.minimum(quote + 1 + j, len(data) - 1)] == c[j]
+                open_ &= ~hit
+                at = quote[hit]
+                for j in range(n):
+                    cut[at + 1 + j] = False
+                cut[at + 1 + n] = True
+        pts = np.flatnonzero(cut)
+        keep = cls[pts[:-1]] != 4
+        super().__init__(data, pts[:-1][keep], pts[1:][keep], np.cumsum([0] + [len(x) + 1 for x in texts]))
+
+
 class ByteBpe:
     """A byte-level vocabulary file: pre-tokens by its pattern, ids by
     ``Merges``, bytes of ids. Special strings in a text become their ids."""
@@ -128,11 +186,15 @@ class ByteBpe:
         self.pattern = regex.compile(self.PATTERN)
         letters = {c: b for b, c in enumerate(byte_letters())}
         top = max([*vocab.values(), *self.special.values()]) + 1
-        self.bytes_of: list[bytes] = [b""] * top
+        of: list[bytes] = [b""] * top
         for t, i in vocab.items():
-            self.bytes_of[i] = bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode()
+            of[i] = bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode()
         for t, i in self.special.items():
-            self.bytes_of[i] = t.encode()
+            of[i] = t.encode()
+        self.lengths = np.array([len(x) for x in of])
+        self.places = np.cumsum(self.lengths) - self.lengths
+        self.bytes = np.frombuffer(b"".join(of), np.uint8)
+        self.table = Table(self.merges)
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.mark = os.path.commonprefix([*self.special]) if self.special else "\udfff"
         self.cache = Generations()
@@ -177,15 +239,45 @@ class ByteBpe:
             out[k] = b"".join(np.uint32(self.special[p]).tobytes() if j % 2 else next(plain) for j, p in enumerate(parts))
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, as little-endian unsigned 32-bit integers."""
-        found = self.cache.values([self.units(t) if t else [] for t in texts], self.learn)
-        return [b"".join(v) for v in found]
+    def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        """uint32 ids of each text; none for null. Plain texts are handled
+        as arrays, some megabytes at a time, others through the cache."""
+        out: list = [np.empty(0, np.uint32)] * len(texts)
+        plain, other, size = [], [], 0
+        for k, t in enumerate(texts):
+            if t and is_plain(t):
+                plain.append(k)
+                size += len(t)
+                if size > 2 << 20:
+                    self._plain(texts, plain, out)
+                    plain, size = [], 0
+            elif t:
+                other.append(k)
+        if plain:
+            self._plain(texts, plain, out)
+        found = self.cache.values([self.units(texts[k].decode("utf-8", "replace")) for k in other], self.learn)
+        for k, v in zip(other, found):
+            out[k] = np.frombuffer(b"".join(v), np.uint32)
+        return out
 
-    def decode(self, ids: np.ndarray) -> str:
+    def _plain(self, texts: list, which: list[int], out: list) -> None:
+        p = PlainRuns([texts[k] for k in which])
+        u, at, inverse = np.unique(p.hashes, return_index=True, return_inverse=True)
+        rows = self.table.rows(p, u, at)[inverse]
+        counts = self.table.counts[rows]
+        ids = self.table.pool[ragged(self.table.places[rows], counts)]
+        ends = np.r_[0, np.cumsum(counts)][p.first]
+        for j, k in enumerate(which):
+            out[k] = ids[ends[j] : ends[j + 1]]
+
+    def decode(self, ids: list[np.ndarray]) -> list[str]:
         """The library's decode(ids, skip_special_tokens=False): bytes of the
         ids, malformed UTF-8 replaced."""
-        return b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace")
+        flat = np.concatenate([*ids, np.empty(0, np.uint32)])
+        sizes = self.lengths[flat]
+        data = self.bytes[ragged(self.places[flat], sizes)].tobytes()
+        ends = np.r_[0, np.cumsum(sizes)][np.cumsum([0] + [len(x) for x in ids])]
+        return [data[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:])]
 
 
 DOUBLE = re.compile(r"\s\s")
@@ -220,21 +312,20 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: st
         bpe = load(path or vocabulary_path())
         for b in batches:
             at = b.schema.get_field_index(t)
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
-                texts = [x or "" for x in part.column(at).to_pylist()]
-                data = bpe.encode(texts)
-                flat = pa.Array.from_buffers(pa.int32(), sum(map(len, data)) // 4, [None, pa.py_buffer(b"".join(data))])
-                offsets = pa.array(np.r_[0, np.cumsum([len(d) // 4 for d in data])].astype(np.int32))
+            for lo in range(0, b.num_rows, 512):
+                part = b.slice(lo, 512)
+                found = bpe.encode(part.column(at).to_pylist())
+                flat = pa.array(np.concatenate([*found, np.empty(0, np.uint32)]).view(np.int32))
+                offsets = pa.array(np.cumsum([0] + [len(x) for x in found]).astype(np.int32))
                 cols = [part.column(part.schema.get_field_index(c)) for c in own]
                 cols.append(pa.ListArray.from_arrays(offsets, flat))
                 if decoded:
-                    cols.append(pa.array([bpe.decode(np.frombuffer(d, np.uint32)) for d in data], pa.string()))
+                    cols.append(pa.array(bpe.decode(found), pa.string()))
                 yield pa.RecordBatch.from_arrays(cols, names=[*own, ids, *([decoded] if decoded else [])])
 
     fields = ", ".join([f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema])
     schema = fields + f", `{ids}` array<int>" + (f", `{decoded}` string" if decoded else "")
-    return docs.withColumn(t, F.col(text).cast("string")).mapInArrow(run, schema)
+    return docs.withColumn(t, F.col(text).cast("string").cast("binary")).mapInArrow(run, schema)
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:

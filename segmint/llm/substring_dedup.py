@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import MULTIPLIERS, SHINGLE, fresh, hash_words, materialize, mix, text_rows
 from .components import connected_components
-from .tokens import powers
+from .pretokens import powers
 
 SPAN = 12
 LEAST_WORDS = 20
