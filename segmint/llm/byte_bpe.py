@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Generations, fresh, worker_state
+from .common import Generations, fresh, lean, worker_state
 from .pretokens import Runs, Table, ragged
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -308,6 +308,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: st
     t = fresh(docs, ["t"])["t"]
     own = docs.columns
 
+    @lean
     def run(batches):
         bpe = load(path or vocabulary_path())
         for b in batches:

@@ -21,13 +21,26 @@ MULTIPLIERS = np.array(
 )
 
 
+#: Rows of an Arrow batch between Spark and Python, at most: texts are long.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batch size to ``BATCH_ROWS``."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back. It cuts lineage
     (a lost executor costs no recomputation) and gives Spark the true size."""
+    small_batches(df.sparkSession)
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -46,6 +59,43 @@ def fresh(df: DataFrame, names: Iterable[str]) -> dict[str, str]:
     return out
 
 
+def release() -> None:
+    """Gives freed memory back to the system: workers outlive their tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(fn):
+    """For functions over a task's Arrow batches: releases memory at the end."""
+
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            release()
+
+    return run
+
+
+def lean_group(fn):
+    """The same for functions over the table of a group."""
+
+    def run(table):
+        try:
+            return fn(table)
+        finally:
+            release()
+
+    return run
+
+
 def worker_state() -> dict:
     """A dict that lives as long as the Python worker process. Functions are
     shipped by value, so module globals do not outlive a task."""

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shingle_set, text_rows
+from .common import lean, shingle_set, text_rows
 
 K = 128
 #: Rows of one block of the neighbour pass.
@@ -69,6 +69,7 @@ def sketch_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     """(doc_id, fingerprint, n_shingles estimate) of every row."""
     import pyarrow as pa
 
+    @lean
     def run(batches):
         for ids, texts in text_rows(batches, ("doc_id", "t")):
             s = [sketch(t, k) for t in texts]
@@ -86,6 +87,7 @@ def merge_sketches(sketches: DataFrame, key: str, fingerprint: str = "fingerprin
 
     schema = pa.schema([("key", pa.string()), ("fingerprint", pa.string())])
 
+    @lean
     def partial(batches):
         have: dict = {}
         for keys, prints in text_rows(batches, ("key", "fingerprint"), 4096):
@@ -141,6 +143,7 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: i
     real = [b for b in bounds[1:]]
     shared = spark.sparkContext.broadcast(np.array(real, np.int64))  # one id a block
 
+    @lean
     def place(batches):
         starts = shared.value
         for ids, texts in text_rows(batches, ("doc_id", "t"), 1024):
@@ -149,6 +152,7 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: i
             rows += [((b - 1) % len(bounds), 1, i, t) for b, i, t in zip(at, ids, texts) if bounds[b] == i]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int64(), pa.string()))], names=["block", "head", "doc_id", "t"])
 
+    @lean
     def run(batches):
         held: list = []  # the last row of the block so far: id, text, sketch
         out: list = []

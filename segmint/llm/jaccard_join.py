@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, shingle_set, text_rows
+from .common import fresh, lean, lean_group, materialize, shingle_set, text_rows
 from .components import connected_components
 
 PERCENT = 80
@@ -207,6 +207,7 @@ def documents_with_class(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("k", pa.int64()), ("bits", pa.binary()), ("tokens", pa.binary()), ("counts", pa.binary())])
 
+    @lean
     def run(batches):
         seen: set[int] = set()
         held: list[np.ndarray] = []
@@ -248,6 +249,7 @@ def frequent_shingles(table: DataFrame, size: int = FREQUENT) -> tuple[np.ndarra
     """(ascending shingles, their place in the order of frequency)."""
     import pyarrow as pa
 
+    @lean
     def run(batches):
         for tokens, counts in text_rows(batches, ("tokens", "counts"), 1):
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(tokens[0], np.int64)), pa.array(np.frombuffer(counts[0], np.int64))], names=["token", "c"])
@@ -267,6 +269,7 @@ def index_entries(docs: DataFrame, text: str, frequent: tuple[np.ndarray, np.nda
     shared = docs.sparkSession.sparkContext.broadcast(frequent)  # at most FREQUENT shingles
     names = ["bucket", "tokens", "ks", "ns", "ps"]
 
+    @lean
     def run(batches):
         hot, place = shared.value
         seen: set[int] = set()
@@ -305,6 +308,7 @@ def index_entries(docs: DataFrame, text: str, frequent: tuple[np.ndarray, np.nda
         if parts:
             yield flush()
 
+    @lean_group
     def gather(table):
         tok, k, n, p = _joined(table, "tokens", np.int64), _joined(table, "ks", np.int64), _joined(table, "ns", np.int32), _joined(table, "ps", np.int32)
         order = np.lexsort((k, n, tok))
@@ -330,6 +334,7 @@ def cross_pairs(entries: DataFrame, buckets: int, percent: int) -> DataFrame:
     and position do not rule out, each once."""
     import pyarrow as pa
 
+    @lean_group
     def run(table):
         cols = [table.column(c).to_numpy() for c in ("token", "n", "k", "pos", "home")]
         order = np.lexsort((cols[2], cols[1], cols[0]))
@@ -382,6 +387,7 @@ def read_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text: str) -> Dat
         table[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(bytes(r["m"]), np.uint8)
     shared = spark.sparkContext.broadcast(table)  # FILTER_BITS bits
 
+    @lean
     def run(batches):
         t = shared.value
         seen: set[int] = set()
@@ -407,6 +413,7 @@ def open_in_groups(homes: DataFrame, buckets: int, percent: int) -> DataFrame:
     ``BLOCK`` are connected without a look."""
     import pyarrow as pa
 
+    @lean_group
     def run(table):
         cols = [table.column(c).to_numpy() for c in ("k", "n", "home")]
         order = np.lexsort((cols[1], cols[2]))
@@ -450,6 +457,7 @@ def open_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs that may link by their bitmaps."""
     import pyarrow as pa
 
+    @lean
     def run(batches):
         for b in batches:
             get = lambda c: b.column(b.schema.get_field_index(c))
@@ -482,6 +490,7 @@ def links_in_groups(sets: DataFrame, homes: DataFrame, buckets: int, percent: in
     placed = placed.select("home", "k", "tokens", "own", other)
     placed = placed.select("home", "k", "tokens", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
+    @lean_group
     def run(table):
         rows: dict = {}
         for home, i, j, own, k, t in zip(*(table.column(c).to_pylist() for c in ("home", "i", "j", "own", "k", "tokens"))):

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, text_rows
+from .common import lean, materialize, text_rows
 from .tokens import load_texts, tokenizer_path
 
 LENGTH = 4096
@@ -156,6 +156,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: st
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("t"))
 
+    @lean
     def run(batches):
         encoder = load_texts(path or tokenizer_path())
         for doc_ids, texts in text_rows(batches, ("doc_id", "t")):
@@ -194,6 +195,7 @@ def assign(cut: DataFrame, length: int = LENGTH, width: int = WIDTH, gap: float
     ranked = ranked.withColumn("_rank", (F.col("_before") + F.col("_own") - 1).cast("long")).drop("_before", "_own", "_bucket")
     names = [c for c in ranked.columns if c not in ("_class", "_rank")]
 
+    @lean
     def run(batches):
         table = shared.value
         for b in batches:

@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MULTIPLIERS, SHINGLE, fresh, hash_words, materialize, mix, text_rows
+from .common import MULTIPLIERS, SHINGLE, fresh, hash_words, lean, lean_group, materialize, mix, text_rows
 from .components import connected_components
 from .pretokens import powers
 
@@ -162,6 +162,7 @@ def index(docs: DataFrame, buckets: int, bands: int, rows: int) -> DataFrame:
 
     names, types = ["kind", "bucket", "keys", "owners", "several"], (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
 
+    @lean
     def run(batches):
         held: list = [[], [], [], []]
         size = 0
@@ -213,6 +214,7 @@ def repeated_passages(blocks: DataFrame) -> DataFrame:
     too; keeper is the smallest of them."""
     import pyarrow as pa
 
+    @lean_group
     def run(table):
         k, o, s = _joined(table, "keys", np.uint64), _joined(table, "owners", np.int64), _joined(table, "several", bool)
         order = np.lexsort((o, k))
@@ -227,6 +229,7 @@ def repeated_passages(blocks: DataFrame) -> DataFrame:
         keeper = np.repeat(least, counts)
         return pa.Table.from_arrays([pa.array(k[keep].view(np.int64)), pa.array(o[keep]), pa.array(keeper[keep])], names=["key", "d", "keeper"])
 
+    @lean
     def rows(batches):
         for keys, owners in text_rows(batches, ("keys", "owners"), 1):
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys[0], np.int64)), pa.array(np.frombuffer(owners[0], np.int64))], names=["key", "d"])
@@ -252,6 +255,7 @@ def similar_paragraphs(docs: DataFrame, blocks: DataFrame, threshold: float) ->
         p = np.unique(np.stack([np.r_[a, o], np.r_[b, lead]], 1), axis=0)
         return p[p[:, 0] != p[:, 1]]
 
+    @lean_group
     def run(table):
         """Pairs (key null), and the smallest owner b of each key with whom a
         task's other owners pair (a null)."""
@@ -264,6 +268,7 @@ def similar_paragraphs(docs: DataFrame, blocks: DataFrame, threshold: float) ->
         a = pa.concat_arrays([pa.array(p[:, 0]), pa.nulls(len(several), pa.int64())])
         return pa.Table.from_arrays([key, a, pa.array(np.r_[p[:, 1], o[np.searchsorted(k, several)]])], names=["key", "a", "b"])
 
+    @lean
     def rows(batches):
         for keys, owners in text_rows(batches, ("keys", "owners"), 1):
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys[0], np.int64)), pa.array(np.frombuffer(owners[0], np.int64))], names=["key", "a"])
@@ -284,6 +289,7 @@ def similar_paragraphs(docs: DataFrame, blocks: DataFrame, threshold: float) ->
     shared = docs.sparkSession.sparkContext.broadcast(table)  # FILTER_BITS bits
     wanted = bool(bits)
 
+    @lean
     def fetch(batches):
         t, sent = shared.value, set()
         for ids, texts in text_rows(batches, ("d", "t")):
@@ -308,6 +314,7 @@ def similar_paragraphs(docs: DataFrame, blocks: DataFrame, threshold: float) ->
     found = materialize(docs.select("d", "t").mapInArrow(fetch, "line long, d long, tokens binary"), "lines")
     sets = found.where(F.col("tokens").isNotNull()).groupBy("line").agg(F.first("tokens").alias("tokens"))
 
+    @lean
     def verify(batches):
         for a, ta, b, tb in text_rows(batches, ("a", "ta", "b", "tb"), 1024):
             keep = []
@@ -382,6 +389,7 @@ def removed_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
 
     narrow = _narrow(docs, id_col, text)
 
+    @lean
     def run(batches):
         for ids, texts, keys, keepers in text_rows(batches, ("d", "t", "keys", "keepers"), 256):
             rows = []

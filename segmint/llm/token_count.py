@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_rows
+from .common import lean, lean_group, materialize, text_rows
 from .tokens import PreTokens, load_texts, tokenizer_path
 
 #: Pre-tokens in the broadcast table (10 bytes each).
@@ -74,6 +74,7 @@ def frequent_pretokens(docs: DataFrame, text: str = "text") -> list[bytes]:
 
     narrow = docs.select(F.col(text).cast("string").cast("binary").alias("t"))
 
+    @lean
     def summarise(batches):
         from pyspark import TaskContext
 
@@ -87,6 +88,7 @@ def frequent_pretokens(docs: DataFrame, text: str = "text") -> list[bytes]:
                 s.add(u, n, lambda k: p.data[p.starts[at[k]] : p.starts[at[k]] + p.sizes[at[k]]].tobytes(), least=3)
         yield pa.RecordBatch.from_pylist([{"part": TaskContext.get().partitionId()} | s.row()], schema=arrow)
 
+    @lean_group
     def merge(t):
         s = Summary()
         for row in t.to_pylist():
@@ -123,6 +125,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text: str = "text", pa
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.octet_length(F.col(text).cast("string")), F.lit(0)).cast("long").alias("n_bytes"), F.col(text).cast("string").cast("binary").alias("t")
     )
 
+    @lean
     def run(batches):
         encoder = load_texts(path or tokenizer_path())
         for ids, n_bytes, texts in text_rows(batches, ("doc_id", "n_bytes", "t")):

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, text_rows
+from .common import fresh, lean, text_rows
 
 TRAIN_ROWS = 6000
 #: Words in fewer training documents than this are no features.
@@ -79,6 +79,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
     texts = docs.select(F.col("doc_id").cast("long").alias("i"), F.col("text").cast("string").alias("t"))
     joined = texts.join(F.broadcast(chosen), "i")  # at most ``rows`` rows
 
+    @lean
     def run(batches):
         for y, t in text_rows(batches, ("y", "t")):
             t = [x or "" for x in t]
@@ -110,14 +111,14 @@ def fit(rows: list[tuple[int, str, list]], l1: float = L1, counterfactual: float
     if not rows or len({y for y, _, _ in rows}) < 2:
         return Model({}, 500.0 if rows and rows[0][0] else -500.0)
     y = np.array([r[0] for r in rows], float)
-    texts = [r[1].split() for r in rows]
     n = len(rows)
     counts: dict[str, int] = {}
-    for t in texts:
-        for w in t:
+    for _, t, _ in rows:  # split again below: lists of all words would be large
+        for w in t.split():
             counts[w] = counts.get(w, 0) + 1
     vocab = {w: k for k, w in enumerate(sorted(w for w, c in counts.items() if c >= LEAST_DOCS))}
-    cols = [np.array([vocab[w] for w in t if w in vocab], np.int64) for t in texts]
+    del counts
+    cols = [np.array([vocab[w] for w in t.split() if w in vocab], np.int64) for _, t, _ in rows]
     seen: dict[str, int] = {}
     for _, _, s in rows:
         for k, c in s:
@@ -184,6 +185,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
     t = fresh(docs, ["t"])["t"]
     own = docs.columns
 
+    @lean
     def run(batches):
         m = shared.value
         for b in batches:
