@@ -119,6 +119,29 @@ def edit(text: str, following: str) -> str:
     return text[: len(text) - q] + following[:q]
 
 
+def first_ids(d: DataFrame, cuts: np.ndarray) -> list[int]:
+    """The smallest doc_id from each cut on, below the next cut. Quantiles are
+    doubles, so beyond 2^53 a cut itself is seldom an id."""
+    import pyarrow as pa
+
+    @lean
+    def run(batches):
+        least = np.full(len(cuts) + 1, np.iinfo(np.int64).max)
+        seen = np.zeros(len(cuts) + 1, bool)
+        for b in batches:
+            ids = b.column(0).drop_null().to_numpy()
+            at = np.searchsorted(cuts, ids, side="right")
+            np.minimum.at(least, at, ids)
+            seen[at] = True
+        at = 1 + np.flatnonzero(seen[1:])
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(least[at])], names=["block", "doc_id"])
+
+    if not len(cuts):
+        return []
+    least = d.select("doc_id").mapInArrow(run, "block int, doc_id long").groupBy("block").agg(F.min("doc_id").alias("doc_id"))
+    return [r["doc_id"] for r in least.collect()]  # one id a block
+
+
 def neighbours(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = K) -> DataFrame:
     """(doc_id, n_chars, edited, fingerprint, edited_fingerprint, near_edited,
     near_next) of every row, the next document being the next by (id, text);
@@ -138,7 +161,8 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: i
         blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n[0] // BLOCK_ROWS))
         q = d.where(F.col("doc_id").isNotNull()).approxQuantile("doc_id", [i / blocks for i in range(1, blocks)], 1 / (4 * blocks)) if n[0] > n[1] else []
         first = [None] if n[1] else [n[2]]
-        bounds = first + sorted({int(x) for x in q if x is not None} - set(first))
+        cuts = sorted({min(int(x), (1 << 63) - 1) for x in q if x is not None})
+        bounds = first + sorted(set(first_ids(d, np.array(cuts, np.int64))) - set(first))
         blocks = len(bounds)
     real = [b for b in bounds[1:]]
     shared = spark.sparkContext.broadcast(np.array(real, np.int64))  # one id a block

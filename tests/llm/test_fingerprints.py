@@ -90,3 +90,14 @@ def test_merge_by_key(spark):
         sets = [shingle_set(t.encode()) for _, k, t in rows if k == key and t]
         want = np.unique(np.concatenate(sets))[: fp.K] if sets else np.empty(0, np.uint64)
         assert got[key] == fp.to_text(want)
+
+
+def test_ids_beyond_doubles(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    ids = [*(2**62 + rng.randrange(2**20) for _ in range(200)), *(rng.randrange(-(2**63), 2**63) for _ in range(200)), 2**63 - 1, -(2**63)]
+    docs = [(i, " ".join(rng.choice("ab cd ef gh ij".split()) for _ in range(12))) for i in ids]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = fp.neighbours(df).withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)).collect()
+    check(rows, docs)
