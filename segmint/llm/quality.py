@@ -76,15 +76,16 @@ def text_statistics(docs: DataFrame, text: str = "text", prefix: str = "") -> Da
     }).drop(*taken.values())
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+def base_failed(prefix: str = "") -> Column:
+    n_words, n_repeat_words = F.col(f"{prefix}n_words"), F.col(f"{prefix}n_repeat_words")
+    return (n_words < 50) | (100 * n_repeat_words > 50 * n_words)
 
 
-def shares(stats: DataFrame) -> DataFrame:
+def shares(stats: DataFrame, prefix: str = "") -> DataFrame:
     """Adds the integer per-mille shares ``pm_<statistic>`` (0 where the
-    denominator is 0)."""
+    denominator is 0), all names with ``prefix``."""
     return stats.withColumns({
-        f"pm_{k}": F.floor(F.col(num) * 1000 / F.greatest(F.col(den), F.lit(1))).cast("int") for k, (num, den, _) in SHARES.items()
+        f"{prefix}pm_{k}": F.floor(F.col(prefix + num) * 1000 / F.greatest(F.col(prefix + den), F.lit(1))).cast("int") for k, (num, den, _) in SHARES.items()
     })
 
 
@@ -148,10 +149,19 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str
     )
 
 
-def filter_documents(docs: DataFrame, id_col: str = "doc_id", **columns: str) -> DataFrame:
-    """The documents whose id the rules keep, all columns as they came. Rows
-    that share an id stand or fall together (kept if any of them is kept)."""
-    kept = judge(docs, id_col, **columns).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    key = fresh(docs, ["kept_id"])["kept_id"]
-    kept = kept.withColumnRenamed("kept_id", key)
-    return docs.join(kept, docs[id_col] == kept[key], "left_semi")
+def filter_documents(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+    """The rows that the rules keep, all columns as they came. Every row is
+    judged for itself, whatever its id. The rows are written to the shared
+    folder with their statistics; only the fences are joined to them."""
+    p = "_q_"
+    while any(c.lower().startswith(p) for c in docs.columns):
+        p = "_" + p
+    rows = materialize(shares(text_statistics(docs, text, p), p), "quality-rows")
+    stats = rows.select(F.col(lang).alias("lang"), F.col(source).alias("source"), *[F.col(f"{p}pm_{k}").alias(f"pm_{k}") for k in SHARES])
+    limits = fences(sketches(stats, ["lang", "source"])).withColumnsRenamed({c: p + c for c in ("lang", "source", *(f"fence_{k}" for k in SHARES))})
+    limits = materialize(limits, "quality-fences")
+    out = rows.join(limits, F.col(lang).eqNullSafe(F.col(f"{p}lang")) & F.col(source).eqNullSafe(F.col(f"{p}source")), "left")
+    kept = ~base_failed(p)
+    for k in SHARES:
+        kept = kept & ~F.coalesce(F.col(f"{p}pm_{k}") > F.col(f"{p}fence_{k}"), F.lit(False))
+    return out.where(kept).drop(*[c for c in out.columns if c.startswith(p)])

@@ -113,3 +113,14 @@ def test_quality_statistics_of_odd_texts(spark):
     assert quality.filter_documents(df).columns == df.columns
     empty = df.limit(0)
     assert quality.judge(empty).count() == 0 and quality.filter_documents(empty).count() == 0
+
+
+def test_quality_filter_judges_each_row(spark):
+    rng = random.Random(6)
+    good = lambda: " ".join(f"w{rng.randrange(3000)}" for _ in range(80))
+    rows = [(None, None if i % 2 else "en", good(), "s", i) for i in range(20)]
+    rows += [(7, "en", good(), "s", 100), (7, "en", "too short", "s", 101), (None, "en", "too short", None, 102)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string, source string, _q_n int")
+    got = quality.filter_documents(df)
+    assert got.columns == df.columns
+    assert sorted(r["_q_n"] for r in got.collect()) == [*range(20), 100]
