@@ -6,8 +6,10 @@ Two kinds of units are compared, all over whole texts:
   the hash of it and the next word is the smallest of any ``SPAN`` neighbours.
   Every cut begins a unit of at least ``SPAN`` words that ends at the next cut
   far enough on, so units overlap, are at most twice ``SPAN`` long, and do not
-  depend on what surrounds a passage: of any 51 words that two texts share, at
-  least one unit is the same in both. Equal units (by hash) are duplicates.
+  depend on what surrounds a passage or where its lines break: of any 51 words
+  that two texts share, at least one unit is the same in both. A second set of
+  units has line starts as cuts too, for whole lines. Equal units (by hash) are
+  duplicates.
 * *Paragraphs.* Lines of at least ``LEAST_WORDS`` words get MinHash signatures
   of their 5-word shingles, cut into bands that ``tune_bands`` chooses for a
   high recall; paragraphs that collide in a band are verified by their exact
@@ -85,22 +87,29 @@ class Words:
         """Hashes of the word runs [lo, hi)."""
         return mix((self.run[hi] - self.run[lo]) * self.down[lo] + (hi - lo).astype(np.uint64))
 
+    def cut_at(self, soft: np.ndarray, hard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(lo, hi) of the units between the cuts."""
+        cuts = np.union1d(soft, hard)
+        ends = np.searchsorted(cuts, cuts + SPAN)
+        lo, hi = cuts[ends < len(cuts)], cuts[ends[ends < len(cuts)]]
+        # and back from each forced cut, so that what ends there is covered whole
+        back = np.searchsorted(cuts, hard - SPAN, side="right") - 1
+        return np.r_[lo, cuts[back[back >= 0]]], np.r_[hi, hard[back >= 0]]
+
     def units(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, lo, hi) of the passages."""
+        """(text, lo, hi) of the passages: those of the hash cuts alone, and
+        those of a second set with line starts as cuts too."""
         n = len(self.h)
         none = np.empty(0, np.int64)
         if n < SPAN:
             return none, none, none
         g = mix(self.h * MULTIPLIERS[0] + np.r_[self.h[1:], np.uint64(0)] * MULTIPLIERS[1])
         at = np.arange(n - SPAN + 1)
-        soft = at + np.lib.stride_tricks.sliding_window_view(g, SPAN).argmin(axis=1)
-        hard = np.r_[self.starts, n]
-        cuts = np.union1d(soft, hard)
-        ends = np.searchsorted(cuts, cuts + SPAN)
-        lo, hi = cuts[ends < len(cuts)], cuts[ends[ends < len(cuts)]]
-        # and back from the end of each line, so that equal lines are covered whole
-        back = np.searchsorted(cuts, hard - SPAN, side="right") - 1
-        lo, hi = np.r_[lo, cuts[back[back >= 0]]], np.r_[hi, hard[back >= 0]]
+        soft = np.unique(at + np.lib.stride_tricks.sliding_window_view(g, SPAN).argmin(axis=1))
+        sets = [self.cut_at(soft, np.unique(self.docs)), self.cut_at(soft, np.r_[self.starts, n])]
+        both = np.unique(np.concatenate([lo * (4 * SPAN) + (hi - lo) for lo, hi in sets]))
+        lo = both // (4 * SPAN)
+        hi = lo + both % (4 * SPAN)
         # no unit reaches from one text into the next
         doc = np.searchsorted(self.docs, lo, side="right") - 1
         ok = hi <= self.docs[doc + 1]

@@ -119,3 +119,24 @@ def test_many_owners_of_one_key_in_one_task():
     keys, least, several, more_k, more_o = sd.collapse(k, o)
     assert keys.tolist() == [5, 7, 9] and least.tolist() == [1, 4, 2] and several.tolist() == [True, False, False]
     assert more_k.tolist() == [5] and more_o.tolist() == [3]
+
+
+def wrapped(w, n):
+    return "\n".join(" ".join(w[k : k + n]) for k in range(0, len(w), n))
+
+
+def test_line_breaks_do_not_hide_a_passage(spark):
+    rng = random.Random(9)
+    for _ in range(200):
+        p, keys = words(rng, 51), []
+        for n in (60, rng.randint(3, 14)):
+            w = sd.Words([(" ".join(words(rng, 15)) + " " + wrapped(p, n) + "\n" + wrapped(words(rng, 15), n)).encode()])
+            _, lo, hi = w.units()
+            keys.append(set(w.key(lo, hi).tolist()))
+        assert keys[0] & keys[1]
+    rows, want = [], set()
+    for k, (size, n) in enumerate((a, b) for a in (51, 55, 80, 140) for b in (5, 8, 12)):
+        p = words(rng, size)
+        rows += [(2 * k, " ".join(words(rng, 30) + p + words(rng, 30))), (2 * k + 1, wrapped(words(rng, 29) + p + words(rng, 30), n))]
+        want.add(2 * k + 1)
+    assert {r["doc_id"] for r in run(spark, rows)} == want
