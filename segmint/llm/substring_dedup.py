@@ -9,7 +9,8 @@ Two kinds of units are compared, all over whole texts:
   depend on what surrounds a passage or where its lines break: of any 51 words
   that two texts share, at least one unit is the same in both. A second set of
   units has line starts as cuts too, for whole lines. Equal units (by hash) are
-  duplicates.
+  duplicates. Around them a second pass compares all windows of ``SPAN`` words,
+  so that a shared passage is covered from its first word to its last one.
 * *Paragraphs.* Lines of at least ``LEAST_WORDS`` words get MinHash signatures
   of their 5-word shingles, cut into bands that ``tune_bands`` chooses for a
   high recall; paragraphs that collide in a band are verified by their exact
@@ -38,6 +39,8 @@ from .pretokens import powers
 
 SPAN = 12
 LEAST_WORDS = 20
+#: Shared words beside an equal unit, at most: with more there were another one.
+REACH = 50
 THRESHOLD = 0.8
 RECALL = 0.99
 #: Index entries a reducer handles on average.
@@ -115,6 +118,21 @@ class Words:
         ok = hi <= self.docs[doc + 1]
         return doc[ok], lo[ok], hi[ok]
 
+    def edges(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(text, start) of the windows of ``SPAN`` words that reach out of
+        what the units cover, as far as ``REACH`` words."""
+        gone = np.zeros(len(self.h) + 1, np.int32)
+        np.add.at(gone, lo, 1)
+        np.add.at(gone, hi, -1)
+        inside = np.cumsum(gone) > 0
+        step = np.diff(np.r_[False, inside].astype(np.int8))
+        a, b = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+        at = np.unique(np.concatenate([*(a - k for k in range(1, REACH + 1)), *(b - SPAN + k for k in range(1, REACH + 1))]))
+        at = at[(at >= 0) & (at + SPAN <= len(self.h))]
+        doc = np.searchsorted(self.docs, at, side="right") - 1
+        ok = at + SPAN <= self.docs[doc + 1]
+        return doc[ok], at[ok]
+
     def long_lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ok = self.ends - self.starts >= LEAST_WORDS
         return self.line_doc[ok], self.starts[ok], self.ends[ok]
@@ -164,6 +182,15 @@ def collapse(keys: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return keys[first], owners[first], several, keys[other], owners[other]
 
 
+def entry_blocks(kind: int, keys: list, owners: list, buckets: int) -> list[tuple]:
+    """Rows of the table of blocks: entries by bucket, and the other owners."""
+    k, o, several, more_k, more_o = collapse(np.concatenate([np.empty(0, np.uint64), *keys]), np.concatenate([np.empty(0, np.int64), *owners]))
+    at = ((k >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    ends = np.searchsorted(at, np.arange(buckets + 1))
+    out = [(kind, b, _blob(k[lo:hi]), _blob(o[lo:hi]), _blob(several[lo:hi])) for b, (lo, hi) in enumerate(zip(ends[:-1], ends[1:])) if hi > lo]
+    return [*out, (kind + 2, 0, _blob(more_k), _blob(more_o), b"")] if len(more_k) else out
+
+
 def index(docs: DataFrame, buckets: int, bands: int, rows: int) -> DataFrame:
     """A written table of blocks: kind 0 passages (key, document), 1 bands
     (key, line hash), by bucket; kind 2 and 3 the other owners of a task."""
@@ -177,16 +204,7 @@ def index(docs: DataFrame, buckets: int, bands: int, rows: int) -> DataFrame:
         size = 0
 
         def flush():
-            out = []
-            for kind in (0, 1):
-                keys = np.concatenate([np.empty(0, np.uint64), *held[2 * kind]])
-                owners = np.concatenate([np.empty(0, np.int64), *held[2 * kind + 1]])
-                k, o, several, more_k, more_o = collapse(keys, owners)
-                at = ((k >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-                ends = np.searchsorted(at, np.arange(buckets + 1))
-                out += [(kind, b, _blob(k[lo:hi]), _blob(o[lo:hi]), _blob(several[lo:hi])) for b, (lo, hi) in enumerate(zip(ends[:-1], ends[1:])) if hi > lo]
-                if len(more_k):
-                    out.append((kind + 2, 0, _blob(more_k), _blob(more_o), b""))
+            out = [r for kind in (0, 1) for r in entry_blocks(kind, held[2 * kind], held[2 * kind + 1], buckets)]
             for x in held:
                 x.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names) if out else None
@@ -218,9 +236,69 @@ def _joined(table, name: str, t) -> np.ndarray:
     return np.frombuffer(b"".join(table.column(name).to_pylist()), t)
 
 
-def repeated_passages(blocks: DataFrame) -> DataFrame:
+def bit_table(keys: DataFrame) -> tuple[np.ndarray, bool]:
+    """``FILTER_BITS`` bits in which those of the values (one long column) are
+    set, and whether there are any."""
+    at = F.pmod(F.col(keys.columns[0]), F.lit(FILTER_BITS)) + 1
+    # the built-in bitmaps count values from 1 in buckets of 32768 bits
+    bits = keys.select(at.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m")).collect()
+    table = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in bits:
+        table[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(bytes(r["m"]), np.uint8)
+    return table, bool(bits)
+
+
+def has_bit(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    p = keys % FILTER_BITS
+    return np.flatnonzero((table[p // 8] >> (p % 8).astype(np.uint8)) & 1)
+
+
+def index_edges(docs: DataFrame, repeated: DataFrame, buckets: int) -> DataFrame:
+    """Blocks as ``index`` writes them (kind 0, 2), of the windows that reach
+    out of the repeated units. What the bit table lets through by chance adds
+    windows and changes no result."""
+    import pyarrow as pa
+
+    names, types = ["kind", "bucket", "keys", "owners", "several"], (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    table, wanted = bit_table(repeated.select("key"))
+    shared = docs.sparkSession.sparkContext.broadcast(table)  # FILTER_BITS bits
+
+    @lean
+    def run(batches):
+        keys, owners, size = [], [], 0
+
+        def flush():
+            rows = entry_blocks(0, keys, owners, buckets)
+            keys.clear()
+            owners.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
+        t = shared.value
+        for ids, texts in text_rows(batches, ("d", "t")):
+            if not wanted:
+                continue
+            w = Words(texts)
+            _, lo, hi = w.units()
+            hit = has_bit(t, w.key(lo, hi).view(np.int64))
+            if not len(hit):
+                continue
+            doc, at = w.edges(lo[hit], hi[hit])
+            keys.append(w.key(at, at + SPAN))
+            owners.append(np.array(ids, np.int64)[doc])
+            size += len(at)
+            if size > 1_500_000:
+                yield flush()
+                size = 0
+        if size:
+            yield flush()
+
+    return materialize(docs.select("d", "t").mapInArrow(run, "kind int, bucket int, keys binary, owners binary, several binary"), "edge-windows")
+
+
+def repeated_passages(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(key, d, keeper): documents whose unit ``key`` other documents have
-    too; keeper is the smallest of them."""
+    too; keeper is the smallest of them. Also the part of it that was sent,
+    which has every such key."""
     import pyarrow as pa
 
     @lean_group
@@ -246,7 +324,7 @@ def repeated_passages(blocks: DataFrame) -> DataFrame:
     sent = materialize(blocks.where("kind = 0").select("bucket", "keys", "owners", "several").groupBy("bucket").applyInArrow(run, "key long, d long, keeper long"), "repeated")
     waiting = blocks.where("kind = 2").select("keys", "owners").mapInArrow(rows, "key long, d long")
     keepers = sent.groupBy("key").agg(F.min("keeper").alias("keeper"))
-    return sent.unionByName(waiting.join(keepers, "key"))
+    return sent.unionByName(waiting.join(keepers, "key")), sent
 
 
 def similar_paragraphs(docs: DataFrame, blocks: DataFrame, threshold: float) -> DataFrame:
@@ -288,15 +366,8 @@ def similar_paragraphs(docs: DataFrame, blocks: DataFrame, threshold: float) ->
     waiting = waiting.join(sent.where("a is null").select("key", "b"), "key").select("a", "b")
     pairs = materialize(sent.where("a is not null").select("a", "b").unionByName(waiting).where("a <> b").distinct(), "line-pairs")
 
-    at = F.pmod(F.col("line"), F.lit(FILTER_BITS))
-    lines = pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct()
-    # the built-in bitmaps count values from 1 in buckets of 32768 bits
-    bits = lines.select((at + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m")).collect()
-    table = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in bits:
-        table[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(bytes(r["m"]), np.uint8)
+    table, wanted = bit_table(pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct())
     shared = docs.sparkSession.sparkContext.broadcast(table)  # FILTER_BITS bits
-    wanted = bool(bits)
 
     @lean
     def fetch(batches):
@@ -307,8 +378,7 @@ def similar_paragraphs(docs: DataFrame, blocks: DataFrame, threshold: float) ->
             w = Words(texts)
             doc, lo, hi = w.long_lines()
             line = w.key(lo, hi).view(np.int64)
-            p = line % FILTER_BITS
-            hit = np.flatnonzero((t[p // 8] >> (p % 8).astype(np.uint8)) & 1)
+            hit = has_bit(t, line)
             if not len(hit):
                 continue
             s = w.shingles()
@@ -351,8 +421,11 @@ def removals(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # about a unit each 40 bytes, and the bands of a line each 200
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(n * (1 / 40 + bands / 200) / BUCKET_ENTRIES) + 1)
     blocks = index(docs, buckets, bands, rows)
-    gone = repeated_passages(blocks).unionByName(similar_paragraphs(docs, blocks, threshold)).where("d <> keeper")
-    each = F.array_distinct(F.collect_list(F.struct("key", "keeper")))  # the units of one document
+    repeated, sent = repeated_passages(blocks)
+    beside, _ = repeated_passages(index_edges(docs, sent, buckets))
+    gone = repeated.unionByName(beside).unionByName(similar_paragraphs(docs, blocks, threshold)).where("d <> keeper")
+    # the units of one document, for each the smallest keeper last
+    each = F.sort_array(F.collect_set(F.struct("key", "keeper")), asc=False)
     return gone.groupBy("d").agg(each.alias("g")).select("d", F.col("g.key").alias("keys"), F.col("g.keeper").alias("keepers"))
 
 
@@ -363,11 +436,14 @@ def spans(text: bytes, keys: dict[int, int]) -> list[tuple[int, int, int, int]]:
     w = Words([text])
     gone = np.zeros(len(w.h) + 1, np.int8)
     keeper: dict[int, int] = {}
-    for _, lo, hi in (w.units(), w.long_lines()):
-        for k, a, b in zip(w.key(lo, hi).view(np.int64).tolist(), lo.tolist(), hi.tolist()):
-            if k in keys:
-                gone[a:b] = 1
-                keeper[a] = keys[k]
+    known = np.fromiter(keys, np.int64, len(keys))
+    at = np.arange(max(len(w.h) - SPAN + 1, 0))
+    for lo, hi in (w.units()[1:], w.long_lines()[1:], (at, at + SPAN)):
+        key = w.key(lo, hi).view(np.int64)
+        hit = np.flatnonzero(np.isin(key, known))
+        for k, a, b in zip(key[hit].tolist(), lo[hit].tolist(), hi[hit].tolist()):
+            gone[a:b] = 1
+            keeper[a] = min(keys[k], keeper.get(a, NO_ID))
     edge = np.flatnonzero(np.diff(np.r_[0, gone]))
     if not len(edge):
         return []

@@ -140,3 +140,16 @@ def test_line_breaks_do_not_hide_a_passage(spark):
         rows += [(2 * k, " ".join(words(rng, 30) + p + words(rng, 30))), (2 * k + 1, wrapped(words(rng, 29) + p + words(rng, 30), n))]
         want.add(2 * k + 1)
     assert {r["doc_id"] for r in run(spark, rows)} == want
+
+
+def test_spans_are_the_planted_passages(spark):
+    rng = random.Random(10)
+    rows, want = [], set()
+    for k in range(60):
+        p = words(rng, rng.choice((51, 55, 80, 140)), 10**9)
+        rows.append((2 * k, " ".join(words(rng, rng.randint(20, 40), 10**9) + p + words(rng, rng.randint(20, 40), 10**9))))
+        before = "".join(x + " " for x in words(rng, rng.randint(20, 40), 10**9))
+        text = wrapped(p, 9) if k % 2 else " ".join(p)
+        rows.append((2 * k + 1, before + text + "".join(" " + x for x in words(rng, rng.randint(20, 40), 10**9))))
+        want.add((2 * k + 1, len(before), len(before) + len(text), len(p), 2 * k))
+    assert {(r["doc_id"], r["start_byte"], r["end_byte"], r["n_words"], r["kept_doc_id"]) for r in run(spark, rows)} == want
