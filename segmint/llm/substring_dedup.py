@@ -11,8 +11,10 @@ Two kinds of units are compared, all over whole texts:
   units has line starts as cuts too, for whole lines. Equal units (by hash) are
   duplicates. Around them a second pass compares all windows of ``SPAN`` words,
   so that a shared passage is covered from its first word to its last one.
-* *Paragraphs.* Lines of at least ``LEAST_WORDS`` words get MinHash signatures
-  of their 5-word shingles, cut into bands that ``tune_bands`` chooses for a
+* *Paragraphs.* Lines of at least ``LEAST_WORDS`` words, and joined lines of
+  hard-wrapped paragraphs (lines of at most ``WRAPPED`` words one below another,
+  up to a blank or longer line) with as many words, get MinHash signatures of
+  their 5-word shingles, cut into bands that ``tune_bands`` chooses for a
   high recall; paragraphs that collide in a band are verified by their exact
   Jaccard similarity, and verified pairs are clustered by components.
 
@@ -41,6 +43,9 @@ SPAN = 12
 LEAST_WORDS = 20
 #: Shared words beside an equal unit, at most: with more there were another one.
 REACH = 50
+#: Words of a line of a hard-wrapped paragraph, at most; longer lines are
+#: paragraphs themselves.
+WRAPPED = 40
 THRESHOLD = 0.8
 RECALL = 0.99
 #: Index entries a reducer handles on average.
@@ -63,25 +68,30 @@ def tune_bands(threshold: float = THRESHOLD, recall: float = RECALL, rows: int =
 class Words:
     """Word hashes of some texts, one after another: ``h``, ``docs`` (first
     word of each text, and the number of words), ``lines`` (starts, ends of
-    lines with words) with ``line_doc``."""
+    lines with words) with ``line_doc`` and ``apart`` (first of a text or
+    below a blank line)."""
 
     def __init__(self, texts: list[bytes | None]):
         words: list[bytes] = []
-        docs, starts, line_doc = [0], [], []
+        docs, starts, line_doc, apart = [0], [], [], []
         for k, t in enumerate(texts):
             if t:
+                gap = True
                 for line in t.lower().split(b"\n"):
                     own = line.split()
                     if own:
                         starts.append(len(words))
                         line_doc.append(k)
+                        apart.append(gap)
                         words += own
+                    gap = not own
             docs.append(len(words))
         self.h = hash_words(words)
         self.docs = np.array(docs)
         self.starts = np.array(starts, np.int64)
         self.ends = np.array([*starts[1:], len(words)], np.int64)[: len(starts)]
         self.line_doc = np.array(line_doc, np.int64)
+        self.apart = np.array(apart, bool)
         n = len(words)
         up, self.down = powers(n + 1)
         self.run = np.r_[np.uint64(0), np.cumsum(self.h * up[:n])]
@@ -133,9 +143,18 @@ class Words:
         ok = at + SPAN <= self.docs[doc + 1]
         return doc[ok], at[ok]
 
-    def long_lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        ok = self.ends - self.starts >= LEAST_WORDS
-        return self.line_doc[ok], self.starts[ok], self.ends[ok]
+    def paragraphs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, lo, hi) of the long lines and of the wrapped paragraphs."""
+        if not len(self.starts):
+            return self.line_doc, self.starts, self.ends
+        long = self.ends - self.starts > WRAPPED
+        first = np.flatnonzero(self.apart | long | np.r_[False, long[:-1]])
+        last = np.r_[first[1:], len(long)] - 1
+        first, last = first[last > first], last[last > first]
+        doc = np.r_[self.line_doc, self.line_doc[first]]
+        lo, hi = np.r_[self.starts, self.starts[first]], np.r_[self.ends, self.ends[last]]
+        ok = hi - lo >= LEAST_WORDS
+        return doc[ok], lo[ok], hi[ok]
 
     def shingles(self) -> np.ndarray:
         """The hash of the 5 words from each word on (meaningless near the
@@ -215,7 +234,7 @@ def index(docs: DataFrame, buckets: int, bands: int, rows: int) -> DataFrame:
             doc, lo, hi = w.units()
             held[0].append(w.key(lo, hi))
             held[1].append(d[doc])
-            _, lo, hi = w.long_lines()
+            _, lo, hi = w.paragraphs()
             line = w.key(lo, hi).view(np.int64)
             held[2].append(w.band_keys(lo, hi, bands, rows).ravel())
             held[3].append(np.tile(line, bands))
@@ -376,7 +395,7 @@ def similar_paragraphs(docs: DataFrame, blocks: DataFrame, threshold: float) ->
             if not wanted:
                 continue
             w = Words(texts)
-            doc, lo, hi = w.long_lines()
+            doc, lo, hi = w.paragraphs()
             line = w.key(lo, hi).view(np.int64)
             hit = has_bit(t, line)
             if not len(hit):
@@ -438,7 +457,7 @@ def spans(text: bytes, keys: dict[int, int]) -> list[tuple[int, int, int, int]]:
     keeper: dict[int, int] = {}
     known = np.fromiter(keys, np.int64, len(keys))
     at = np.arange(max(len(w.h) - SPAN + 1, 0))
-    for lo, hi in (w.units()[1:], w.long_lines()[1:], (at, at + SPAN)):
+    for lo, hi in (w.units()[1:], w.paragraphs()[1:], (at, at + SPAN)):
         key = w.key(lo, hi).view(np.int64)
         hit = np.flatnonzero(np.isin(key, known))
         for k, a, b in zip(key[hit].tolist(), lo[hit].tolist(), hi[hit].tolist()):

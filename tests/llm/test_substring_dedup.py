@@ -153,3 +153,17 @@ def test_spans_are_the_planted_passages(spark):
         rows.append((2 * k + 1, before + text + "".join(" " + x for x in words(rng, rng.randint(20, 40), 10**9))))
         want.add((2 * k + 1, len(before), len(before) + len(text), len(p), 2 * k))
     assert {(r["doc_id"], r["start_byte"], r["end_byte"], r["n_words"], r["kept_doc_id"]) for r in run(spark, rows)} == want
+
+
+def test_near_copies_of_wrapped_paragraphs(spark):
+    rng = random.Random(11)
+    p = words(rng, 120)
+    rows, plant = [], []
+    for i in range(8):
+        near = list(p)
+        for k in (15, 75)[: 1 + i % 2] if i else ():
+            near[k] = f"x{i}"
+        plant.append(wrapped(near, 8 + i % 5))
+        rows.append((i, wrapped(words(rng, 40), 9) + "\n\n" + plant[i] + "\n\n" + wrapped(words(rng, 40), 10)))
+    got = {(r["doc_id"], r["passage"]) for r in run(spark, rows)}
+    assert got == {(i, plant[i]) for i in range(1, 8)}
