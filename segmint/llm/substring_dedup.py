@@ -16,7 +16,9 @@ Two kinds of units are compared, all over whole texts:
   up to a blank or longer line) with as many words, get MinHash signatures of
   their 5-word shingles, cut into bands that ``tune_bands`` chooses for a
   high recall; paragraphs that collide in a band are verified by their exact
-  Jaccard similarity, and verified pairs are clustered by components.
+  Jaccard similarity, and verified pairs are clustered by components. First a
+  star and a chain of each band key are verified; then, in blocks, all pairs of
+  a key that are still in different components.
 
 Of each duplicated unit the document with the smallest id keeps its words
 (rows without an id come last). Elsewhere the units go, where together they
@@ -51,6 +53,8 @@ RECALL = 0.99
 #: Index entries a reducer handles on average.
 BUCKET_ENTRIES = 1_000_000
 FILTER_BITS = 1 << 26
+#: Paragraphs of a band key that meet in one task; larger groups go in blocks.
+BLOCK = 2048
 #: The document id that rows without one take: after all others.
 NO_ID = (1 << 63) - 1
 
@@ -363,16 +367,23 @@ def similar_paragraphs(docs: DataFrame, blocks: DataFrame, threshold: float) ->
 
     @lean_group
     def run(table):
-        """Pairs (key null), and the smallest owner b of each key with whom a
-        task's other owners pair (a null)."""
+        """Pairs (key null), the smallest owner b of each key with whom a
+        task's other owners pair (a null), and the owners a of each key that
+        may have three or more (b null)."""
         k, o, s = _joined(table, "keys", np.uint64), _joined(table, "owners", np.int64), _joined(table, "several", bool)
         several = np.unique(k[s])
         order = np.lexsort((o, k))
         k, o = k[order], o[order]
+        new = np.r_[True, (k[1:] != k[:-1]) | (o[1:] != o[:-1])]
+        k, o = k[new], o[new]
         p = pairs_of(k, o)
-        key = pa.concat_arrays([pa.nulls(len(p), pa.int64()), pa.array(several.view(np.int64))])
-        a = pa.concat_arrays([pa.array(p[:, 0]), pa.nulls(len(several), pa.int64())])
-        return pa.Table.from_arrays([key, a, pa.array(np.r_[p[:, 1], o[np.searchsorted(k, several)]])], names=["key", "a", "b"])
+        starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+        counts = np.diff(np.r_[starts, len(k)])
+        rich = np.repeat((counts > 2) | np.isin(k[starts], several), counts)
+        key = pa.concat_arrays([pa.nulls(len(p), pa.int64()), pa.array(several.view(np.int64)), pa.array(k[rich].view(np.int64))])
+        a = pa.concat_arrays([pa.array(p[:, 0]), pa.nulls(len(several), pa.int64()), pa.array(o[rich])])
+        b = pa.concat_arrays([pa.array(p[:, 1]), pa.array(o[np.searchsorted(k, several)]), pa.nulls(int(rich.sum()), pa.int64())])
+        return pa.Table.from_arrays([key, a, b], names=["key", "a", "b"])
 
     @lean
     def rows(batches):
@@ -382,8 +393,9 @@ def similar_paragraphs(docs: DataFrame, blocks: DataFrame, threshold: float) ->
     sent = blocks.where("kind = 1").select("bucket", "keys", "owners", "several").groupBy("bucket").applyInArrow(run, "key long, a long, b long")
     sent = materialize(sent, "line-collisions")
     waiting = blocks.where("kind = 3").select("keys", "owners").mapInArrow(rows, "key long, a long")
+    members = sent.where("b is null").select("key", F.col("a").alias("line")).unionByName(waiting.select("key", F.col("a").alias("line"))).distinct()
     waiting = waiting.join(sent.where("a is null").select("key", "b"), "key").select("a", "b")
-    pairs = materialize(sent.where("a is not null").select("a", "b").unionByName(waiting).where("a <> b").distinct(), "line-pairs")
+    pairs = materialize(sent.where("key is null").select("a", "b").unionByName(waiting).where("a <> b").distinct(), "line-pairs")
 
     table, wanted = bit_table(pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct())
     shared = docs.sparkSession.sparkContext.broadcast(table)  # FILTER_BITS bits
@@ -425,11 +437,64 @@ def similar_paragraphs(docs: DataFrame, blocks: DataFrame, threshold: float) ->
 
     with_sets = pairs.join(sets.select(F.col("line").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("line").alias("b"), F.col("tokens").alias("tb")), "b")
     comp = connected_components(with_sets.select("a", "ta", "b", "tb").mapInArrow(verify, "a long, b long"))
+    more = materialize(links_across(members, comp, sets, threshold), "line-links")
+    if not more.isEmpty():
+        comp = connected_components(comp.select(F.col("vertex").alias("a"), F.col("component").alias("b")).unionByName(more))
     members = found.select("line", "d").distinct().join(comp, F.col("line") == F.col("vertex"))
     keepers = members.groupBy(F.col("component").alias("c")).agg(F.min("d").alias("keeper"))
     return members.join(keepers, F.col("component") == F.col("c")).select(F.col("line").alias("key"), "d", "keeper")
 
 
+def cross_links(left: list, right: list, threshold: float) -> list[tuple[int, int]]:
+    """(line, line) of linked members (line, component, set) of ``left`` and
+    ``right`` in different components, one for each right line and left
+    component. Overlaps are counted through inverted lists."""
+    sizes = np.array([len(s) for _, _, s in left])
+    comps = np.array([c for _, c, _ in left])
+    tokens, owner = np.concatenate([s for _, _, s in left]), np.repeat(np.arange(len(left)), sizes)
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], owner[order]
+    out = []
+    for line, c, s in right:
+        lo, n = np.searchsorted(tokens, s), np.searchsorted(tokens, s, side="right")
+        n = n - lo
+        ends = np.cumsum(n)
+        idx = np.repeat(lo - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
+        o = np.bincount(owner[idx], minlength=len(left))
+        hit = np.flatnonzero((comps != c) & (o >= threshold * (sizes + len(s) - o)))
+        out += [(line, left[k][0]) for k in hit[np.unique(comps[hit], return_index=True)[1]].tolist()]
+    return out
+
+
+def links_across(members: DataFrame, comp: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): links between members (key, line) of a band key that are in
+    different components. One of two such members is outside the key's largest
+    component, so blocks of those meet blocks of all members."""
+    import pyarrow as pa
+
+    tagged = members.join(comp, F.col("line") == F.col("vertex"), "left").select("key", "line", F.coalesce("component", "line").alias("c"))
+    tagged = materialize(tagged, "line-members")
+    sizes = tagged.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("c", F.struct("n", "c")).alias("main"))
+    sizes = sizes.where("n > most").select("key", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("all"), F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("outside"))
+    placed = tagged.join(sizes, "key")
+    own = lambda parts: F.pmod(F.xxhash64("line"), F.col(parts)).cast("int")
+    each = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    left = placed.select("key", own("all").alias("i"), each("outside").alias("j"), "line", "c", F.lit(False).alias("out"))
+    right = placed.where("c <> main").select("key", each("all").alias("i"), own("outside").alias("j"), "line", "c", F.lit(True).alias("out"))
+    placed = left.unionByName(right).join(sets, "line")
+
+    @lean_group
+    def run(table):
+        groups: dict = {}
+        for key, i, j, line, c, out, t in zip(*(table.column(x).to_pylist() for x in ("key", "i", "j", "line", "c", "out", "tokens"))):
+            groups.setdefault((key, i, j), ([], []))[out].append((line, c, np.frombuffer(t, np.uint64)))
+        found = sorted({x for left, right in groups.values() if left and right for x in cross_links(left, right, threshold)})
+        return pa.Table.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    buckets = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
+    return placed.groupBy(F.pmod(F.xxhash64("key", "i", "j"), F.lit(buckets)).alias("bucket")).applyInArrow(run, "a long, b long")
+
+
 # ----------------------------------------------------------------- decisions
 def removals(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(d, keys, keepers): for each document the hashes of its units that go,

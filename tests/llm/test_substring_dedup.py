@@ -167,3 +167,37 @@ def test_near_copies_of_wrapped_paragraphs(spark):
         rows.append((i, wrapped(words(rng, 40), 9) + "\n\n" + plant[i] + "\n\n" + wrapped(words(rng, 40), 10)))
     got = {(r["doc_id"], r["passage"]) for r in run(spark, rows)}
     assert got == {(i, plant[i]) for i in range(1, 8)}
+
+
+def test_all_colliding_paragraphs_are_compared(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(12)
+    lines = []
+    for _ in range(12):
+        base = words(rng, 60)
+        for _ in range(25):
+            own = list(base)
+            for k in rng.sample(range(60), rng.randint(1, 5)):
+                own[k] = f"x{rng.randrange(3)}"
+            lines.append(" ".join(own))
+    bands, rows = sd.tune_bands()
+    sets, keys = [], []
+    for t in lines:
+        w = sd.Words([t.encode()])
+        sets.append(set(w.shingles()[: len(w.h) - 4].tolist()))
+        keys.append(set(w.band_keys(np.array([0]), np.array([len(w.h)]), bands, rows).ravel().tolist()))
+    least = list(range(len(lines)))
+    for _ in range(len(lines)):
+        before = list(least)
+        for i in range(len(lines)):
+            for j in range(i):
+                if keys[i] & keys[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                    least[i] = least[j] = min(least[i], least[j])
+        if least == before:
+            break
+    docs = spark.createDataFrame(list(enumerate(lines)), "d long, t string").select("d", F.col("t").cast("binary").alias("t"))
+    for n in (1, 7):
+        part = docs.repartition(n)
+        got = {r["d"]: r["keeper"] for r in sd.similar_paragraphs(part, sd.index(part, 8, bands, rows), 0.8).collect()}
+        assert got == {i: c for i, c in enumerate(least) if least.count(c) > 1}
