@@ -54,3 +54,22 @@ def test_edge_rows(spark):
     assert ls.scan(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         ls.known_sentences(ls.sentence_rows(df), {"bad": "two words"})
+
+
+def test_notices_in_other_words(spark):
+    comment = lambda t: "# Copyright (c) X\n#\n" + "\n".join("# " + x if x else "#" for x in t.split("\n"))
+    cases = [
+        ("This project is licensed under the MIT License", "MIT"),
+        ("It is released under the MIT License, see LICENSE", "MIT"),
+        ("// SPDX-License-Identifier: MIT\nint main;", "MIT"),
+        ("/* SPDX-License-Identifier: GPL-2.0+ */\n", "GPL-2.0-or-later"),
+        ("# SPDX-License-Identifier: MIT OR Apache-2.0\nx", "Apache-2.0,MIT"),
+        ("SPDX-License-Identifier: MIT-0\n", "MIT-0"),
+        ("Foo is free software; you can redistribute it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", "LGPL-2.1-or-later"),
+        ("The code is under the GNU Affero General Public License v3.", "AGPL-3.0-only"),
+        (comment(MIT + AS_IS), "MIT"),
+        ("a license for a car", None),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: r["licenses"] for r in ls.scan(df).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(cases) if want}
