@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import byte_bpe, fingerprints, jaccard_join, license_scan, packing, quality, sql, substring_dedup, token_count, toxicity, warc
+from . import byte_bpe, fingerprints, jaccard_join, license_scan, packing, quality, rank_bpe, sql, substring_dedup, token_count, toxicity, warc
 from .common import table
 
 
@@ -73,6 +73,26 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def token_digests(ids: list, decoded: list) -> list:
+    """n_tokens, ids_sha256 (decimal ids, one space between), decoded_sha256."""
+    import hashlib
+
+    import pyarrow as pa
+
+    hexed = lambda b: hashlib.sha256(b).hexdigest()
+    return [
+        pa.array([len(x) for x in ids], pa.int64()),
+        pa.array([hexed(" ".join(map(str, x.tolist())).encode()) for x in ids], pa.string()),
+        pa.array([hexed(b) for b in decoded], pa.string()),
+    ]
+
+
+def op11_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = rank_bpe.round_trip(docs, finish=("n_tokens bigint, ids_sha256 string, decoded_sha256 string", token_digests))
+    return out.drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_fingerprints": op2_fingerprints,
@@ -84,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_warc": op10_warc,
+    "op11_rank_bpe": op11_rank_bpe,
 }
 
 ORACLE: dict[str, str] = {
