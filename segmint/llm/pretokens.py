@@ -3,6 +3,8 @@ vocabularies: a pre-token is a run of bytes with a 64-bit hash."""
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 from .common import mix, worker_state
@@ -28,6 +30,30 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return have[0][:n], have[1][:n]
 
 
+#: A space between two other characters: a pre-token begins there, whatever
+#: lies before. Longer texts are cut at such places.
+SAFE_CUT = re.compile(rb"(?<=[!-~]) (?=[!-~])")
+PIECE = 1 << 20
+
+
+def cut_long(texts: list[bytes], size: int = PIECE) -> tuple[list[bytes], list[int]]:
+    """(pieces, text that each belongs to): texts of more than ``size`` bytes
+    in pieces of about that size, or up to the next safe place."""
+    pieces, owner = [], []
+    for k, t in enumerate(texts):
+        lo = 0
+        while len(t) - lo > size:
+            cut = SAFE_CUT.search(t, lo + size)
+            if cut is None:
+                break
+            pieces.append(t[lo : cut.start()])
+            owner.append(k)
+            lo = cut.start()
+        pieces.append(t[lo:] if lo else t)
+        owner.append(k)
+    return pieces, owner
+
+
 class Runs:
     """Runs of bytes: ``data``, ``starts``, ``sizes``, ``hashes``, and
     ``first`` (index of the first run of each text, and the number of all)."""
@@ -75,6 +101,15 @@ class Table:
             self.places = np.insert(self.places, where, places)
         return np.searchsorted(self.hashes, u)
 
+    def texts(self, p: Runs) -> list[np.ndarray]:
+        """uint32 ids of each text of ``p``."""
+        u, at, inverse = np.unique(p.hashes, return_index=True, return_inverse=True)
+        rows = self.rows(p, u, at)[inverse]
+        counts = self.counts[rows]
+        ids = self.pool[ragged(self.places[rows], counts)].astype(np.uint32, copy=False)
+        ends = np.r_[0, np.cumsum(counts)][p.first]
+        return [ids[a:b] for a, b in zip(ends[:-1], ends[1:])]
+
     def unknown(self, u: np.ndarray) -> np.ndarray:
         return ~within(self.hashes, u)[0]
 

@@ -1,8 +1,9 @@
 """Byte-level BPE by a file of ranks, with recursive DuckDB queries in each
 partition.
 
-A task cuts its texts by the pattern and numbers the distinct pieces. Pieces
-that the worker has not met become rows (word, pos, tok), one a byte. Every
+A task cuts its texts by the pattern and looks for the distinct words in a
+bounded table of those that the worker has met. New ones become rows (word,
+pos, tok), one a byte. Every
 step of a recursive query joins adjacent tokens with the merge table and
 contracts, in each word, the leftmost pair of the lowest rank, until no word
 has such a pair. Decoding joins token rows with the vocabulary and aggregates
@@ -13,16 +14,15 @@ the words or tokens of one batch of texts alone.
 from __future__ import annotations
 
 import base64
-from collections import defaultdict
 from collections.abc import Callable
-from itertools import count, islice
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .byte_bpe import PlainRuns, is_plain
 from .common import fresh, lean, worker_state
-from .pretokens import ragged
+from .pretokens import Runs, Table, cut_long, ragged
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Bytes of text whose words or tokens DuckDB holds at once.
@@ -30,8 +30,6 @@ BATCH_BYTES = 2 << 20
 #: Words up to this many bytes share one query, in slices of ``SLICE`` bytes.
 SHORT = 64
 SLICE = 1 << 19
-#: Words a worker remembers; beyond, it starts anew.
-KNOWN = 300_000
 MEMORY = "256MB"
 
 #: All rows of the words that are not finished go through each step; a word
@@ -120,25 +118,19 @@ class RankBpe:
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM pieces").complete()
         for name in ("rules", "pieces"):
             self.db.unregister(name)
-        self.forget()
+        self.table = Table(self)
 
     def put(self, name: str, **columns) -> None:
         import pyarrow as pa
 
         self.db.register(name, pa.table(columns))
 
-    def forget(self) -> None:
-        self.number: dict[str, int] = defaultdict(count().__next__)  # a new word gets the next number
-        self.counts = np.empty(0, np.int64)
-        self.places = np.empty(0, np.int64)
-        self.pool = np.empty(0, np.int32)
-
-    def contract(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(number of ids of each word, the ids one after another); no word
-        is empty."""
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        counts = np.zeros(len(words), np.int64)
-        out: list = [None] * len(words)
+    def encode_flat(self, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words one after another, number of ids of each word);
+        ``data`` holds the words' bytes one after another."""
+        starts = np.cumsum(sizes) - sizes
+        counts = np.zeros(len(sizes), np.int64)
+        out: list = [np.empty(0, np.int32)] * len(sizes)
         short = np.flatnonzero(sizes <= SHORT)
         slices = np.split(short, np.flatnonzero(np.diff(np.cumsum(sizes[short]) // SLICE)) + 1) if len(short) else []
         for query, group in [*((CONTRACT, s) for s in slices), *((CONTRACT_LONG, np.array([k])) for k in np.flatnonzero(sizes > SHORT))]:
@@ -147,45 +139,44 @@ class RankBpe:
                 "bytes_of_words",
                 word=np.repeat(np.arange(len(group), dtype=np.int32), n),
                 pos=ragged(np.zeros(len(group), np.int64), n).astype(np.int32),
-                tok=self.byte_ids[np.frombuffer(b"".join(words[k] for k in group), np.uint8)],
+                tok=self.byte_ids[data[ragged(starts[group], n)]],
             )
             c, ids = list_values(self.db.sql(query).to_arrow_table().column("ids"))
             self.db.unregister("bytes_of_words")
             counts[group] = c
             for k, v in zip(group.tolist(), np.split(ids.to_numpy(), np.cumsum(c)[:-1])):
                 out[k] = v
-        return counts, np.concatenate([*out, np.empty(0, np.int32)])
-
-    def learn(self, words: list[str]) -> None:
-        """Enters words that were numbered last."""
-        counts, ids = self.contract([w.encode("utf-8") for w in words])
-        self.places = np.r_[self.places, len(self.pool) + np.cumsum(counts) - counts]
-        self.counts = np.r_[self.counts, counts]
-        self.pool = np.r_[self.pool, ids]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """int32 ids of each text."""
-        if len(self.number) > KNOWN:
-            self.forget()
-        known = len(self.number)
-        ends, rows = [0], []
-        for t in texts:
-            found = self.pattern.findall(t)
-            rows.append(np.fromiter(map(self.number.__getitem__, found), np.int64, len(found)))
-            ends.append(ends[-1] + len(found))
-        if len(self.number) > known:
-            self.learn(list(islice(self.number, known, None)))
-        row = np.concatenate([*rows, np.empty(0, np.int64)])
-        counts = self.counts[row]
-        ids = self.pool[ragged(self.places[row], counts)]
-        ends = np.r_[0, np.cumsum(counts)][ends]
-        return [ids[a:b] for a, b in zip(ends[:-1], ends[1:])]
+        return np.concatenate([*out, np.empty(0, np.int32)]), counts
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """uint32 ids of each text."""
+        out: list = [np.empty(0, np.uint32)] * len(texts)
+        pieces, owner = cut_long(texts)
+        plain = [k for k, t in enumerate(pieces) if t and is_plain(t)]
+        other = [k for k, t in enumerate(pieces) if t and not is_plain(t)]
+        found: list = [np.empty(0, np.uint32)] * len(pieces)
+        for which, runs in ((plain, PlainRuns), (other, self.pattern_runs)):
+            for lo, hi in parts([pieces[k] for k in which]):
+                ids = self.table.texts(runs([pieces[k] for k in which[lo:hi]]))
+                for k, v in zip(which[lo:hi], ids):
+                    found[k] = v
+        for k, v in zip(owner, found):
+            out[k] = v if not len(out[k]) else np.concatenate([out[k], v])
+        return out
+
+    def pattern_runs(self, texts: list[bytes]) -> Runs:
+        """The pre-tokens of any texts; every character lies in a match."""
+        words = [[w.encode("utf-8") for w in self.pattern.findall(t.decode("utf-8", "replace"))] for t in texts]
+        sizes = np.array([len(w) for ws in words for w in ws], np.int64)
+        ends = np.cumsum(sizes)
+        begins = np.r_[0, np.cumsum([sum(map(len, ws)) for ws in words])]
+        return Runs(np.frombuffer(b"".join(w for ws in words for w in ws), np.uint8), ends - sizes, ends, begins)
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """The bytes of each list of ids. An id that the vocabulary does not
         have is an error."""
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.concatenate([*ids, np.empty(0, np.int32)])
+        flat = np.concatenate([*ids, np.empty(0, np.uint32)])
         self.put("tokens", doc=np.repeat(np.arange(len(ids), dtype=np.int32), sizes), pos=np.arange(len(flat), dtype=np.int64), id=flat)
         found = self.db.sql(DECODE).to_arrow_table()
         self.db.unregister("tokens")
@@ -216,8 +207,8 @@ def defaults() -> tuple[str, str]:
     return public_tokenizers.path(RANKS), public_tokenizers.PATTERN
 
 
-def parts(texts: list[str], size: int = BATCH_BYTES):
-    """(first, end) of runs of texts of about ``size`` characters."""
+def parts(texts: list[bytes], size: int = BATCH_BYTES):
+    """(first, end) of runs of texts of about ``size`` bytes."""
     lo, held = 0, 0
     for k, t in enumerate(texts):
         held += len(t)
@@ -255,7 +246,7 @@ def round_trip(docs: DataFrame, text: str = "text", path: str | None = None, pat
     own = docs.columns
 
     def plain(ids, decoded):
-        flat = pa.array(np.concatenate([*ids, np.empty(0, np.int32)]), pa.int32())
+        flat = pa.array(np.concatenate([*ids, np.empty(0, np.uint32)]).view(np.int32))
         return [pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(x) for x in ids]), pa.int32()), flat), pa.array(decoded, pa.binary())]
 
     columns = finish[1] if finish else plain
@@ -267,7 +258,7 @@ def round_trip(docs: DataFrame, text: str = "text", path: str | None = None, pat
         for b in batches:
             texts = b.column(b.schema.get_field_index(t))
             for first in range(0, b.num_rows, 256):
-                held = [(x or b"").decode("utf-8", "replace") for x in texts.slice(first, 256).to_pylist()]
+                held = [x or b"" for x in texts.slice(first, 256).to_pylist()]
                 for lo, hi in parts(held):
                     ids = bpe.encode(held[lo:hi])
                     cols = columns(ids, bpe.decode(ids))

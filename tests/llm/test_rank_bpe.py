@@ -4,9 +4,10 @@ import base64
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
-from segmint.llm import rank_bpe
+from segmint.llm import pretokens, rank_bpe
 from segmint.llm.queries import op11_rank_bpe
 
 TEXTS = [
@@ -38,28 +39,39 @@ def test_long_words(library):
     rng = random.Random(5)
     words = ["x" * 20000, "a" * 3333, "ab" * 4000, "thequickbrownfox" * 300, "日本語" * 700, "".join(rng.choice("etaoinshrdlu") for _ in range(1500)), "y" * 65, "z" * 64]
     bpe = rank_bpe.RankBpe(*rank_bpe.defaults())
-    assert [x.tolist() for x in bpe.encode(words)] == [library.encode_ordinary(w) for w in words]
+    assert [x.tolist() for x in bpe.encode([w.encode() for w in words])] == [library.encode_ordinary(w) for w in words]
 
 
-def test_both_queries_agree_on_words_of_any_size(library):
+def test_both_queries_agree_on_words_of_any_size(monkeypatch):
     """The keyed query, leftmost pair by pair or many at once, on all words."""
     rng = random.Random(6)
     words = ["".join(rng.choice("aabst ehin") for _ in range(rng.randint(1, 40))).encode() for _ in range(60)]
+    flat, sizes = np.frombuffer(b"".join(words), np.uint8), np.array([len(w) for w in words])
     bpe = rank_bpe.RankBpe(*rank_bpe.defaults())
-    one = bpe.contract(words)
-    rank_bpe.SHORT, old = 0, rank_bpe.SHORT
-    try:
-        two = bpe.contract(words)
-    finally:
-        rank_bpe.SHORT = old
+    one = bpe.encode_flat(flat, sizes)
+    monkeypatch.setattr(rank_bpe, "SHORT", 0)
+    two = bpe.encode_flat(flat, sizes)
     assert one[0].tolist() == two[0].tolist() and one[1].tolist() == two[1].tolist()
 
 
-def test_words_are_forgotten_and_learnt_again(library, monkeypatch):
-    monkeypatch.setattr(rank_bpe, "KNOWN", 3)
+def test_words_are_forgotten_and_learnt_again(library):
     bpe = rank_bpe.RankBpe(*rank_bpe.defaults())
-    for t in ["one two three four", "five six", "one seven eight", "five five one"] * 2:
-        assert bpe.encode([t])[0].tolist() == library.encode_ordinary(t)
+    bpe.table.limit = 3
+    for t in ["one two three four", "five six", "one seven eight", "five five one", "ééé ½", "日本 five"] * 2:
+        assert bpe.encode([t.encode()])[0].tolist() == library.encode_ordinary(t)
+
+
+def test_long_texts_are_cut_where_no_pre_token_lies(library, monkeypatch):
+    rng = random.Random(7)
+    text = "".join(rng.choice(["ab", " ", "  ", "\n", "'s", ".", "é", " x", "12"]) for _ in range(4000))
+    for size in (1, 7, 100):
+        pieces, owner = pretokens.cut_long([text.encode(), b"", b"a b"], size)
+        assert b"".join(p for p, k in zip(pieces, owner) if k == 0) == text.encode()
+        ids = [library.encode_ordinary(p.decode()) for p, k in zip(pieces, owner) if k == 0]
+        assert sum(ids, []) == library.encode_ordinary(text)
+    monkeypatch.setattr(pretokens.cut_long, "__defaults__", (50,))
+    bpe = rank_bpe.RankBpe(*rank_bpe.defaults())
+    assert [x.tolist() for x in bpe.encode([text.encode(), b"", b"a b"])] == [library.encode_ordinary(x) for x in (text, "", "a b")]
 
 
 def test_unknown_ids_are_an_error():
