@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import byte_bpe, fingerprints, jaccard_join, license_scan, packing, quality, rank_bpe, sql, substring_dedup, token_count, toxicity, warc
+from . import byte_bpe, conversation_repair, divergence, fingerprints, jaccard_join, license_scan, packing, quality, rank_bpe, sql, substring_dedup, token_count, toxicity, warc
 from .common import table
 
 
@@ -93,6 +93,14 @@ def op11_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("text")
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_conversations(table(spark, sf_dir, "conversations"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_fingerprints": op2_fingerprints,
@@ -105,10 +113,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_warc": op10_warc,
     "op11_rank_bpe": op11_rank_bpe,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 ORACLE: dict[str, str] = {
     "op4_license_scan": sql.op4(license_scan.SENTENCES, license_scan.RULES),
     "op8_quality_rules": sql.OP8,
     "op10_warc": sql.OP10,
+    "op12_conversation_repair": sql.OP12,
+    "op13_source_divergence": sql.OP13,
 }

@@ -105,3 +105,111 @@ SELECT page_id, n AS payload_bytes, d AS payload_digest,
        CASE WHEN first_id < page_id THEN first_id END AS refers_to
 FROM q
 """
+
+
+#: The cheapest edits row by row: a row of ``path`` is the best way to a state
+#: (E nothing yet, S, U, A by the last role) with its edits and output lines.
+OP12 = r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]),
+         lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), given AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k
+  FROM conversations
+), drawn AS (
+  SELECT given.*, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(k, ''), lambda x: ord(x)::BIGINT)),
+         lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS d
+  FROM given, crc
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN d = 1 THEN '' WHEN d = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE WHEN d = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM drawn WHERE d <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM damaged
+), bare AS (
+  SELECT *, regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS b, left(role, 1) AS r,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+         lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before
+  FROM placed
+), told AS (
+  SELECT *, b = '' AS blank, b <> '' AND again AS dup, b <> '' AND NOT again AND right(b, 1) NOT IN ('.', '!', '?') AS cut FROM bare
+), counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (blank) AS blank,
+         count(*) FILTER (dup) AS duplicate, count(*) FILTER (cut) AS truncated,
+         count(*) FILTER (i > 1 AND before || r NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n
+  FROM told GROUP BY conv_id
+), inserts(q, w, ins, made) AS (
+  VALUES ('E', 'E', '', []::VARCHAR[]), ('E', 'U', 'I', ['user:']), ('E', 'A', 'II', ['user:', 'assistant:']),
+         ('S', 'S', '', []), ('S', 'U', 'I', ['user:']), ('S', 'A', 'II', ['user:', 'assistant:']),
+         ('U', 'U', '', []), ('U', 'A', 'I', ['assistant:']), ('A', 'A', '', []), ('A', 'U', 'I', ['user:'])
+), acts(w, act, v, price) AS (
+  VALUES ('E', 'D', 'E', 2), ('S', 'D', 'S', 2), ('U', 'D', 'U', 2), ('A', 'D', 'A', 2),
+         ('E', 'R', 'U', 1), ('S', 'R', 'U', 1), ('U', 'R', 'A', 1), ('A', 'R', 'U', 1),
+         ('E', 'K', 'S', 0), ('E', 'K', 'U', 0), ('S', 'K', 'U', 0), ('U', 'K', 'A', 0), ('A', 'K', 'U', 0)
+), path(conv_id, i, q, cost, audit, lines) AS (
+  SELECT conv_id, 0::BIGINT, 'E', 0::BIGINT, '', []::VARCHAR[] FROM counted
+  UNION ALL
+  SELECT conv_id, i, v, cost, audit, lines FROM (
+    SELECT p.conv_id, t.i, a.v, p.cost + 5 * length(n.ins) + a.price + CASE WHEN t.cut AND a.act <> 'D' THEN 5 ELSE 0 END AS cost,
+           p.audit || n.ins || a.act AS audit,
+           list_concat(p.lines, n.made, CASE a.act WHEN 'D' THEN [] WHEN 'K' THEN [t.role || ':' || t.text]
+                       ELSE [CASE a.v WHEN 'U' THEN 'user:' ELSE 'assistant:' END || t.text] END) AS lines
+    FROM path p JOIN told t ON t.conv_id IS NOT DISTINCT FROM p.conv_id AND t.i = p.i + 1
+    JOIN inserts n ON n.q = p.q JOIN acts a ON a.w = n.w
+    WHERE (a.act = 'D' OR NOT (t.blank OR t.dup)) AND (a.act <> 'K' OR t.r = lower(a.v))
+  ) QUALIFY row_number() OVER (PARTITION BY conv_id, v ORDER BY cost, audit) = 1
+), ended AS (
+  SELECT p.conv_id, p.cost + 5 * length(e.ins) AS cost, p.audit || e.ins AS audit, list_concat(p.lines, e.made) AS lines
+  FROM path p JOIN counted c ON c.conv_id IS NOT DISTINCT FROM p.conv_id AND c.n = p.i
+  JOIN (VALUES ('E', '', []::VARCHAR[]), ('S', 'II', ['user:', 'assistant:']), ('U', 'I', ['assistant:']), ('A', '', [])) e(q, ins, made) ON e.q = p.q
+  QUALIFY row_number() OVER (PARTITION BY p.conv_id ORDER BY p.cost + 5 * length(e.ins), p.audit || e.ins) = 1
+)
+SELECT g.conv_id, coalesce(c.gaps, 0)::BIGINT AS gaps, coalesce(c.blank, 0)::BIGINT AS blank, coalesce(c.duplicate, 0)::BIGINT AS duplicate,
+       coalesce(c.truncated, 0)::BIGINT AS truncated, coalesce(c.illegal, 0)::BIGINT AS illegal, coalesce(e.cost, 0)::BIGINT AS cost,
+       coalesce(e.audit, '') AS audit, sha256(coalesce(array_to_string(e.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) g
+LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM g.conv_id
+LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM g.conv_id
+"""
+
+OP13 = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws
+  FROM documents
+), words AS (
+  SELECT rid, lang, source, unnest(ws) AS term FROM docs
+), kept AS (
+  SELECT lang, term, count(*) AS lang_n FROM words GROUP BY lang, term HAVING count(DISTINCT rid) >= 30
+), langs AS (
+  SELECT lang, count(*) AS v, sum(lang_n) AS total FROM kept GROUP BY lang
+), groups AS (
+  SELECT DISTINCT lang, source FROM docs
+), counted AS (
+  SELECT lang, source, term, count(*) AS n FROM words JOIN kept USING (lang, term) GROUP BY ALL
+), grid AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0)::HUGEINT AS n, k.lang_n::HUGEINT AS lang_n
+  FROM groups g JOIN kept k USING (lang) LEFT JOIN counted c USING (lang, source, term)
+), totals AS (
+  SELECT lang, source, sum(n) AS total FROM grid GROUP BY ALL
+), shares AS (
+  SELECT g.lang, g.source, g.term, g.n, 1 + (1000000000 * (g.n + 5)) // (t.total + 5 * l.v)::HUGEINT AS p,
+         1 + (1000000000 * (g.lang_n + 5)) // (l.total + 5 * l.v)::HUGEINT AS q
+  FROM grid g JOIN totals t USING (lang, source) JOIN langs l USING (lang)
+), pair AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS other, sum(abs(x.p - y.p)) AS value FROM shares x JOIN shares y USING (lang, term) GROUP BY ALL) s
+    ON s.lang = a.lang AND s.source = a.source AND s.other = b.source
+), term AS (
+  SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM shares WHERE n > 0 AND p > q
+), both_parts AS (
+  SELECT * FROM pair UNION ALL SELECT * FROM term
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM both_parts
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
