@@ -1,32 +1,22 @@
-"""Cluster quality metrics from per-cluster statistics (no pairwise join).
-
-For labels L over vectors x (noise label −1 excluded):
-
-* per cluster C: size n_C, centroid μ_C, Σ‖x‖² — one grouped aggregate,
-  bounded output (k rows), collected like MLlib's ``ClusteringEvaluator``
-  does with its cluster statistics;
-* **silhouette** (squared Euclidean, the ``ClusteringEvaluator`` definition):
-  the mean squared distance from x to all points of C is
-  ‖x‖² − 2 x·μ_C + Σ_C‖y‖²/n_C, so a(x), b(x) need one pass over the points
-  with the k centroids broadcast — exact, O(n·k·d), computed with NumPy on
-  Arrow batches (``mapInPandas``);
-* **Davies–Bouldin**: s_C = mean Euclidean distance to own centroid (same
-  pass), then the k×k centroid combination;
-* **Calinski–Harabasz**: between/within dispersion from the statistics alone.
-
-The reference scores silhouettes with plain Euclidean distance; that needs
-all point pairs (quadratic), so the squared form is used here and stated.
+"""Cluster quality of labelled rows: silhouette, Davies-Bouldin and
+Calinski-Harabasz, for one labelling or several at once.
+
+The work is done by ``silhouette.quality``: cluster statistics stay a
+DataFrame and meet points and each other in blocks, so the number of clusters
+is not bounded by the driver. The default silhouette takes squared distances,
+which need the statistics alone; over plain Euclidean distances it is exact
+too, with work that grows with the square of a cluster's size.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import silhouette
+
 
 @dataclass
 class ClusterMetrics:
@@ -46,92 +36,47 @@ def _as_array(c: Column, is_vector: bool) -> Column:
     return c.cast("array<double>")
 
 
-def _sqnorm(x: Column) -> Column:
-    return F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v * v)
-
-
-def cluster_statistics(points: DataFrame, dim: int) -> list[tuple]:
-    """[(label, n, centroid, sum of squared norms)] — one aggregate, k rows."""
-    sums = [F.sum(F.col("x")[i]).alias(f"s{i}") for i in range(dim)]
-    rows = (
-        points.groupBy("label")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(_sqnorm(F.col("x"))).alias("ss"), *sums)
-        .collect()
-    )  # k rows
-    out = []
-    for r in rows:
-        n = r["n"]
-        out.append((r["label"], n, [r[f"s{i}"] / n for i in range(dim)], r["ss"]))
-    out.sort(key=lambda t: t[0])
+def labelled_points(df: DataFrame, features: str, labels: dict[str, Column | str], ident: str) -> DataFrame:
+    """(run, pid, x, label): every row once for each labelling, by number in
+    the order of ``labels``; rows without a label and noise (-1) are left
+    out."""
+    is_vector = not df.schema[features].dataType.typeName().startswith("array")
+    expr = lambda c: (F.col(c) if isinstance(c, str) else c).cast("long")
+    each = F.array(*[F.struct(F.lit(i).cast("int").alias("run"), expr(c).alias("label")) for i, c in enumerate(labels.values())])
+    rows = df.select(F.col(ident).alias("pid"), _as_array(F.col(features), is_vector).alias("x"), F.explode(each).alias("_l"))
+    return rows.select("_l.run", "pid", "x", "_l.label").where(F.col("label").isNotNull() & (F.col("label") != -1))
+
+
+def metrics_of(df: DataFrame, features: str, labels: dict[str, Column | str], ident: str, euclidean: bool = False) -> dict[str, ClusterMetrics]:
+    """The quality of each labelling, by name, in one set of passes.
+    ``ident`` must be unique. The result has one entry a labelling."""
+    from ..session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    points = labelled_points(df, features, labels, ident).checkpoint(eager=True)
+    found = {r["run"]: r for r in silhouette.quality(points, euclidean).collect()}  # a row a labelling
+    out = {}
+    for i, name in enumerate(labels):
+        r = found.get(i)
+        if r is None:
+            out[name] = ClusterMetrics(None, None, None, 0, 0)
+        elif r["n_clusters"] < 2:
+            out[name] = ClusterMetrics(None, None, None, r["n_clusters"], r["n_points"])
+        else:
+            out[name] = ClusterMetrics(r["silhouette"], r["davies_bouldin"], r["calinski_harabasz"], r["n_clusters"], r["n_points"], r["inertia"])
     return out
 
 
-def cluster_metrics(df: DataFrame, features: str, label: str) -> ClusterMetrics:
-    is_vector = not df.schema[features].dataType.typeName().startswith("array")
-    points = df.select(_as_array(F.col(features), is_vector).alias("x"), F.col(label).cast("long").alias("label")).where(
-        F.col("label").isNotNull() & (F.col("label") != -1)
-    )
-    first = points.select(F.size("x").alias("d")).first()
-    if first is None:
-        return ClusterMetrics(None, None, None, 0, 0)
-    dim = int(first["d"])
-    stats = cluster_statistics(points, dim)
-    k = len(stats)
-    n_total = sum(s[1] for s in stats)
-    if k < 2:
-        return ClusterMetrics(None, None, None, k, n_total)
-
-    # one pass over the points (Arrow batches, NumPy): squared distance to
-    # every centroid gives a(x), b(x); the k centroids are broadcast (k × d)
-    labels_arr = np.array([s_[0] for s_ in stats], dtype=np.int64)
-    sizes_arr = np.array([s_[1] for s_ in stats], dtype=float)
-    cent_arr = np.array([s_[2] for s_ in stats], dtype=float)
-    mean_sq = np.array([s_[3] / s_[1] for s_ in stats], dtype=float)
-    bc = points.sparkSession.sparkContext.broadcast((labels_arr, sizes_arr, cent_arr, mean_sq))
-
-    def per_point(batches):
-        labs, sizes, cent, msq = bc.value
-        for b in batches:
-            if b.empty:
-                continue
-            x = np.vstack([np.asarray(v, dtype=float) for v in b["x"]])
-            lab = b["label"].to_numpy(dtype=np.int64)
-            xn = (x ** 2).sum(axis=1)
-            d = xn[:, None] - 2.0 * (x @ cent.T) + msq[None, :]  # mean squared distance to each cluster
-            own = np.searchsorted(labs, lab)
-            n_own = sizes[own]
-            a = np.where(n_own > 1, d[np.arange(len(x)), own] * n_own / np.maximum(n_own - 1, 1), 0.0)
-            d_other = d.copy()
-            d_other[np.arange(len(x)), own] = np.inf
-            bmin = d_other.min(axis=1)
-            mx = np.maximum(a, bmin)
-            sil = np.where((n_own > 1) & (mx > 0), (bmin - a) / np.where(mx > 0, mx, 1.0), 0.0)
-            e2 = ((x - cent[own]) ** 2).sum(axis=1)  # direct form, no cancellation
-            yield pd.DataFrame({"label": lab, "s": sil, "e": np.sqrt(e2), "w": e2})
-
-    per = points.select("label", "x").mapInPandas(per_point, "label long, s double, e double, w double")
-    agg = (
-        per.groupBy("label").agg(F.sum("s").alias("s"), F.avg("e").alias("e"), F.sum("w").alias("w")).collect()
-    )  # k rows
-    silhouette = sum(r["s"] for r in agg) / n_total
-    spread = {r["label"]: r["e"] for r in agg}
-
-    mus = np.array([s[2] for s in stats])
-    spreads = np.array([spread[st[0]] for st in stats])
-    worst = []
-    for i in range(k):
-        dij = np.linalg.norm(mus - mus[i], axis=1)
-        # coincident centroids count as infinitely far apart (ratio 0)
-        ratios = np.where(dij > 0, (spreads + spreads[i]) / np.where(dij > 0, dij, 1.0), 0.0)
-        worst.append(np.delete(ratios, i).max())
-    db = float(np.mean(worst))
-
-    sizes = np.array([s[1] for s in stats], dtype=float)
-    overall = (mus * sizes[:, None]).sum(axis=0) / n_total
-    between = float((sizes * ((mus - overall) ** 2).sum(axis=1)).sum())
-    within = float(sum(r["w"] for r in agg))
-    ch = (between / (k - 1)) / (within / (n_total - k)) if within > 0 and n_total > k else 1.0
-    return ClusterMetrics(float(silhouette), db, float(ch), k, n_total, within)
+def cluster_metrics(df: DataFrame, features: str, label: str, ident: str | None = None, euclidean: bool = False) -> ClusterMetrics:
+    """``metrics_of`` one labelling. Without ``ident`` the rows are numbered
+    in a checkpoint."""
+    if ident is None:
+        from ..session import ensure_checkpoint_dir
+
+        ensure_checkpoint_dir(df.sparkSession)
+        ident = "_row"
+        df = df.withColumn(ident, F.monotonically_increasing_id()).checkpoint(eager=True)
+    return metrics_of(df, features, {label: label}, ident, euclidean)[label]
 
 
 def count_clusters(df: DataFrame, label: str) -> Column:

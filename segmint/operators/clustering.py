@@ -1,5 +1,5 @@
-"""Clustering on MLlib: K-means sweep with restarts, metric-weighted model
-selection, Ward clustering on K-means micro-clusters, algorithm comparison.
+"""Clustering: MLlib K-means sweep with restarts, metric-weighted model
+selection, exact Ward clustering, algorithm comparison.
 
 Results differ numerically from scikit-learn (k-means|| initialisation,
 different random streams); the selection rules are the reference's.
@@ -10,7 +10,6 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +21,7 @@ from ..functions.constants import (
     SEED,
     WARD_K_RANGE,
 )
-from .cluster_metrics import ClusterMetrics, cluster_metrics
+from .cluster_metrics import ClusterMetrics, metrics_of
 
 
 # --------------------------------------------------------------------------- normalisation
@@ -80,11 +79,13 @@ def kmeans_sweep(
     restarts: int = KMEANS_RESTARTS,
     seed: int = SEED,
     parallelism: int = 8,
+    ident: str = "customer_id",
 ) -> SweepResult:
     """Fit K-means for each k (best of ``restarts`` by inertia), score each by
     0.45 silhouette + 0.2 CH + 0.2 DB + 0.15 inertia (min-max normalised,
     DB and inertia inverted) and keep the first maximum. ``points`` should
-    be materialised; fits for different k run as concurrent Spark jobs."""
+    be materialised and ``ident`` unique; fits for different k run as
+    concurrent Spark jobs."""
     points = points.persist()  # all fits read one copy; MLlib keeps none of its own then
     n = points.count()
     ks = [k for k in k_range if k < n] or [max(1, n - 1)]
@@ -98,15 +99,15 @@ def kmeans_sweep(
             if k not in best_of or cost < best_of[k][1]:
                 best_of[k] = (model, cost)
 
-        def run(k):
-            model, cost = best_of[k]
-            return KMeansRun(k, model, cost, cluster_metrics(model.transform(points), features, "_km"))
-
-        runs = list(pool.map(run, ks))
+    labelled = points
+    for k in ks:
+        labelled = best_of[k][0].setPredictionCol(f"_km{k}").transform(labelled)
+    found = metrics_of(labelled, features, {f"_km{k}": f"_km{k}" for k in ks}, ident)
+    runs = [KMeansRun(k, *best_of[k], found[f"_km{k}"]) for k in ks]
     for r, sc in zip(runs, selection_scores(points.sparkSession, [(r.k, r.metrics, r.inertia) for r in runs])):
         r.score = sc
     best = max(runs, key=lambda r: r.score)  # first maximum
-    labels = best.model.transform(points).withColumnRenamed("_km", "kmeans_label").checkpoint(eager=True)
+    labels = best.model.setPredictionCol("kmeans_label").transform(points).checkpoint(eager=True)
     points.unpersist()
     return SweepResult(runs, best, labels, skipped)
 
@@ -131,83 +132,28 @@ def sweep_frame(spark, sweep: SweepResult) -> DataFrame:
     )
 
 
-# --------------------------------------------------------------------------- Ward on micro-clusters
-def ward_merge(centroids: np.ndarray, weights: np.ndarray) -> list[np.ndarray]:
-    """Agglomerative Ward merging of weighted points (≤ a few hundred, on the
-    driver). Ward cost of merging A and B: w_A·w_B/(w_A+w_B)·‖μ_A−μ_B‖²,
-    updated with the Lance–Williams recurrence (vectorised per merge).
-    Returns, for every number of clusters m (index m), each input point's
-    cluster index (clusters numbered by their smallest member)."""
-    m = len(centroids)
-    x = centroids.astype(float)
-    w = weights.astype(float).copy()
-    sq = ((x[:, None, :] - x[None, :, :]) ** 2).sum(-1)
-    cost = (w[:, None] * w[None, :] / (w[:, None] + w[None, :])) * sq
-    np.fill_diagonal(cost, np.inf)
-    alive = np.ones(m, dtype=bool)
-    owner = np.arange(m)  # cluster slot of each input point
-    cuts: dict[int, np.ndarray] = {}
-
-    def snapshot():
-        slots = sorted(set(owner.tolist()), key=lambda sl: int(np.min(np.where(owner == sl)[0])))
-        ren = {sl: j for j, sl in enumerate(slots)}
-        return np.array([ren[o] for o in owner])
-
-    cuts[m] = snapshot()
-    for n_left in range(m - 1, 0, -1):
-        flat = int(np.argmin(cost))
-        a, b = divmod(flat, m)
-        if a > b:
-            a, b = b, a
-        wa, wb = w[a], w[b]
-        wk = w.copy()
-        # Lance–Williams update for Ward on the "w·w/(w+w)·d²" scale
-        new = ((wa + wk) * cost[a] + (wb + wk) * cost[b] - wk * cost[a, b]) / (wa + wb + wk)
-        new[~alive] = np.inf
-        new[a] = np.inf
-        new[b] = np.inf
-        cost[a, :] = new
-        cost[:, a] = new
-        cost[b, :] = np.inf
-        cost[:, b] = np.inf
-        alive[b] = False
-        w[a] = wa + wb
-        owner[owner == b] = a
-        cuts[n_left] = snapshot()
-    return [cuts.get(i) for i in range(m + 1)]
-
-
-def ward_hierarchical(
-    points: DataFrame, features: str = "features", k_range=WARD_K_RANGE, micro: int = 200, seed: int = SEED
-):
-    """Re-aimed Ward: K-means with ``micro`` centres summarises the rows on
-    Spark; Ward merges the ≤ ``micro`` weighted centres (bounded, driver);
-    the micro→cluster map (≤ ``micro`` rows) is broadcast back. Equals exact
-    Ward when every micro-cluster holds one point. Best k by silhouette."""
-    from pyspark.ml.clustering import KMeans
-
-    n = points.count()
-    m = max(2, min(micro, n))
-    km = KMeans(k=m, seed=seed, featuresCol=features, predictionCol="_micro", maxIter=50).fit(points)
-    assigned = km.transform(points)
-    sizes = dict(assigned.groupBy("_micro").count().collect())  # ≤ micro rows
-    centers = np.array(km.clusterCenters())
-    used = sorted(sizes)
-    cuts = ward_merge(centers[used], np.array([sizes[i] for i in used], dtype=float))
-    spark = points.sparkSession
-    assigned = assigned.checkpoint(eager=True)
-
-    def run(k):
-        mapping = spark.createDataFrame([(int(u), int(cuts[k][j])) for j, u in enumerate(used)], "_micro int, _ward int")
-        lab = assigned.join(F.broadcast(mapping), "_micro")  # ≤ micro rows
-        return (k, cluster_metrics(lab, features, "_ward"), mapping)
-
-    ks = [k for k in k_range if k <= len(used) and cuts[k] is not None]
-    with ThreadPoolExecutor(max_workers=8) as pool:
-        runs = list(pool.map(run, ks))
-    best = max(runs, key=lambda r: (r[1].silhouette if r[1].silhouette is not None else -1))
-    labels = assigned.join(F.broadcast(best[2]), "_micro").drop("_micro").withColumnRenamed("_ward", "hierarchical_label")
-    return runs, best, labels
+# --------------------------------------------------------------------------- Ward
+def ward_hierarchical(points: DataFrame, features: str = "features", k_range=WARD_K_RANGE, ident: str = "pid"):
+    """Exact Ward clustering (``ward.ward_labels``) for every k that the
+    distinct points allow. Returns ([(k, metrics)], the first best by
+    silhouette, points with ``hierarchical_label`` of that k). ``ident`` is a
+    unique integer column."""
+    from pyspark.ml.functions import vector_to_array
+
+    from .ward import ward_labels
+
+    is_vector = not points.schema[features].dataType.typeName().startswith("array")
+    x = vector_to_array(features) if is_vector else F.col(features).cast("array<double>")
+    narrow = points.select(F.col(ident).cast("long").alias("pid"), x.alias("x"))
+    labels, ks = ward_labels(narrow, list(k_range))
+    if not ks:
+        raise ValueError("Ward needs at least as many distinct points as clusters")
+    labels = labels.checkpoint(eager=True)
+    found = metrics_of(labels, "x", {f"k_{k}": f"k_{k}" for k in ks}, "pid")
+    runs = [(k, found[f"k_{k}"]) for k in ks]
+    best = max(runs, key=lambda r: (r[1].silhouette or -1))  # first maximum
+    told = labels.select(F.col("pid").alias("_pid"), F.col(f"k_{best[0]}").alias("hierarchical_label"))
+    return runs, best, points.join(told, F.col(ident) == F.col("_pid")).drop("_pid")
 
 
 # --------------------------------------------------------------------------- comparison

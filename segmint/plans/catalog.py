@@ -20,7 +20,7 @@ from ..operators import filters as FL
 from ..operators import quality as Q
 from ..operators import strategy as ST
 from ..operators import summaries as S
-from ..operators.cluster_metrics import cluster_metrics as _metrics
+from ..operators.cluster_metrics import cluster_metrics as _metrics, metrics_of as _metrics_of
 from . import base
 from . import density as DN
 from . import ingest as IN
@@ -562,7 +562,32 @@ def cluster_metrics(spark, sf_dir):
     from ..sources.tables import table
 
     emb = table(spark, sf_dir, "embeddings")
-    m = _metrics(emb, "embedding", "label")
+    m = _metrics(emb, "embedding", "label", "vec_id")
+    return spark.createDataFrame(
+        [(m.silhouette, m.davies_bouldin, m.calinski_harabasz, m.n_clusters)],
+        "silhouette double, davies_bouldin double, calinski_harabasz double, n_clusters int",
+    )
+
+
+@query
+def silhouette_euclidean(spark, sf_dir):
+    """The silhouette of every embedding over plain Euclidean distances,
+    exactly, under its own label."""
+    from ..operators.cluster_metrics import labelled_points
+    from ..operators.silhouette import silhouette_samples
+    from ..sources.tables import table
+
+    points = base.materialize(labelled_points(table(spark, sf_dir, "embeddings"), "embedding", {"label": "label"}, "vec_id"))
+    return silhouette_samples(points).select(F.col("pid").alias("vec_id"), "label", "silhouette")
+
+
+@query
+def cluster_metrics_many(spark, sf_dir):
+    """The cluster metrics with a cluster for every five embeddings, so that
+    the number of clusters grows with the table."""
+    from ..sources.tables import table
+
+    m = _metrics_of(table(spark, sf_dir, "embeddings"), "embedding", {"fives": F.expr("vec_id div 5")}, "vec_id", euclidean=True)["fives"]
     return spark.createDataFrame(
         [(m.silhouette, m.davies_bouldin, m.calinski_harabasz, m.n_clusters)],
         "silhouette double, davies_bouldin double, calinski_harabasz double, n_clusters int",
@@ -879,7 +904,7 @@ def _fixed_metrics(spark, sf_dir):
     from ..sources.tables import table
 
     emb = table(spark, sf_dir, "embeddings")
-    return [(name, _metrics(emb.withColumn("_lab", F.expr(expr)), "embedding", "_lab")) for name, expr in FIXED_LABELINGS]
+    return list(_metrics_of(emb, "embedding", {name: F.expr(expr) for name, expr in FIXED_LABELINGS}, "vec_id").items())
 
 
 @query

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import DBSCAN_MIN_SAMPLES, EPS_PERCENTILES
 from ..operators import density as D
-from ..operators.cluster_metrics import ClusterMetrics, cluster_metrics
+from ..operators.cluster_metrics import ClusterMetrics, metrics_of
 from . import base
 
 _CACHE: dict = {}
@@ -46,14 +46,15 @@ def eps_for(points: DataFrame) -> list[float]:
 
 
 def choose(points: DataFrame) -> DbscanChoice:
-    """All ε candidates in one DBSCAN sweep; metrics per ε run as concurrent
-    jobs; the first best silhouette wins."""
-    from concurrent.futures import ThreadPoolExecutor
-
+    """All ε candidates in one DBSCAN sweep, the metrics of all ε in one set
+    of passes; the first best silhouette wins."""
     pts = base.materialize(points.select("pid", "x"))
     results = D.dbscan_sweep(pts, eps_for(pts), DBSCAN_MIN_SAMPLES)
-    with ThreadPoolExecutor(max_workers=8) as pool:
-        mets = list(pool.map(lambda r: cluster_metrics(pts.join(r.labels, "pid"), "x", "dbscan_label"), results))
+    labelled = pts
+    for i, r in enumerate(results):
+        labelled = labelled.join(r.labels.select("pid", F.col("dbscan_label").alias(f"_l{i}")), "pid")
+    found = metrics_of(labelled, "x", {f"_l{i}": f"_l{i}" for i in range(len(results))}, "pid")
+    mets = list(found.values())
     history = [(r.eps, r.n_clusters, r.n_noise, m.silhouette) for r, m in zip(results, mets)]
     best = None
     for r, m in zip(results, mets):

@@ -45,7 +45,7 @@ def ward(spark: SparkSession, sf_dir: str):
     k = _k(spark, sf_dir, "ward")
     if k not in _CACHE:
         fm, _ = features(spark, sf_dir)
-        _CACHE[k] = CL.ward_hierarchical(fm.select("customer_id", "features"))
+        _CACHE[k] = CL.ward_hierarchical(fm.select("customer_id", "ingest_seq", "features"), ident="ingest_seq")
     return _CACHE[k]
 
 

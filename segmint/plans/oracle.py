@@ -463,6 +463,14 @@ ch AS (SELECT (sum(sizes.n * pow(list_distance(cent.mu, (SELECT mu FROM overall)
 sql("cluster_metrics", EMB + """
 SELECT (SELECT silhouette FROM sil) AS silhouette, (SELECT davies_bouldin FROM db) AS davies_bouldin,
   (SELECT calinski_harabasz FROM ch) AS calinski_harabasz, CAST((SELECT count(*) FROM cent) AS INTEGER) AS n_clusters""")
+PLAIN = """, plain AS (SELECT vec_id, la, lb, avg(sqrt(d2)) AS md FROM pairs GROUP BY 1, 2, 3),
+pab AS (SELECT e.vec_id, e.label, max(CASE WHEN la = lb THEN md END) AS a, min(CASE WHEN la <> lb THEN md END) AS b
+        FROM e LEFT JOIN plain ON e.vec_id = plain.vec_id GROUP BY 1, 2),
+psil AS (SELECT vec_id, label, CASE WHEN a IS NULL THEN 0.0 WHEN greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0.0 END AS silhouette FROM pab)"""
+sql("silhouette_euclidean", EMB + PLAIN + " SELECT vec_id, label, silhouette FROM psil")
+sql("cluster_metrics_many", EMB.replace("CAST(label AS BIGINT) AS label", "vec_id // 5 AS label") + PLAIN + """
+SELECT (SELECT avg(silhouette) FROM psil) AS silhouette, (SELECT davies_bouldin FROM db) AS davies_bouldin,
+  (SELECT calinski_harabasz FROM ch) AS calinski_harabasz, CAST((SELECT count(*) FROM cent) AS INTEGER) AS n_clusters""")
 sql("count_clusters", "SELECT count(DISTINCT CASE WHEN label >= 0 THEN label END) AS n_clusters FROM embeddings")
 sql("minmax_normalize", on(L, f""", p AS ({CLUSTER_PROFILE})
 SELECT cluster_id,

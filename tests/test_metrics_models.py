@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from segmint.operators.cluster_metrics import cluster_metrics
-from segmint.operators.clustering import minmax_normalize, ward_merge
+from segmint.operators.clustering import minmax_normalize
+from segmint.operators.ward import merge_here
 from segmint.operators.evaluate import classification_report, roc_auc, roc_curve
 
 
@@ -69,6 +70,16 @@ def test_chosen_algorithm_gives_cluster_id(spark):
     assert got == [1, 2, 3]
 
 
+def ward_merge(x, weights):
+    """Labels by number of clusters, from the merges of one task."""
+    labels = np.arange(len(x))
+    cuts = {len(x): labels.copy()}
+    for a, b, _ in merge_here(np.arange(len(x)), weights, x):
+        labels[labels == labels[b]] = labels[a]
+        cuts[len(set(labels.tolist()))] = labels.copy()
+    return cuts
+
+
 def test_ward_merge_two_groups():
     pts = np.array([[0.0], [0.1], [10.0], [10.2]])
     cuts = ward_merge(pts, np.ones(4))
