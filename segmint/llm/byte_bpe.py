@@ -11,17 +11,19 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Generations, fresh, lean, worker_state
-from .pretokens import Runs, Table, ragged
+from .pretokens import Runs, Table, cut_long, ragged
 
 BYTE_BPE = "byte_bpe_50k.json"
 NONE = np.int32(np.iinfo(np.int32).max)
+#: Texts encoded at once.
+ROWS = 256
 
 
 def byte_letters() -> list[str]:
@@ -197,7 +199,7 @@ class ByteBpe:
         self.table = Table(self.merges)
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.mark = os.path.commonprefix([*self.special]) if self.special else "\udfff"
-        self.cache = Generations()
+        self.cache = Generations(KNOWN_UNITS)
 
     def segments(self, text: str) -> list[str]:
         return self.split_special.split(text) if self.split_special else [text]
@@ -241,7 +243,16 @@ class ByteBpe:
 
     def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
         """uint32 ids of each text; none for null. Plain texts are handled
-        as arrays, some megabytes at a time, others through the cache."""
+        as arrays, some megabytes at a time, others through the cache; long
+        texts in pieces."""
+        pieces, owner = cut_long([t or b"" for t in texts])
+        if len(pieces) == len(texts):
+            return self._encode(texts)
+        ids = self._encode(pieces)
+        ends = np.searchsorted(owner, np.arange(len(texts) + 1))
+        return [ids[a] if b - a == 1 else np.concatenate(ids[a:b]) for a, b in zip(ends[:-1], ends[1:])]
+
+    def _encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
         out: list = [np.empty(0, np.uint32)] * len(texts)
         plain, other, size = [], [], 0
         for k, t in enumerate(texts):
@@ -273,14 +284,18 @@ class ByteBpe:
     def decode(self, ids: list[np.ndarray]) -> list[str]:
         """The library's decode(ids, skip_special_tokens=False): bytes of the
         ids, malformed UTF-8 replaced."""
-        flat = np.concatenate([*ids, np.empty(0, np.uint32)])
-        sizes = self.lengths[flat]
-        data = self.bytes[ragged(self.places[flat], sizes)].tobytes()
-        ends = np.r_[0, np.cumsum(sizes)][np.cumsum([0] + [len(x) for x in ids])]
-        return [data[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:])]
+        return [b"".join(self.bytes_of(x[lo : lo + STEP_IDS]) for lo in range(0, len(x), STEP_IDS)).decode("utf-8", "replace") if len(x) else "" for x in ids]
+
+    def bytes_of(self, ids: np.ndarray) -> bytes:
+        sizes = self.lengths[ids]
+        return self.bytes[ragged(self.places[ids], sizes)].tobytes()
 
 
 DOUBLE = re.compile(r"\s\s")
+#: Ids whose bytes are gathered at once.
+STEP_IDS = 1 << 18
+#: Cut texts that a worker remembers, in each of two generations.
+KNOWN_UNITS = 100_000
 
 
 def load(path: str) -> ByteBpe:
@@ -296,40 +311,52 @@ def vocabulary_path(name: str = BYTE_BPE) -> str:
     return public_tokenizers.path(name)
 
 
-def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+#: DDL of columns and the function of (ids, decoded texts) that makes them.
+Finish = tuple[str, Callable[[list, list], list]]
+
+
+def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: str = "ids", decoded: str | None = None, finish: Finish | None = None) -> DataFrame:
     """Adds ``ids`` (array<int>) and, if ``decoded`` names a column, the text
-    decoded from those ids. Null texts count as empty and have no ids. All
-    other columns stay. ``path`` must exist on the executors; None takes the
+    decoded from those ids. ``finish`` puts other columns in the place of
+    both, computed in the same task, where ids and texts need not leave it.
+
+    Null texts count as empty and have no ids. All other columns and repeated
+    rows stay; an empty table gives no rows; an existing output column is a
+    ``ValueError``. ``path`` must exist on the executors; None takes the
     installed public file."""
     import pyarrow as pa
 
-    if {ids.lower(), (decoded or "").lower()} & {c.lower() for c in docs.columns}:
+    ddl = finish[0] if finish else f"`{ids}` array<int>" + (f", `{decoded}` string" if decoded else "")
+    made = [f.split()[0].strip("`") for f in ddl.split(",")]
+    if {m.lower() for m in made} & {c.lower() for c in docs.columns}:
         raise ValueError("an output column exists already")
     t = fresh(docs, ["t"])["t"]
     own = docs.columns
 
+    def arrays(found, texts):
+        flat = pa.array(np.concatenate([*found, np.empty(0, np.uint32)]).view(np.int32))
+        offsets = pa.array(np.cumsum([0] + [len(x) for x in found]).astype(np.int32))
+        return [pa.ListArray.from_arrays(offsets, flat), *([pa.array(texts, pa.string())] if decoded else [])]
+
+    columns = finish[1] if finish else arrays
+
     @lean
     def run(batches):
         bpe = load(path or vocabulary_path())
         for b in batches:
             at = b.schema.get_field_index(t)
-            for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 512)
+            for lo in range(0, b.num_rows, ROWS):
+                part = b.slice(lo, ROWS)
                 found = bpe.encode(part.column(at).to_pylist())
-                flat = pa.array(np.concatenate([*found, np.empty(0, np.uint32)]).view(np.int32))
-                offsets = pa.array(np.cumsum([0] + [len(x) for x in found]).astype(np.int32))
                 cols = [part.column(part.schema.get_field_index(c)) for c in own]
-                cols.append(pa.ListArray.from_arrays(offsets, flat))
-                if decoded:
-                    cols.append(pa.array(bpe.decode(found), pa.string()))
-                yield pa.RecordBatch.from_arrays(cols, names=[*own, ids, *([decoded] if decoded else [])])
+                yield pa.RecordBatch.from_arrays([*cols, *columns(found, bpe.decode(found) if decoded or finish else [])], names=[*own, *made])
 
     fields = ", ".join([f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema])
-    schema = fields + f", `{ids}` array<int>" + (f", `{decoded}` string" if decoded else "")
-    return docs.withColumn(t, F.col(text).cast("string").cast("binary")).mapInArrow(run, schema)
+    return docs.withColumn(t, F.col(text).cast("string").cast("binary")).mapInArrow(run, f"{fields}, {ddl}")
 
 
-def round_trip(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
-    """doc_id, ids, decoded of every row. Repeated rows and null ids stay."""
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: str | None = None, finish: Finish | None = None) -> DataFrame:
+    """doc_id, ids, decoded (or the columns of ``finish``) of every row.
+    Repeated rows and null ids stay."""
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
-    return encode(narrow, path, decoded="decoded").drop("text")
+    return encode(narrow, path, decoded="decoded", finish=finish).drop("text")

@@ -10,6 +10,8 @@ import numpy as np
 from .common import mix, worker_state
 
 BASE = 0x9E3779B97F4A7C15
+#: Powers that a worker keeps for its next batch.
+KEPT_POWERS = 4 << 20
 
 
 def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -26,7 +28,9 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
         up = np.full(n, BASE, np.uint64)
         down = np.full(n, pow(BASE, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
-        have = state["powers"] = (np.cumprod(up), np.cumprod(down))
+        have = (np.cumprod(up), np.cumprod(down))
+        if n <= KEPT_POWERS:
+            state["powers"] = have
     return have[0][:n], have[1][:n]
 
 

@@ -20,14 +20,25 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def token_digests(separator: str):
+    """n_tokens, ids_sha256 (decimal ids with the separator between them) and
+    decoded_sha256 from the ids and the decoded texts or bytes of rows."""
+    import hashlib
+
+    import pyarrow as pa
+
+    def hexed(x) -> str:
+        return hashlib.sha256(x if isinstance(x, bytes) else x.encode()).hexdigest()
+
+    def columns(ids: list, decoded: list) -> list:
+        listed = [hexed(separator.join(map(str, x.tolist()))) for x in ids]
+        return [pa.array([len(x) for x in ids], pa.int64()), pa.array(listed, pa.string()), pa.array([hexed(d) for d in decoded], pa.string())]
+
+    return "n_tokens bigint, ids_sha256 string, decoded_sha256 string", columns
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = byte_bpe.round_trip(table(spark, sf_dir, "documents"))
-    return out.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
-    )
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), finish=token_digests(","))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,23 +84,9 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def token_digests(ids: list, decoded: list) -> list:
-    """n_tokens, ids_sha256 (decimal ids, one space between), decoded_sha256."""
-    import hashlib
-
-    import pyarrow as pa
-
-    hexed = lambda b: hashlib.sha256(b).hexdigest()
-    return [
-        pa.array([len(x) for x in ids], pa.int64()),
-        pa.array([hexed(" ".join(map(str, x.tolist())).encode()) for x in ids], pa.string()),
-        pa.array([hexed(b) for b in decoded], pa.string()),
-    ]
-
-
 def op11_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = rank_bpe.round_trip(docs, finish=("n_tokens bigint, ids_sha256 string, decoded_sha256 string", token_digests))
+    out = rank_bpe.round_trip(docs, finish=token_digests(" "))
     return out.drop("text")
 
 
