@@ -58,6 +58,26 @@ def knapsack(value: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, np
     return float(best[room]), n
 
 
+def inverted(basis: np.ndarray) -> np.ndarray:
+    """The inverse by elimination with row pivots. Like the steps below it
+    calls no threaded linear algebra: such calls may not return in a driver
+    that shares its process with the session's threads."""
+    a = basis.copy()
+    inv = np.eye(len(a))
+    for k in range(len(a)):
+        p = k + int(np.abs(a[k:, k]).argmax())
+        if p != k:
+            a[[k, p]], inv[[k, p]] = a[[p, k]], inv[[p, k]]
+        inv[k] /= a[k, k]
+        a[k] /= a[k, k]
+        rows = np.flatnonzero(a[:, k])
+        rows = rows[rows != k]
+        factor = a[rows, k][:, None]
+        a[rows] -= factor * a[k]
+        inv[rows] -= factor * inv[k]
+    return inv
+
+
 def column_generation(sizes: np.ndarray, demand: np.ndarray, room: int, gap: float = GAP) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (one a row) and how often each is used (real numbers): the
     linear cutting-stock program by the revised simplex method. It starts from
@@ -71,18 +91,18 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, room: int, gap: flo
     x = need / (room // sizes)
     step = 0
     while True:
-        dual = cost @ inverse
+        dual = np.einsum("i,ij->j", cost, inverse)
         if dual.min() < -1e-9:  # too many of a class: its surplus enters
             c = int(dual.argmin())
             col, price = np.zeros(m), 0.0
             col[c] = -1
         else:
             best, n = knapsack(dual, sizes, room)
-            bound = (dual @ need) / max(best, 1.0)  # Farley's bound
-            if best <= 1 + 1e-9 or x @ cost <= bound * (1 + gap):
+            bound = (dual * need).sum() / max(best, 1.0)  # Farley's bound
+            if best <= 1 + 1e-9 or (x * cost).sum() <= bound * (1 + gap):
                 break
             col, price = n.astype(float), 1.0
-        d = inverse @ col
+        d = np.einsum("ij,j->i", inverse, col)
         up = np.flatnonzero(d > 1e-9)
         ratio = x[up] / d[up]
         out = up[int(ratio.argmin())]
@@ -96,8 +116,8 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, room: int, gap: flo
         inverse[out] = pivot
         step += 1
         if step % 200 == 0:  # rounding errors do not add up
-            inverse = np.linalg.inv(basis)
-            x = np.maximum(inverse @ need, 0)
+            inverse = inverted(basis)
+            x = np.maximum(np.einsum("ij,j->i", inverse, need), 0)
     real = cost > 0
     return basis[:, real].T.round().astype(np.int64), x[real]
 

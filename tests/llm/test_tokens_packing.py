@@ -1,5 +1,9 @@
 """Token counts and packed pieces against the tokenizers library."""
 
+import os
+import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -102,3 +106,26 @@ def test_column_generation_reaches_the_bound():
     assert (patterns.T @ uses >= demand * (1 - 1e-6)).all() and (patterns @ sizes <= 64).all()
     lower = max(sizes @ demand / 64, demand[sizes > 32].sum())
     assert lower - 1e-6 <= uses.sum() <= sum(n for _, n in plan) <= 1.003 * uses.sum() + 5
+
+
+def test_inverse_by_elimination():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 30):
+        m = rng.integers(0, 4, (n, n)) + np.diag(rng.integers(1, 9, n)[rng.permutation(n)])
+        m = m[rng.permutation(n)].astype(float)
+        if abs(np.linalg.det(m)) > 1e-6:
+            assert np.allclose(packing.inverted(m) @ m, np.eye(n), atol=1e-8)
+
+
+def test_whole_query_at_sf01_in_a_process_of_its_own():
+    """The plan needs hundreds of steps there; the time limit is generous."""
+    code = (
+        "from segmint.session import build_session\n"
+        "from segmint.llm.queries import op1_packing\n"
+        "spark = build_session(master='local[4]')\n"
+        "print(op1_packing(spark, '/root/testdata/sf0.1').selectExpr('sum(length) s', 'count(distinct sequence_id) n', 'count(distinct doc_id) d').first())\n"
+    )
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=240, check=True).stdout
+    s, n, d = map(int, re.search(r"s=(\d+), n=(\d+), d=(\d+)", out).groups())
+    assert d == 10_000 and s / (4096 * n) > 0.99
