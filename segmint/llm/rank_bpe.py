@@ -30,7 +30,10 @@ BATCH_BYTES = 2 << 20
 #: Words up to this many bytes share one query, in slices of ``SLICE`` bytes.
 SHORT = 64
 SLICE = 1 << 19
-MEMORY = "256MB"
+#: Tokens decoded at once.
+STEP_TOKENS = 1 << 19
+#: Most memory that a worker's DuckDB may take; only very long words need it.
+MEMORY = "1GB"
 
 #: All rows of the words that are not finished go through each step; a word
 #: comes out (``NOT alive``) when no pair of it is in the merge table.
@@ -177,21 +180,22 @@ class RankBpe:
         have is an error."""
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.concatenate([*ids, np.empty(0, np.uint32)])
-        self.put("tokens", doc=np.repeat(np.arange(len(ids), dtype=np.int32), sizes), pos=np.arange(len(flat), dtype=np.int64), id=flat)
-        found = self.db.sql(DECODE).to_arrow_table()
-        self.db.unregister("tokens")
-        n, pieces = list_values(found.column("pieces"))
-        which = found.column("doc").to_numpy()
-        if n.sum() != len(flat):
-            raise ValueError("an id is not in the vocabulary")
-        out = [b""] * len(ids)
-        if len(flat):
+        doc = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
+        out: list[list[bytes]] = [[] for _ in ids]
+        for lo in range(0, len(flat), STEP_TOKENS):
+            part = slice(lo, min(lo + STEP_TOKENS, len(flat)))
+            self.put("tokens", doc=doc[part], pos=np.arange(part.start, part.stop), id=flat[part])
+            found = self.db.sql(DECODE).to_arrow_table()
+            self.db.unregister("tokens")
+            n, pieces = list_values(found.column("pieces"))
+            if n.sum() != part.stop - part.start:
+                raise ValueError("an id is not in the vocabulary")
             at = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset : pieces.offset + len(pieces) + 1]
             ends = at[np.r_[0, np.cumsum(n)]].tolist()
             data = pieces.buffers()[2]
-            for k, a, b in zip(which.tolist(), ends[:-1], ends[1:]):
-                out[k] = data[a : b].to_pybytes()
-        return out
+            for k, x, y in zip(found.column("doc").to_pylist(), ends[:-1], ends[1:]):
+                out[k].append(data[x:y].to_pybytes())
+        return [b"".join(x) for x in out]
 
 
 def load(path: str, pattern: str) -> RankBpe:
