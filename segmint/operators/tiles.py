@@ -41,6 +41,17 @@ def meet(left: DataFrame, right: DataFrame, key: list[str], left_id: Column, rig
     return ll.groupBy(*key, "_l", "_r").cogroup(rr.groupBy(*key, "_l", "_r")).applyInArrow(fn, schema)
 
 
+def meet_all(left: DataFrame, right: DataFrame, n_left: int, n_right: int, left_id: Column, right_id: Column, fn, schema: str, rows: int = ROWS) -> DataFrame:
+    """``meet`` without a key, for sides of known size: two shuffles and no
+    join."""
+    a, b = max(1, -(-n_left // rows)), max(1, -(-n_right // rows))
+    to = lambda ident, n: F.pmod(F.xxhash64(ident), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    ll = _fresh(left).withColumn("_i", left_id).withColumn("_l", to(F.col("_i"), a)).withColumn("_r", every(b)).drop("_i")
+    rr = _fresh(right).withColumn("_i", right_id).withColumn("_r", to(F.col("_i"), b)).withColumn("_l", every(a)).drop("_i")
+    return ll.groupBy("_l", "_r").cogroup(rr.groupBy("_l", "_r")).applyInArrow(fn, schema)
+
+
 def matrix(table, name: str = "x") -> np.ndarray:
     """The rows of an array<double> Arrow column as a 2-d array."""
     col = table.column(name).combine_chunks()
