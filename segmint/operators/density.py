@@ -1,25 +1,22 @@
 """Density operators: exact k-th-neighbour distances (ε candidates) and
-DBSCAN, without a cross join and without emitting all pairs of a group.
-
-**Candidate blocks.** Points are projected on m orthonormal directions (the
-top principal axes); projection never lengthens a distance, so every point
-within radius r of x lies in x's grid cell (width r on each projected axis)
-or one of the 3^m adjacent cells. A block pairs the *home* points of one
-cell with the *probe* points of its 3^m neighbourhood (an equi-join on the
-cell key via ``cogroup``). Cells holding many points are split on both
-sides by salting, so a block never exceeds about ``block_rows`` home rows ×
-``block_rows`` probe rows, whatever the skew. Inside a block, distances are
-computed with NumPy on Arrow batches and reduced before leaving the task:
-
-* ``count``  – neighbours within r per home point (partials summed);
-* ``knn``    – the k smallest distances per home point (partials merged);
-* ``link``   – (kind 0) the block's core–core components within ε as
-               stars (each member → smallest member; < block size edges)
-               and (kind 1) each border point's nearest core.
-
-The work inside a dense region is still quadratic — exact ε-neighbourhoods
-in high dimension have no index that avoids it — but it is spread over
-many bounded tasks and never materialised as pairs.
+DBSCAN over balls of near points.
+
+**Blocks.** Equal points are one weighted point. A cell of too many points is
+split by some of its own points as pivots, each point going to the nearest,
+until cells are small. A block is a cell with its centre and radius and is
+stored once, as one row. By the triangle inequality two blocks can hold points
+within ε only if their centres are no farther than ε and both radii; only
+such pairs of block ids are formed. Near blocks lie in one group of blocks
+(``GROUP``), a task takes a pair of groups, and each block comes to it once.
+
+**Work that is left out.** The k-th distance within the own block bounds the
+search of every point. A point that its own block proves to be a core point
+is not counted further, nor is any point beyond ``min_samples``; blocks of
+settled points only meet no other for counting. For linking, blocks compare
+components, and stop when all components of the two are linked.
+
+Exact ε-neighbourhoods of points in one blob of high dimension have no index
+that avoids their pairs; there the work is still quadratic, in bounded tasks.
 
 **Components.** Min-label propagation with pointer jumping over the forest
 edges, each round checkpointed (reliable checkpoint folder), until no
@@ -29,306 +26,218 @@ label changes. Border points join the cluster of their nearest core point
 
 from __future__ import annotations
 
-import itertools
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
+from .tiles import column, distances, distinct_points, fresh, matrix, meet, meet_all
 
-BLOCK_ROWS = 2000
-_CHUNK_BYTES = 32 * 1024 * 1024
+#: Points of a block, at most twice as many where pivots split badly.
+BLOCK_ROWS = 1024
+#: Pivots that split a cell at once, rounds of splitting.
+PIVOTS, ROUNDS = 32, 8
+#: Blocks of a group; ids of the blocks of a group follow each other.
+GROUP = 8
+#: Slack of the bounds for rounding errors.
+SLACK = 1e-9
 
 
-# --------------------------------------------------------------------------- geometry
-def projection_axes(points: DataFrame, m: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Top-m principal axes (orthonormal, d×m) and the mean, from MLlib PCA
-    (distributed covariance; d×d on the driver)."""
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.stat import Summarizer
+# --------------------------------------------------------------------------- blocks
+def ball_blocks(points: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
+    """(bid, m, d, ids, w, x, c, r) from distinct (id, n, x) points: blocks
+    with ids, weights and coordinates (one row after another), centre and
+    radius. ``points`` should be a written table; the result is one."""
+    import pyarrow as pa
+
+    cells = points.withColumn("cell", F.lit(0).cast("long"))
+
+    def split(key, p, q):
+        if not p.num_rows or not q.num_rows:
+            return pa.schema([("id", pa.int64()), ("n", pa.float64()), ("x", pa.list_(pa.float64())), ("cell", pa.int64())]).empty_table()
+        near = np.concatenate([d.argmin(1) for _, d in distances(matrix(p), matrix(q), squared=True)])
+        child = column(p, "cell") * PIVOTS + column(q, "k")[near]
+        return pa.table({"id": p.column("id"), "n": p.column("n"), "x": p.column("x").cast(pa.list_(pa.float64())), "cell": pa.array(child, pa.int64())})
+
+    for _ in range(ROUNDS):
+        big = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > rows).checkpoint(eager=True)
+        if big.isEmpty():
+            break
+        order = Window.partitionBy("cell").orderBy(F.xxhash64("id"), "id")
+        pivots = cells.join(big, "cell").withColumn("k", F.row_number().over(order)).where((F.col("k") <= PIVOTS) & (F.col("k") <= F.ceil(2 * F.col("m") / rows)))
+        moved = meet(cells.join(big.select("cell"), "cell", "left_semi"), pivots.select("cell", "id", "x", "k"), ["cell"], F.col("id"), F.col("id"), split, "id long, n double, x array<double>, cell long", 8192)
+        cells = cells.join(big.select("cell"), "cell", "left_anti").select("id", "n", "x", "cell").unionByName(moved).checkpoint(eager=True)
+    sizes = cells.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / (2 * rows)).cast("int").alias("parts"))
+    dealt = cells.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+
+    def block(t):
+        x = matrix(t)
+        c = x.mean(0)
+        flat = lambda v: pa.array([v])
+        return pa.table({
+            "cell": t.column("cell")[:1], "part": t.column("part")[:1], "m": pa.array([len(x)], pa.int32()), "d": pa.array([x.shape[1]], pa.int32()), "ids": flat(column(t, "id")),
+            "w": flat(column(t, "n")), "x": flat(x.ravel()), "c": flat(c), "r": pa.array([float(np.sqrt(((x - c) ** 2).sum(1)).max()) * (1 + SLACK)]),
+        })
+
+    schema = "cell long, part int, m int, d int, ids array<long>, w array<double>, x array<double>, c array<double>, r double"
+    made = dealt.groupBy("cell", "part").applyInArrow(block, schema)
+    placed = made.repartitionByRange("cell", "part").sortWithinPartitions("cell", "part")
+    return placed.withColumn("bid", F.monotonically_increasing_id()).drop("cell", "part").checkpoint(eager=True)
+
+
+def near_blocks(blocks: DataFrame, reach: Column, wanted: Column | None = None) -> DataFrame:
+    """(i, j) with i <= j: blocks whose points may lie within the larger of
+    their ``reach``. With ``wanted``, only pairs of which a block is wanted."""
+    import pyarrow as pa
+
+    stats = blocks.select("bid", F.col("c").alias("x"), "r", reach.cast("double").alias("reach"), (F.lit(True) if wanted is None else wanted).alias("wanted"))
+    n = blocks.count()
+
+    def fn(key, p, q):
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        if p.num_rows and q.num_rows:
+            a, b, ra, rb = column(p, "bid"), column(q, "bid"), column(p, "r"), column(q, "r")
+            ea, eb = column(p, "reach"), column(q, "reach")
+            wa, wb = (t.column("wanted").to_numpy() for t in (p, q))
+            for lo, d in distances(matrix(p), matrix(q)):
+                part = slice(lo, lo + len(d))
+                near = d * (1 - SLACK) <= ra[part, None] + rb[None, :] + np.maximum(ea[part, None], eb[None, :])
+                i, j = np.nonzero(near & (a[part, None] <= b[None, :]) & (wa[part, None] | wb[None, :]))
+                out.append((a[part][i], b[j]))
+        i, j = (np.concatenate(v) for v in zip(*out))
+        return pa.table({"i": pa.array(i, pa.int64()), "j": pa.array(j, pa.int64())})
+
+    return meet_all(stats, stats, n, n, F.col("bid"), F.col("bid"), fn, "i long, j long")
+
+
+class Block:
+    """A block in a task."""
+
+    def __init__(self, row):
+        self.bid, self.c, self.r = row["bid"], np.asarray(row["c"]), row["r"]
+        self.ids, self.w = np.asarray(row["ids"], np.int64), np.asarray(row["w"], float)
+        self.x = np.asarray(row["x"], float).reshape(row["m"], row["d"])
+        self.row = row
+
+    def near(self, other: Block, reach) -> np.ndarray:
+        """Rows that may have a point of ``other`` within ``reach``."""
+        if other is self:
+            return np.arange(len(self.ids))
+        d = np.sqrt(((self.x - other.c) ** 2).sum(1))
+        return np.flatnonzero(d * (1 - SLACK) <= other.r + reach)
+
+
+def on_pairs(blocks: DataFrame, pairs: DataFrame, columns: list[str], fn, schema: str) -> DataFrame:
+    """``fn(blocks by id, pairs)`` -> Arrow table, for the pairs of two groups
+    of blocks at a time."""
+    told = pairs.withColumn("gi", F.expr(f"i div {GROUP}")).withColumn("gj", F.expr(f"j div {GROUP}"))
+    told = told.checkpoint(eager=True)
+    need = told.select("gi", "gj", F.explode(F.array("i", "j")).alias("bid")).distinct()
+    data = need.join(blocks.select("bid", "m", "d", "ids", "w", "x", "c", "r", *columns), "bid")
+
+    def run(key, t, p):
+        held = {}
+        for k in range(t.num_rows):
+            b = Block({n: (t.column(n)[k].values.to_numpy(zero_copy_only=False) if n in ARRAYS else t.column(n)[k].as_py()) for n in t.column_names})
+            held[b.bid] = b
+        return fn(held, sorted(zip(p.column("i").to_pylist(), p.column("j").to_pylist())))
+
+    return data.groupBy("gi", "gj").cogroup(fresh(told).groupBy("gi", "gj")).applyInArrow(run, schema)
+
+
+ARRAYS = {"ids", "w", "x", "c", "u", "own", "core", "comp"}
+
+
+def with_column(blocks: DataFrame, ddl: str, fn) -> DataFrame:
+    """``blocks`` with further columns, made by ``fn(Block)`` -> values."""
+    import pyarrow as pa
+
+    names = [f.split()[0] for f in ddl.split(", ")]
+
+    def run(batches):
+        for b in batches:
+            for k in range(b.num_rows):
+                one = b.slice(k, 1)
+                block = Block({n: (one.column(n)[0].values.to_numpy(zero_copy_only=False) if n in ARRAYS else one.column(n)[0].as_py()) for n in one.schema.names})
+                yield pa.RecordBatch.from_arrays([*one.columns, *(pa.array([v]) for v in fn(block))], names=[*one.schema.names, *names])
 
-    vec = points.select(array_to_vector("x").alias("v"))
-    mean = vec.select(Summarizer.mean(F.col("v")).alias("m")).first()["m"].toArray()
-    d = len(mean)
-    k = max(1, min(m, d))
-    model = PCA(k=k, inputCol="v", outputCol="p").fit(vec)
-    return model.pc.toArray(), mean
+    return blocks.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in blocks.schema) + ", " + ddl)
 
 
-def _with_cells(points: DataFrame, axes: np.ndarray, mean: np.ndarray, r: float) -> DataFrame:
-    cells = []
-    for j in range(axes.shape[1]):
-        w = F.array(*[F.lit(float(v)) for v in axes[:, j]])
-        mu = F.array(*[F.lit(float(v)) for v in mean])
-        proj = F.aggregate(
-            F.zip_with(F.zip_with(F.col("x"), mu, lambda a, b: a - b), w, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v
-        )
-        cells.append(F.floor(proj / F.lit(float(r))).cast("long"))
-    return points.withColumn("cell", F.array(*cells))
+# --------------------------------------------------------------------------- k-distance
+def _least(d: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k least distances of each row, ascending, with their weights."""
+    at = np.argpartition(d, min(k, d.shape[1]) - 1, axis=1)[:, :k] if d.shape[1] > k else np.tile(np.arange(d.shape[1]), (len(d), 1))
+    by = np.take_along_axis(d, at, 1).argsort(1, kind="stable")
+    at = np.take_along_axis(at, by, 1)
+    return np.take_along_axis(d, at, 1), np.take_along_axis(np.broadcast_to(w, d.shape), at, 1)
 
 
-def _offsets(m: int) -> list[list[int]]:
-    return [list(o) for o in itertools.product((-1, 0, 1), repeat=m)]
+def _kth(d: np.ndarray, w: np.ndarray, k: int) -> np.ndarray:
+    """The distance at which k points are reached; infinite if they are not."""
+    reached = np.cumsum(w, 1) >= k
+    return np.where(reached.any(1), d[np.arange(len(d)), reached.argmax(1)], np.inf)
 
 
-# --------------------------------------------------------------------------- blocks
-def _blocks(homes: DataFrame, probes: DataFrame, m: int, block_rows: int):
-    """Key homes and probes by (cell, home salt, probe salt). Salt counts
-    come from per-cell counts; only cells that need splitting are listed
-    (≤ 3^m · n / block_rows rows). That list grows with the data, so its
-    join is left to Spark's size-checked strategy (broadcast only when the
-    list is small)."""
-    hc = homes.groupBy("cell").agg(F.count(F.lit(1)).alias("nh"))
-    pc = (
-        probes.select(F.explode(F.transform(F.array(*[F.array(*[F.lit(v) for v in o]) for o in _offsets(m)]),
-                                            lambda o: F.zip_with(F.col("cell"), o, lambda a, b: a + b))).alias("cell"))
-        .groupBy("cell")
-        .agg(F.count(F.lit(1)).alias("np"))
-    )
-    salts = (
-        hc.join(pc, "cell", "full")
-        .select(
-            "cell",
-            F.greatest(F.lit(1), F.ceil(F.coalesce(F.col("nh"), F.lit(0)) / F.lit(block_rows))).cast("int").alias("sh"),
-            F.greatest(F.lit(1), F.ceil(F.coalesce(F.col("np"), F.lit(0)) / F.lit(block_rows))).cast("int").alias("sp"),
-        )
-        .where((F.col("sh") > 1) | (F.col("sp") > 1))
-    )
-    h = (
-        homes.join(salts, "cell", "left")
-        .na.fill(1, ["sh", "sp"])
-        .withColumn("hs", F.pmod(F.xxhash64("pid", F.lit(17)), F.col("sh")).cast("int"))
-        .withColumn("ps", F.explode(F.sequence(F.lit(0), F.col("sp") - 1)))
-        .select("cell", "hs", "ps", "pid", "x", *[c for c in homes.columns if c not in ("cell", "pid", "x")])
-    )
-    offs = F.array(*[F.array(*[F.lit(v) for v in o]) for o in _offsets(m)])
-    p0 = probes.withColumn("cell", F.explode(F.transform(offs, lambda o: F.zip_with(F.col("cell"), o, lambda a, b: a + b))))
-    p = (
-        p0.join(salts, "cell", "left")
-        .na.fill(1, ["sh", "sp"])
-        .withColumn("ps", F.pmod(F.xxhash64("pid", F.lit(29)), F.col("sp")).cast("int"))
-        .withColumn("hs", F.explode(F.sequence(F.lit(0), F.col("sh") - 1)))
-        .select("cell", "hs", "ps", "pid", "x", *[c for c in probes.columns if c not in ("cell", "pid", "x")])
-    )
-    return h, p
-
-
-def _mat(s: pd.Series) -> np.ndarray:
-    if len(s) == 0:
-        return np.zeros((0, 0))
-    return np.vstack([np.asarray(v, dtype=float) for v in s])
-
-
-def _dist_chunks(h: np.ndarray, p: np.ndarray):
-    """Yield (row offset, distance matrix chunk) with bounded memory."""
-    if len(h) == 0 or len(p) == 0:
-        return
-    rows = max(1, _CHUNK_BYTES // max(1, p.shape[0] * p.shape[1] * 8))
-    for i in range(0, len(h), rows):
-        diff = h[i:i + rows, None, :] - p[None, :, :]
-        yield i, np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
-
-
-def _count_fn(radii: list[float]):
-    """Neighbours within each radius (self included) per home point."""
-    rr = np.asarray(radii, dtype=float)
-
-    def fn(home: pd.DataFrame, probe: pd.DataFrame) -> pd.DataFrame:
-        if home.empty:
-            return pd.DataFrame({"pid": pd.Series([], dtype="int64"), "e": pd.Series([], dtype="int32"),
-                                 "cnt": pd.Series([], dtype="int64")})
-        h, p = _mat(home["x"]), _mat(probe["x"])
-        cnt = np.zeros((len(h), len(rr)), dtype=np.int64)
-        for i, d in _dist_chunks(h, p):
-            cnt[i:i + len(d)] = (d[:, :, None] <= rr[None, None, :]).sum(axis=1)
-        ids = home["pid"].astype("int64").values
-        return pd.DataFrame({
-            "pid": np.repeat(ids, len(rr)),
-            "e": np.tile(np.arange(len(rr), dtype=np.int32), len(ids)),
-            "cnt": cnt.reshape(-1),
-        })
-
-    return fn
-
-
-def _knn_fn(k: int):
-    def fn(home: pd.DataFrame, probe: pd.DataFrame) -> pd.DataFrame:
-        if home.empty:
-            return pd.DataFrame({"pid": pd.Series([], dtype="int64"), "d": pd.Series([], dtype=object)})
-        h, p = _mat(home["x"]), _mat(probe["x"])
-        out = [[] for _ in range(len(h))]
-        for i, d in _dist_chunks(h, p):
-            kk = min(k, d.shape[1])
-            part = np.partition(d, kk - 1, axis=1)[:, :kk] if kk > 0 else np.zeros((len(d), 0))
-            for j in range(len(d)):
-                out[i + j] = np.sort(part[j]).tolist()
-        return pd.DataFrame({"pid": home["pid"].astype("int64").values, "d": out})
-
-    return fn
-
+def kth_neighbor_distance(points: DataFrame, k: int = 5, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(pid, kd): exact distance from every (pid, x) point to its k-th nearest
+    point, counting the point itself (scikit-learn ``kneighbors`` on the
+    fitted data)."""
+    import pyarrow as pa
 
-def _components_np(n: int, ea: np.ndarray, eb: np.ndarray) -> np.ndarray:
-    """Min-index label of each of n nodes over undirected edges (NumPy label
-    propagation with pointer jumping; a block holds ≤ ~2·block_rows nodes)."""
-    lab = np.arange(n)
-    if len(ea) == 0:
-        return lab
-    while True:
-        old = lab.copy()
-        m = np.minimum(lab[ea], lab[eb])
-        np.minimum.at(lab, ea, m)
-        np.minimum.at(lab, eb, m)
-        lab = lab[lab]  # pointer jumping
-        if np.array_equal(lab, old):
-            return lab
-
-
-def _link_fn(radii: list[float]):
-    """Per radius index e: the block's core–core components as stars and
-    each non-core home point's nearest core within the radius."""
-    rr = list(map(float, radii))
-    empty = {"e": pd.Series([], dtype="int32"), "a": pd.Series([], dtype="int64"), "b": pd.Series([], dtype="int64"),
-             "kind": pd.Series([], dtype="int32"), "dist": pd.Series([], dtype="float64")}
-
-    def fn(home: pd.DataFrame, probe: pd.DataFrame) -> pd.DataFrame:
-        if home.empty or probe.empty:
-            return pd.DataFrame(empty)
-        h, p = _mat(home["x"]), _mat(probe["x"])
-        hid, pid = home["pid"].astype("int64").values, probe["pid"].astype("int64").values
-        hcore_all = np.vstack([np.asarray(v, dtype=bool) for v in home["core"]])
-        pcore_all = np.vstack([np.asarray(v, dtype=bool) for v in probe["core"]])
-        chunks = list(_dist_chunks(h, p))
-        out = []
-        big = np.iinfo(np.int64).max
-        for e, eps in enumerate(rr):
-            hcore, pcore = hcore_all[:, e], pcore_all[:, e]
-            ids = np.unique(np.concatenate([hid[hcore], pid[pcore]]))
-            hix, pix = np.searchsorted(ids, hid), np.searchsorted(ids, pid)
-            ea, eb, b_a, b_b, b_d = [], [], [], [], []
-            for i, d in chunks:
-                near = d <= eps
-                rows = slice(i, i + len(d))
-                r, c = np.nonzero(near & hcore[rows, None] & pcore[None, :])
-                ea.append(hix[rows][r])
-                eb.append(pix[c])
-                nc = ~hcore[rows]
-                if nc.any():
-                    masked = np.where(near & pcore[None, :] & nc[:, None], d, np.inf)
-                    best = masked.min(axis=1)
-                    has = np.isfinite(best)
-                    pick = np.where(masked == best[:, None], pid[None, :], big).min(axis=1)
-                    b_a.append(hid[rows][has])
-                    b_b.append(pick[has])
-                    b_d.append(best[has])
-            a_all = np.concatenate(ea) if ea else np.zeros(0, dtype=np.int64)
-            b_all = np.concatenate(eb) if eb else np.zeros(0, dtype=np.int64)
-            lab = _components_np(len(ids), a_all, b_all)
-            members = np.nonzero(lab != np.arange(len(ids)))[0]
-            ba = np.concatenate(b_a) if b_a else np.zeros(0, dtype=np.int64)
-            bb = np.concatenate(b_b) if b_b else np.zeros(0, dtype=np.int64)
-            bd = np.concatenate(b_d) if b_d else np.zeros(0, dtype=np.float64)
-            out.append(pd.DataFrame({
-                "e": np.full(len(members) + len(ba), e, dtype="int32"),
-                "a": np.concatenate([ids[members], ba]).astype("int64"),
-                "b": np.concatenate([ids[lab[members]], bb]).astype("int64"),
-                "kind": np.concatenate([np.zeros(len(members), dtype="int32"), np.ones(len(ba), dtype="int32")]),
-                "dist": np.concatenate([np.zeros(len(members)), bd]).astype("float64"),
-            }))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame(empty)
-
-    return fn
-
-
-def _fresh(df: DataFrame) -> DataFrame:
-    """New attribute ids, so a frame can meet itself in a join / cogroup."""
-    return df.select(*[F.col(c).alias(c) for c in df.columns])
-
-
-def _run_blocks(homes: DataFrame, probes: DataFrame, m: int, block_rows: int, fn, schema: str) -> DataFrame:
-    h, p = _blocks(_fresh(homes), _fresh(probes), m, block_rows)
-    return h.groupBy("cell", "hs", "ps").cogroup(p.groupBy("cell", "hs", "ps")).applyInPandas(fn, schema)
-
-
-# --------------------------------------------------------------------------- k-distance
-def kth_neighbor_distance(points: DataFrame, k: int = 5, m: int = 3, block_rows: int = BLOCK_ROWS, r0: float | None = None) -> DataFrame:
-    """Exact distance from every point to its k-th nearest point, counting
-    the point itself (scikit-learn ``kneighbors`` on the fitted data).
-    Radius doubling: a point is settled once its k-th distance ≤ r."""
     ensure_checkpoint_dir(points.sparkSession)
-    axes, mean = projection_axes(points, m)
-    m = axes.shape[1]
     n = points.count()
     if n < k:
         raise ValueError(f"need at least {k} points, got {n}")
-    if r0 is None:
-        r0 = _start_radius(points, k)
-    r = r0
-    pending = points
-    done = []
-    while True:  # every doubling settles more points; a radius beyond the data's extent settles all
-        if not np.isfinite(r):
-            raise ArithmeticError("k-distance: points with non-finite coordinates cannot be settled")
-        cells = _with_cells(points, axes, mean, r)
-        homes = _with_cells(pending, axes, mean, r)
-        part = _run_blocks(homes.select("cell", "pid", "x"), cells.select("cell", "pid", "x"), m, block_rows,
-                           _knn_fn(k), "pid long, d array<double>")
-        # two steps of at most k values a row each: a point that meets many blocks is merged by parts
-        part = part.withColumn("s", F.pmod(F.monotonically_increasing_id(), F.lit(16)))
-        smallest = F.slice(F.array_sort(F.flatten(F.collect_list("d"))), 1, k).alias("d")
-        merged = part.groupBy("pid", "s").agg(smallest).groupBy("pid").agg(smallest)
-        merged = merged.withColumn("kd", F.try_element_at("d", F.lit(k))).checkpoint(eager=True)
-        settled = merged.where(F.col("kd") <= F.lit(r)).select("pid", "kd")
-        done.append(settled)
-        pending = pending.join(settled.select("pid"), "pid", "left_anti").checkpoint(eager=True)
-        if pending.isEmpty():
-            break
-        r *= 2.0
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
-
-
-def _sample_upper_bounds(points: DataFrame, k: int, sample_size: int) -> DataFrame:
-    """u(x) = k-th smallest of {0} ∪ dist(x, S∖{x}) for a hash sample S of
-    fixed size (broadcast, ≤ sample_size × d values). Since {x} ∪ S is a
-    subset of all points, u(x) ≥ the true k-th neighbour distance."""
-    n = points.count()
-    frac = min(1.0, sample_size / max(1, n))
-    sample = points.where(F.pmod(F.xxhash64("pid", F.lit(7)), F.lit(1_000_000)) < F.lit(int(frac * 1_000_000)))
-    rows = sample.collect()  # about sample_size rows, by hash
-    sid = np.array([r["pid"] for r in rows], dtype=np.int64)
-    sx = np.array([r["x"] for r in rows], dtype=float) if rows else np.zeros((0, 0))
-    bsx = points.sparkSession.sparkContext.broadcast((sid, sx))
-
-    def fn(batches):
-        ids, xs = bsx.value
-        for b in batches:
-            if b.empty:
-                continue
-            h = _mat(b["x"])
-            out = np.full(len(h), np.inf)
-            if len(xs):
-                for i, d in _dist_chunks(h, xs):
-                    d = np.where(ids[None, :] == b["pid"].values[i:i + len(d), None], np.inf, d)
-                    kk = min(k - 1, d.shape[1])
-                    if kk > 0:
-                        out[i:i + len(d)] = np.partition(d, kk - 1, axis=1)[:, kk - 1]
-            yield pd.DataFrame({"pid": b["pid"].astype("int64").values, "u": out})
-
-    return points.select("pid", "x").mapInPandas(fn, "pid long, u double")
-
-
-def _start_radius(points: DataFrame, k: int, sample_size: int = 2048) -> float:
-    """Starting radius: median of the sample upper bounds (a heuristic only;
-    exactness never depends on it)."""
-    u = _sample_upper_bounds(points, k, sample_size).where(F.col("u") < F.lit(float("inf")))
-    med = u.agg(F.percentile_approx("u", 0.5, 1000)).first()[0]
-    return float(med) if med and med > 0 else 1.0
+    singles = distinct_points(points).checkpoint(eager=True)
+
+    def bound(b: Block):
+        u = np.concatenate([_kth(*_least(d, b.w, k), k) for _, d in distances(b.x, b.x)]) * (1 + SLACK)
+        return u, float(u.max())
+
+    blocks = with_column(ball_blocks(singles, block_rows), "u array<double>, reach double", bound).checkpoint(eager=True)
+
+    def fn(held, pairs):
+        best: dict[int, list] = {}
+        for i, j in pairs:
+            for a, b in ((held[i], held[j]), (held[j], held[i]))[: 1 if i == j else 2]:
+                rows = a.near(b, a.row["u"])
+                if not len(rows):
+                    continue
+                if a.bid not in best:
+                    best[a.bid] = [np.full((len(a.ids), k), np.inf), np.ones((len(a.ids), k))]
+                have, weight = best[a.bid]
+                for lo, d in distances(a.x[rows], b.x):
+                    at = rows[lo : lo + len(d)]
+                    near = _least(d, b.w, k)
+                    dd, ww = np.c_[have[at], near[0]], np.c_[weight[at], near[1]]
+                    by = dd.argsort(1, kind="stable")[:, :k]
+                    have[at], weight[at] = np.take_along_axis(dd, by, 1), np.take_along_axis(ww, by, 1)
+        ids, dist, weights = [], [], []
+        for bid, (have, weight) in best.items():
+            some = np.flatnonzero(np.isfinite(have[:, 0]))
+            ids.append(held[bid].ids[some])
+            dist += have[some].tolist()
+            weights += weight[some].tolist()
+        return pa.table({"id": pa.array(np.concatenate([*ids, np.empty(0, np.int64)])), "d": pa.array(dist, pa.list_(pa.float64())), "w": pa.array(weights, pa.list_(pa.float64()))})
+
+    parts = on_pairs(blocks, near_blocks(blocks, F.col("reach")), ["u"], fn, "id long, d array<double>, w array<double>")
+    # two steps of at most k values a row each: a point that meets many groups is merged by parts
+    parts = parts.select("id", F.pmod(F.monotonically_increasing_id(), F.lit(16)).alias("s"), F.arrays_zip("d", "w").alias("v"))
+    least = F.slice(F.array_sort(F.flatten(F.collect_list("v"))), 1, k).alias("v")
+    merged = parts.groupBy("id", "s").agg(least).groupBy("id").agg(least)
+    step = lambda acc, e: F.when(acc["n"] >= k, acc).otherwise(F.struct((acc["n"] + e["w"]).alias("n"), e["d"].alias("d")))
+    kd = F.aggregate("v", F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("d")), step)["d"]
+    return of_copies(points, singles, merged.select("id", kd.alias("kd"))).select("pid", "kd").checkpoint(eager=True)
+
+
+def of_copies(points: DataFrame, singles: DataFrame, found: DataFrame) -> DataFrame:
+    """The columns found for distinct points, for every point."""
+    x = F.transform("x", lambda v: v + F.lit(0.0))
+    named = singles.select("id", F.col("x").alias("_x")).join(found, "id")
+    return points.select("pid", x.alias("x")).join(named, F.col("x") == F.col("_x")).drop("x", "_x")
 
 
 def eps_candidates(kdist: DataFrame, percentiles=(70, 75, 80, 85, 90, 92, 95)) -> list[float]:
@@ -348,6 +257,22 @@ class DbscanResult:
     n_noise: int
 
 
+def _components_np(n: int, ea: np.ndarray, eb: np.ndarray) -> np.ndarray:
+    """Min-index label of each of n nodes over undirected edges (NumPy label
+    propagation with pointer jumping; a block holds ≤ ~2·block_rows nodes)."""
+    lab = np.arange(n)
+    if len(ea) == 0:
+        return lab
+    while True:
+        old = lab.copy()
+        m = np.minimum(lab[ea], lab[eb])
+        np.minimum.at(lab, ea, m)
+        np.minimum.at(lab, eb, m)
+        lab = lab[lab]  # pointer jumping
+        if np.array_equal(lab, old):
+            return lab
+
+
 def _components(edges: DataFrame, vertices: DataFrame, key: list[str], salts: int = 16) -> DataFrame:
     """``key`` columns + comp: the smallest vertex of the component, by label
     propagation with pointer jumping until nothing changes. ``vertices`` has
@@ -371,38 +296,121 @@ def _components(edges: DataFrame, vertices: DataFrame, key: list[str], salts: in
         labels = new
 
 
-def dbscan_sweep(points: DataFrame, eps_list: list[float], min_samples: int = 5, m: int = 3,
-                 block_rows: int = BLOCK_ROWS, axes=None) -> list[DbscanResult]:
-    """Exact DBSCAN for several ε at once: the grid uses the largest ε, so one
-    count pass and one link pass serve every ε, and one label propagation
-    runs over (ε, point) keys. Noise −1; clusters numbered 0.. per ε by
-    their smallest core id."""
+def _counts(d: np.ndarray, w: np.ndarray, eps: np.ndarray) -> np.ndarray:
+    """Weight within each ε (ascending) of each row."""
+    return np.stack([(w * (d <= e)).sum(1) for e in eps], 1)
+
+
+def dbscan_sweep(points: DataFrame, eps_list: list[float], min_samples: int = 5, block_rows: int = BLOCK_ROWS) -> list[DbscanResult]:
+    """Exact DBSCAN of (pid, x) points for several ε at once: the largest
+    decides which blocks meet, one count pass and one link pass serve every ε,
+    and one label propagation runs over (ε, point) keys. Noise −1; clusters
+    numbered 0.. per ε by their smallest core id."""
+    import pyarrow as pa
+
     from .ranking import OrderIndex
 
-    eps_list = [float(e) for e in eps_list]
     if not eps_list:
         return []
-    spark = points.sparkSession
-    ensure_checkpoint_dir(spark)
-    if axes is None:
-        axes = projection_axes(points, m)
-    ax, mean = axes
-    m = ax.shape[1]
-    ne = len(eps_list)
-    cells = _with_cells(points, ax, mean, max(eps_list)).select("cell", "pid", "x")
-    counts = _run_blocks(cells, cells, m, block_rows, _count_fn(eps_list), "pid long, e int, cnt long")
-    core = (
-        counts.groupBy("pid", "e").agg(F.sum("cnt").alias("cnt"))
-        .groupBy("pid")
-        .agg(F.sort_array(F.collect_list(F.struct("e", (F.col("cnt") >= min_samples).alias("c")))).alias("cs"))
-        .select("pid", F.transform("cs", lambda s_: s_["c"]).alias("core"))
-    )  # ne flags per point
-    flagged = cells.join(core, "pid").checkpoint(eager=True)
-    links = _run_blocks(flagged, flagged, m, block_rows, _link_fn(eps_list), "e int, a long, b long, kind int, dist double")
-    links = links.checkpoint(eager=True)
+    ensure_checkpoint_dir(points.sparkSession)
+    asked = [float(e) for e in eps_list]
+    eps = np.array(sorted(set(asked)))
+    ne, top = len(eps), float(eps[-1])
+    singles = distinct_points(points).checkpoint(eager=True)
 
+    def count_own(b: Block):
+        own = np.concatenate([_counts(d, b.w, eps) for _, d in distances(b.x, b.x)])
+        return own.ravel(), bool((own[:, 0] < min_samples).any())
+
+    blocks = with_column(ball_blocks(singles, block_rows), "own array<double>, open boolean", count_own).checkpoint(eager=True)
+
+    def count(held, pairs):
+        found = {bid: b.row["own"].reshape(-1, ne).copy() for bid, b in held.items()}
+        for i, j in pairs:
+            if i == j:
+                continue
+            for a, b in ((held[i], held[j]), (held[j], held[i])):
+                if not a.row["open"]:
+                    continue
+                rows = a.near(b, top)
+                rows = rows[found[a.bid][rows, 0] < min_samples]
+                for lo, d in distances(a.x[rows], b.x):
+                    found[a.bid][rows[lo : lo + len(d)]] += _counts(d, b.w, eps)
+        out = []
+        for bid, b in held.items():
+            more = found[bid] - b.row["own"].reshape(-1, ne)
+            some = np.flatnonzero(more[:, -1] > 0)
+            out.append((np.full(len(some), bid), some, more[some]))
+        bid, at, more = (np.concatenate(v) for v in zip(*out))
+        return pa.table({"bid": pa.array(bid, pa.int64()), "at": pa.array(at, pa.int32()), "n": pa.array(more.tolist(), pa.list_(pa.float64()))})
+
+    reach = F.lit(top)
+    parts = on_pairs(blocks, near_blocks(blocks, reach, F.col("open")).where("i < j"), ["own", "open"], count, "bid long, at int, n array<double>")
+    more = parts.groupBy("bid", "at").agg(*[F.sum(F.col("n")[e]).alias(f"n{e}") for e in range(ne)])
+    more = more.groupBy("bid").agg(F.collect_list(F.struct("at", F.array(*[f"n{e}" for e in range(ne)]).alias("n"))).alias("more"))  # at most a block's rows
+
+    def flag(b: Block):
+        own = b.row["own"].reshape(-1, ne).copy()
+        for m in b.row["more"] or []:
+            own[m["at"]] += m["n"]
+        core = own >= min_samples
+        comp = np.full(core.shape, -1, np.int64)
+        for e in range(ne):
+            at = np.flatnonzero(core[:, e])
+            ea, eb = [], []
+            for lo, d in distances(b.x[at], b.x[at]):
+                r, c = np.nonzero(d <= eps[e])
+                keep = lo + r < c
+                ea.append(lo + r[keep])
+                eb.append(c[keep])
+            none = np.empty(0, np.int64)
+            comp[at, e] = at[_components_np(len(at), np.concatenate([*ea, none]), np.concatenate([*eb, none]))]
+        return core.ravel(), comp.ravel()
+
+    flagged = with_column(blocks.join(more, "bid", "left"), "core array<boolean>, comp array<long>", flag).drop("own", "more", "open").checkpoint(eager=True)
+
+    def link(held, pairs):
+        rows: list[tuple] = []
+
+        def take(e, a, b, kind, dist):
+            rows.append((np.full(len(a), e, np.int32), a, b, np.full(len(a), kind, np.int32), dist))
+
+        for i, j in pairs:
+            a, b = held[i], held[j]
+            core_a, core_b = a.row["core"].reshape(-1, ne), b.row["core"].reshape(-1, ne)
+            comp_a, comp_b = a.row["comp"].reshape(-1, ne), b.row["comp"].reshape(-1, ne)
+            near_a, near_b = a.near(b, top), b.near(a, top)
+            linked: list[set] = [set() for _ in range(ne)]
+            if i == j:  # the block's own components, as stars
+                for e in range(ne):
+                    at = np.flatnonzero((comp_a[:, e] >= 0) & (comp_a[:, e] != np.arange(len(a.ids))))
+                    take(e, a.ids[at], a.ids[comp_a[at, e]], 0, np.zeros(len(at)))
+            else:
+                for e in range(ne):
+                    sa, sb = near_a[core_a[near_a, e]], near_b[core_b[near_b, e]]
+                    most = len(np.unique(comp_a[sa, e])) * len(np.unique(comp_b[sb, e]))
+                    for lo, d in distances(a.x[sa], b.x[sb]):
+                        if len(linked[e]) == most:
+                            break
+                        r, c = np.nonzero(d <= eps[e])
+                        linked[e].update(zip(comp_a[sa[lo + r], e].tolist(), comp_b[sb[c], e].tolist()))
+                    found = np.array(sorted(linked[e]), np.int64).reshape(-1, 2)
+                    take(e, a.ids[found[:, 0]], b.ids[found[:, 1]], 0, np.zeros(len(found)))
+            for p, q, near_p, near_q, core_p, core_q in ((a, b, near_a, near_b, core_a, core_b), (b, a, near_b, near_a, core_b, core_a))[: 1 if i == j else 2]:
+                for e in range(ne):
+                    sp, sq = near_p[~core_p[near_p, e]], near_q[core_q[near_q, e]]
+                    for lo, d in distances(p.x[sp], q.x[sq]):
+                        least = d.min(1)
+                        has = np.flatnonzero(least <= eps[e])
+                        pick = np.where(d[has] == least[has, None], q.ids[sq][None, :], np.iinfo(np.int64).max).min(1) if len(has) else np.empty(0, np.int64)
+                        take(e, p.ids[sp[lo + has]], pick, 1, least[has])
+        cols = [np.concatenate(v) for v in zip(*rows)] if rows else [np.empty(0, t) for t in (np.int32, np.int64, np.int64, np.int32, float)]
+        return pa.table(dict(zip(("e", "a", "b", "kind", "dist"), map(pa.array, cols))))
+
+    links = on_pairs(flagged, near_blocks(flagged, reach), ["core", "comp"], link, "e int, a long, b long, kind int, dist double").checkpoint(eager=True)
     edges = links.where(F.col("kind") == 0).select("e", "a", "b")
-    cores = flagged.select("pid", F.posexplode("core").alias("e", "c")).where("c").select("e", "pid")
+    each = flagged.select("ids", "core", F.posexplode("ids").alias("_k", "id")).select("id", F.slice("core", F.col("_k") * ne + 1, F.lit(ne)).alias("core"))
+    cores = each.select(F.col("id").alias("pid"), F.posexplode("core").alias("e", "c")).where("c").select("e", "pid")
     comp = _components(edges, cores, ["e", "pid"])
     reps = comp.select("e", "comp").distinct().withColumn("g", F.col("e").cast("string"))
     numbered = OrderIndex(reps, ["comp"], group_col="g").with_position("cluster").select(
@@ -416,10 +424,10 @@ def dbscan_sweep(points: DataFrame, eps_list: list[float], min_samples: int = 5,
         .join(core_lab.select("e", F.col("pid").alias("core_pid"), "cluster"), ["e", "core_pid"])
         .select("e", F.col("a").alias("pid"), "cluster")
     )
-    lab = core_lab.unionByName(border)
-    grid = points.select("pid", F.explode(F.sequence(F.lit(0), F.lit(ne - 1))).alias("e"))
+    lab = core_lab.unionByName(border).select("e", F.col("pid").alias("id"), "cluster")
+    grid = of_copies(points, singles, singles.select("id")).withColumn("e", F.explode(F.sequence(F.lit(0), F.lit(ne - 1))))
     labels = (
-        grid.join(lab, ["e", "pid"], "left")
+        grid.join(lab, ["e", "id"], "left")
         .select("e", "pid", F.coalesce("cluster", F.lit(-1)).cast("long").alias("dbscan_label"))
         .checkpoint(eager=True)
     )
@@ -430,13 +438,13 @@ def dbscan_sweep(points: DataFrame, eps_list: list[float], min_samples: int = 5,
             F.count_if(F.col("dbscan_label") < 0).alias("noise"),
         ).collect()
     }  # ne rows
+    number = {e: k for k, e in enumerate(eps.tolist())}
     return [
-        DbscanResult(eps_list[e], labels.where(F.col("e") == e).drop("e"), int(stats[e]["k"]), int(stats[e]["noise"]))
-        for e in range(ne)
+        DbscanResult(e, labels.where(F.col("e") == number[e]).drop("e"), int(stats[number[e]]["k"]), int(stats[number[e]]["noise"]))
+        for e in asked
     ]
 
 
-def dbscan(points: DataFrame, eps: float, min_samples: int = 5, m: int = 3, block_rows: int = BLOCK_ROWS,
-           axes=None) -> DbscanResult:
+def dbscan(points: DataFrame, eps: float, min_samples: int = 5, block_rows: int = BLOCK_ROWS) -> DbscanResult:
     """Exact DBSCAN on (pid, x) for one ε. Noise −1."""
-    return dbscan_sweep(points, [eps], min_samples, m, block_rows, axes)[0]
+    return dbscan_sweep(points, [eps], min_samples, block_rows)[0]

@@ -18,7 +18,7 @@ ROWS = 4096
 CELLS = 1 << 22
 
 
-def _fresh(df: DataFrame) -> DataFrame:
+def fresh(df: DataFrame) -> DataFrame:
     """New attribute ids, so a frame can meet itself in a join."""
     return df.select(*[F.col(c).alias(c) for c in df.columns])
 
@@ -31,9 +31,9 @@ def meet(left: DataFrame, right: DataFrame, key: list[str], left_id: Column, rig
     """``fn(key, left table, right table)`` (Arrow) of every pair of blocks
     with an equal key; keys that one side lacks give nothing. The ids must be
     the same whenever a row is computed: they deal it to its block."""
-    left, right = _fresh(left), _fresh(right)
+    left, right = fresh(left), fresh(right)
     sizes = block_counts(left, key, "_nl", rows).join(block_counts(right, key, "_nr", rows), key)
-    sizes_l, sizes_r = _fresh(sizes), _fresh(sizes)
+    sizes_l, sizes_r = fresh(sizes), fresh(sizes)
     to = lambda ident, n: F.pmod(F.xxhash64(ident), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     ll = left.withColumn("_i", left_id).join(sizes_l, key).withColumn("_l", to(F.col("_i"), "_nl")).withColumn("_r", every("_nr")).drop("_i", "_nl", "_nr")
@@ -47,11 +47,18 @@ def meet_all(left: DataFrame, right: DataFrame, n_left: int, n_right: int, left_
     a, b = max(1, -(-n_left // rows)), max(1, -(-n_right // rows))
     to = lambda ident, n: F.pmod(F.xxhash64(ident), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    ll = _fresh(left).withColumn("_i", left_id).withColumn("_l", to(F.col("_i"), a)).withColumn("_r", every(b)).drop("_i")
-    rr = _fresh(right).withColumn("_i", right_id).withColumn("_r", to(F.col("_i"), b)).withColumn("_l", every(a)).drop("_i")
+    ll = fresh(left).withColumn("_i", left_id).withColumn("_l", to(F.col("_i"), a)).withColumn("_r", every(b)).drop("_i")
+    rr = fresh(right).withColumn("_i", right_id).withColumn("_r", to(F.col("_i"), b)).withColumn("_l", every(a)).drop("_i")
     return ll.groupBy("_l", "_r").cogroup(rr.groupBy("_l", "_r")).applyInArrow(fn, schema)
 
 
+def distinct_points(points: DataFrame) -> DataFrame:
+    """(id, n, x): equal points as one, named by the smallest pid. Minus zero
+    counts as zero."""
+    x = F.transform("x", lambda v: v + F.lit(0.0))
+    return points.select("pid", x.alias("x")).groupBy("x").agg(F.min("pid").alias("id"), F.count(F.lit(1)).cast("double").alias("n")).select("id", "n", "x")
+
+
 def matrix(table, name: str = "x") -> np.ndarray:
     """The rows of an array<double> Arrow column as a 2-d array."""
     col = table.column(name).combine_chunks()
