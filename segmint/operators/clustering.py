@@ -1,13 +1,12 @@
-"""Clustering: MLlib K-means sweep with restarts, metric-weighted model
-selection, exact Ward clustering, algorithm comparison.
+"""Clustering: K-means sweep with restarts, metric-weighted model selection,
+exact Ward clustering, algorithm comparison.
 
-Results differ numerically from scikit-learn (k-means|| initialisation,
-different random streams); the selection rules are the reference's.
+K-means results differ numerically from scikit-learn (other random streams);
+the selection rules are the reference's.
 """
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
@@ -50,7 +49,7 @@ def score_candidates(frame: DataFrame, weights: dict[str, float], lower_better:
 @dataclass
 class KMeansRun:
     k: int
-    model: object
+    fit: object  # kmeans.Run
     inertia: float
     metrics: ClusterMetrics
     score: float = 0.0
@@ -64,52 +63,38 @@ class SweepResult:
     skipped: list = field(default_factory=list)  # k values with too few rows
 
 
-def _fit(points: DataFrame, features: str, k: int, seed: int):
-    from pyspark.ml.clustering import KMeans
-
-    km = KMeans(k=k, seed=seed, featuresCol=features, predictionCol="_km", maxIter=300, tol=1e-4)
-    model = km.fit(points)
-    return model, float(model.summary.trainingCost)
-
-
 def kmeans_sweep(
     points: DataFrame,
     features: str = "features",
     k_range=KMEANS_K_RANGE,
     restarts: int = KMEANS_RESTARTS,
     seed: int = SEED,
-    parallelism: int = 8,
-    ident: str = "customer_id",
+    ident: str = "pid",
 ) -> SweepResult:
     """Fit K-means for each k (best of ``restarts`` by inertia), score each by
     0.45 silhouette + 0.2 CH + 0.2 DB + 0.15 inertia (min-max normalised,
-    DB and inertia inverted) and keep the first maximum. ``points`` should
-    be materialised and ``ident`` unique; fits for different k run as
-    concurrent Spark jobs."""
-    points = points.persist()  # all fits read one copy; MLlib keeps none of its own then
-    n = points.count()
-    ks = [k for k in k_range if k < n] or [max(1, n - 1)]
-    skipped = [k for k in k_range if k not in ks]
+    DB and inertia inverted) and keep the first maximum. All fits go through
+    the points together (``kmeans.Balls``). ``points`` should be materialised;
+    ``ident`` is a unique integer column."""
+    from pyspark.ml.functions import vector_to_array
 
-    jobs = [(k, r) for k in ks for r in range(restarts)]
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        fits = list(pool.map(lambda kr: (kr[0], _fit(points, features, kr[0], seed + kr[1])), jobs))
-        best_of: dict = {}
-        for k, (model, cost) in fits:  # restarts in seed order: first minimum wins
-            if k not in best_of or cost < best_of[k][1]:
-                best_of[k] = (model, cost)
-
-    labelled = points
-    for k in ks:
-        labelled = best_of[k][0].setPredictionCol(f"_km{k}").transform(labelled)
-    found = metrics_of(labelled, features, {f"_km{k}": f"_km{k}" for k in ks}, ident)
-    runs = [KMeansRun(k, *best_of[k], found[f"_km{k}"]) for k in ks]
+    from .kmeans import Balls
+
+    is_vector = not points.schema[features].dataType.typeName().startswith("array")
+    x = vector_to_array(features) if is_vector else F.col(features).cast("array<double>")
+    balls = Balls(points.select(F.col(ident).cast("long").alias("pid"), x.alias("x")))
+    ks = [k for k in k_range if k < balls.n] or [max(1, balls.n - 1)]
+    skipped = [k for k in k_range if k not in ks]
+    fits = balls.fit(balls.starts([(k, seed + r) for k in ks for r in range(restarts)]))
+    best_of = {k: min((f for f in fits if f.k == k), key=lambda f: f.cost) for k in ks}  # restarts in seed order: first minimum wins
+    labels = balls.labels({f"k_{k}": f for k, f in best_of.items()}).checkpoint(eager=True)
+    found = metrics_of(balls.points.join(labels, "pid"), "x", {f"k_{k}": f"k_{k}" for k in ks}, "pid")
+    runs = [KMeansRun(k, best_of[k], best_of[k].cost, found[f"k_{k}"]) for k in ks]
     for r, sc in zip(runs, selection_scores(points.sparkSession, [(r.k, r.metrics, r.inertia) for r in runs])):
         r.score = sc
     best = max(runs, key=lambda r: r.score)  # first maximum
-    labels = best.model.setPredictionCol("kmeans_label").transform(points).checkpoint(eager=True)
-    points.unpersist()
-    return SweepResult(runs, best, labels, skipped)
+    told = labels.select(F.col("pid").alias("_pid"), F.col(f"k_{best.k}").alias("kmeans_label"))
+    return SweepResult(runs, best, points.join(told, F.col(ident) == F.col("_pid")).drop("_pid"), skipped)
 
 
 def selection_scores(spark, candidates: list[tuple[object, ClusterMetrics, float]]) -> list[float]:

@@ -49,10 +49,10 @@ def assign_clv_tier(df: DataFrame, col: str = "clv_12m", out: str = "clv_tier")
 
 
 def _uniform(key: Column, salt: int) -> Column:
-    """A U(0,1) draw from a 64-bit hash of the key: the same for a row no
-    matter how the data are partitioned or retried."""
-    h = F.xxhash64(key, F.lit(salt))
-    return (F.pmod(h, F.lit(1 << 53)).cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))
+    """A U(0,1) draw from the first 52 bits of md5("key:salt"): the same for a
+    row no matter how the data are partitioned or retried, and in any engine."""
+    bits = F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(salt)))), 1, 13), 16, 10)
+    return (bits.cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
 def clv_target(df: DataFrame, seed: int = SEED, key: str = "customer_id") -> DataFrame:

@@ -7,6 +7,7 @@ customers with rule-fixed labels — so model noise cannot enter a check.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -453,7 +454,8 @@ def chart_projection(spark, sf_dir):
 
 @query
 def preview_head(spark, sf_dir):
-    return _lab(spark, sf_dir).orderBy("ingest_seq").limit(10).select("customer_id", "total_orders", "total_spend", "country")
+    """The first ten rows of the mapped upload, all columns."""
+    return IN.uploaded_file(spark, sf_dir).orderBy("ingest_seq").limit(10)
 
 
 # --------------------------------------------------------------------------- upload path
@@ -615,6 +617,26 @@ def kmeans_sweep(spark, sf_dir):
     return CL.sweep_frame(spark, MD.kmeans(spark, sf_dir))
 
 
+#: K-means with fixed starts: numbers of clusters and steps.
+FIXED_KS, FIXED_STEPS = (2, 3, 5), 3
+
+
+@query
+def kmeans_fixed_steps(spark, sf_dir):
+    """Three steps of K-means on ``embeddings`` for several k at once, from
+    the vectors with the smallest ids as starts: size of every cluster and
+    inertia under the last centres."""
+    from ..operators.kmeans import Balls, Run
+
+    points = base.materialize(DN.embedding_points(spark, sf_dir))
+    first = np.array([r["x"] for r in points.orderBy("pid").limit(max(FIXED_KS)).collect()])
+    balls = Balls(points)
+    runs = balls.fit([Run(k, 0, first[:k].copy()) for k in FIXED_KS], FIXED_STEPS)
+    labels = balls.labels({f"k{r.k}": r for r in runs})
+    each = F.explode(F.array(*[F.struct(F.lit(r.k).alias("k"), F.col(f"k{r.k}").alias("c"), F.lit(r.cost).alias("inertia")) for r in runs]))
+    return labels.select(each.alias("l")).groupBy("l.k", F.col("l.c").alias("cluster"), "l.inertia").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def kmeans_select(spark, sf_dir):
     sw = MD.kmeans(spark, sf_dir)

@@ -32,12 +32,12 @@ def features(spark: SparkSession, sf_dir: str):
 
 
 def kmeans(spark: SparkSession, sf_dir: str, restarts: int = KMEANS_RESTARTS):
-    """K-means sweep: one MLlib fit per (k, restart), run as concurrent jobs
-    over one persisted copy of the features."""
+    """K-means sweep: all (k, restart) fits in one pass over the features a
+    step."""
     k = _k(spark, sf_dir, f"kmeans{restarts}")
     if k not in _CACHE:
         fm, _ = features(spark, sf_dir)
-        _CACHE[k] = CL.kmeans_sweep(fm.select("customer_id", "features"), restarts=restarts)
+        _CACHE[k] = CL.kmeans_sweep(fm.select("customer_id", "ingest_seq", "features"), restarts=restarts, ident="ingest_seq")
     return _CACHE[k]
 
 

@@ -347,7 +347,6 @@ sql("date_shift", on(L, "SELECT customer_id, strftime(last_purchase_date - INTER
 sql("round_bucket", on(L, "SELECT customer_id, CAST(round_even(satisfaction_score, 0) AS INTEGER) AS satisfaction_bucket FROM labelled"))
 sql("chart_projection", on(L, """SELECT customer_id, recency, frequency, monetary, rfm_segment, clv_12m, churn_probability, total_orders, cluster_id
 FROM labelled"""))
-sql("preview_head", on(L, "SELECT customer_id, total_orders, total_spend, country FROM labelled ORDER BY ingest_seq LIMIT 10"))
 
 from .oracle_sql import SNAPSHOT, CUSTOMERS  # noqa: E402
 
@@ -374,6 +373,20 @@ SELECT customer_id, strftime(last_purchase_date, '%Y-%m-%d') AS last_purchase_da
   35 AS age, 'Unknown' AS gender, 'Unknown' AS city, 0 AS referral_count
 FROM e0"""))
 
+sql("preview_head", on(SNAPSHOT, RAW + """
+SELECT CAST(customer_id AS BIGINT) AS customer_id, strftime(last_purchase_date, '%m/%d/%Y') AS last_purchase_date, CAST(total_orders AS BIGINT) AS total_orders,
+  '$' || format('{:,.2f}', CAST(total_spend AS DOUBLE)) AS total_spend, satisfaction_score, country, channel,
+  CAST(support_tickets_raised AS BIGINT) AS support_tickets_raised, CAST(loyalty_points AS BIGINT) AS loyalty_points, ingest_seq
+FROM raw ORDER BY ingest_seq LIMIT 10"""))
+
+
+def draw(salt: int) -> str:
+    return f"((('0x' || substr(md5(customer_id || ':{salt}'), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)"
+
+
+sql("random_split", on(L, f"SELECT {draw(42)} < 0.2 AS is_test, count(*) AS n FROM labelled GROUP BY 1"))
+sql("clv_target", on(SCORED, f"""SELECT customer_id, avg_order_value * total_orders AS historical_clv,
+  avg_order_value * total_orders * (1.05 + 0.12 * sqrt(-2.0 * ln({draw(85)})) * cos(2.0 * pi() * {draw(86)})) AS clv_target FROM scored"""))
 VALIDATION = RAW + """, agg AS (SELECT count(*) AS n,
   count(last_purchase_date) AS nn_date, count(satisfaction_score) AS nn_sat, count(total_spend) AS nn_spend,
   avg(CASE WHEN last_purchase_date IS NULL THEN 1.0 ELSE 0.0 END) AS bad_date,
@@ -471,6 +484,23 @@ sql("silhouette_euclidean", EMB + PLAIN + " SELECT vec_id, label, silhouette FRO
 sql("cluster_metrics_many", EMB.replace("CAST(label AS BIGINT) AS label", "vec_id // 5 AS label") + PLAIN + """
 SELECT (SELECT avg(silhouette) FROM psil) AS silhouette, (SELECT davies_bouldin FROM db) AS davies_bouldin,
   (SELECT calinski_harabasz FROM ch) AS calinski_harabasz, CAST((SELECT count(*) FROM cent) AS INTEGER) AS n_clusters""")
+
+
+def _steps(k: int, steps: int) -> str:
+    """Lloyd's steps from the k vectors of smallest id, as a chain of CTEs."""
+    out = f"""c{k}_0 AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS c, x AS mu FROM e ORDER BY vec_id LIMIT {k})"""
+    for i in range(steps + 1):
+        out += f""", a{k}_{i} AS (SELECT vec_id, x, arg_min(c, d * 1000 + c * 1e-9) AS c, min(d) AS d FROM (
+  SELECT vec_id, x, c, pow(list_distance(x, mu), 2) AS d FROM e JOIN c{k}_{i} ON TRUE) GROUP BY vec_id, x)"""
+        if i < steps:
+            out += f""", c{k}_{i + 1} AS (SELECT c, list(m ORDER BY i) AS mu FROM (
+  SELECT c, i, avg(v) AS m FROM (SELECT c, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM a{k}_{i}) GROUP BY c, i) GROUP BY c)"""
+    return out
+
+
+sql("kmeans_fixed_steps", "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), "
+    + ", ".join(_steps(k, 3) for k in (2, 3, 5)) + " " + " UNION ALL ".join(
+        f"SELECT CAST({k} AS INTEGER) AS k, CAST(c AS INTEGER) AS cluster, (SELECT sum(d) FROM a{k}_3) AS inertia, count(*) AS n FROM a{k}_3 GROUP BY c" for k in (2, 3, 5)))
 sql("count_clusters", "SELECT count(DISTINCT CASE WHEN label >= 0 THEN label END) AS n_clusters FROM embeddings")
 sql("minmax_normalize", on(L, f""", p AS ({CLUSTER_PROFILE})
 SELECT cluster_id,

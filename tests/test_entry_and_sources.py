@@ -134,3 +134,26 @@ def test_multi_date_snapshot_equals_single_snapshots(spark):
         one = sorted(map(tuple, customer_snapshot(t, d).collect()))
         got = sorted(map(tuple, both.where(F.col("as_of") == F.lit(d).cast("timestamp_ntz")).drop("as_of").collect()))
         assert got == one
+
+
+def test_active_table_is_the_users_when_loaded(spark):
+    from segmint.plans import base, ingest
+    from segmint.sources.files import scan_active
+
+    default = base.customers(spark, SF_SMALL)
+    upload = ingest.uploaded_file(spark, SF_SMALL)
+    assert scan_active(None, default) is default
+    assert scan_active(upload, default) is upload
+    assert "Cust ID" not in upload.columns and upload.count() == default.count()
+
+
+def test_own_reports_equal_the_whole_report(spark):
+    from segmint.operators import quality as Q
+    from segmint.plans import ingest
+
+    up = ingest.uploaded_file(spark, SF_SMALL)
+    report = Q.validation_report(up).collect()
+    assert {(r["column"], r["null_count"]) for r in Q.null_summary(up).collect()} == {(r["column"], int(r["value"])) for r in report if r["check"] == "null_count"}
+    assert {(r["column"], r["bad_share"], r["flagged"]) for r in Q.type_issues(up).collect()} == {(r["column"], r["value"], r["status"] == "issue") for r in report if r["check"] == "type_issue"}
+    empty = up.limit(0)
+    assert all(r["null_count"] == 0 for r in Q.null_summary(empty).collect()) and not any(r["flagged"] for r in Q.type_issues(empty).collect())
