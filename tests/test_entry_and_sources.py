@@ -157,3 +157,31 @@ def test_own_reports_equal_the_whole_report(spark):
     assert {(r["column"], r["bad_share"], r["flagged"]) for r in Q.type_issues(up).collect()} == {(r["column"], r["value"], r["status"] == "issue") for r in report if r["check"] == "type_issue"}
     empty = up.limit(0)
     assert all(r["null_count"] == 0 for r in Q.null_summary(empty).collect()) and not any(r["flagged"] for r in Q.type_issues(empty).collect())
+
+
+@pytest.mark.parametrize("size", [7, 40, 1000])
+def test_one_file_read_by_many_tasks_equals_a_plain_parse(spark, tmp_path, request, size):
+    import csv
+    import random
+
+    from segmint.sources.files import scan_csv
+
+    rng = random.Random(size)
+    field = lambda: "".join(rng.choice(["a", "b", '"', ",", "\n", "é", " ", "\r\n", "x" * 9]) for _ in range(rng.randrange(0, 6)))
+    folder = tmp_path / "files"
+    folder.mkdir()
+    expected = []
+    for name in ("a.csv", "b.csv"):
+        rows = [(f"{name}{i}", field(), field()) for i in range(40)]
+        with open(folder / name, "w", newline="", encoding="utf-8") as f:
+            w = csv.writer(f, lineterminator="\n" if name == "a.csv" else "\r\n", quoting=csv.QUOTE_ALL)
+            w.writerow(("id", "one", "two"))
+            w.writerows(rows)
+        expected += rows
+    for key, value in (("spark.sql.files.maxPartitionBytes", str(size)), ("spark.sql.files.openCostInBytes", "1")):
+        old = spark.conf.get(key)
+        request.addfinalizer(lambda key=key, old=old: spark.conf.set(key, old))
+        spark.conf.set(key, value)
+    df = scan_csv(spark, str(folder))
+    got = [(r["id"], r["one"] or "", r["two"] or "") for r in df.orderBy("ingest_seq").collect()]
+    assert got == expected
