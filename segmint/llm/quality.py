@@ -5,6 +5,11 @@ integer share (per mille), counted into a mergeable quantile sketch per
 (language, source), and the sketch gives the group's own fence. Documents
 above a fence of their group are rejected by a join with the fences.
 
+A fence lies where the group's tail ends, judged by its median and an upper
+quantile, plus a tolerance. The tail's length is a weighted mean of the
+group's own, its language's and the corpus's, by the numbers of documents, so
+a small group leans on the wider ones and no size changes the rule.
+
 The sketch is a histogram over the integer shares 0..1000. It is mergeable by
 adding counts (so Spark combines it map-side, and a source holding a third of
 all rows is summed before the shuffle), bounded (1001 bins a statistic) and
@@ -24,16 +29,17 @@ WS = "[\\x20\\x09-\\x0D]"
 WS_CHARS = " \t\n\x0b\x0c\r"
 SYMBOLS = "[#*$%&|<>]"
 
-#: statistic -> (numerator, denominator, slack in per mille above the median)
-SHARES: dict[str, tuple[str, str, int]] = {
-    "symbols": ("n_symbols", "word_chars", 20),
-    "dup_lines": ("n_dup_lines", "n_lines", 350),
-    "repeats": ("n_repeat_words", "n_words", 300),
+#: statistic -> (numerator, denominator, level, tolerance): the quantile that
+#: tells a group's tail, and what a document may lie above it, in per mille.
+SHARES: dict[str, tuple[str, str, float, int]] = {
+    "symbols": ("n_symbols", "word_chars", 0.90, 20),
+    "dup_lines": ("n_dup_lines", "n_lines", 0.95, 250),
+    "repeats": ("n_repeat_words", "n_words", 0.95, 100),
 }
-#: A fence is median + max(slack, SPREAD * (median - lower quartile)).
-SPREAD = 4
-#: Groups with fewer documents than this take the fence of their language.
-MIN_GROUP = 50
+#: A group's tail reaches to median + TAIL * (quantile - median).
+TAIL = 4
+#: Documents that the wider group (language, then all) counts for.
+PRIOR = 200
 
 
 def text_statistics(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
@@ -85,49 +91,62 @@ def shares(stats: DataFrame, prefix: str = "") -> DataFrame:
     """Adds the integer per-mille shares ``pm_<statistic>`` (0 where the
     denominator is 0), all names with ``prefix``."""
     return stats.withColumns({
-        f"{prefix}pm_{k}": F.floor(F.col(prefix + num) * 1000 / F.greatest(F.col(prefix + den), F.lit(1))).cast("int") for k, (num, den, _) in SHARES.items()
+        f"{prefix}pm_{k}": F.floor(F.col(prefix + num) * 1000 / F.greatest(F.col(prefix + den), F.lit(1))).cast("int") for k, (num, den, _, _) in SHARES.items()
     })
 
 
 def sketches(stats: DataFrame, keys: list[str]) -> DataFrame:
     """The mergeable sketch: (keys, statistic, share, n). Null keys form a
-    group of their own."""
+    group of their own. Pass the rows that the base rules leave: the others
+    go in any case and would only widen the tails."""
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("statistic"), F.col(f"pm_{k}").alias("share")) for k in SHARES]))
     return stats.select(*keys, each.alias("e")).groupBy(*keys, "e.statistic", "e.share").agg(F.count(F.lit(1)).alias("n"))
 
 
-def quantiles(sketch: DataFrame, keys: list[str], shares_: dict[str, float]) -> DataFrame:
+def quantiles(sketch: DataFrame, keys: list[str], levels: dict[str, Column]) -> DataFrame:
     """Quantiles of each sketch: the least share whose cumulated count
-    reaches q times the group's count. Sketches of a group are arrays of at
-    most 1001 bins."""
+    reaches the level times the group's count ``n``. Sketches of a group are
+    arrays of at most 1001 bins."""
     bins = (
         sketch.groupBy(*keys, "statistic", "share").agg(F.sum("n").alias("n"))
         .groupBy(*keys, "statistic").agg(F.sort_array(F.collect_list(F.struct("share", "n"))).alias("bins"), F.sum("n").alias("n"))
     )
-    running = F.aggregate("bins", F.lit(0).cast("long"), lambda acc, b: acc + b["n"])
-    bins = bins.withColumn("total", running)
 
-    def at(q: float) -> Column:
+    def at(level: Column) -> Column:
         start = F.struct(F.lit(0).cast("long").alias("cum"), F.lit(None).cast("int").alias("q"))
         step = lambda acc, b: F.struct(
             (acc["cum"] + b["n"]).alias("cum"),
-            F.when(acc["q"].isNotNull(), acc["q"]).when((acc["cum"] + b["n"]) >= q * F.col("total"), b["share"]).alias("q"),
+            F.when(acc["q"].isNotNull(), acc["q"]).when((acc["cum"] + b["n"]) >= level * F.col("n"), b["share"]).alias("q"),
         )
         return F.aggregate("bins", start, step)["q"]
 
-    return bins.select(*keys, "statistic", F.col("total").alias("n"), *[at(q).alias(name) for name, q in shares_.items()])
+    return bins.select(*keys, "statistic", "n", *[at(q).alias(name) for name, q in levels.items()])
+
+
+def tails(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, statistic, n, tail): where the tail of each sketch ends."""
+    level = F.create_map(*[x for k, v in SHARES.items() for x in (F.lit(k), F.lit(v[2]))])
+    q = quantiles(sketch, keys, {"mid": F.lit(0.5), "high": level[F.col("statistic")]})
+    return q.select(*keys, "statistic", "n", (F.col("mid") + TAIL * (F.col("high") - F.col("mid"))).cast("long").alias("tail"))
 
 
 def fences(sketch: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
-    """(lang, source, fence_<statistic>...): one row a group."""
-    q = {"q25": 0.25, "q50": 0.5}
-    slack = F.create_map(*[x for k, (_, _, s) in SHARES.items() for x in (F.lit(k), F.lit(s))])
-    fence = F.col("q50") + F.greatest(slack[F.col("statistic")], SPREAD * (F.col("q50") - F.col("q25")))
-    own = quantiles(sketch, [lang, source], q).withColumn("fence", fence)
-    by_lang = quantiles(sketch, [lang], q).select(F.col(lang).alias("l_"), F.col("statistic").alias("s_"), fence.alias("fence_lang"))
-    both = own.join(by_lang, F.col(lang).eqNullSafe(F.col("l_")) & (F.col("statistic") == F.col("s_")))
-    chosen = F.when(F.col("n") < MIN_GROUP, F.col("fence_lang")).otherwise(F.col("fence"))
-    return both.groupBy(lang, source).agg(*[F.max(F.when(F.col("statistic") == k, chosen)).alias(f"fence_{k}") for k in SHARES])
+    """(lang, source, fence_<statistic>...): one row a group. Sketches of a
+    language and of all documents are the sums of their groups' sketches."""
+    own = tails(sketch, [lang, source])
+    by_lang = tails(sketch, [lang]).select(F.col(lang).alias("l_"), F.col("statistic").alias("s_"), F.col("n").alias("n_lang"), F.col("tail").alias("tail_lang"))
+    everywhere = tails(sketch, []).select(F.col("statistic").alias("t_"), F.col("tail").alias("tail_all"))
+    wide = by_lang.join(everywhere, F.col("s_") == F.col("t_")).withColumn("wide", F.expr(f"(n_lang * tail_lang + {PRIOR} * tail_all) div (n_lang + {PRIOR})"))
+    both = own.join(wide, F.col(lang).eqNullSafe(F.col("l_")) & (F.col("statistic") == F.col("s_")))
+    tolerance = F.create_map(*[x for k, v in SHARES.items() for x in (F.lit(k), F.lit(v[3]))])
+    fence = F.expr(f"(n * tail + {PRIOR} * wide) div (n + {PRIOR})") + tolerance[F.col("statistic")]
+    return both.groupBy(lang, source).agg(*[F.max(F.when(F.col("statistic") == k, fence)).alias(f"fence_{k}") for k in SHARES])
+
+
+def report(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+    """lang, source and the fences of every group of ``docs``, in per mille."""
+    stats = shares(text_statistics(docs.select(F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("text"))).drop("text"))
+    return fences(sketches(stats.where(~base_failed()), ["lang", "source"]))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
@@ -140,7 +159,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str
     sketches and the join read that table."""
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("text"))
     stats = materialize(shares(text_statistics(narrow).drop("text")), "quality-stats")
-    limits = fences(sketches(stats, ["lang", "source"])).withColumnsRenamed({"lang": "l_", "source": "s_"})
+    limits = fences(sketches(stats.where(~base_failed()), ["lang", "source"])).withColumnsRenamed({"lang": "l_", "source": "s_"})
     out = stats.join(limits, stats["lang"].eqNullSafe(F.col("l_")) & stats["source"].eqNullSafe(F.col("s_")), "left")
     over = F.filter(F.array(*[F.when(F.col(f"pm_{k}") > F.col(f"fence_{k}"), F.lit(k)) for k in SHARES]), lambda x: x.isNotNull())
     out = out.withColumn("base_failed", base_failed()).withColumn("reasons", F.array_join(over, ","))
@@ -157,7 +176,7 @@ def filter_documents(docs: DataFrame, text: str = "text", lang: str = "lang", so
     while any(c.lower().startswith(p) for c in docs.columns):
         p = "_" + p
     rows = materialize(shares(text_statistics(docs, text, p), p), "quality-rows")
-    stats = rows.select(F.col(lang).alias("lang"), F.col(source).alias("source"), *[F.col(f"{p}pm_{k}").alias(f"pm_{k}") for k in SHARES])
+    stats = rows.where(~base_failed(p)).select(F.col(lang).alias("lang"), F.col(source).alias("source"), *[F.col(f"{p}pm_{k}").alias(f"pm_{k}") for k in SHARES])
     limits = fences(sketches(stats, ["lang", "source"])).withColumnsRenamed({c: p + c for c in ("lang", "source", *(f"fence_{k}" for k in SHARES))})
     limits = materialize(limits, "quality-fences")
     out = rows.join(limits, F.col(lang).eqNullSafe(F.col(f"{p}lang")) & F.col(source).eqNullSafe(F.col(f"{p}source")), "left")

@@ -30,20 +30,31 @@ WITH base AS (
   SELECT *, n_symbols * 1000 // greatest(word_chars, 1) AS pm_symbols, n_dup_lines * 1000 // greatest(n_lines, 1) AS pm_dup_lines,
          n_repeat_words * 1000 // greatest(n_words, 1) AS pm_repeats
   FROM s
+), passed AS (
+  SELECT * FROM pm WHERE NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
 ), each AS (
-  SELECT lang, source, 'symbols' AS f, 20 AS slack, pm_symbols AS v FROM pm
-  UNION ALL SELECT lang, source, 'dup_lines', 350, pm_dup_lines FROM pm
-  UNION ALL SELECT lang, source, 'repeats', 300, pm_repeats FROM pm
+  SELECT lang, source, 'symbols' AS f, 0.90 AS level, 20 AS tolerance, pm_symbols AS v FROM passed
+  UNION ALL SELECT lang, source, 'dup_lines', 0.95, 250, pm_dup_lines FROM passed
+  UNION ALL SELECT lang, source, 'repeats', 0.95, 100, pm_repeats FROM passed
+), placed AS (
+  SELECT lang, source, f, level, tolerance, v,
+         row_number() OVER (PARTITION BY lang, source, f ORDER BY v) AS i, count(*) OVER (PARTITION BY lang, source, f) AS n,
+         row_number() OVER (PARTITION BY lang, f ORDER BY v) AS il, count(*) OVER (PARTITION BY lang, f) AS nl,
+         row_number() OVER (PARTITION BY f ORDER BY v) AS ia, count(*) OVER (PARTITION BY f) AS na
+  FROM each
 ), own AS (
-  SELECT lang, source, f, count(*) AS n,
-         quantile_disc(v, 0.5) + greatest(max(slack), 4 * (quantile_disc(v, 0.5) - quantile_disc(v, 0.25))) AS fence
-  FROM each GROUP BY ALL
+  SELECT lang, source, f, max(tolerance) AS tolerance, max(n) AS n,
+         (4 * min(v) FILTER (i >= level * n) - 3 * min(v) FILTER (i >= 0.5 * n))::BIGINT AS tail
+  FROM placed GROUP BY lang, source, f
 ), by_lang AS (
-  SELECT lang, f, quantile_disc(v, 0.5) + greatest(max(slack), 4 * (quantile_disc(v, 0.5) - quantile_disc(v, 0.25))) AS fence
-  FROM each GROUP BY ALL
+  SELECT lang, f, max(nl) AS n, (4 * min(v) FILTER (il >= level * nl) - 3 * min(v) FILTER (il >= 0.5 * nl))::BIGINT AS tail
+  FROM placed GROUP BY lang, f
+), everywhere AS (
+  SELECT f, (4 * min(v) FILTER (ia >= level * na) - 3 * min(v) FILTER (ia >= 0.5 * na))::BIGINT AS tail FROM placed GROUP BY f
 ), chosen AS (
-  SELECT own.lang, own.source, own.f, CASE WHEN own.n < 50 THEN by_lang.fence ELSE own.fence END AS fence
-  FROM own JOIN by_lang ON own.lang IS NOT DISTINCT FROM by_lang.lang AND own.f = by_lang.f
+  SELECT own.lang, own.source, own.f,
+         own.tolerance + (own.n * own.tail + 200 * ((l.n * l.tail + 200 * a.tail) // (l.n + 200))) // (own.n + 200) AS fence
+  FROM own JOIN by_lang l ON own.lang IS NOT DISTINCT FROM l.lang AND own.f = l.f JOIN everywhere a ON a.f = own.f
 ), fences AS (
   SELECT lang, source, max(fence) FILTER (f = 'symbols') AS a, max(fence) FILTER (f = 'dup_lines') AS b,
          max(fence) FILTER (f = 'repeats') AS c

@@ -82,21 +82,21 @@ def plain_quality(docs):
     stats = {i: plain_statistics(r["text"]) for i, r in docs.items()}
     pm = {i: {"symbols": 1000 * s[2] // max(s[1], 1), "dup_lines": 1000 * s[4] // max(s[3], 1), "repeats": 1000 * s[5] // max(s[0], 1)} for i, s in stats.items()}
 
-    def fence(ids, k):
+    passed = {i for i, s in stats.items() if s[0] >= 50 and 100 * s[5] <= 50 * s[0]}
+
+    def tail(ids, k):
         v = sorted(pm[i][k] for i in ids)
-        q = lambda x: v[max(-(-int(x * 100 * len(v)) // 100), 1) - 1]
-        return q(0.5) + max(quality.SHARES[k][2], quality.SPREAD * (q(0.5) - q(0.25)))
-
-    out = set()
-    for i, r in docs.items():
-        n, _, _, _, _, rep = stats[i]
-        if n < 50 or 100 * rep > 50 * n:
-            continue
-        group = [j for j, x in docs.items() if (x["lang"], x["source"]) == (r["lang"], r["source"])]
-        if len(group) < quality.MIN_GROUP:
-            group = [j for j, x in docs.items() if x["lang"] == r["lang"]]
-        if all(pm[i][k] <= fence(group, k) for k in quality.SHARES):
-            out.add(i)
+        q = lambda x: next(y for n, y in enumerate(v, 1) if n >= x * len(v))
+        return q(0.5) + quality.TAIL * (q(quality.SHARES[k][2]) - q(0.5))
+
+    def fence(r, k):
+        prior = quality.PRIOR
+        language = [j for j in passed if docs[j]["lang"] == r["lang"]]
+        group = [j for j in language if docs[j]["source"] == r["source"]]
+        wide = (len(language) * tail(language, k) + prior * tail(passed, k)) // (len(language) + prior)
+        return (len(group) * tail(group, k) + prior * wide) // (len(group) + prior) + quality.SHARES[k][3]
+
+    out = {i for i in passed if all(pm[i][k] <= fence(docs[i], k) for k in quality.SHARES)}
     return out
 
 
@@ -124,3 +124,29 @@ def test_quality_filter_judges_each_row(spark):
     got = quality.filter_documents(df)
     assert got.columns == df.columns
     assert sorted(r["_q_n"] for r in got.collect()) == [*range(20), 100]
+
+
+def test_fences_follow_the_group(spark):
+    """A source with many symbols gets a higher fence than a clean one; clean
+    documents stay, and so do the symbols of the source that is full of them."""
+    rng = random.Random(8)
+    clean = lambda: " ".join(f"w{rng.randrange(3000)}" for _ in range(80))
+    noisy = lambda: " ".join(f"w{rng.randrange(3000)}" + "#*" * (rng.random() < 0.3) for _ in range(80))
+    junk = lambda: " ".join(f"w{rng.randrange(3000)}" + "#*$%" for _ in range(80))
+    rows = [("en", "clean", clean()) for _ in range(600)] + [("en", "code", noisy()) for _ in range(600)]
+    rows += [("en", "small", noisy()) for _ in range(5)] + [("de", "clean", clean()) for _ in range(300)] + [("de", "clean", junk()) for _ in range(20)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, lang string, source string, text string")
+    fence = {(r["lang"], r["source"]): r["fence_symbols"] for r in quality.report(df).collect()}
+    assert fence["en", "clean"] < fence["en", "code"] and fence["de", "clean"] < fence["en", "code"]
+    kept = {r["doc_id"] for r in quality.judge(df).where("kept").collect()}
+    assert kept == {i for i, (lang, source, t) in enumerate(rows) if "$" not in t and not (source == "clean" and "#" in t)}
+
+
+def test_fences_differ_between_groups_of_the_tables(spark):
+    rows = quality.report(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).collect()
+    for k in quality.SHARES:
+        assert len({r[f"fence_{k}"] for r in rows}) >= 10
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    told = quality.judge(docs).join(labels, "doc_id").where("quality = 1 AND NOT base_failed").selectExpr("avg(cast(kept as int)) AS kept").first()
+    assert told["kept"] >= 0.98
