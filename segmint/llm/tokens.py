@@ -153,9 +153,9 @@ class PreTokens(Runs):
 class TextIds:
     """Ids of texts, plain ones by arrays, others chunk by chunk."""
 
-    def __init__(self, path: str, batch_bytes: int = 2 << 20):
-        self.chunks = ChunkIds(path, 150_000)
-        self.table = Table(self.chunks.merges)
+    def __init__(self, path: str, batch_bytes: int = 1 << 20):
+        self.chunks = ChunkIds(path, 60_000)
+        self.table = Table(self.chunks.merges, 1_000_000)
         self.batch_bytes = batch_bytes
 
     def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
