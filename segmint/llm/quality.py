@@ -145,7 +145,8 @@ def fences(sketch: DataFrame, lang: str = "lang", source: str = "source") -> Dat
 
 def report(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """lang, source and the fences of every group of ``docs``, in per mille."""
-    stats = shares(text_statistics(docs.select(F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("text"))).drop("text"))
+    narrow = docs.select(F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("text"))
+    stats = materialize(shares(text_statistics(narrow).drop("text")), "quality-stats")
     return fences(sketches(stats.where(~base_failed()), ["lang", "source"]))
 
 
