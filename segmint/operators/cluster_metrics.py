@@ -53,7 +53,11 @@ def metrics_of(df: DataFrame, features: str, labels: dict[str, Column | str], id
     from ..session import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(df.sparkSession)
-    points = labelled_points(df, features, labels, ident).checkpoint(eager=True)
+    # each point is written once, with all its labels
+    is_vector = not df.schema[features].dataType.typeName().startswith("array")
+    each = [(F.col(c) if isinstance(c, str) else c).cast("long").alias(f"_l{i}") for i, c in enumerate(labels.values())]
+    kept = df.select(F.col(ident).alias("_pid"), _as_array(F.col(features), is_vector).alias("_x"), *each).checkpoint(eager=True)
+    points = labelled_points(kept, "_x", {name: f"_l{i}" for i, name in enumerate(labels)}, "_pid")
     found = {r["run"]: r for r in silhouette.quality(points, euclidean).collect()}  # a row a labelling
     out = {}
     for i, name in enumerate(labels):

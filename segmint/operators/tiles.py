@@ -12,10 +12,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a block, on average.
+#: Rows of a block, on average, of a small side.
 ROWS = 4096
+#: Blocks of a side: larger blocks take larger sides, up to ``GROWTH`` times
+#: ``ROWS``, so that the copies of a row do not grow with the table.
+SIDES, GROWTH = 16, 8
 #: Cells of a distance array held at once.
 CELLS = 1 << 22
+#: Cells of a single-precision product held at once, pairs measured at once.
+TILE, PAIRS = 1 << 18, 1 << 16
 
 
 def fresh(df: DataFrame) -> DataFrame:
@@ -23,8 +28,13 @@ def fresh(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).alias(c) for c in df.columns])
 
 
+def blocks_of(n: Column, rows: int) -> Column:
+    """The number of blocks of a side of ``n`` rows."""
+    return F.ceil(n / F.greatest(F.lit(rows), F.least(F.lit(GROWTH * rows), n / SIDES))).cast("int")
+
+
 def block_counts(df: DataFrame, key: list[str], name: str, rows: int) -> DataFrame:
-    return df.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / F.lit(rows)).cast("int").alias(name))
+    return df.groupBy(*key).agg(blocks_of(F.count(F.lit(1)), rows).alias(name))
 
 
 def meet(left: DataFrame, right: DataFrame, key: list[str], left_id: Column, right_id: Column, fn, schema: str, rows: int = ROWS) -> DataFrame:
@@ -44,7 +54,7 @@ def meet(left: DataFrame, right: DataFrame, key: list[str], left_id: Column, rig
 def meet_all(left: DataFrame, right: DataFrame, n_left: int, n_right: int, left_id: Column, right_id: Column, fn, schema: str, rows: int = ROWS) -> DataFrame:
     """``meet`` without a key, for sides of known size: two shuffles and no
     join."""
-    a, b = max(1, -(-n_left // rows)), max(1, -(-n_right // rows))
+    a, b = (max(1, -(-n // max(rows, min(GROWTH * rows, n // SIDES)))) for n in (n_left, n_right))
     to = lambda ident, n: F.pmod(F.xxhash64(ident), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     ll = fresh(left).withColumn("_i", left_id).withColumn("_l", to(F.col("_i"), a)).withColumn("_r", every(b)).drop("_i")
@@ -91,3 +101,52 @@ def distances(a: np.ndarray, b: np.ndarray, squared: bool = False):
             diff = a[lo + p] - b[q]
             d[p, q] = np.einsum("ij,ij->i", diff, diff)
         yield lo, (d if squared else np.sqrt(d))
+
+
+def halves(a: np.ndarray, b: np.ndarray):
+    """(left, right, room, squares of a): the product of ``left`` and
+    ``right`` is the squared distances, in single precision where the numbers
+    allow, less ``room`` times the squares of both rows: never more than the
+    true ones."""
+    mid = b.mean(0)
+    ac, bc = a - mid, b - mid
+    an, bn = np.einsum("ij,ij->i", ac, ac), np.einsum("ij,ij->i", bc, bc)
+    most = max(an.max(), bn.max())
+    kind = np.float32 if 1e-20 < most < 1e20 else np.float64
+    room = 8.0 * (a.shape[1] + 8) * float(np.finfo(kind).eps)
+    left = np.column_stack([-2.0 * ac, np.ones(len(a)), an * (1 - room)]).astype(kind)
+    right = np.vstack([bc.T, bn * (1 - room), np.ones(len(b))]).astype(kind)
+    return left, right, room, 8 * most
+
+
+def measured(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Squared distances of the rows i of ``a`` and j of ``b``, from their
+    differences."""
+    out = np.empty(len(i))
+    for k in range(0, len(i), PAIRS):
+        diff = a[i[k : k + PAIRS]] - b[j[k : k + PAIRS]]
+        out[k : k + PAIRS] = np.einsum("ij,ij->i", diff, diff)
+    return out
+
+
+def within(a: np.ndarray, b: np.ndarray, limit: np.ndarray):
+    """(i, j, d), some at a time: the rows i of ``a`` and j of ``b`` whose
+    distance d is at most ``limit[i]``. A bound in single precision rules out
+    most pairs; the others are measured."""
+    if not len(a) or not len(b):
+        return
+    left, right, room, most = halves(a, b)
+    left[:, -1] -= (np.minimum(limit * limit, most) * (1 + room)).astype(left.dtype)
+    step = max(1, TILE // len(b))
+    for lo in range(0, len(a), step):
+        s = left[lo : lo + step] @ right
+        at = np.flatnonzero(s <= 0)
+        if 8 * len(at) > s.size:  # most pairs are near: all are measured at once
+            for k, d in distances(a[lo : lo + step], b):
+                i, j = np.nonzero(d <= limit[lo + k : lo + k + len(d), None])
+                yield lo + k + i, j, d[i, j]
+        elif len(at):
+            i, j = lo + at // len(b), at % len(b)
+            d = np.sqrt(measured(a, b, i, j))
+            ok = d <= limit[i]
+            yield i[ok], j[ok], d[ok]

@@ -154,3 +154,27 @@ def test_one_cluster_has_no_silhouette(spark):
     assert SI.silhouette_samples(pts).collect() == []
     row = SI.quality(pts).first()
     assert row["davies_bouldin"] is None and row["calinski_harabasz"] is None and row["silhouette"] is None
+
+
+def test_many_small_clusters_write_a_row_a_point(spark):
+    rng = np.random.default_rng(6)
+    n = 200
+    lab = np.r_[np.arange(150) % 40, np.full(50, 77)]  # small ones, and one that is split
+    x = rng.normal(size=(n, 8))
+    pts = labelled(spark, x, lab)
+    told = SI.mean_distances(pts, SI.statistics(pts), rows=16).collect()
+    assert len(told) == n  # not one for each point and near cluster
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    for r in told:
+        i = r["pid"]
+        assert np.isclose(r["total"], d[i, lab == lab[i]].sum())
+        assert np.isclose(r["b"], min(d[i, lab == c].mean() for c in set(lab) - {lab[i]}))
+
+
+def test_squared_metrics_agree_with_and_without_statistics_in_the_tasks(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    lab = np.arange(120) % 7
+    pts = labelled(spark, rng.normal(size=(120, 4)) + lab[:, None], lab)
+    held = SI.quality(pts).first()
+    monkeypatch.setattr(SI, "HELD", 0)
+    assert np.allclose(tuple(held), tuple(SI.quality(pts).first()))
