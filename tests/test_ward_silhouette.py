@@ -178,3 +178,22 @@ def test_squared_metrics_agree_with_and_without_statistics_in_the_tasks(spark, m
     held = SI.quality(pts).first()
     monkeypatch.setattr(SI, "HELD", 0)
     assert np.allclose(tuple(held), tuple(SI.quality(pts).first()))
+
+
+def test_ward_rounds_do_not_multiply_size_estimates(spark):
+    x = np.random.default_rng(8).normal(size=(90, 3))
+    merges = W.ward_merges(W.distinct_points(frame(spark, x)), local=10, rows=30)
+    assert int(str(merges._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 1_000_000
+
+
+def test_nearest_cluster_by_weight_with_ties(spark):
+    rng = np.random.default_rng(9)
+    x = np.round(rng.normal(size=(70, 2)), 1) * 1000.0
+    n = rng.integers(1, 9, 70).astype(float)
+    df = spark.createDataFrame([(i, float(n[i]), x[i].tolist()) for i in range(70)], "id long, n double, x array<double>")
+    got = {r["id"]: (r["nn"], r["d"]) for r in W.nearest(df, df, 70, 70, rows=16).collect()}
+    for i in range(70):
+        cost = W.merge_cost(x[i][None], n[i], x, n)
+        cost[i] = np.inf
+        j = min(range(70), key=lambda j: (cost[j], min(i, j), max(i, j)))
+        assert got[i] == (j, cost[j])
