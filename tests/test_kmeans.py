@@ -49,3 +49,14 @@ def test_sweep_finds_separate_groups_and_does_not_depend_on_partitions(spark):
     best = min((r for r in fits[0] if r.k == 4), key=lambda r: r.cost)
     assert np.isclose(best.cost, lloyd(x, best.centres, 0)[1])
     assert sorted(round(c[0]) for c in best.centres) == [0, 5, 11, 300]
+
+
+def test_many_runs_of_equal_k_over_blocks_of_bytes(spark):
+    x = points(3)
+    balls = Balls(frame(spark, x), block_rows=24)
+    assert dict(balls.blocks.dtypes)["x"] == "binary"  # not a number at a time between Spark and Python
+    starts = {(k, s): x[np.random.default_rng(s).permutation(len(x))[:k]].copy() for k in (1, 2, 4) for s in range(3)}
+    runs = balls.fit([Run(k, s, c.copy()) for (k, s), c in starts.items()], max_steps=2)
+    for r in runs:
+        centres, cost, _ = lloyd(x, starts[r.k, r.seed], 2)
+        assert np.allclose(r.centres, centres) and np.isclose(r.cost, cost)
