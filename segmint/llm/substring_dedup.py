@@ -31,8 +31,6 @@ that a third of all documents share is a few rows for the reducers.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -69,6 +67,12 @@ def tune_bands(threshold: float = THRESHOLD, recall: float = RECALL, rows: int =
 
 
 # -------------------------------------------------------------------- units
+def covered(lo: np.ndarray, hi: np.ndarray, n: int) -> np.ndarray:
+    """Which of the numbers below n the ranges [lo, hi) cover."""
+    change = np.bincount(lo, minlength=n + 1) - np.bincount(hi, minlength=n + 1)
+    return np.cumsum(change[:n]) > 0
+
+
 class Words:
     """Word hashes of some texts, one after another: ``h``, ``docs`` (first
     word of each text, and the number of words), ``lines`` (starts, ends of
@@ -113,16 +117,23 @@ class Words:
         back = np.searchsorted(cuts, hard - SPAN, side="right") - 1
         return np.r_[lo, cuts[back[back >= 0]]], np.r_[hi, hard[back >= 0]]
 
-    def units(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def units(self, alone: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, lo, hi) of the passages: those of the hash cuts alone, and
-        those of a second set with line starts as cuts too."""
+        those of a second set with line starts as cuts too. ``alone``: as if
+        each text had been given by itself."""
         n = len(self.h)
         none = np.empty(0, np.int64)
         if n < SPAN:
             return none, none, none
-        g = mix(self.h * MULTIPLIERS[0] + np.r_[self.h[1:], np.uint64(0)] * MULTIPLIERS[1])
+        after = np.r_[self.h[1:], np.uint64(0)]
+        if alone:
+            after[self.docs[self.docs > 0] - 1] = 0
+        g = mix(self.h * MULTIPLIERS[0] + after * MULTIPLIERS[1])
         at = np.arange(n - SPAN + 1)
-        soft = np.unique(at + np.lib.stride_tricks.sliding_window_view(g, SPAN).argmin(axis=1))
+        least = at + np.lib.stride_tricks.sliding_window_view(g, SPAN).argmin(axis=1)
+        if alone:
+            least = least[at + SPAN <= self.docs[np.searchsorted(self.docs, at, side="right")]]
+        soft = np.unique(least)
         sets = [self.cut_at(soft, np.unique(self.docs)), self.cut_at(soft, np.r_[self.starts, n])]
         both = np.unique(np.concatenate([lo * (4 * SPAN) + (hi - lo) for lo, hi in sets]))
         lo = both // (4 * SPAN)
@@ -135,14 +146,11 @@ class Words:
     def edges(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(text, start) of the windows of ``SPAN`` words that reach out of
         what the units cover, as far as ``REACH`` words."""
-        gone = np.zeros(len(self.h) + 1, np.int32)
-        np.add.at(gone, lo, 1)
-        np.add.at(gone, hi, -1)
-        inside = np.cumsum(gone) > 0
+        inside = covered(lo, hi, len(self.h) + 1)
         step = np.diff(np.r_[False, inside].astype(np.int8))
         a, b = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-        at = np.unique(np.concatenate([*(a - k for k in range(1, REACH + 1)), *(b - SPAN + k for k in range(1, REACH + 1))]))
-        at = at[(at >= 0) & (at + SPAN <= len(self.h))]
+        last = max(len(self.h) - SPAN + 1, 0)
+        at = np.flatnonzero(covered(np.clip(np.r_[a - REACH, b - SPAN + 1], 0, last), np.clip(np.r_[a, b - SPAN + REACH + 1], 0, last), last))
         doc = np.searchsorted(self.docs, at, side="right") - 1
         ok = at + SPAN <= self.docs[doc + 1]
         return doc[ok], at[ok]
@@ -193,6 +201,16 @@ def _blob(a: np.ndarray) -> bytes:
     return np.ascontiguousarray(a).tobytes()
 
 
+def planes(a: np.ndarray) -> bytes:
+    """8-byte numbers byte by byte: first all their first bytes, and so on.
+    The high bytes of ids and of sorted keys repeat, so Spark packs them."""
+    return np.ascontiguousarray(a).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def from_planes(blob: bytes, kind) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(8, -1).T).view(kind).ravel()
+
+
 def collapse(keys: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Entries (key, owner) as (distinct keys, smallest owner, whether there
     are several) and (key, owner) of the other owners."""
@@ -210,8 +228,8 @@ def entry_blocks(kind: int, keys: list, owners: list, buckets: int) -> list[tupl
     k, o, several, more_k, more_o = collapse(np.concatenate([np.empty(0, np.uint64), *keys]), np.concatenate([np.empty(0, np.int64), *owners]))
     at = ((k >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
     ends = np.searchsorted(at, np.arange(buckets + 1))
-    out = [(kind, b, _blob(k[lo:hi]), _blob(o[lo:hi]), _blob(several[lo:hi])) for b, (lo, hi) in enumerate(zip(ends[:-1], ends[1:])) if hi > lo]
-    return [*out, (kind + 2, 0, _blob(more_k), _blob(more_o), b"")] if len(more_k) else out
+    out = [(kind, b, planes(k[lo:hi]), planes(o[lo:hi]), _blob(several[lo:hi])) for b, (lo, hi) in enumerate(zip(ends[:-1], ends[1:])) if hi > lo]
+    return [*out, (kind + 2, 0, planes(more_k), planes(more_o), b"")] if len(more_k) else out
 
 
 def index(docs: DataFrame, buckets: int, bands: int, rows: int) -> DataFrame:
@@ -255,8 +273,10 @@ def index(docs: DataFrame, buckets: int, bands: int, rows: int) -> DataFrame:
     return materialize(docs.select("d", "t").mapInArrow(run, "kind int, bucket int, keys binary, owners binary, several binary"), "passages")
 
 
-def _joined(table, name: str, t) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column(name).to_pylist()), t)
+def _joined(table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, owners, several) of all blocks of a bucket."""
+    k, o = (np.concatenate([from_planes(b, t) for b in table.column(name).to_pylist()]) for name, t in (("keys", np.uint64), ("owners", np.int64)))
+    return k, o, np.frombuffer(b"".join(table.column("several").to_pylist()), bool)
 
 
 def bit_table(keys: DataFrame) -> tuple[np.ndarray, bool]:
@@ -326,7 +346,7 @@ def repeated_passages(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     @lean_group
     def run(table):
-        k, o, s = _joined(table, "keys", np.uint64), _joined(table, "owners", np.int64), _joined(table, "several", bool)
+        k, o, s = _joined(table)
         order = np.lexsort((o, k))
         k, o, s = k[order], o[order], s[order]
         first = np.r_[True, k[1:] != k[:-1]]
@@ -342,7 +362,7 @@ def repeated_passages(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     @lean
     def rows(batches):
         for keys, owners in text_rows(batches, ("keys", "owners"), 1):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys[0], np.int64)), pa.array(np.frombuffer(owners[0], np.int64))], names=["key", "d"])
+            yield pa.RecordBatch.from_arrays([pa.array(from_planes(keys[0], np.int64)), pa.array(from_planes(owners[0], np.int64))], names=["key", "d"])
 
     sent = materialize(blocks.where("kind = 0").select("bucket", "keys", "owners", "several").groupBy("bucket").applyInArrow(run, "key long, d long, keeper long"), "repeated")
     waiting = blocks.where("kind = 2").select("keys", "owners").mapInArrow(rows, "key long, d long")
@@ -370,7 +390,7 @@ def similar_paragraphs(docs: DataFrame, blocks: DataFrame, threshold: float) ->
         """Pairs (key null), the smallest owner b of each key with whom a
         task's other owners pair (a null), and the owners a of each key that
         may have three or more (b null)."""
-        k, o, s = _joined(table, "keys", np.uint64), _joined(table, "owners", np.int64), _joined(table, "several", bool)
+        k, o, s = _joined(table)
         several = np.unique(k[s])
         order = np.lexsort((o, k))
         k, o = k[order], o[order]
@@ -388,7 +408,7 @@ def similar_paragraphs(docs: DataFrame, blocks: DataFrame, threshold: float) ->
     @lean
     def rows(batches):
         for keys, owners in text_rows(batches, ("keys", "owners"), 1):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys[0], np.int64)), pa.array(np.frombuffer(owners[0], np.int64))], names=["key", "a"])
+            yield pa.RecordBatch.from_arrays([pa.array(from_planes(keys[0], np.int64)), pa.array(from_planes(owners[0], np.int64))], names=["key", "a"])
 
     sent = blocks.where("kind = 1").select("bucket", "keys", "owners", "several").groupBy("bucket").applyInArrow(run, "key long, a long, b long")
     sent = materialize(sent, "line-collisions")
@@ -466,16 +486,39 @@ def cross_links(left: list, right: list, threshold: float) -> list[tuple[int, in
     return out
 
 
+def forest(links, comp: dict) -> list[tuple[int, int]]:
+    """Those links (line, line) that join components (``comp`` of each line)
+    not yet joined by earlier ones: fewer than there are components."""
+    up: dict = {}
+
+    def root(c):
+        while (p := up.get(c, c)) != c:
+            up[c] = c = up.get(p, p)
+        return c
+
+    out = []
+    for a, b in links:
+        x, y = root(comp[a]), root(comp[b])
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            out.append((a, b))
+    return out
+
+
 def links_across(members: DataFrame, comp: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """(a, b): links between members (key, line) of a band key that are in
     different components. One of two such members is outside the key's largest
-    component, so blocks of those meet blocks of all members."""
+    component, so blocks of those meet blocks of all members. Of the keys with
+    the same lines one is looked at."""
     import pyarrow as pa
 
     tagged = members.join(comp, F.col("line") == F.col("vertex"), "left").select("key", "line", F.coalesce("component", "line").alias("c"))
     tagged = materialize(tagged, "line-members")
-    sizes = tagged.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("c", F.struct("n", "c")).alias("main"))
-    sizes = sizes.where("n > most").select("key", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("all"), F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("outside"))
+    lines = [F.bit_xor(F.xxhash64(F.lit(i), "line")).alias(f"h{i}") for i in (0, 1)]
+    sizes = tagged.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"), *lines)
+    sizes = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("c", F.struct("n", "c")).alias("main"), *[F.bit_xor(h).alias(h) for h in ("h0", "h1")])
+    sizes = sizes.where("n > most").groupBy("n", "most", "main", "h0", "h1").agg(F.min("key").alias("key"))
+    sizes = sizes.select("key", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("all"), F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("outside"))
     placed = tagged.join(sizes, "key")
     own = lambda parts: F.pmod(F.xxhash64("line"), F.col(parts)).cast("int")
     each = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
@@ -486,9 +529,11 @@ def links_across(members: DataFrame, comp: DataFrame, sets: DataFrame, threshold
     @lean_group
     def run(table):
         groups: dict = {}
+        comp_of = {}
         for key, i, j, line, c, out, t in zip(*(table.column(x).to_pylist() for x in ("key", "i", "j", "line", "c", "out", "tokens"))):
             groups.setdefault((key, i, j), ([], []))[out].append((line, c, np.frombuffer(t, np.uint64)))
-        found = sorted({x for left, right in groups.values() if left and right for x in cross_links(left, right, threshold)})
+            comp_of[line] = c
+        found = forest((x for left, right in groups.values() if left and right for x in cross_links(left, right, threshold)), comp_of)
         return pa.Table.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     buckets = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
@@ -513,39 +558,88 @@ def removals(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return gone.groupBy("d").agg(each.alias("g")).select("d", F.col("g.key").alias("keys"), F.col("g.keeper").alias("keepers"))
 
 
-def spans(text: bytes, keys: dict[int, int]) -> list[tuple[int, int, int, int]]:
-    """(start, end, words, keeper): the byte runs of ``text`` that go, for the
-    units ``keys`` (hash -> keeper). A run covers whole words and the white
-    space between them."""
-    w = Words([text])
-    gone = np.zeros(len(w.h) + 1, np.int8)
-    keeper: dict[int, int] = {}
-    known = np.fromiter(keys, np.int64, len(keys))
-    at = np.arange(max(len(w.h) - SPAN + 1, 0))
-    for lo, hi in (w.units()[1:], w.paragraphs()[1:], (at, at + SPAN)):
+def spans(texts: list[bytes], keys: list, keepers: list) -> list[list[tuple[int, int, int, int]]]:
+    """(start, end, words, keeper) for each text: the byte runs that go, for
+    its units ``keys`` and their ``keepers`` (of several the smallest). A run
+    covers whole words and the white space between them."""
+    w = Words(texts)
+    n = len(w.h)
+    out: list[list] = [[] for _ in texts]
+    sizes = np.array([len(k) for k in keys])
+    own = np.concatenate([np.asarray(k, np.int64) for k in keys]) if len(keys) else np.empty(0, np.int64)
+    by = np.concatenate([np.asarray(k, np.int64) for k in keepers]) if len(keys) else own
+    if not n or not len(own):
+        return out
+    distinct, rank = np.unique(own, return_inverse=True)
+    known = np.repeat(np.arange(len(texts)), sizes) * len(distinct) + rank  # (text, key) as one number
+    order = np.lexsort((by, known))
+    known, by = known[order], by[order]
+    first = np.r_[True, known[1:] != known[:-1]]
+    known, by = known[first], by[first]
+    bits = max(16, min(24, int(len(distinct)).bit_length() + 4))
+    flags = np.zeros(1 << bits, bool)  # most units have no key in any text
+    flags[distinct & ((1 << bits) - 1)] = True
+
+    at = np.arange(max(n - SPAN + 1, 0))
+    doc = np.searchsorted(w.docs, at, side="right") - 1
+    inner = at + SPAN <= w.docs[doc + 1]
+    los, his, froms = [], [], []
+    for doc, lo, hi in (w.units(alone=True), w.paragraphs(), (doc[inner], at[inner], at[inner] + SPAN)):
         key = w.key(lo, hi).view(np.int64)
-        hit = np.flatnonzero(np.isin(key, known))
-        for k, a, b in zip(key[hit].tolist(), lo[hit].tolist(), hi[hit].tolist()):
-            gone[a:b] = 1
-            keeper[a] = min(keys[k], keeper.get(a, NO_ID))
-    edge = np.flatnonzero(np.diff(np.r_[0, gone]))
-    if not len(edge):
-        return []
-    at = [m.span() for m in WORD.finditer(text)]
-    out = []
-    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
-        if b - a >= LEAST_WORDS:
-            out.append((at[a][0], at[b - 1][1], b - a, min(v for k, v in keeper.items() if a <= k < b)))
+        some = np.flatnonzero(flags[key & ((1 << bits) - 1)])
+        k = np.minimum(np.searchsorted(distinct, key[some]), len(distinct) - 1)
+        ok = distinct[k] == key[some]
+        some, pair = some[ok], doc[some[ok]] * len(distinct) + k[ok]
+        k = np.minimum(np.searchsorted(known, pair), len(known) - 1)
+        ok = known[k] == pair
+        los.append(lo[some[ok]])
+        his.append(hi[some[ok]])
+        froms.append(by[k[ok]])
+    lo, hi, keeper = (np.concatenate(v) for v in (los, his, froms))
+    if not len(lo):
+        return out
+    # runs end where a text ends
+    inside, edge = covered(lo, hi, n), np.zeros(n + 1, bool)
+    edge[w.docs] = True
+    a = np.flatnonzero(inside & (edge[:-1] | ~np.r_[False, inside[:-1]]))
+    b = np.flatnonzero(inside & (edge[1:] | ~np.r_[inside[1:], False])) + 1
+    least = np.full(len(a), NO_ID)
+    np.minimum.at(least, np.searchsorted(a, lo, side="right") - 1, keeper)
+    long = b - a >= LEAST_WORDS
+    a, b, least = a[long], b[long], least[long]
+    doc = np.searchsorted(w.docs, a, side="right") - 1
+    for k in np.unique(doc).tolist():
+        starts, ends = word_bounds(texts[k])
+        mine = doc == k
+        i, j = a[mine] - w.docs[k], b[mine] - w.docs[k]
+        out[k] = list(zip(starts[i].tolist(), ends[j - 1].tolist(), (j - i).tolist(), least[mine].tolist()))
     return out
 
 
-WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+def word_bounds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The first bytes of the words of a text, and the bytes behind them."""
+    c = np.frombuffer(text, np.uint8)
+    word = np.r_[False, (c != 0x20) & ((c < 0x09) | (c > 0x0D)), False]
+    return np.flatnonzero(word[1:] & ~word[:-1]), np.flatnonzero(word[:-1] & ~word[1:])
 
 
 def _narrow(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("d"), F.col(text).cast("string").cast("binary").alias("t"))
 
 
+def touched(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose d ``found`` has, and by chance a few others."""
+    table, _ = bit_table(found.select("d"))
+    shared = docs.sparkSession.sparkContext.broadcast(table)  # FILTER_BITS bits
+
+    @lean
+    def run(batches):
+        for b in batches:
+            yield b.take(has_bit(shared.value, b.column(b.schema.get_field_index("d")).to_numpy()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def removed_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per run of words that goes: doc_id, start_byte, end_byte (of
     the UTF-8 text), n_words, passage (its text), kept_doc_id (a document that
@@ -562,13 +656,15 @@ def removed_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     def run(batches):
         for ids, texts, keys, keepers in text_rows(batches, ("d", "t", "keys", "keepers"), 256):
             rows = []
-            for d, t, k, own in zip(ids, texts, keys, keepers):
-                rows += [(None if d == NO_ID else d, a, b, n, t[a:b].decode("utf-8", "replace"), None if by == NO_ID else by) for a, b, n, by in spans(t, dict(zip(k, own)))]
+            for d, t, runs in zip(ids, texts, spans(texts, keys, keepers)):
+                rows += [(None if d == NO_ID else d, a, b, n, t[a:b].decode("utf-8", "replace"), None if by == NO_ID else by) for a, b, n, by in runs]
             cols = list(zip(*rows)) or [[]] * 6
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, types)], names=["doc_id", "start_byte", "end_byte", "n_words", "passage", "kept_doc_id"])
 
-    joined = narrow.where(F.col("t").isNotNull()).join(removals(narrow, threshold), "d")
+    gone = materialize(removals(narrow, threshold), "removals")
+    # only texts that lose words are shuffled
+    joined = touched(narrow.where(F.col("t").isNotNull()), gone).join(gone, "d")
     return joined.mapInArrow(run, "doc_id long, start_byte long, end_byte long, n_words long, passage string, kept_doc_id long")
 
 
@@ -583,18 +679,18 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     def cut(texts, keys, keepers):
         import pandas as pd
 
-        out = []
-        for t, k, own in zip(texts, keys, keepers):
-            if k is None or t is None:
-                out.append(t)
-                continue
-            raw, at, parts = t.encode("utf-8"), 0, []
-            runs = spans(raw, dict(zip(k.tolist(), own.tolist())))
-            for a, b, _, _ in runs:
-                parts.append(raw[at:a])
-                at = b
-            left = b"".join([*parts, raw[at:]]) if runs else raw
-            out.append(left.decode("utf-8", "replace") if left.split() or not runs else None)
+        out = list(texts)
+        some = [k for k, t in enumerate(out) if t is not None and keys[k] is not None]
+        for lo in range(0, len(some), 256):
+            part = some[lo : lo + 256]
+            raws = [out[k].encode("utf-8") for k in part]
+            for k, raw, runs in zip(part, raws, spans(raws, [keys[k] for k in part], [keepers[k] for k in part])):
+                at, parts = 0, []
+                for a, b, _, _ in runs:
+                    parts.append(raw[at:a])
+                    at = b
+                left = b"".join([*parts, raw[at:]]) if runs else raw
+                out[k] = left.decode("utf-8", "replace") if left.split() or not runs else None
         return pd.Series(out, dtype="object")
 
     joined = docs.withColumn(names["d"], F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).join(gone, names["d"], "left")

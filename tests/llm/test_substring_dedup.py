@@ -201,3 +201,55 @@ def test_all_colliding_paragraphs_are_compared(spark):
         part = docs.repartition(n)
         got = {r["d"]: r["keeper"] for r in sd.similar_paragraphs(part, sd.index(part, 8, bands, rows), 0.8).collect()}
         assert got == {i: c for i, c in enumerate(least) if least.count(c) > 1}
+
+
+def test_spans_of_many_texts_are_those_of_each_alone():
+    rng = random.Random(5)
+    shared = " ".join(words(rng, 60))
+    text = lambda n: " ".join(words(rng, n))
+    texts = [b"", b" \n ", b"one two"]
+    for k in range(12):
+        texts.append("\n".join(f" \t{text(rng.randrange(0, 70))}\x0b{shared if k % 3 else text(30)}\r{text(9)}" for _ in range(3)).encode())
+    w = sd.Words([shared.encode()])
+    unit = np.arange(len(w.h) - sd.SPAN + 1)
+    known = w.key(unit, unit + sd.SPAN).view(np.int64).tolist()
+    keys = [known if k % 4 else known[:5] + known[:3] for k in range(len(texts))]
+    keepers = [[100 * k + j for j in range(len(x))] for k, x in enumerate(keys)]
+    got = sd.spans(texts, keys, keepers)
+    assert got == [sd.spans([t], [k], [o])[0] for t, k, o in zip(texts, keys, keepers)]
+    assert any(got) and not any(got[:3])
+    for k, (t, runs) in enumerate(zip(texts, got)):
+        for a, b, n, keeper in runs:
+            assert t[a:b].split() == shared.encode().split() and n == 60 and keeper == 100 * k
+    # a run that ends a text and one that begins the next stay two
+    whole = shared.encode()
+    assert sd.spans([whole, whole], [known, known], [[7] * len(known), [8] * len(known)]) == [[(0, len(whole), 60, 7)], [(0, len(whole), 60, 8)]]
+
+
+def test_blocks_pack_ids_and_sorted_keys():
+    import zlib
+
+    rng = np.random.default_rng(3)
+    keys, ids = np.sort(rng.integers(0, 1 << 63, 5000, np.uint64)), rng.integers(0, 50_000, 5000)
+    for a in (keys, ids, ids[:0]):
+        assert np.array_equal(sd.from_planes(sd.planes(a), a.dtype), a)
+        assert not len(a) or len(zlib.compress(sd.planes(a))) < 0.9 * len(zlib.compress(a.tobytes()))
+    (row,) = sd.entry_blocks(0, [keys], [ids], 1)
+    assert np.array_equal(sd.from_planes(row[2], np.uint64), keys)
+
+
+def test_only_texts_that_lose_words_are_shuffled(spark):
+    docs = spark.createDataFrame([(k, bytearray(b"t%d" % k)) for k in range(300)] + [(sd.NO_ID, bytearray(b"none"))], "d long, t binary")
+    found = spark.createDataFrame([(5, 1), (250, 1), (sd.NO_ID, 1)], "d long, k int")
+    assert sorted((r["d"], bytes(r["t"])) for r in sd.touched(docs, found).collect()) == [(5, b"t5"), (250, b"t250"), (sd.NO_ID, b"none")]
+    assert sd.touched(docs, found.where("d < 0")).isEmpty()
+
+
+def test_links_across_are_a_forest_of_components():
+    """All pairs of many lines are links; fewer are told than there are lines."""
+    rng = np.random.default_rng(1)
+    base = np.sort(rng.integers(0, 1 << 62, 200, np.uint64))
+    members = [(k, k, np.sort(np.r_[base, np.uint64(k + 1)])) for k in range(60)]
+    links = sd.cross_links(members[:40], members[20:], 0.8)
+    told = sd.forest(links, {k: k for k in range(60)})
+    assert len(links) > 1000 and len(told) == 59 and set(told) <= set(links)
