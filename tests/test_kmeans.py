@@ -60,3 +60,61 @@ def test_many_runs_of_equal_k_over_blocks_of_bytes(spark):
     for r in runs:
         centres, cost, _ = lloyd(x, starts[r.k, r.seed], 2)
         assert np.allclose(r.centres, centres) and np.isclose(r.cost, cost)
+
+
+def cloud(n=900, seed=5):
+    """One blob: many steps, many points near two centres."""
+    return np.random.default_rng(seed).normal(size=(n, 3))
+
+
+def ends(x, centres):
+    """Centres and number of steps of a plain loop that ends as a fit does."""
+    for steps in range(1, 301):
+        new = lloyd(x, centres, 1)[0]
+        moved, centres = np.sqrt(((new - centres) ** 2).sum(1).max()), new
+        if moved <= 1e-4:
+            break
+    return centres, steps
+
+
+def test_late_steps_go_many_a_pass(spark, monkeypatch):
+    from segmint.operators import kmeans
+
+    x = cloud()
+    balls = Balls(frame(spark, x), block_rows=128)
+    monkeypatch.setattr(kmeans, "CALM", 0.2, raising=False)
+    passes = []
+    plain = Balls.step
+
+    def counted(self, runs):
+        passes.append(len(runs))
+        return plain(self, runs)
+
+    monkeypatch.setattr(Balls, "step", counted)
+    if hasattr(Balls, "steps"):
+        late = Balls.steps
+        monkeypatch.setattr(Balls, "steps", lambda self, runs, most: (passes.append(len(runs)), late(self, runs, most)))
+    starts = {k: x[: 7 * k : 7].copy() for k in (1, 4, 6)}
+    runs = balls.fit([Run(k, 0, c.copy()) for k, c in starts.items()])
+    for r in runs:
+        centres, steps = ends(x, starts[r.k])
+        assert np.allclose(r.centres, centres) and r.steps == steps and not r.moving
+        assert np.isclose(r.cost, lloyd(x, r.centres, 0)[1])
+    assert max(r.steps for r in runs) > 20 and len(passes) < 0.7 * max(r.steps for r in runs)
+
+
+def test_too_many_loose_points_take_one_step(spark, monkeypatch):
+    from segmint.operators import kmeans
+
+    x = np.concatenate([cloud(300), cloud(300)[:40]])
+    balls = Balls(frame(spark, x), block_rows=64)
+    start = x[:40:8].copy()
+    monkeypatch.setattr(kmeans, "LOOSE", 4)
+    run = Run(5, 0, start.copy(), room=100.0)  # every point is loose
+    balls.steps([run], 300)
+    assert run.steps == 1 and run.moving and run.room < 100.0
+    assert np.allclose(run.centres, lloyd(x, start, 1)[0])
+    monkeypatch.undo()
+    run = Run(5, 0, start.copy(), room=100.0)
+    balls.steps([run], 7)  # no more than asked for
+    assert run.steps == 7 and np.allclose(run.centres, lloyd(x, start, 7)[0])
