@@ -43,3 +43,34 @@ def test_error_of_a_step_is_raised(spark):
     with pytest.raises(ArithmeticError):
         models.at_once(spark, lambda: 1, bad)
     assert models.at_once(spark, lambda: 1, lambda: 2) == (1, 2)
+
+
+def test_refit_of_clv_does_not_wait_for_the_other_algorithms(spark, monkeypatch):
+    """The others end only after the CLV model of the chosen one is fitted."""
+    from threading import Event
+
+    fitted = Event()
+    seen = []
+    customers = spark.createDataFrame([(str(i), i, 10 * i) for i in range(4)], "customer_id string, ingest_seq long, spend int")
+    labels = spark.createDataFrame([(str(i), i % 2) for i in range(4)], "customer_id string, hierarchical_label int")
+
+    def other(name):
+        def run(*a):
+            assert fitted.wait(60)
+            seen.append(name)
+
+        return run
+
+    def clv_model(df):
+        fitted.set()
+        return df, None, 0.0
+
+    monkeypatch.setattr(models, "features", lambda *a: None)
+    monkeypatch.setattr(models.base, "scored", lambda *a: customers)
+    monkeypatch.setattr(models, "kmeans", other("kmeans"))
+    monkeypatch.setattr(density, "dbscan_best", other("dbscan"))
+    monkeypatch.setattr(models, "ward", lambda *a: ([], None, labels))
+    monkeypatch.setattr(models.CLV, "clv_model", clv_model)
+    rows = models.refitted_clv(spark, "unused", "Hierarchical").collect()
+    assert sorted((r["customer_id"], r["spend"], r["cluster_id"]) for r in rows) == [(str(i), 10 * i, i % 2) for i in range(4)]
+    assert sorted(seen) == ["dbscan", "kmeans"]
