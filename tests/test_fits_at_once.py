@@ -74,3 +74,13 @@ def test_refit_of_clv_does_not_wait_for_the_other_algorithms(spark, monkeypatch)
     rows = models.refitted_clv(spark, "unused", "Hierarchical").collect()
     assert sorted((r["customer_id"], r["spend"], r["cluster_id"]) for r in rows) == [(str(i), 10 * i, i % 2) for i in range(4)]
     assert sorted(seen) == ["dbscan", "kmeans"]
+
+
+def test_refit_of_clv_takes_all_labels_where_keys_repeat(spark, monkeypatch):
+    customers = spark.createDataFrame([("1", 1), ("1", 1), ("2", 2)], "customer_id string, ingest_seq long")
+    seen = []
+    monkeypatch.setattr(models, "features", lambda *a: None)
+    monkeypatch.setattr(models.base, "scored", lambda *a: customers)
+    monkeypatch.setattr(models, "clustered", lambda spark_, sf_dir, algorithm: seen.append(algorithm) or customers)
+    monkeypatch.setattr(models.CLV, "clv_model", lambda df: (df, None, 0.0))
+    assert models.refitted_clv(spark, "unused", "DBSCAN").count() == 3 and seen == ["DBSCAN"]
