@@ -197,3 +197,40 @@ def test_nearest_cluster_by_weight_with_ties(spark):
         cost[i] = np.inf
         j = min(range(70), key=lambda j: (cost[j], min(i, j), max(i, j)))
         assert got[i] == (j, cost[j])
+
+
+def test_rounds_of_one_task_equal_pair_by_pair_merges():
+    rng = np.random.default_rng(10)
+    n = 1300  # more columns than a product holds
+    x = np.r_[rng.normal(size=(n - 60, 4)), np.round(rng.normal(size=(60, 4)))]
+    ids, w = rng.permutation(5 * n)[:n], rng.integers(1, 60, n).astype(float)
+    one, other = (sorted(m, key=lambda r: r[2]) for m in (W.merge_here(ids, w, x), W.merge_rounds(ids, w, x, dense=20)))
+    assert sorted(r[:2] for r in one) == sorted(r[:2] for r in other)
+    assert np.allclose([r[2] for r in one], [r[2] for r in other], rtol=1e-12)
+
+
+def test_thousands_of_clusters_are_merged_without_a_job_for_each_round(spark, monkeypatch):
+    def nearest(*a):
+        raise AssertionError("a round of jobs")
+
+    monkeypatch.setattr(W, "nearest", nearest)
+    x = np.random.default_rng(11).normal(size=(4500, 2))
+    out, ks = W.ward_labels(frame(spark, np.r_[x, x[:20]]), [2, 5])
+    rows = {r["pid"]: (r["k_2"], r["k_5"]) for r in out.collect()}
+    assert ks == [2, 5] and len(rows) == 4520
+    assert [rows[4500 + i] for i in range(20)] == [rows[i] for i in range(20)]
+    assert {r[1] for r in rows.values()} == set(range(5)) and len(set(rows.values())) == 5
+
+
+def test_points_meet_their_copies_by_a_narrow_key(spark):
+    from segmint.operators.density import of_copies
+
+    points = frame(spark, [[0.0, 1.0], [-0.0, 1.0], [2.0, 3.0]] * 2)
+    singles = W.distinct_points(points).checkpoint()
+    out = of_copies(points, singles, singles.select("id", "n"))
+    assert {r["pid"]: (r["id"], r["n"]) for r in out.collect()} == {i: (0, 4.0) if i % 3 < 2 else (2, 2.0) for i in range(6)}
+    assert "SortMergeJoin [x" not in out._jdf.queryExecution().toString()
+    # hashes skip nulls: then the points themselves are compared
+    odd = spark.createDataFrame([(0, [None, 1.0]), (1, [1.0, None]), (2, [None, 1.0]), (3, None)], "pid long, x array<double>")
+    singles = W.distinct_points(odd).checkpoint()
+    assert {r["pid"]: r["id"] for r in of_copies(odd, singles, singles.select("id")).collect()} == {0: 0, 1: 1, 2: 0}
