@@ -234,3 +234,52 @@ def test_points_meet_their_copies_by_a_narrow_key(spark):
     odd = spark.createDataFrame([(0, [None, 1.0]), (1, [1.0, None]), (2, [None, 1.0]), (3, None)], "pid long, x array<double>")
     singles = W.distinct_points(odd).checkpoint()
     assert {r["pid"]: r["id"] for r in of_copies(odd, singles, singles.select("id")).collect()} == {0: 0, 1: 1, 2: 0}
+
+
+def test_weighted_rows_count_as_copies(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    lab, w = np.arange(60) % 5, rng.integers(1, 9, 60)
+    lab[0], w[0] = 9, 3  # a cluster of copies alone
+    x = rng.normal(size=(60, 3)) + lab[:, None]
+    once = spark.createDataFrame([(i, x[i].tolist(), int(lab[i]), int(lab[i] % 2), float(w[i])) for i in range(60)], "pid long, x array<double>, a int, b int, n double").checkpoint()
+    every = once.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).withColumn("pid", F.col("pid") * 100 + F.col("k")).checkpoint()
+    names = {"a": "a", "b": "b"}
+    for held in (SI.HELD, 0):
+        monkeypatch.setattr(SI, "HELD", held)
+        one, all_ = CM.metrics_of(once, "x", names, "pid", weight="n"), CM.metrics_of(every, "x", names, "pid")
+        for k in names:
+            assert (one[k].n_clusters, one[k].n_points) == (all_[k].n_clusters, all_[k].n_points)
+            for what in ("silhouette", "davies_bouldin", "calinski_harabasz", "inertia"):
+                assert np.isclose(getattr(one[k], what), getattr(all_[k], what), rtol=1e-12)
+    with pytest.raises(ValueError):
+        CM.metrics_of(once, "x", names, "pid", euclidean=True, weight="n")
+
+
+def test_clusterings_are_measured_on_distinct_points(spark, monkeypatch):
+    from segmint.operators import clustering as CL
+    from segmint.plans import density as DN
+
+    measured = []
+
+    def metrics_of(df, *a, **k):
+        measured.append((df.count(), k.get("weight")))
+        return CM.metrics_of(df, *a, **k)
+
+    x = np.random.default_rng(13).normal(size=(40, 2))
+    points = frame(spark, np.r_[x, x, x]).checkpoint()
+    for module in (CL, DN):
+        monkeypatch.setattr(module, "metrics_of", metrics_of)
+    sweep = CL.kmeans_sweep(points, "x", [2, 3], 2)
+    runs, _, labels = CL.ward_hierarchical(points, "x", [2, 3])
+    chosen = DN.choose(points)
+    assert measured == [(40, "n")] * 3
+    assert sweep.best.metrics.n_points == runs[0][1].n_points == labels.count() == chosen.labels.count() == 120
+    plain = CM.metrics_of(labels, "x", {"l": "hierarchical_label"}, "pid")["l"]
+    best = max((m for _, m in runs), key=lambda m: m.silhouette)
+    assert np.isclose(plain.silhouette, best.silhouette) and np.isclose(plain.calinski_harabasz, best.calinski_harabasz)
+    # a pid that comes twice counts as before
+    twice = points.unionByName(points.where("pid = 0")).checkpoint()
+    measured.clear()
+    CL.kmeans_sweep(twice, "x", [2], 1)
+    DN.choose(twice)
+    assert [w for _, w in measured] == [None, None]
