@@ -135,3 +135,26 @@ def test_ward_merge_matches_naive_greedy():
     for k in range(1, 11):
         got = sorted(sorted(np.where(cuts[k] == c)[0].tolist()) for c in set(cuts[k].tolist()))
         assert got == naive[k]
+
+
+def test_clv_trees_take_equal_features_as_one_row(spark, monkeypatch):
+    """The trees of weighted distinct rows are those of all rows."""
+    import numpy as np
+
+    from pyspark.ml import Pipeline
+
+    from segmint.functions.constants import CLV_FEATURES
+    from segmint.operators import clv as CLV
+
+    rng = np.random.default_rng(3)
+    kinds = [[float(v) for v in rng.integers(1, 40, len(CLV_FEATURES))] for _ in range(50)]
+    rows = [(str(50 * c + i), 50 * c + i, *kinds[i]) for c in range(1 + 4) for i in range(50) if c < 1 + i % 5]
+    df = spark.createDataFrame(rows, "customer_id string, ingest_seq long, " + ", ".join(f"{c} double" for c in CLV_FEATURES)).checkpoint()
+    seen = []
+    fit = Pipeline.fit
+    monkeypatch.setattr(Pipeline, "fit", lambda self, d, *a: seen.append(d.count()) or fit(self, d, *a))
+    one = {r["customer_id"]: r["clv_12m"] for r in CLV.clv_model(df, max_iter=4)[0].collect()}
+    monkeypatch.setattr(CLV, "training_rows", lambda train: train.withColumn("clv_weight", CLV.F.lit(1.0)))
+    every = {r["customer_id"]: r["clv_12m"] for r in CLV.clv_model(df, max_iter=4)[0].collect()}
+    assert seen[0] <= 50 < seen[1]
+    assert len(one) == len(rows) and all(np.isclose(one[k], every[k]) for k in every)
